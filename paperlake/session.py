@@ -37,6 +37,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop_path = _file_system(spark, path)
+    return files.exists(hadoop_path)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder; none when it does not exist."""
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(hadoop_path)]
