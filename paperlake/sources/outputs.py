@@ -25,19 +25,20 @@ def read_full_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _json_field(field: T.StructField):
+    column = F.col(field.name)
+    if isinstance(field.dataType, T.TimestampNTZType):
+        instant = F.concat(F.replace(column.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+        return instant.alias(field.name)
+    if isinstance(field.dataType, T.StringType) and field.name not in ("arxiv_id", "title"):
+        return F.nullif(column, F.lit("")).alias(field.name)
+    return column
+
+
 def json_rows(rows: DataFrame) -> DataFrame:
     """One JSON text per row; empty fields are left out, flags and counts are kept."""
-    kept = [
-        F.nullif(F.col(f.name), F.lit("")).alias(f.name)
-        if isinstance(f.dataType, T.StringType) and f.name not in ("arxiv_id", "title")
-        else F.col(f.name)
-        for f in rows.schema.fields
-    ]
-    options = {
-        "ignoreNullFields": "true",
-        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'",
-    }
-    return rows.select(F.to_json(F.struct(*kept), options).alias("value"))
+    fields = F.struct(*[_json_field(f) for f in rows.schema.fields])
+    return rows.select(F.to_json(fields, {"ignoreNullFields": "true"}).alias("value"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
