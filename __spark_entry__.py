@@ -37,6 +37,7 @@ ONE_WORD = "Thin"
 TWO_WORDS = "thin, than"
 THREE_WORDS = "Than from thin!"
 HASH_DIM = 64
+TERM_BUCKETS = 16
 
 
 def _time(name: str):
@@ -424,12 +425,12 @@ def search_english(spark, sf_dir):
 
 def _index(spark, sf_dir):
     path = scratch_path(spark, "postings")
-    search.write_postings(search.build_postings(tv.papers(spark, sf_dir)), path)
+    search.write_postings(search.build_postings(tv.papers(spark, sf_dir)), path, TERM_BUCKETS)
     return search.read_postings(spark, path)
 
 
 def search_index(spark, sf_dir):
-    found = search.search_index(_index(spark, sf_dir), THREE_WORDS)
+    found = search.search_index(_index(spark, sf_dir), THREE_WORDS, buckets=TERM_BUCKETS)
     return _ranked(search.with_papers(found, tv.papers(spark, sf_dir)), "title")
 
 

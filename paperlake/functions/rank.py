@@ -43,16 +43,26 @@ def _table(values) -> Column:
     return F.expr("array(" + ",".join(f"{v!r}D" for v in values) + ")")
 
 
+def bound(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row.
+
+    Inside a higher-order function an outer expression would be computed for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rank_positions(positions) -> Column:
     """Rank of a document from one ascending position list per distinct query term."""
     single_table = _table(_single_scores())
-    pair_table = _table([pair_log(d) for d in range(1, FAR + 1)])
-    far = pair_log(FAR + 1)
-    n_terms = F.size(positions)
     single = F.element_at(single_table, F.size(positions[0]))
+    several = bound(_occurrences(positions), lambda occurrences: _several(positions, occurrences))
+    # Stored ranks are single precision; that also makes equal ranks compare equal.
+    return F.when(F.size(positions) == 1, single).otherwise(several).cast("float")
 
-    # Occurrences of all terms in one list ordered by position.
-    occurrences = F.array_sort(
+
+def _occurrences(positions) -> Column:
+    """(place, term) of all terms in one list ordered by place."""
+    return F.array_sort(
         F.flatten(
             F.transform(
                 positions,
@@ -63,28 +73,32 @@ def rank_positions(positions) -> Column:
         )
     )
 
-    def pairs_of(occurrence, index):
-        # Places are distinct within a term and only the last place can be shared between terms,
-        # so this window holds every earlier occurrence within FAR.
-        width = n_terms + F.lit(FAR)
+
+def _several(positions, occurrences) -> Column:
+    pair_table = _table([pair_log(d) for d in range(1, FAR + 1)])
+    far = F.lit(pair_log(FAR + 1))
+    # Places are distinct within a term and only the last place can be shared between terms, so
+    # this many earlier occurrences include all within FAR.
+    width = F.size(positions) + F.lit(FAR)
+
+    def near_pairs(occurrence, index):
         start = F.greatest(index + 1 - width, F.lit(1))
         before = F.slice(occurrences, start, index + 1 - start)
 
         def add(acc, other):
             distance = occurrence["place"] - other["place"]
-            near = F.when(distance == 0, F.lit(0.0)).otherwise(F.get(pair_table, distance - 1))
             counts = (occurrence["term"] != other["term"]) & (distance <= FAR)
-            # The pair is part of the far total already: replace its share.
-            return F.when(counts, acc + near - F.lit(far)).otherwise(acc)
+            # Pairs at the same place do not count; a near pair is part of the far total already,
+            # so its share is replaced.
+            log = F.when(distance == 0, F.lit(0.0)).otherwise(F.get(pair_table, distance - 1))
+            return F.when(counts, acc + log - far).otherwise(acc)
 
         return F.aggregate(before, F.lit(0.0), add)
 
     n_all = F.aggregate(positions, F.lit(0.0), lambda acc, p: acc + F.size(p))
     n_same = F.aggregate(positions, F.lit(0.0), lambda acc, p: acc + F.size(p) * F.size(p))
-    far_total = (n_all * n_all - n_same) / 2 * F.lit(far)
-    log_none = F.aggregate(
-        F.transform(occurrences, pairs_of), far_total, lambda acc, x: acc + x
+    far_total = (n_all * n_all - n_same) / 2 * far
+    near_total = F.aggregate(
+        F.transform(occurrences, near_pairs), F.lit(0.0), lambda acc, x: acc + x
     )
-    several = -F.expm1(log_none)
-    # Stored ranks are single precision; that also makes equal ranks compare equal.
-    return F.when(n_terms == 1, single).otherwise(several).cast("float")
+    return -F.expm1(far_total + near_total)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from paperlake import params
 from paperlake.functions import analysis
-from paperlake.functions.rank import rank_positions
+from paperlake.functions.rank import bound, rank_positions
 from paperlake.functions.text import searchable_text
 from paperlake.schemas import POSTINGS, SEARCH_COLS
 
@@ -55,8 +55,12 @@ def matches(papers: DataFrame, terms: list[str], analyzer: str = "simple") -> Da
         positions = _positions_of(analysis.tokens(text), terms)
     else:
         positions = _arrow_positions(terms, analyzer)(analysis.tokens(text))
-    found = papers.withColumn("positions", positions)
-    return found.where(F.forall("positions", lambda places: F.size(places) > 0))
+    # A list of one or none: filter and result share one computation of the positions, where a
+    # filter on the column would be pushed below it and repeat it.
+    complete = F.filter(
+        F.array(positions), lambda p: F.forall(p, lambda places: F.size(places) > 0)
+    )
+    return papers.select("*", F.explode(complete).alias("positions"))
 
 
 def _positions_of(tokens: Column, terms: list[str]) -> Column:
@@ -68,11 +72,11 @@ def _positions_of(tokens: Column, terms: list[str]) -> Column:
     )
     hits = F.filter(places, lambda p: p["token"].isin(terms))
 
-    def of(term):
+    def of(hits, term):
         own = F.transform(F.filter(hits, lambda p: p["token"] == term), lambda p: p["place"])
         return F.slice(F.array_distinct(own), 1, analysis.MAX_POSITIONS)
 
-    return F.array(*[of(term) for term in terms])
+    return bound(hits, lambda found: F.array(*[of(found, term) for term in terms]))
 
 
 def _arrow_positions(terms: list[str], analyzer: str):
