@@ -439,7 +439,7 @@ def search_batch(spark, sf_dir):
     queries = tv.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    return _ranked(search.search_batch(_index(spark, sf_dir), queries), "query_id")
+    return _ranked(search.search_batch(_index(spark, sf_dir), queries, buckets=TERM_BUCKETS), "query_id")
 
 
 # --- vectors -----------------------------------------------------------------------------------

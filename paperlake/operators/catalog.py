@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake import params
 from paperlake.functions.text import as_column, day, shortened
-from paperlake.operators import graph
+from paperlake.operators import graph, membership
 from paperlake.schemas import EMBED_QUEUE_COLS, LIST_COLS, PAPER_COLS, TEXT_QUEUE_COLS
 
 
@@ -66,11 +66,11 @@ def with_embedding(papers: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def known_ids(candidates: DataFrame, papers: DataFrame) -> DataFrame:
     """Rows of `candidates` (arxiv_id, ...) already in the archive."""
-    return candidates.join(papers.select("arxiv_id"), "arxiv_id", "left_semi")
+    return membership.known(candidates, papers, "arxiv_id")
 
 
 def unknown_ids(candidates: DataFrame, papers: DataFrame) -> DataFrame:
-    return candidates.join(papers.select("arxiv_id"), "arxiv_id", "left_anti")
+    return membership.unknown(candidates, papers, "arxiv_id")
 
 
 def _queue(pending: DataFrame, columns: list[str], limit) -> DataFrame:

@@ -40,14 +40,17 @@ def train(vectors: DataFrame, n_vectors: int, lists: int, seed: int = 7) -> np.n
     Sampling only places the centroids; every vector is assigned to a cell afterwards.
     """
     sample = vectors.select("embedding")
+    first = sample.first()
+    # The centroids travel with every task.
+    lists = min(lists, max(MAX_CENTROID_BYTES // (8 * len(first.embedding)), 1))
     wanted = lists * TRAIN_PER_LIST
     if n_vectors > wanted:
         sample = sample.sample(wanted / n_vectors, seed)
     features = sample.select(array_to_vector("embedding").alias("features"))
-    kmeans = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10)
+    kmeans = KMeans(
+        k=lists, distanceMeasure="cosine", seed=seed, maxIter=10, initMode="random"
+    )
     centres = np.array(kmeans.fit(features).clusterCenters())
-    if centres.nbytes > MAX_CENTROID_BYTES:
-        raise ValueError("too many centroids to ship with every task")
     return knn.unit_rows(centres)
 
 

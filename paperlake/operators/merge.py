@@ -3,8 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.operators import membership
 from paperlake.operators.catalog import timestamp
 from paperlake.schemas import PAPERS
+from paperlake.session import fits_broadcast
 
 REPLACED = ["title", "abstract"]
 KEPT_TEXT = ["authors", "categories", "doi", "journal_ref", "full_text_path"]
@@ -40,7 +42,8 @@ def fold_batch(batch: DataFrame, order: str = "seq", strict: bool = False) -> Da
 def merge_papers(current: DataFrame, folded: DataFrame, fetched_at, strict: bool = False):
     """The paper table after upserting a folded batch.
 
-    `fetched_at` is the batch's own time, so that repeating a batch changes nothing.
+    `fetched_at` is the batch's own time, so that repeating a batch changes nothing. A batch small
+    enough to broadcast leaves the stored side unshuffled; otherwise both sides are joined by id.
     """
     old = current.select(
         "arxiv_id",
@@ -52,6 +55,15 @@ def merge_papers(current: DataFrame, folded: DataFrame, fetched_at, strict: bool
         F.lit(True).alias("given"),
         *[F.col(c).alias(f"new_{c}") for c in [*REPLACED, *KEPT, "has_full_text"]],
     )
+    if fits_broadcast(folded):
+        inserted = membership.unknown(new, current, "arxiv_id")
+        joined = old.join(new, "arxiv_id", "left").unionByName(inserted, allowMissingColumns=True)
+    else:
+        joined = old.join(new, "arxiv_id", "full_outer")
+    return joined.select(*_merged_columns(fetched_at, strict))
+
+
+def _merged_columns(fetched_at, strict: bool) -> list[Column]:
     columns = {"arxiv_id": F.col("arxiv_id")}
     for name in REPLACED:
         columns[name] = F.when(F.col("given"), F.col(f"new_{name}")).otherwise(F.col(f"old_{name}"))
@@ -66,8 +78,7 @@ def merge_papers(current: DataFrame, folded: DataFrame, fetched_at, strict: bool
     columns["fetched_at"] = F.when(F.col("given"), timestamp(fetched_at)).otherwise(
         F.col("old_fetched_at")
     )
-    merged = old.join(new, "arxiv_id", "full_outer")
-    return merged.select(*[columns[c].alias(c) for c in PAPERS.fieldNames()])
+    return [columns[c].alias(c) for c in PAPERS.fieldNames()]
 
 
 def mark_full_text(papers: DataFrame, texts: DataFrame) -> DataFrame:
@@ -86,13 +97,13 @@ def mark_full_text(papers: DataFrame, texts: DataFrame) -> DataFrame:
 def new_edges(edges: DataFrame, refs: DataFrame) -> DataFrame:
     """Distinct edges not stored yet: what an insert that ignores duplicates would add."""
     ends = ["from_id", "to_id"]
-    return edges.select(*ends).distinct().join(refs.select(*ends), ends, "left_anti")
+    return membership.unknown(edges.select(*ends).distinct(), refs, *ends)
 
 
 def fold_embeddings(batch: DataFrame, papers: DataFrame, order: str = "seq") -> DataFrame:
     """Last vector per id, unknown ids dropped."""
     folded = batch.groupBy("arxiv_id").agg(F.max_by("embedding", order).alias("embedding"))
-    return folded.join(papers.select("arxiv_id"), "arxiv_id", "left_semi")
+    return membership.known(folded, papers, "arxiv_id")
 
 
 def replace_rows(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:

@@ -162,7 +162,8 @@ def with_papers(ranked: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def search_batch(
-    postings: DataFrame, queries: DataFrame, limit=None, analyzer: str = "simple"
+    postings: DataFrame, queries: DataFrame, limit=None, analyzer: str = "simple",
+    buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
     """Top papers of every row of `queries` (query_id, query): (query_id, arxiv_id, rank, place).
 
@@ -176,12 +177,16 @@ def search_batch(
     wanted = asked.select(
         "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
     )
-    frequency = (
-        postings.join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
-    # An inner join is enough: a term without papers leaves its query short of matches below.
+    # Only the wanted terms' rows go on; on a stored index this prunes partitions at run time.
+    names = wanted.select("term").distinct()
+    keys = ["term"]
+    if "term_bucket" in postings.columns:
+        names = names.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        keys = ["term_bucket", "term"]
+    relevant = postings.join(names, keys, "left_semi")
+
+    frequency = relevant.groupBy("term").agg(F.count("*").alias("df"))
+    # An inner join is enough: a term without papers leaves its query short of terms below.
     rarest = (
         wanted.join(frequency, "term")
         .groupBy("query_id", "n_terms")
@@ -189,9 +194,9 @@ def search_batch(
         .where(F.col("known") == F.col("n_terms"))
         .select("query_id", F.col("rarest.term").alias("term"))
     )
-    candidates = postings.select("term", "arxiv_id").join(rarest, "term").drop("term")
+    candidates = relevant.select("term", "arxiv_id").join(rarest, "term").drop("term")
     needed = candidates.join(wanted, "query_id")
-    hits = needed.join(postings.select("term", "arxiv_id", "positions"), ["arxiv_id", "term"])
+    hits = needed.join(relevant.select("term", "arxiv_id", "positions"), ["arxiv_id", "term"])
     matched = (
         hits.groupBy("query_id", "arxiv_id", "n_terms")
         .agg(F.collect_list("positions").alias("positions"))

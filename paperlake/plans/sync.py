@@ -19,13 +19,25 @@ HASHED = "hashed"
 
 
 def sync_full_text(
-    archive: Archive, documents: DataFrame, limit="all", separator: str = ","
+    archive: Archive, documents=None, fetch=None, limit="all", separator: str = ","
 ) -> dict:
-    """Store the texts and edges of enrichment documents for papers without full text."""
+    """Store the texts and edges of enrichment documents for papers without full text.
+
+    The documents are either landed ones, of which those of queued papers are taken, or the
+    answers of `fetch` for the queued ids.
+    """
     papers = archive.papers.read()
     queue = cut(catalog.pending_full_text(papers, limit).select("arxiv_id", "categories"), "queue")
-    ids = documents.withColumn("arxiv_id", F.col("externalIds.ArXiv"))
-    documents = cut(ids.join(queue.select("arxiv_id"), "arxiv_id", "left_semi"), "documents")
+    failed = 0
+    if fetch:
+        answers = cut(embed.enrich(queue, fetch), "answers")
+        failed = answers.agg(F.sum("failed")).first()[0] or 0
+        documents = answers.where(F.col("externalIds.ArXiv") != "")
+    elif documents is None:
+        raise ValueError("the fulltext step needs documents or fetch")
+    else:
+        ids = documents.withColumn("arxiv_id", F.col("externalIds.ArXiv"))
+        documents = cut(ids.join(queue.select("arxiv_id"), "arxiv_id", "left_semi"), "documents")
 
     category = primary_category(F.col("categories"), separator)
     texts = (
@@ -48,7 +60,7 @@ def sync_full_text(
         path = full_text_path(archive.fulltext_path, F.col("category"), F.col("arxiv_id"))
         archive.mark_full_text(texts.withColumn("full_text_path", path))
     edges = archive.insert_refs(harvest.document_edges(documents))
-    return {"fetched": fetched, "edges": edges}
+    return {"fetched": fetched, "failed": failed, "edges": edges}
 
 
 def sync_embeddings(archive: Archive, embedder, limit="all", dim=params.EMBED_DIM) -> dict:
@@ -73,13 +85,13 @@ def sync_references(archive: Archive) -> dict:
 
 def run(
     archive: Archive, step: str = "", *, landing=None, checkpoint=None, categories=None,
-    documents=None, embedder=None, dim: int = params.EMBED_DIM, limit="all", now=None,
+    documents=None, fetch=None, embedder=None, dim: int = params.EMBED_DIM, limit="all", now=None,
 ) -> dict:
     """Run one step, or all of them in order; the first failing step ends the run.
 
     `landing` holds harvest pages and `checkpoint` the progress over them; `documents` is the path
-    of landed enrichment payloads, or a DataFrame of parsed documents. Gives the run's counts,
-    which are also kept in the sync state.
+    of landed enrichment payloads or a DataFrame of parsed documents, `fetch` a callable asking
+    for them instead. Gives the run's counts, which are also kept in the sync state.
     """
     if step not in ("", *STEPS):
         raise ValueError(f"unknown sync step: {step}")
@@ -94,7 +106,7 @@ def run(
             parsed = documents
             if isinstance(documents, str):
                 parsed = inputs.enrichment_documents(archive.spark, documents)
-            counts.update(sync_full_text(archive, parsed, limit))
+            counts.update(sync_full_text(archive, parsed, fetch, limit))
         elif current == "embed":
             counts.update(sync_embeddings(archive, embedder, limit, dim))
         else:

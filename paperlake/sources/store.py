@@ -8,6 +8,7 @@ repeated under the same name is skipped. One writer at a time.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlake.functions.vectors import checked_vector
 from paperlake.operators import merge
 from paperlake.schemas import EMBEDDINGS, PAPERS, REFS, SIMILAR, SYNC_STATE
 from paperlake.session import child_names, cut, path_exists
@@ -121,8 +122,8 @@ class Table:
 class Archive:
     """All tables of one archive under a root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 256, dim=None):
+        self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
         self.papers = self._table("papers", PAPERS, "arxiv_id", buckets)
         self.embeddings = self._table("embeddings", EMBEDDINGS, "arxiv_id", buckets)
         # Edges are kept twice, so that both directions prune to one bucket.
@@ -190,9 +191,15 @@ class Archive:
         return fresh.count()
 
     def update_embeddings(self, batch: DataFrame, name: str = "") -> int:
-        """Set vectors (arxiv_id, embedding, seq); unknown ids are ignored."""
+        """Set vectors (arxiv_id, embedding, seq); unknown ids are ignored.
+
+        With the archive's `dim` set, a vector of another length fails the batch.
+        """
         if self.embeddings.has_batch(name):
             return 0
+        if self.dim:
+            vector = checked_vector(F.col("embedding"), self.dim)
+            batch = batch.withColumn("embedding", vector)
         batch = cut(batch)
         known = self.papers.read(self.papers.touched(batch))
         changed = cut(merge.fold_embeddings(batch, known).select(*EMBEDDINGS.fieldNames()))
