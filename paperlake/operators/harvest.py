@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.ids import harvest_set, normalize_id
 from paperlake.functions.text import clean_text, format_authors, full_text_body, parse_date
-from paperlake.schemas import REFS
 
 # Header status of a removed record, error code of an empty answer.
 DELETED = "deleted"
@@ -73,26 +72,36 @@ def changed_since(records: DataFrame, marks: dict[str, str]) -> DataFrame:
     return records.where(wanted)
 
 
-def _linked_ids(column: str) -> Column:
+def _edges(column: str, edge) -> Column:
+    """Edges to the items of a list column that have an id, as an array."""
     ids = F.transform(column, lambda link: link["externalIds"]["ArXiv"])
-    return F.explode(F.filter(ids, lambda i: i != ""))
+    edges = F.transform(F.filter(ids, lambda i: i != ""), edge)
+    return F.coalesce(edges, F.array())
+
+
+def _outgoing() -> Column:
+    own = F.col("externalIds.ArXiv")
+    return _edges("references", lambda i: F.struct(own.alias("from_id"), i.alias("to_id")))
+
+
+def _incoming() -> Column:
+    own = F.col("externalIds.ArXiv")
+    return _edges("citations", lambda i: F.struct(i.alias("from_id"), own.alias("to_id")))
 
 
 def outgoing_edges(documents: DataFrame) -> DataFrame:
     """(paper, cited paper) for every listed reference that has an id."""
-    own = F.col("externalIds.ArXiv").alias("from_id")
-    return documents.select(own, _linked_ids("references").alias("to_id"))
+    return documents.select(F.inline(_outgoing()))
 
 
 def incoming_edges(documents: DataFrame) -> DataFrame:
     """(citing paper, paper) for every listed citation that has an id."""
-    own = F.col("externalIds.ArXiv").alias("to_id")
-    return documents.select(_linked_ids("citations").alias("from_id"), own)
+    return documents.select(F.inline(_incoming()))
 
 
 def document_edges(documents: DataFrame) -> DataFrame:
-    both = outgoing_edges(documents).unionByName(incoming_edges(documents))
-    return both.select(*REFS.fieldNames())
+    """Both directions in one pass over the documents."""
+    return documents.select(F.inline(F.concat(_outgoing(), _incoming())))
 
 
 def full_texts(documents: DataFrame) -> DataFrame:
