@@ -6,19 +6,28 @@ from pyspark.sql import functions as F
 _DATE = r"\A\d{4}-\d{2}-\d{2}\z"
 _INSTANT = r"\A(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:[.,](\d{1,6})\d*)?(?:Z|[+-]\d{2}:\d{2})\z"
 
+# The characters with the Unicode property White_Space.
+SPACES = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
 def trimmed(text) -> Column:
-    """Trim every Unicode space, not only the ASCII one."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    """Trim every Unicode space, not only the ASCII one. Looks at the ends of the text only."""
+    return F.btrim(as_column(text), F.lit(SPACES))
 
 
 def clean_text(text) -> Column:
-    """Trim, then turn runs of space, tab, CR and LF into one space."""
-    return F.regexp_replace(trimmed(text), r"[ \n\r\t]+", " ")
+    """Trim, then turn runs of space, tab, CR and LF into one space.
+
+    The pattern leaves single spaces alone, which are nearly all of the matches otherwise.
+    """
+    return F.regexp_replace(trimmed(text), r"[ \n\r\t]{2,}|[\n\r\t]", " ")
 
 
 def parse_date(text) -> Column:

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from paperlake import params
 from paperlake.functions.text import as_column, day, shortened
 from paperlake.operators import graph, membership
-from paperlake.schemas import EMBED_QUEUE_COLS, LIST_COLS, PAPER_COLS, TEXT_QUEUE_COLS
+from paperlake.schemas import (
+    EMBED_QUEUE_COLS,
+    LIST_COLS,
+    PAPER_COLS,
+    PUBLISHED_DAY,
+    TEXT_QUEUE_COLS,
+)
 
 
 def timestamp(value) -> Column:
@@ -42,6 +48,10 @@ def recent(papers: DataFrame, as_of, category: str = "", days=None, limit=None)
     """Latest papers of the last days, optionally of one category."""
     days = params.positive(days, params.RECENT_DAYS)
     found = papers.where(published_since(as_of, days))
+    if PUBLISHED_DAY.name in papers.columns:
+        # Implied by the line above, and skips the row groups of older days.
+        first = timestamp(as_of) - F.make_dt_interval(F.lit(days))
+        found = found.where(F.col(PUBLISHED_DAY.name) >= first.cast("date"))
     if category:
         found = found.where(in_category(category))
     found = found.select(*LIST_COLS).orderBy(*newest_first())
@@ -49,12 +59,13 @@ def recent(papers: DataFrame, as_of, category: str = "", days=None, limit=None)
 
 
 def get_paper(papers: DataFrame, arxiv_id: str) -> DataFrame:
-    return papers.where(F.col("arxiv_id") == arxiv_id)
+    """The row of one id, or none."""
+    return papers.where(F.col("arxiv_id") == arxiv_id).select(*PAPER_COLS)
 
 
 def get_papers(papers: DataFrame, ids: DataFrame) -> DataFrame:
     """The papers named in `ids` (arxiv_id)."""
-    return papers.join(ids.select("arxiv_id"), "arxiv_id", "left_semi")
+    return papers.join(ids.select("arxiv_id"), "arxiv_id", "left_semi").select(*PAPER_COLS)
 
 
 def with_embedding(papers: DataFrame, embeddings: DataFrame) -> DataFrame:

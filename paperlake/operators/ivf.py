@@ -13,6 +13,7 @@ from paperlake import params
 from paperlake.functions.vectors import dot
 from paperlake.operators import knn
 from paperlake.schemas import EMBEDDINGS
+from paperlake.session import child_names, cut, path_exists
 
 # The rule for when to build the index and how many cells it gets.
 MIN_VECTORS = 1000
@@ -85,55 +86,83 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 @dataclass
 class Index:
-    """A stored index: centroids with the radius of their cells, and the cells' path."""
+    """A stored index: centroids with the radius of their cells, and the finished batches."""
 
     spark: object
     path: str
     centroids: np.ndarray
     radius: np.ndarray
+    batches: list
 
     def cells(self) -> DataFrame:
-        schema = T.StructType([*EMBEDDINGS.fields, T.StructField("cell", T.IntegerType())])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/cells")
+        stored = [
+            T.StructField("batch", T.StringType()),
+            T.StructField("cell", T.IntegerType()),
+        ]
+        schema = T.StructType([*EMBEDDINGS.fields, *stored])
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/cells")
+        return rows.where(F.col("batch").isin(self.batches))
 
 
 def build(embeddings: DataFrame, path: str, lists=None, seed: int = 7):
-    """Write the index under `path` and open it; None while there are too few vectors."""
+    """Write the index under `path` and open it; None while there are too few vectors.
+
+    An index that is there already is opened as it is.
+    """
+    spark = embeddings.sparkSession
+    if _batches(spark, path):
+        return open_index(spark, path)
     n_vectors = embeddings.count()
     lists = lists or n_lists(n_vectors)
     if lists is None:
         return None
     vectors = nonzero(embeddings.select("arxiv_id", "embedding"))
     centroids = train(vectors, n_vectors, lists, seed)
-    assigned = assign(vectors, centroids)
+    rows = [(c, centroids[c].tolist()) for c in range(len(centroids))]
+    table = spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1)
+    table.write.mode("overwrite").parquet(f"{path}/centroids")
+    _write_cells(vectors, centroids, path, "base")
+    return open_index(spark, path)
+
 
+def add(index: Index, embeddings: DataFrame, batch: str) -> Index:
+    """Add new papers' vectors to their cells. A repeated batch overwrites itself."""
+    vectors = nonzero(embeddings.select("arxiv_id", "embedding"))
+    _write_cells(vectors, index.centroids, index.path, batch)
+    return open_index(index.spark, index.path)
+
+
+def _write_cells(vectors: DataFrame, centroids: np.ndarray, path: str, batch: str) -> None:
+    assigned = assign(vectors, centroids)
     # One row per cell: bounded by the number of centroids.
-    summary = assigned.groupBy("cell").agg(
-        F.count("*").alias("rows"), F.max("angle").alias("radius")
+    summary = cut(
+        assigned.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
     )
-    by_cell = {row.cell: row for row in summary.collect()}
-    radius = [by_cell[c].radius if c in by_cell else -1.0 for c in range(len(centroids))]
+    by_cell = {row.cell: row.rows for row in summary.collect()}
     # A crowded cell is written by several tasks.
-    pieces = [-(-by_cell[c].rows // SPLIT_ROWS) if c in by_cell else 1
-              for c in range(len(centroids))]
+    pieces = [-(-by_cell.get(c, 1) // SPLIT_ROWS) for c in range(len(centroids))]
     piece = F.pmod(F.xxhash64("arxiv_id"), F.element_at(F.lit(pieces), F.col("cell") + 1))
     placed = assigned.withColumn("piece", piece).hint("rebalance", "cell", "piece")
     placed.select("arxiv_id", "embedding", "cell").write.partitionBy("cell").mode(
         "overwrite"
-    ).parquet(f"{path}/cells")
+    ).parquet(f"{path}/cells/batch={batch}")
+    # The radii come last: they make the batch visible.
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/radius/{batch}")
 
-    spark = embeddings.sparkSession
-    rows = [(c, centroids[c].tolist(), float(radius[c])) for c in range(len(centroids))]
-    spark.createDataFrame(rows, "cell int, centroid array<double>, radius double").coalesce(
-        1
-    ).write.mode("overwrite").parquet(f"{path}/centroids")
-    return open_index(spark, path)
+
+def _batches(spark, path: str) -> list[str]:
+    names = child_names(spark, f"{path}/radius")
+    return [n for n in names if path_exists(spark, f"{path}/radius/{n}/_SUCCESS")]
 
 
 def open_index(spark, path: str) -> Index:
+    batches = _batches(spark, path)
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    centroids = np.array([row.centroid for row in rows])
-    return Index(spark, path, centroids, np.array([row.radius for row in rows]))
+    radii = spark.read.parquet(*[f"{path}/radius/{name}" for name in batches])
+    radius = np.full(len(rows), -1.0)
+    for row in radii.groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        radius[row.cell] = row.radius
+    return Index(spark, path, np.array([row.centroid for row in rows]), radius, batches)
 
 
 def search(

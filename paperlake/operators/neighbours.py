@@ -24,6 +24,11 @@ from paperlake.session import cut
 MAX_BLOCK = 4096
 MAX_CELLS = 16384
 
+# Groups of equal vectors holding more than a share of 1/MAX_HEAVY of the rows: fewer than
+# MAX_HEAVY groups can.
+MAX_HEAVY = 10_000
+MIN_HEAVY = 20
+
 _HITS = "rep string, arxiv_id string, similarity double"
 
 
@@ -43,7 +48,9 @@ def _groups(embeddings: DataFrame) -> DataFrame:
 def _distinct_vectors(grouped: DataFrame) -> DataFrame:
     """One row per distinct vector, named after the smallest id that has it."""
     return grouped.groupBy("vector_key").agg(
-        F.min("arxiv_id").alias("rep"), F.first("embedding").alias("embedding")
+        F.min("arxiv_id").alias("rep"),
+        F.first("embedding").alias("embedding"),
+        F.count("*").alias("copies"),
     )
 
 
@@ -238,7 +245,7 @@ def build(
     hit = F.struct((-F.col("similarity")).alias("distance"), F.col("arxiv_id"))
     ranked = F.sort_array(F.collect_list(hit))
     lists = _top(candidates, k + 1).groupBy("rep").agg(ranked.alias("ids")).join(names, "rep")
-    rows = members.join(lists.select("vector_key", "ids"), "vector_key").select(
+    rows = _with_lists(members, lists.select("vector_key", "ids"), vectors).select(
         "arxiv_id",
         F.posexplode(
             F.slice(F.filter("ids", lambda x: x["arxiv_id"] != F.col("arxiv_id")), 1, k)
@@ -250,3 +257,21 @@ def build(
         (-F.col("hit.distance")).alias("similarity"),
         (F.col("place") + 1).cast("int").alias("rank"),
     ).to(SIMILAR)
+
+
+def _with_lists(members: DataFrame, lists: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Attach the id lists to all members of each vector's group.
+
+    The members of large groups are not shuffled: there are at most `MAX_HEAVY` such groups, so
+    their lists are broadcast.
+    """
+    n_rows = vectors.agg(F.sum("copies")).first()[0] or 0
+    heavy = vectors.where(
+        F.col("copies") > max(n_rows / MAX_HEAVY, MIN_HEAVY)
+    ).select("vector_key")
+    if heavy.isEmpty():
+        return members.join(lists, "vector_key")
+    heavy = F.broadcast(heavy)
+    large = members.join(F.broadcast(lists.join(heavy, "vector_key", "left_semi")), "vector_key")
+    small = members.join(heavy, "vector_key", "left_anti").join(lists, "vector_key")
+    return large.unionByName(small)

@@ -167,15 +167,19 @@ def search_batch(
 ) -> DataFrame:
     """Top papers of every row of `queries` (query_id, query): (query_id, arxiv_id, rank, place).
 
-    Candidates come from each query's rarest term only, so a term shared by all queries and most
-    papers never pairs them up; the other terms are then checked on (paper, term) keys.
+    Queries with the same terms are answered once. Candidates come from each term set's rarest
+    term only, so a term shared by all queries and most papers never pairs them up; the other
+    terms are then checked on (paper, term) keys.
     """
     limit = params.positive(limit, params.SEARCH_LIMIT)
-    asked = queries.select(
-        "query_id", analysis.distinct_terms(analysis.tokens("query"), analyzer).alias("terms")
+    found = analysis.distinct_terms(analysis.tokens("query"), analyzer)
+    asked = queries.select("query_id", F.array_sort(found).alias("terms")).select(
+        "query_id", "terms", F.sha2(F.array_join("terms", " "), 256).alias("terms_key")
     )
-    wanted = asked.select(
-        "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
+    # Dropping repeated sets by their short key combines them per task before the shuffle.
+    sets = asked.groupBy("terms_key").agg(F.first("terms").alias("terms"))
+    wanted = sets.select(
+        "terms_key", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
     )
     # Only the wanted terms' rows go on; on a stored index this prunes partitions at run time.
     names = wanted.select("term").distinct()
@@ -186,24 +190,25 @@ def search_batch(
     relevant = postings.join(names, keys, "left_semi")
 
     frequency = relevant.groupBy("term").agg(F.count("*").alias("df"))
-    # An inner join is enough: a term without papers leaves its query short of terms below.
+    # An inner join is enough: a term without papers leaves its set short of terms below.
     rarest = (
         wanted.join(frequency, "term")
-        .groupBy("query_id", "n_terms")
+        .groupBy("terms_key", "n_terms")
         .agg(F.min(F.struct("df", "term")).alias("rarest"), F.count("*").alias("known"))
         .where(F.col("known") == F.col("n_terms"))
-        .select("query_id", F.col("rarest.term").alias("term"))
+        .select("terms_key", F.col("rarest.term").alias("term"))
     )
     candidates = relevant.select("term", "arxiv_id").join(rarest, "term").drop("term")
-    needed = candidates.join(wanted, "query_id")
+    needed = candidates.join(wanted, "terms_key")
     hits = needed.join(relevant.select("term", "arxiv_id", "positions"), ["arxiv_id", "term"])
     matched = (
-        hits.groupBy("query_id", "arxiv_id", "n_terms")
+        hits.groupBy("terms_key", "arxiv_id", "n_terms")
         .agg(F.collect_list("positions").alias("positions"))
         .where(F.size("positions") == F.col("n_terms"))
     )
     ranked = matched.select(
-        "query_id", "arxiv_id", rank_positions(F.col("positions")).alias("rank")
+        "terms_key", "arxiv_id", rank_positions(F.col("positions")).alias("rank")
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first()))
-    return ranked.withColumn("place", place).where(F.col("place") <= limit)
+    place = F.row_number().over(Window.partitionBy("terms_key").orderBy(*best_first()))
+    top = ranked.withColumn("place", place).where(F.col("place") <= limit)
+    return asked.select("query_id", "terms_key").join(top, "terms_key").drop("terms_key")

@@ -26,6 +26,10 @@ PAPERS = T.StructType(
     ]
 )
 
+# Kept next to `published` in the stored table: Parquet skips row groups by dates, not by
+# timestamps without time zone.
+PUBLISHED_DAY = T.StructField("published_day", T.DateType())
+
 # Vectors live in their own table, so that a metadata upsert never rewrites them.
 EMBEDDINGS = T.StructType(
     [

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperlake.functions.text import trimmed
 from paperlake.operators.harvest import NO_RECORDS
 from paperlake.schemas import OAI_ERROR, OAI_RECORD, OAI_TOKEN, S2_PAPER
 
@@ -42,7 +43,7 @@ def _error_rows(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("page"),
         F.col("_code").alias("code"),
-        F.trim("_VALUE").alias("message"),
+        trimmed("_VALUE").alias("message"),
     ).where(~F.col("code").eqNullSafe(NO_RECORDS))
 
 
@@ -60,7 +61,7 @@ def page_tokens(spark: SparkSession, path: str) -> DataFrame:
     raw = _xml(spark.read, "resumptionToken", OAI_TOKEN).load(path)
     return raw.select(
         F.col("_metadata.file_path").alias("page"),
-        F.coalesce(F.trim("_VALUE"), F.lit("")).alias("token"),
+        F.coalesce(trimmed("_VALUE"), F.lit("")).alias("token"),
         F.col("_completeListSize").alias("complete_size"),
         F.col("_cursor").alias("cursor"),
     )

@@ -7,10 +7,11 @@ repeated under the same name is skipped. One writer at a time.
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlake.functions.vectors import checked_vector
 from paperlake.operators import merge
-from paperlake.schemas import EMBEDDINGS, PAPERS, REFS, SIMILAR, SYNC_STATE
+from paperlake.schemas import EMBEDDINGS, PAPERS, PUBLISHED_DAY, REFS, SIMILAR, SYNC_STATE
 from paperlake.session import child_names, cut, path_exists
 
 _FOLDERS = "bucket int, version long"
@@ -21,11 +22,20 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 
 class Table:
-    """One stored table, bucketed by the hash of its `key` column."""
+    """One stored table, bucketed by the hash of its `key` column.
 
-    def __init__(self, spark: SparkSession, path: str, schema, key: str, buckets: int):
-        self.spark, self.path, self.schema = spark, path, schema
+    Within a bucket rows are sorted by `cluster`, so that filters on it skip most row groups.
+    `derived` columns (name to SQL expression) are computed on write and returned by `read`.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema, key: str, buckets: int, cluster=None,
+        derived=None,
+    ):
+        self.spark, self.path = spark, path
         self.key, self.buckets = key, buckets
+        self.cluster, self.derived = cluster or key, derived or {}
+        self.schema = T.StructType([*schema.fields, *(field for field, _ in self.derived.values())])
 
     def _commits(self) -> list[str]:
         """Names of the finished commits, oldest first: a version, then the batch's name."""
@@ -114,7 +124,9 @@ class Table:
     def _write_data(self, rows: DataFrame, version: int) -> None:
         # The rebalance splits a crowded bucket over several tasks and merges small ones.
         placed = rows.withColumn("bucket", bucket_of(self.key, self.buckets))
-        placed = placed.hint("rebalance", "bucket")
+        for name, (_, expression) in self.derived.items():
+            placed = placed.withColumn(name, F.expr(expression))
+        placed = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.cluster)
         path = f"{self.path}/data/version={version}"
         placed.write.partitionBy("bucket").mode("overwrite").parquet(path)
 
@@ -124,7 +136,10 @@ class Archive:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 256, dim=None):
         self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
-        self.papers = self._table("papers", PAPERS, "arxiv_id", buckets)
+        self.papers = self._table(
+            "papers", PAPERS, "arxiv_id", buckets, PUBLISHED_DAY.name,
+            {PUBLISHED_DAY.name: (PUBLISHED_DAY, "CAST(published AS DATE)")},
+        )
         self.embeddings = self._table("embeddings", EMBEDDINGS, "arxiv_id", buckets)
         # Edges are kept twice, so that both directions prune to one bucket.
         self.refs = self._table("refs_by_source", REFS, "from_id", buckets)
@@ -132,8 +147,8 @@ class Archive:
         self.state = self._table("sync_state", SYNC_STATE, "key", 1)
         self.similar = self._table("similar", SIMILAR, "arxiv_id", buckets)
 
-    def _table(self, name, schema, key, buckets) -> Table:
-        return Table(self.spark, f"{self.root}/{name}", schema, key, buckets)
+    def _table(self, name, *layout) -> Table:
+        return Table(self.spark, f"{self.root}/{name}", *layout)
 
     @property
     def fulltext_path(self) -> str:

@@ -173,6 +173,7 @@ def test_batch_agrees_with_single_queries(spark, analyzer):
     texts = [(f"common word{n % 7}", f"common filler word{n % 3} x{n}") for n in range(60)]
     papers = make_papers(spark, texts)
     asked = ["common word1", "common", "common word2 x5", "common missing", "x7 x8", "?"]
+    asked += ["Common, word1!"] * 3
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
     postings = search.build_postings(papers, analyzer)
     got = search.search_batch(postings, queries, 5, analyzer).collect()

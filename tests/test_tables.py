@@ -261,6 +261,19 @@ def test_recent(spark):
     assert [r.arxiv_id for r in exact.collect()] == ["a"]
 
 
+def test_recent_skips_older_days(archive, spark):
+    rows = [paper(f"p{n:02d}", published=day(1 + n % 28)) for n in range(60)]
+    archive.papers.replace_all(papers(spark, *rows))
+    stored = archive.papers.read()
+    found = catalog.recent(stored, NOW, days=5)
+    assert found.collect() == catalog.recent(papers(spark, *rows), NOW, days=5).collect()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = catalog.recent(stored, NOW, days=5)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(published_day,2024-04-26)" in plan
+    assert catalog.get_paper(stored, "p03").columns == schemas.PAPER_COLS
+
+
 def test_queues(spark):
     table = papers(
         spark,

@@ -88,10 +88,26 @@ def test_index_search(spark, tmp_path):
     assert len(set(truth) & {r.arxiv_id for r in probed}) >= 7
     assert ivf.search_by_id(index, data, "absent").count() == 0
     plan = ivf.search(index, vectors[11], nprobe=2)._jdf.queryExecution().executedPlan()
-    assert "PartitionFilters: [cell#" in plan.toString()
+    filters = plan.toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "cell#" in filters and " IN (" in filters
     assert ivf.build(frame(spark, enumerate(vectors[:900])), str(tmp_path / "none")) is None
 
 
+def test_index_is_kept_and_extended(spark, tmp_path):
+    vectors = random_vectors(1100)
+    path = str(tmp_path / "index")
+    index = ivf.build(frame(spark, list(enumerate(vectors))[:1000]), path, lists=20)
+    data = frame(spark, enumerate(vectors))
+    assert ivf.build(data, path, lists=5).centroids.shape == (20, 8)
+    more = frame(spark, list(enumerate(vectors))[1000:])
+    for _ in range(2):
+        index = ivf.add(index, more, "second")
+    assert index.cells().count() == 1100
+    truth = [r.arxiv_id for r in knn.similar_by_id(data, "p01050").collect()]
+    exact = ivf.search_by_id(index, data, "p01050", nprobe=1, exact=True).collect()
+    assert [r.arxiv_id for r in exact] == truth
+
+
 def test_neighbours_one_block(spark):
     vectors = random_vectors(150)
     assert table(neighbours.build(frame(spark, enumerate(vectors)), 5)) == brute(vectors, 5)
