@@ -29,7 +29,7 @@ from paperlake.operators import (  # noqa: E402
     stats,
 )
 from paperlake.plans import similar  # noqa: E402
-from paperlake.session import cut, scratch_path  # noqa: E402
+from paperlake.session import cut, scratch_path, ship_package  # noqa: E402
 from paperlake.sources.store import Archive  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -59,6 +59,7 @@ def sink(rows) -> None:
 
 def main() -> None:
     spark = session()
+    ship_package(spark)
     papers = cut(tv.papers(spark, SF_DIR).repartition(int(CPUS)), "papers")
     vectors = cut(tv.embeddings(spark, SF_DIR).repartition(int(CPUS)), "vectors")
     refs = cut(tv.refs(spark, SF_DIR), "refs")

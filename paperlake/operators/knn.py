@@ -37,15 +37,17 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, np.nan, norms)
 
 
-def top_rows(similarities: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the `k` best, ties by id. An undefined similarity comes last."""
-    score = np.where(np.isnan(similarities), -np.inf, similarities)
-    if len(score) > k:
-        threshold = np.partition(score, len(score) - k)[len(score) - k]
-        kept = np.flatnonzero(score >= threshold)
-    else:
-        kept = np.arange(len(score))
-    return kept[np.lexsort((ids[kept], -score[kept]))][:k]
+def at_least_nth(scores: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the scores not below the `n`-th largest: `n`, or more with ties."""
+    if len(scores) <= n:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - n)[len(scores) - n])
+
+
+def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the `k` best scores, ties by id."""
+    kept = at_least_nth(scores, k)
+    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
 
 
 def best_first() -> list[Column]:
@@ -65,13 +67,18 @@ def scan(embeddings: DataFrame, queries: np.ndarray, k: int, exclude=None) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.array(batch.column("arxiv_id").to_pylist(), dtype=object)
             rows = unit_rows(matrix(batch.column("embedding")))
             products = np.round(rows @ units.T, DIGITS)
+            # An undefined similarity comes last.
+            products[np.isnan(products)] = -np.inf
             for q, own in enumerate(exclude):
-                other = ids != own if own is not None else slice(None)
+                # One more than needed, as the excluded paper can be among them.
+                near = at_least_nth(products[:, q], k + 1)
+                ids = batch.column("arxiv_id").take(pa.array(near)).to_pylist()
+                ids = np.array(ids, dtype=object)
+                other = ids != own
                 all_ids = np.concatenate((best_ids[q], ids[other]))
-                scores = np.concatenate((best[q], products[other, q]))
+                scores = np.concatenate((best[q], products[near[other], q]))
                 top = top_rows(scores, all_ids, k)
                 best_ids[q], best[q] = all_ids[top], scores[top]
         for q in range(len(units)):
@@ -79,7 +86,7 @@ def scan(embeddings: DataFrame, queries: np.ndarray, k: int, exclude=None) -> Da
                 [
                     pa.array(np.full(len(best[q]), q), pa.int32()),
                     pa.array(best_ids[q].tolist(), pa.string()),
-                    pa.array(best[q], pa.float64(), from_pandas=True),
+                    pa.array(best[q], mask=np.isneginf(best[q])),
                 ],
                 names=["query", "arxiv_id", "similarity"],
             )

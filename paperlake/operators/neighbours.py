@@ -30,6 +30,9 @@ MAX_HEAVY = 10_000
 MIN_HEAVY = 20
 
 _HITS = "rep string, arxiv_id string, similarity double"
+_HIT_SCHEMA = pa.schema(
+    [("rep", pa.string()), ("arxiv_id", pa.string()), ("similarity", pa.float64())]
+)
 
 
 @dataclass
@@ -54,34 +57,41 @@ def _distinct_vectors(grouped: DataFrame) -> DataFrame:
     )
 
 
-def _hit_table(query_ids, ids, similarities: np.ndarray, k: int, same_block: bool) -> pa.Table:
-    """Top `k` per row of a block's similarity matrix."""
-    rows, found, scores = [], [], []
-    for q, query in enumerate(query_ids):
-        line = similarities[q]
-        if same_block:
-            line = line.copy()
-            line[q] = -np.inf
-        top = knn.top_rows(line, ids, k + 1 if same_block else k)
-        top = top[line[top] > -np.inf][:k]
-        rows.extend([query] * len(top))
-        found.extend(ids[top])
-        scores.extend(line[top])
+def _hit_table(query_ids: np.ndarray, ids: np.ndarray, similarities: np.ndarray, k: int):
+    """Top `k` per row of a block's similarity matrix, whose columns are in id order.
+
+    Excluded pairs are marked by minus infinity.
+    """
+    if not similarities.size:
+        return pa.table([[], [], []], schema=_HIT_SCHEMA)
+    width = similarities.shape[1]
+    lowest = -np.inf
+    if width > k:
+        lowest = np.partition(similarities, width - k, axis=1)[:, width - k, None]
+    rows, columns = np.nonzero((similarities >= lowest) & (similarities > -np.inf))
+    scores = similarities[rows, columns]
+    # Rows keep their order and ties their column order, so places count up within each row.
+    order = np.lexsort((columns, -scores, rows))
+    rows, columns, scores = rows[order], columns[order], scores[order]
+    starts = np.searchsorted(rows, np.arange(len(query_ids)))
+    kept = np.arange(len(rows)) - starts[rows] < k
     return pa.table(
-        {
-            "rep": pa.array(rows, pa.string()),
-            "arxiv_id": pa.array(found, pa.string()),
-            "similarity": pa.array(scores, pa.float64()),
-        }
+        [
+            pa.array(query_ids[rows[kept]], pa.string()),
+            pa.array(ids[columns[kept]], pa.string()),
+            pa.array(scores[kept], pa.float64()),
+        ],
+        schema=_HIT_SCHEMA,
     )
 
 
 def _block(table: pa.Table):
-    table = table.combine_chunks()
-    ids = np.array(table.column("rep").to_pylist(), dtype=object)
+    """Ids in order, and their unit vectors."""
+    table = table.combine_chunks().sort_by("rep")
     vectors = table.column("embedding").combine_chunks()
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.chunk(0)
+    ids = np.array(table.column("rep").to_pylist(), dtype=object)
     return ids, knn.unit_rows(knn.matrix(vectors))
 
 
@@ -90,7 +100,9 @@ def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         ids, rows = _block(table)
-        return _hit_table(ids, ids, np.round(rows @ rows.T, knn.DIGITS), k, True)
+        similarities = np.round(rows @ rows.T, knn.DIGITS)
+        np.fill_diagonal(similarities, -np.inf)
+        return _hit_table(ids, ids, similarities, k)
 
     return placed.groupBy("cell", "block").applyInArrow(compare, _HITS)
 
@@ -100,10 +112,10 @@ def _across_blocks(queries: DataFrame, placed: DataFrame, k: int) -> DataFrame:
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _hit_table([], np.empty(0, object), np.empty((0, 0)), k, False)
+            return pa.table([[], [], []], schema=_HIT_SCHEMA)
         query_ids, query_rows = _block(left)
         ids, rows = _block(right)
-        return _hit_table(query_ids, ids, np.round(query_rows @ rows.T, knn.DIGITS), k, False)
+        return _hit_table(query_ids, ids, np.round(query_rows @ rows.T, knn.DIGITS), k)
 
     keys = ["cell", "block", "part"]
     return queries.groupBy(keys).cogroup(placed.groupBy(keys)).applyInArrow(compare, _HITS)

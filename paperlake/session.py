@@ -1,7 +1,10 @@
 """Session-level helpers: the shared scratch folder, lineage cuts, size checks."""
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +63,25 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not files.exists(hadoop_path):
         return []
     return [status.getPath().getName() for status in files.listStatus(hadoop_path)]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors; once per context.
+
+    Not needed where it is installed on the executors or given to spark-submit as a Python file.
+    """
+    context = spark.sparkContext
+    if getattr(context, "paperlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    path = f"{scratch_path(spark, 'package')}/paperlake.zip"
+    files, hadoop_path = _file_system(spark, path)
+    stream = files.create(hadoop_path)
+    stream.write(packed.getvalue())
+    stream.close()
+    context.addPyFile(path)
+    context.paperlake_shipped = True

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
+from paperlake.session import ship_package  # noqa: E402
+
 
 def make_session():
     builder = (
@@ -21,6 +23,7 @@ def make_session():
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
 
 
