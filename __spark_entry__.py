@@ -182,6 +182,24 @@ def open_access_urls(spark, sf_dir):
     return harvest.open_access_urls(_documents(spark, sf_dir))
 
 
+def document_files(spark, sf_dir):
+    """The payloads landed as text lines and read back: open-access addresses."""
+    path = scratch_path(spark, "documents")
+    tv.documents(spark, sf_dir).write.text(path)
+    return harvest.open_access_urls(inputs.enrichment_documents(spark, path, lines=True))
+
+
+def enrich_batches(spark, sf_dir):
+    """A given service asked for the papers without full text, in batches."""
+
+    def fetch(wanted):
+        known = '{"externalIds": {"ArXiv": "%s"}, "abstract": "%d"}'
+        return [known % (w.removeprefix("arXiv:"), len(w)) for w in wanted]
+
+    queue = catalog.pending_full_text(tv.papers(spark, sf_dir), "all")
+    return harvest.full_texts(embed.enrich(queue, fetch))
+
+
 # --- catalog -----------------------------------------------------------------------------------
 
 
@@ -197,6 +215,12 @@ def recent_by_category(spark, sf_dir):
     return _listed(catalog.recent(tv.papers(spark, sf_dir), tv.AS_OF, "cs.E", 365))
 
 
+def recent_exact_category(spark, sf_dir):
+    papers = tv.papers(spark, sf_dir)
+    found = papers.where(catalog.in_category("cs.EN", exact=True))
+    return _listed(catalog.recent(found, tv.AS_OF, days=3000))
+
+
 def get_paper(spark, sf_dir):
     return _listed(catalog.get_paper(tv.papers(spark, sf_dir), PAPER))
 
@@ -361,6 +385,17 @@ def update_embeddings(spark, sf_dir):
     return rows.select("arxiv_id", F.size("embedding").alias("dim"), first.alias("first"))
 
 
+def insert_refs_stored(spark, sf_dir):
+    """Part edges, then supplier edges, through the stored tables: the copy kept by target."""
+    archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
+    archive.insert_refs(tv.refs(spark, sf_dir), "parts")
+    edges = tv.table(spark, sf_dir, "lineitem").select(
+        tv.paper_id("l_orderkey").alias("from_id"), tv.paper_id("l_suppkey").alias("to_id")
+    )
+    archive.insert_refs(edges, "suppliers")
+    return archive.refs_by_target.read()
+
+
 def mark_full_text(spark, sf_dir):
     texts = tv.table(spark, sf_dir, "labels").select(
         tv.paper_id("doc_id").alias("arxiv_id"),
@@ -513,6 +548,26 @@ def similar_precomputed(spark, sf_dir):
     return _similarity(similar.by_id(papers, vectors, PAPER, similar=table))
 
 
+def similar_filled(spark, sf_dir):
+    """Neighbours of all papers: stored ones for the labelled papers, built for the others."""
+    papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
+    everyone = cut(neighbours.build(vectors))
+    labelled = tv.table(spark, sf_dir, "labels").select(tv.paper_id("doc_id").alias("arxiv_id"))
+    stored = catalog.known_ids(everyone, labelled)
+
+    def build(rest):
+        return neighbours.build(vectors).join(rest, "arxiv_id", "left_semi")
+
+    ids_ = papers.select("arxiv_id")
+    return _neighbour_rows(similar.stored_or_scanned(stored, papers, ids_, build))
+
+
+def similar_lookup(spark, sf_dir):
+    """An id-shaped argument finds that paper's neighbours."""
+    papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
+    return _similarity(similar.lookup(papers, vectors, PAPER))
+
+
 def embed_pending(spark, sf_dir):
     """Hashed vectors of the papers without one: length and norm."""
     queue = catalog.pending_embedding(
@@ -592,19 +647,19 @@ def sync_run(spark, sf_dir):
 _QUERIES = [
     normalize_ids, clean_text, parse_dates, classify_inputs, category_columns, listing,
     harvest_papers, harvest_pages, harvest_stream, harvest_changed, category_marks,
-    document_edges, document_texts, open_access_urls,
-    recent_week, recent_year, recent_by_category, get_paper, paper_detail, paper_details,
+    document_edges, document_texts, open_access_urls, document_files, enrich_batches,
+    recent_week, recent_year, recent_by_category, recent_exact_category, get_paper, paper_detail, paper_details,
     pending_embedding, pending_embedding_all, pending_full_text, known_ids, unknown_ids,
     archive_stats, category_names, progress,
     refs_of, cited_by, ref_ids, cited_by_ids, degrees, degree_of, missing_refs,
     missing_ref_count,
     fold_batch, upsert_papers, upsert_papers_strict, upsert_papers_stored, insert_ignore_refs,
-    update_embeddings, mark_full_text, kv_upsert,
+    insert_refs_stored, update_embeddings, mark_full_text, kv_upsert,
     token_counts, postings, search_one_word, search_two_words, search_matches, search_english,
     search_index, search_batch,
     similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_ivf,
     similar_ivf_cells, build_similar, build_similar_blocks, similar_precomputed,
-    embed_pending, embed_batches,
+    similar_filled, similar_lookup, embed_pending, embed_batches,
     answer_lines, answer_recent, full_text_store, sync_run,
 ]
 

@@ -228,6 +228,15 @@ ORACLES = {
       WHERE text <> '' GROUP BY 1, 2""",
     "open_access_urls": f"""SELECT {_pid('l_orderkey')} AS arxiv_id,
         'https://x/' || l_partkey AS url FROM lineitem WHERE l_linestatus = 'O'""",
+    "document_files": f"""SELECT {_pid('l_orderkey')} AS arxiv_id,
+        'https://x/' || l_partkey AS url FROM lineitem WHERE l_linestatus = 'O'""",
+    "enrich_batches": f"""WITH {PAPERS} SELECT arxiv_id,
+        CAST(length('arXiv:' || arxiv_id) AS VARCHAR) AS text FROM papers
+      WHERE has_full_text = FALSE""",
+    "recent_exact_category": f"""WITH {PAPERS} SELECT {LISTED} FROM papers
+      WHERE papers.published >= {AS_OF} - INTERVAL 3000 DAY
+        AND list_contains(string_split(categories, ','), 'cs.EN')
+      ORDER BY papers.published DESC, arxiv_id LIMIT 50""",
     "recent_week": f"""WITH {PAPERS} SELECT {LISTED} FROM papers
       WHERE papers.published >= {AS_OF} - INTERVAL 7 DAY {NEWEST} LIMIT 50""",
     "recent_year": f"""WITH {PAPERS} SELECT {LISTED} FROM papers
@@ -287,6 +296,8 @@ ORACLES = {
     "upsert_papers_stored": _upsert(False),
     "insert_ignore_refs": f"""WITH {REFS} SELECT DISTINCT {_pid('l_orderkey')} AS from_id,
         {_pid('l_suppkey')} AS to_id FROM lineitem EXCEPT SELECT from_id, to_id FROM refs""",
+    "insert_refs_stored": f"""SELECT {_pid('l_orderkey')} AS from_id, {_pid('l_partkey')} AS to_id
+      FROM lineitem UNION SELECT {_pid('l_orderkey')}, {_pid('l_suppkey')} FROM lineitem""",
     "update_embeddings": f"""WITH {VECTORS}, last AS (
         SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 1000000000 + l_linenumber * 100000000
           + l_suppkey) AS vec_id FROM lineitem
@@ -327,6 +338,8 @@ ORACLES = {
     "similar_by_vector": NEAREST.replace("WHERE v.arxiv_id <> one.arxiv_id", ""),
     "cosine_columns": NEAREST.replace("WHERE v.arxiv_id <> one.arxiv_id", "").split("ORDER BY")[0],
     "build_similar": NEIGHBOURS,
+    "similar_filled": NEIGHBOURS,
+    "similar_lookup": NEAREST,
     "build_similar_blocks": NEIGHBOURS,
     "embed_pending": f"""SELECT arxiv_id, 64 AS dim,
         CASE WHEN regexp_matches(abstract, '{WORD}') THEN 1.0 ELSE 0.0 END AS norm

@@ -18,10 +18,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paperlake-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    if not hasattr(context, "paperlake_scratch"):
+        context.paperlake_scratch = tempfile.mkdtemp(prefix="paperlake-")
+    return context.paperlake_scratch
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -47,9 +47,12 @@ class Table:
                 done.append(name)
         return done[::-1]
 
+    def exists(self) -> bool:
+        return bool(self._commits())
+
     def create(self) -> None:
         """Create the table if it is absent."""
-        if not self._commits():
+        if not self.exists():
             self._commit(0, "", {})
 
     def has_batch(self, batch: str) -> bool:
@@ -236,6 +239,10 @@ class Archive:
         row = self.state.read().where(F.col("key") == key).first()
         return row.value or "" if row else ""
 
+    def read_similar(self):
+        """The neighbour table, or None while it was never built."""
+        return self.similar.read() if self.similar.exists() else None
+
     def save_similar(self, rows: DataFrame) -> None:
         self.similar.create()
         self.similar.replace_all(rows)

@@ -233,6 +233,13 @@ def test_state(archive):
     assert (archive.get_state("a"), archive.get_state("b")) == ("3", "2")
 
 
+def test_neighbour_table_is_optional(archive, spark):
+    assert archive.read_similar() is None
+    archive.save_similar(spark.createDataFrame([("a", "b", 0.5, 1)], schemas.SIMILAR))
+    archive.save_similar(spark.createDataFrame([("a", "c", 0.7, 1)], schemas.SIMILAR))
+    assert [r.similar_id for r in archive.read_similar().collect()] == ["c"]
+
+
 # --- catalog, graph, statistics ----------------------------------------------------------------
 
 
