@@ -67,6 +67,17 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(hadoop_path)]
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file; it appears under its name only when complete."""
+    files, partial = _file_system(spark, f"{path}.{uuid.uuid4().hex}.partial")
+    stream = files.create(partial)
+    stream.write(content)
+    stream.close()
+    _, target = _file_system(spark, path)
+    if not files.rename(partial, target):
+        raise OSError(f"cannot write {path}")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of all executors; once per context.
 
@@ -81,9 +92,6 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent))
     path = f"{scratch_path(spark, 'package')}/paperlake.zip"
-    files, hadoop_path = _file_system(spark, path)
-    stream = files.create(hadoop_path)
-    stream.write(packed.getvalue())
-    stream.close()
+    write_file(spark, path, packed.getvalue())
     context.addPyFile(path)
     context.paperlake_shipped = True

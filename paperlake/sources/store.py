@@ -1,10 +1,13 @@
 """The archive's tables: bucketed Parquet folders with one small commit record per change.
 
 A change rewrites only the buckets it touches, into a new folder, and becomes visible when its
-commit record is written. A job that dies halfway leaves nothing visible, and a batch that is
-repeated under the same name is skipped. One writer at a time.
+commit record appears: one file listing the visible folders, put in place by a rename. A job that
+dies halfway leaves nothing visible, and a batch that is repeated under the same name is skipped.
+One writer at a time.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +15,7 @@ from pyspark.sql import types as T
 from paperlake.functions.vectors import checked_vector
 from paperlake.operators import merge
 from paperlake.schemas import EMBEDDINGS, PAPERS, PUBLISHED_DAY, REFS, SIMILAR, SYNC_STATE
-from paperlake.session import child_names, cut, path_exists
-
-_FOLDERS = "bucket int, version long"
+from paperlake.session import child_names, cut, write_file
 
 
 def bucket_of(key: str, buckets: int) -> Column:
@@ -38,14 +39,9 @@ class Table:
         self.schema = T.StructType([*schema.fields, *(field for field, _ in self.derived.values())])
 
     def _commits(self) -> list[str]:
-        """Names of the finished commits, oldest first: a version, then the batch's name."""
-        names = sorted(child_names(self.spark, f"{self.path}/commits"), reverse=True)
-        done = []
-        for name in names:
-            # Only a job that died can leave an unfinished record, and only as the newest.
-            if done or path_exists(self.spark, f"{self.path}/commits/{name}/_SUCCESS"):
-                done.append(name)
-        return done[::-1]
+        """Names of the commits, oldest first: a version, then the batch's name."""
+        names = child_names(self.spark, f"{self.path}/commits")
+        return sorted(n.removesuffix(".json") for n in names if n.endswith(".json"))
 
     def exists(self) -> bool:
         return bool(self._commits())
@@ -66,18 +62,13 @@ class Table:
 
     def _folders(self) -> tuple[int, dict]:
         """Version and visible folders per bucket: at most a few entries per bucket."""
-        self.version()
-        last = self._commits()[-1]
-        folders = {}
-        for row in self.spark.read.schema(_FOLDERS).json(f"{self.path}/commits/{last}").collect():
-            folders.setdefault(row.bucket, []).append(row.version)
-        return int(last[:12]), folders
+        version, last = self.version(), self._commits()[-1]
+        text = self.spark.read.text(f"{self.path}/commits/{last}.json", wholetext=True).first()[0]
+        return version, {int(b): versions for b, versions in json.loads(text).items()}
 
     def _commit(self, version: int, batch: str, folders: dict) -> None:
-        entries = [(b, v) for b, versions in sorted(folders.items()) for v in versions]
-        rows = self.spark.createDataFrame(entries, _FOLDERS).coalesce(1)
-        name = f"{version:012d}-{batch}"
-        rows.write.mode("overwrite").json(f"{self.path}/commits/{name}")
+        path = f"{self.path}/commits/{version:012d}-{batch}.json"
+        write_file(self.spark, path, json.dumps(folders).encode())
 
     def read(self, buckets=None) -> DataFrame:
         """The table, or only some of its buckets."""
@@ -105,26 +96,29 @@ class Table:
         found = rows.select(bucket_of(self.key, self.buckets).alias("bucket")).distinct()
         return [row.bucket for row in found.collect()]
 
-    def write(self, rows: DataFrame, buckets: list[int], batch: str, append: bool) -> None:
-        """Commit `rows` as the new content of `buckets`, or in addition to it."""
+    def write(self, rows: DataFrame, batch: str = "", append: bool = False) -> int:
+        """Commit `rows` as the new content of their buckets, or in addition to it.
+
+        Gives the number of rows written.
+        """
         version, folders = self._folders()
-        self._write_data(rows, version + 1)
-        for bucket in buckets:
+        written = self._write_data(rows, version + 1)
+        for bucket in written:
             folders[bucket] = [*(folders.get(bucket, []) if append else []), version + 1]
-        self._commit(version + 1, batch, folders)
+        return self._finish(version + 1, batch, folders, written)
 
-    def replace_all(self, rows: DataFrame, batch: str = "") -> None:
+    def replace_all(self, rows: DataFrame, batch: str = "") -> int:
         """Commit `rows` as the whole table."""
-        rows = cut(rows)
         version = self.version() + 1
-        self._write_data(rows, version)
-        self._commit(version, batch, {bucket: [version] for bucket in self.touched(rows)})
+        written = self._write_data(rows, version)
+        return self._finish(version, batch, {bucket: [version] for bucket in written}, written)
 
     def compact(self) -> None:
         """Rewrite the table so that each bucket has one folder again."""
         self.replace_all(self.read())
 
-    def _write_data(self, rows: DataFrame, version: int) -> None:
+    def _write_data(self, rows: DataFrame, version: int) -> list[int]:
+        """Write a version's folders and give their buckets."""
         # The rebalance splits a crowded bucket over several tasks and merges small ones.
         placed = rows.withColumn("bucket", bucket_of(self.key, self.buckets))
         for name, (_, expression) in self.derived.items():
@@ -132,6 +126,15 @@ class Table:
         placed = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.cluster)
         path = f"{self.path}/data/version={version}"
         placed.write.partitionBy("bucket").mode("overwrite").parquet(path)
+        names = child_names(self.spark, path)
+        return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
+
+    def _finish(self, version: int, batch: str, folders: dict, written: list[int]) -> int:
+        self._commit(version, batch, folders)
+        if not written:
+            return 0
+        stored = self.spark.read.schema(self.schema)
+        return stored.parquet(f"{self.path}/data/version={version}").count()
 
 
 class Archive:
@@ -174,7 +177,7 @@ class Archive:
         folded = merge.fold_batch(batch, strict=strict)
         buckets = self.papers.touched(batch)
         merged = merge.merge_papers(self.papers.read(buckets), folded, fetched_at, strict)
-        self.papers.write(merged, buckets, name, append=False)
+        self.papers.write(merged, name)
         return submitted
 
     def mark_full_text(self, texts: DataFrame, name: str = "") -> None:
@@ -188,7 +191,7 @@ class Archive:
         buckets = self.papers.touched(current.join(texts, "arxiv_id", "left_semi"))
         if buckets:
             marked = merge.mark_full_text(self.papers.read(buckets), texts)
-            self.papers.write(marked, buckets, name, append=False)
+            self.papers.write(marked, name)
 
     def insert_refs(self, edges: DataFrame, name: str = "") -> int:
         """Add edges, ignoring known ones. Gives the number of new edges."""
@@ -202,11 +205,8 @@ class Archive:
         # Each copy is compared with its own content: a repeated call completes either one.
         if table.has_batch(name):
             return 0
-        fresh = cut(merge.new_edges(edges, table.read(table.touched(edges))))
-        buckets = table.touched(fresh)
-        if buckets:
-            table.write(fresh, buckets, name, append=True)
-        return fresh.count()
+        fresh = merge.new_edges(edges, table.read(table.touched(edges)))
+        return table.write(fresh, name, append=True)
 
     def update_embeddings(self, batch: DataFrame, name: str = "") -> int:
         """Set vectors (arxiv_id, embedding, seq); unknown ids are ignored.
@@ -225,14 +225,14 @@ class Archive:
         if buckets:
             current = self.embeddings.read(buckets)
             rows = merge.replace_rows(current, changed, "arxiv_id")
-            self.embeddings.write(rows, buckets, name, append=False)
+            self.embeddings.write(rows, name)
         return changed.count()
 
     def set_state(self, **values: str) -> None:
         """Set bookkeeping keys; the last value wins."""
         rows = self.spark.createDataFrame(list(values.items()), SYNC_STATE)
         merged = merge.replace_rows(self.state.read(), rows, "key")
-        self.state.write(merged, [0], "", append=False)
+        self.state.write(merged)
 
     def get_state(self, key: str) -> str:
         """Value of a key, empty when it was never set."""

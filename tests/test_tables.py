@@ -176,8 +176,9 @@ def test_unfinished_commit_is_invisible(archive, spark, tmp_path):
     archive.upsert_papers(batch(spark, row("a", 0, "one")), NOW)
     version = archive.papers.version()
     # A job that died: its data and an unfinished commit record are left behind.
-    unfinished = tmp_path / "archive" / "papers" / "commits" / f"{version + 1:012d}-dead"
-    (unfinished / "_temporary").mkdir(parents=True)
+    archive.papers._write_data(archive.papers.read(), version + 1)
+    folder = tmp_path / "archive" / "papers" / "commits"
+    (folder / f"{version + 1:012d}-dead.json.0.partial").write_text("{")
     assert archive.papers.version() == version
     assert not archive.papers.has_batch("dead")
     archive.upsert_papers(batch(spark, row("a", 0, "two")), NOW, "dead")
