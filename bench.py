@@ -47,6 +47,8 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # Tables are small here: let writes use all cores.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

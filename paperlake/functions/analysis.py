@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.stemming import english_term
 
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN_CHARACTER = r"[\p{L}\p{N}]"
+TOKEN = f"{TOKEN_CHARACTER}+"
 
 # Limits on stored positions in the reference ranking.
 LAST_POSITION = 16383

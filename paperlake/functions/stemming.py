@@ -6,6 +6,7 @@ batch, never once per token.
 
 import re
 from functools import lru_cache
+from os.path import commonprefix
 
 # The Snowball English stop-word list.
 STOP_WORDS = frozenset(
@@ -155,3 +156,12 @@ def stem(word: str) -> str:
 def english_term(word: str):
     """Index term of a token, or None for a stop word."""
     return None if word in STOP_WORDS else stem(word)
+
+
+def common_start(term: str) -> str:
+    """Letters that every word with this stem starts with.
+
+    Stemming cuts a word's end and changes at most the last letter of what is left, but for the
+    listed exceptions.
+    """
+    return commonprefix([term[:-1], *(w for w, stem_ in _EXCEPTIONS.items() if stem_ == term)])

@@ -21,7 +21,7 @@ FEW_VECTORS = 10000
 MAX_LISTS = 100
 
 TRAIN_PER_LIST = 256
-SPLIT_ROWS = 500_000
+SPLIT_ROWS = 100_000
 MAX_CENTROID_BYTES = 64 * 1024 * 1024
 
 # Slack for comparing angles computed in floating point.
@@ -139,10 +139,10 @@ def _write_cells(vectors: DataFrame, centroids: np.ndarray, path: str, batch: st
         assigned.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
     )
     by_cell = {row.cell: row.rows for row in summary.collect()}
-    # A crowded cell is written by several tasks.
+    # One task per cell, and several for a crowded cell.
     pieces = [-(-by_cell.get(c, 1) // SPLIT_ROWS) for c in range(len(centroids))]
     piece = F.pmod(F.xxhash64("arxiv_id"), F.element_at(F.lit(pieces), F.col("cell") + 1))
-    placed = assigned.withColumn("piece", piece).hint("rebalance", "cell", "piece")
+    placed = assigned.withColumn("piece", piece).repartition(sum(pieces), "cell", "piece")
     placed.select("arxiv_id", "embedding", "cell").write.partitionBy("cell").mode(
         "overwrite"
     ).parquet(f"{path}/cells/batch={batch}")

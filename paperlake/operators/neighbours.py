@@ -43,8 +43,10 @@ class _Cells:
 
 
 def _groups(embeddings: DataFrame) -> DataFrame:
-    """Rows with the key of their vector (a digest, so that keys stay short)."""
-    key = F.sha2(F.col("embedding").cast("string"), 256).substr(1, 40)
+    """Rows with the key of their vector: 128 bits of two differently seeded hashes."""
+    key = F.struct(
+        F.xxhash64("embedding").alias("first"), F.xxhash64(F.lit(1), "embedding").alias("second")
+    )
     return embeddings.select("arxiv_id", "embedding", key.alias("vector_key"))
 
 

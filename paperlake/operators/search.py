@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from paperlake import params
 from paperlake.functions import analysis
 from paperlake.functions.rank import bound, rank_positions
+from paperlake.functions.stemming import common_start
 from paperlake.functions.text import searchable_text
 from paperlake.schemas import POSTINGS, SEARCH_COLS
 
@@ -47,11 +48,14 @@ def matches(papers: DataFrame, terms: list[str], analyzer: str = "simple") -> Da
             "positions", F.lit(None).cast("array<array<int>>")
         )
     text = searchable_text()
+    lowered = F.lower(text)
+    # Cheap tests before cutting the text into tokens: substrings first, then whole words.
+    for term in terms:
+        start = term if analyzer == "simple" else common_start(term)
+        papers = papers.where(F.contains(lowered, F.lit(start)))
     if analyzer == "simple":
-        lowered = F.lower(text)
-        # Cheap test before cutting the text into tokens.
         for term in terms:
-            papers = papers.where(F.contains(lowered, F.lit(term)))
+            papers = papers.where(lowered.rlike(_whole_word(term)))
         positions = _positions_of(analysis.tokens(text), terms)
     else:
         positions = _arrow_positions(terms, analyzer)(analysis.tokens(text))
@@ -63,6 +67,11 @@ def matches(papers: DataFrame, terms: list[str], analyzer: str = "simple") -> Da
     return papers.select("*", F.explode(complete).alias("positions"))
 
 
+def _whole_word(term: str) -> str:
+    """Pattern for the term as a token of its own; starts with the term, for a fast search."""
+    return f"{term}(?<!{analysis.TOKEN_CHARACTER}{term})(?!{analysis.TOKEN_CHARACTER})"
+
+
 def _positions_of(tokens: Column, terms: list[str]) -> Column:
     places = F.transform(
         tokens,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import analysis
 from paperlake.functions.rank import rank_positions
-from paperlake.functions.stemming import STOP_WORDS, english_term, stem
+from paperlake.functions.stemming import STOP_WORDS, common_start, english_term, stem
 from paperlake.operators import search
 from paperlake.schemas import PAPERS
 
@@ -77,6 +77,24 @@ def test_stem(word, expected):
     assert stem(word) == expected
 
 
+SUFFIXES = """s es ed ing ings ly ally ation ations ational ator izer ization ize izes ized ability
+    ibility ibly ably able ible ance ances ence ency ancy encies ment ments ness nesses ful fulness
+    fully less lessly lessness ous ously ousness ive iveness ivity ical ically icate iciti icity
+    al alism ality ally ate ated ating ative atives ent ently ion ions ied ies y yed ying eed eedly
+    ogy ogi ism iti e er ers est""".split()
+
+
+def test_words_start_like_their_stem():
+    bases = """happ cr d l t sk hop hopp fall trouble siz conflat relat ration sens poss organ gener
+        commun arsen electr vit feed agre nat operat adjust radic analog anarch depend homolog
+        effect angular controll rol be bo ae x yell boy syzyg queu tann""".split()
+    words = [b + s for b in bases for s in SUFFIXES]
+    words += [a + b for a in words[::7] for b in SUFFIXES]
+    words += ["skis", "skies", "dying", "lying", "tying", "idly", "news", "only", "singly"]
+    wrong = [w for w in words if not w.startswith(common_start(stem(w)))]
+    assert wrong == []
+
+
 def test_stop_words():
     assert len(STOP_WORDS) == 127
     assert english_term("the") is None
@@ -135,6 +153,12 @@ def test_search_english(spark):
     assert search.search(papers, "the of and", analyzer="english").count() == 0
 
 
+def test_whole_words_only(spark):
+    texts = [("cat", ""), ("concat", "cats"), ("a cat-flap", ""), ("caté", "2cat"), ("CAT", "")]
+    found = search.search(make_papers(spark, texts), "cat").collect()
+    assert [row.arxiv_id for row in found] == ["p000", "p002", "p004"]
+
+
 def test_search_limit_and_missing_query(spark):
     papers = make_papers(spark, [("same words", "")] * 30)
     found = search.search(papers, "words").collect()
