@@ -451,7 +451,7 @@ def search_matches(spark, sf_dir):
     """Every match of three words, ranked."""
     terms = search.analysis.query_terms(THREE_WORDS)
     found = search.matches(tv.papers(spark, sf_dir), terms)
-    return _ranked(found.select("arxiv_id", search.rank_positions(F.col("positions")).alias("rank")))
+    return _ranked(found.select("arxiv_id", search.rank_positions("positions").alias("rank")))
 
 
 def search_english(spark, sf_dir):

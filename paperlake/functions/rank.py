@@ -1,13 +1,15 @@
 """Text rank over the positions of the matched query terms.
 
 Every occurrence carries the same weight. One term is scored by a damped occurrence count; several
-terms by the distances between occurrences of different terms. Work per document is linear in the
-number of occurrences: only the neighbours within `FAR` positions have a weight worth computing,
-all farther pairs share one constant and are counted arithmetically.
+terms by the distances between occurrences of different terms. Only pairs within `FAR` positions
+have a weight worth computing, all farther pairs share one constant and are counted
+arithmetically, so the work grows with the occurrences, not with their pairs.
 """
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,74 +33,72 @@ def pair_log(distance: int) -> float:
     return math.log1p(-WEIGHT * math.sqrt(closeness(distance)))
 
 
-def _single_scores():
-    total, out = 0.0, []
-    for n in range(1, MAX_POSITIONS + 1):
-        total += 1.0 / (n * n)
-        out.append(WEIGHT * total / SERIES_LIMIT)
-    return out
+def single_scores() -> np.ndarray:
+    """Rank of one term by its number of occurrences, from none to the most kept."""
+    counts = np.arange(1, MAX_POSITIONS + 1)
+    return np.concatenate(([0.0], WEIGHT * np.cumsum(1.0 / counts**2) / SERIES_LIMIT))
+
+
+def rank_batch(positions: pa.Array) -> np.ndarray:
+    """Ranks of a batch of documents, each with one ascending position list per query term."""
+    n_docs = len(positions)
+    n_terms = positions.value_lengths().to_numpy(zero_copy_only=False)
+    lists = positions.flatten()
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    list_doc = np.repeat(np.arange(n_docs), n_terms)
+
+    # Occurrences of all terms of a document, ordered by place.
+    place = lists.flatten().to_numpy(zero_copy_only=False)
+    doc = np.repeat(list_doc, counts)
+    term = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((place, doc))
+    place, doc, term = place[order], doc[order], term[order]
+
+    far = pair_log(FAR + 1)
+    # Pairs at the same place do not count.
+    logs = np.array([0.0, *(pair_log(d) for d in range(1, FAR + 1))])
+    n_all = np.bincount(doc, minlength=n_docs).astype(np.float64)
+    n_same = np.bincount(list_doc, weights=counts.astype(np.float64) ** 2, minlength=n_docs)
+    total = (n_all**2 - n_same) / 2 * far
+
+    # Compare each occurrence with the one `step` before it. Distances grow with the step, so the
+    # first step without a near pair ends the search.
+    for step in range(1, len(place)):
+        distance = place[step:] - place[:-step]
+        near = (doc[step:] == doc[:-step]) & (distance <= FAR)
+        if not near.any():
+            break
+        near &= term[step:] != term[:-step]
+        # A near pair is part of the far total already: replace its share.
+        shares = logs[distance[near]] - far
+        total += np.bincount(doc[step:][near], weights=shares, minlength=n_docs)
+
+    ranks = -np.expm1(total)
+    single = n_terms == 1
+    first = (np.cumsum(n_terms) - n_terms)[single]
+    ranks[single] = single_scores()[counts[first]]
+    return ranks
 
 
-def _table(values) -> Column:
-    return F.expr("array(" + ",".join(f"{v!r}D" for v in values) + ")")
+def rank_positions(positions) -> Column:
+    """Rank from one ascending position list per distinct query term.
 
+    Ranks are single precision; that also makes equal ranks compare equal.
+    """
 
-def bound(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once per row.
+    @F.arrow_udf("float")
+    def rank(lists: pa.Array) -> pa.Array:
+        return pa.array(rank_batch(lists).astype(np.float32))
 
-    Inside a higher-order function an outer expression would be computed for every element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return rank(positions)
 
 
-def rank_positions(positions) -> Column:
-    """Rank of a document from one ascending position list per distinct query term."""
-    single_table = _table(_single_scores())
-    single = F.element_at(single_table, F.size(positions[0]))
-    several = bound(_occurrences(positions), lambda occurrences: _several(positions, occurrences))
-    # Stored ranks are single precision; that also makes equal ranks compare equal.
-    return F.when(F.size(positions) == 1, single).otherwise(several).cast("float")
-
-
-def _occurrences(positions) -> Column:
-    """(place, term) of all terms in one list ordered by place."""
-    return F.array_sort(
-        F.flatten(
-            F.transform(
-                positions,
-                lambda places, term: F.transform(
-                    places, lambda p: F.struct(p.alias("place"), term.alias("term"))
-                ),
-            )
-        )
-    )
-
-
-def _several(positions, occurrences) -> Column:
-    pair_table = _table([pair_log(d) for d in range(1, FAR + 1)])
-    far = F.lit(pair_log(FAR + 1))
-    # Places are distinct within a term and only the last place can be shared between terms, so
-    # this many earlier occurrences include all within FAR.
-    width = F.size(positions) + F.lit(FAR)
-
-    def near_pairs(occurrence, index):
-        start = F.greatest(index + 1 - width, F.lit(1))
-        before = F.slice(occurrences, start, index + 1 - start)
-
-        def add(acc, other):
-            distance = occurrence["place"] - other["place"]
-            counts = (occurrence["term"] != other["term"]) & (distance <= FAR)
-            # Pairs at the same place do not count; a near pair is part of the far total already,
-            # so its share is replaced.
-            log = F.when(distance == 0, F.lit(0.0)).otherwise(F.get(pair_table, distance - 1))
-            return F.when(counts, acc + log - far).otherwise(acc)
-
-        return F.aggregate(before, F.lit(0.0), add)
-
-    n_all = F.aggregate(positions, F.lit(0.0), lambda acc, p: acc + F.size(p))
-    n_same = F.aggregate(positions, F.lit(0.0), lambda acc, p: acc + F.size(p) * F.size(p))
-    far_total = (n_all * n_all - n_same) / 2 * far
-    near_total = F.aggregate(
-        F.transform(occurrences, near_pairs), F.lit(0.0), lambda acc, x: acc + x
-    )
-    return -F.expm1(far_total + near_total)
+def rank_single(positions) -> Column:
+    """The same for documents matched by one term, without leaving the JVM."""
+    table = F.expr("array(" + ",".join(f"{score!r}D" for score in single_scores().tolist()) + ")")
+    return F.element_at(table, F.size(F.get(positions, 0)) + 1).cast("float")
+
+
+def rank(positions, n_terms: int) -> Column:
+    """Rank of documents that all match the same number of terms."""
+    return rank_single(positions) if n_terms == 1 else rank_positions(positions)

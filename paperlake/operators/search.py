@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from paperlake import params
 from paperlake.functions import analysis
-from paperlake.functions.rank import bound, rank_positions
+from paperlake.functions.rank import rank, rank_positions
 from paperlake.functions.stemming import common_start
 from paperlake.functions.text import searchable_text
 from paperlake.schemas import POSTINGS, SEARCH_COLS
@@ -37,7 +37,7 @@ def search(papers: DataFrame, query: str, limit=None, analyzer: str = "simple")
     terms = analysis.query_terms(query, analyzer)
     matched = matches(papers, terms, analyzer)
     columns = [F.col(c) for c in SEARCH_COLS]
-    ranked = matched.select(*columns, rank_positions(F.col("positions")).alias("rank"))
+    ranked = matched.select(*columns, rank(F.col("positions"), len(terms)).alias("rank"))
     return ranked.orderBy(*best_first()).limit(params.positive(limit, params.SEARCH_LIMIT))
 
 
@@ -72,6 +72,14 @@ def _whole_word(term: str) -> str:
     return f"{term}(?<!{analysis.TOKEN_CHARACTER}{term})(?!{analysis.TOKEN_CHARACTER})"
 
 
+def _bound(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row.
+
+    Inside a higher-order function an outer expression would be computed for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _positions_of(tokens: Column, terms: list[str]) -> Column:
     places = F.transform(
         tokens,
@@ -85,7 +93,7 @@ def _positions_of(tokens: Column, terms: list[str]) -> Column:
         own = F.transform(F.filter(hits, lambda p: p["token"] == term), lambda p: p["place"])
         return F.slice(F.array_distinct(own), 1, analysis.MAX_POSITIONS)
 
-    return bound(hits, lambda found: F.array(*[of(found, term) for term in terms]))
+    return _bound(hits, lambda found: F.array(*[of(found, term) for term in terms]))
 
 
 def _arrow_positions(terms: list[str], analyzer: str):
@@ -160,7 +168,7 @@ def search_index(
         found = found.where(F.col("term_bucket").isin(wanted) if wanted else F.lit(False))
     per_paper = found.groupBy("arxiv_id").agg(F.collect_list("positions").alias("positions"))
     ranked = per_paper.where(F.size("positions") == max(len(terms), 1)).select(
-        "arxiv_id", rank_positions(F.col("positions")).alias("rank")
+        "arxiv_id", rank(F.col("positions"), len(terms)).alias("rank")
     )
     return ranked.orderBy(*best_first()).limit(params.positive(limit, params.SEARCH_LIMIT))
 
