@@ -1,20 +1,24 @@
 """Rows of a batch that are, or are not, in a table.
 
-The table is first reduced to the batch's keys. When the batch is small enough for Spark to
-broadcast it, the table is only scanned; a plain semi or anti join would shuffle the table, as only
-its right side can be broadcast.
+For a batch small enough to broadcast, the table is first reduced to the batch's keys, which only
+scans it: in a plain semi or anti join the table, being the right side, would have to be shuffled.
 """
 
 from pyspark.sql import DataFrame
 
+from paperlake.session import fits_broadcast
 
-def _found(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    return table.select(*keys).join(batch.select(*keys), keys, "left_semi")
+
+def _select(batch: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    found = table.select(*keys)
+    if fits_broadcast(batch):
+        found = found.join(batch.select(*keys), keys, "left_semi")
+    return batch.join(found, keys, how)
 
 
 def known(batch: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
-    return batch.join(_found(batch, table, list(keys)), list(keys), "left_semi")
+    return _select(batch, table, list(keys), "left_semi")
 
 
 def unknown(batch: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
-    return batch.join(_found(batch, table, list(keys)), list(keys), "left_anti")
+    return _select(batch, table, list(keys), "left_anti")

@@ -126,11 +126,14 @@ def test_mark_full_text(spark):
     assert len(got) == 3
 
 
-def test_membership(spark):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_membership(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "arxiv_id string, n int")
     table = spark.createDataFrame([("b",), ("c",), ("b",)], "arxiv_id string")
     assert sorted(r.n for r in membership.known(rows, table, "arxiv_id").collect()) == [2, 3]
     assert [r.n for r in membership.unknown(rows, table, "arxiv_id").collect()] == [1]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # --- stored tables -----------------------------------------------------------------------------
