@@ -1,9 +1,9 @@
 """Exact nearest neighbours of a few query vectors by one scan of the vector table.
 
 The scan reads each vector once as an Arrow batch and compares it with all queries by one matrix
-product; a task hands on no more than `k` rows per query. Measured on one million 64-d vectors,
-this is 2.4 times as fast as the same product written with higher-order functions, and the gap
-widens with the dimension.
+product; a task hands on no more than `k` rows per query. In a trial on one million 64-d vectors a
+bare product over Arrow batches took 1.0 s, the same with higher-order functions 2.4 s (warm runs,
+eight cores; without the scaling to unit length done here).
 """
 
 from collections.abc import Iterator
