@@ -32,6 +32,12 @@ from paperlake.sources import inputs, outputs  # noqa: E402
 from paperlake.sources.store import Archive  # noqa: E402
 from paperlake.streaming.harvest import upsert_pages  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from paperlake.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 PAPER = "2306.00005"
 ONE_WORD = "Thin"
 TWO_WORDS = "thin, than"
@@ -680,11 +686,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries by name; each takes (spark, sf_dir)."""
-    return {query.__name__: _ready(query) for query in _QUERIES}
+    found = {query.__name__: query for query in _QUERIES}
+    if llm_queries is not None:
+        found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return {name: _ready(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Equivalent SQL by query name."""
     from oracle_queries import ORACLES
 
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if llm_queries is not None:
+        found |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
