@@ -184,18 +184,19 @@ def _spherical_means(points, count, rounds=15):
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` with `lang_pred`, `score` (cosine, 0 to 1) and `rejected`.
+    """The columns `keep` of rows with a column `text`, with `lang_pred`, `score` (cosine, 0 to 1) and `rejected`.
 
     Columns of these names in the input are replaced. One pass without a shuffle.
     """
     added = ["lang_pred", "score", "rejected"]
     kept = [c for c in keep if c not in added]
-    rows = documents.select(*kept, F.col("text").alias("__text"))
+    at = kept.index("text") if "text" in kept else len(kept)
+    rows = documents.select(*kept, *(["text"] if at == len(kept) else []))
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(len(kept))
+            column = batch.column(at)
             best = np.full(len(column), len(names) - 1)
             score = np.zeros(len(column))
             if len(model.languages):

@@ -1,8 +1,21 @@
 """One query per operator over the whole tables, and SQL where SQL can express them."""
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from paperlake.testviews import table
 
-from . import jaccard
+from . import decontaminate, jaccard, language, packing, repeats, secret_scan
+
+
+def held_out():
+    """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs):
+    """A model of the documents' languages, learned from those not held out."""
+    return language.fit(docs.where(~held_out()))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -10,10 +23,47 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard.links(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    """Every leak of a benchmark item in a document."""
+    return decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op6_packing(spark, sf_dir):
+    """All documents in windows of 2048 tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path)
+
+
+def op8_language_id(spark, sf_dir):
+    """The language of every document, by a model of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    found = language.identify(rows, language_model(docs), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_secret_scans(spark, sf_dir):
+    """The secrets of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark, sf_dir):
+    """Words left of every document without windows of 50 that a smaller document holds."""
+    report, _ = repeats.remove(table(spark, sf_dir, "documents"))
+    return report.withColumnRenamed("digest", "kept_sha256")
+
+
 QUERIES = {
     query.__name__: query
     for query in [
         op1_ngram_jaccard_join,
+        op4_benchmark_decontamination,
+        op6_packing,
+        op8_language_id,
+        op9_secret_scans,
+        op10_substring_dedup,
     ]
 }
 
