@@ -5,7 +5,18 @@ from pyspark.sql import functions as F
 
 from paperlake.testviews import table
 
-from . import decontaminate, jaccard, language, packing, repeats, secret_scan
+from . import (
+    decontaminate,
+    extraction,
+    jaccard,
+    language,
+    licenses,
+    packing,
+    quality,
+    repeats,
+    secret_scan,
+    urls,
+)
 
 
 def held_out():
@@ -23,6 +34,16 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard.links(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op2_license_scans(spark, sf_dir):
+    """The licences of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark, sf_dir):
+    """The rules' counts and the verdict on every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     """Every leak of a benchmark item in a document."""
     return decontaminate.leaks(
@@ -30,12 +51,23 @@ def op4_benchmark_decontamination(spark, sf_dir):
     )
 
 
+def op5_url_filters(spark, sf_dir):
+    """The verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark, sf_dir):
     """All documents in windows of 2048 tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path)
 
 
+def op7_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    found = extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_language_id(spark, sf_dir):
     """The language of every document, by a model of those not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -59,8 +91,12 @@ QUERIES = {
     query.__name__: query
     for query in [
         op1_ngram_jaccard_join,
+        op2_license_scans,
+        op3_quality_rules,
         op4_benchmark_decontamination,
+        op5_url_filters,
         op6_packing,
+        op7_html_extraction,
         op8_language_id,
         op9_secret_scans,
         op10_substring_dedup,
