@@ -27,6 +27,7 @@ from paperlake.operators import (  # noqa: E402
     stats,
 )
 from paperlake.plans import answers, similar, sync  # noqa: E402
+from paperlake.schemas import SEARCH_COLS  # noqa: E402
 from paperlake.session import cut, scratch_path, ship_package  # noqa: E402
 from paperlake.sources import inputs, outputs  # noqa: E402
 from paperlake.sources.store import Archive  # noqa: E402
@@ -42,6 +43,7 @@ PAPER = "2306.00005"
 ONE_WORD = "Thin"
 TWO_WORDS = "thin, than"
 THREE_WORDS = "Than from thin!"
+ENGLISH = "the thins from eren"
 HASH_DIM = 64
 TERM_BUCKETS = 16
 
@@ -435,7 +437,7 @@ def token_counts(spark, sf_dir):
 
 
 def postings(spark, sf_dir):
-    rows = search.build_postings(tv.papers(spark, sf_dir))
+    rows = search.build_postings(tv.papers(spark, sf_dir), "simple")
     return rows.select(
         "term",
         "arxiv_id",
@@ -446,41 +448,58 @@ def postings(spark, sf_dir):
 
 
 def search_one_word(spark, sf_dir):
-    return _ranked(search.search(tv.papers(spark, sf_dir), ONE_WORD))
+    return _ranked(search.search(tv.papers(spark, sf_dir), ONE_WORD, analyzer="simple"))
 
 
 def search_two_words(spark, sf_dir):
-    return _ranked(search.search(tv.papers(spark, sf_dir), TWO_WORDS))
+    return _ranked(search.search(tv.papers(spark, sf_dir), TWO_WORDS, analyzer="simple"))
 
 
 def search_matches(spark, sf_dir):
     """Every match of three words, ranked."""
-    terms = search.analysis.query_terms(THREE_WORDS)
-    found = search.matches(tv.papers(spark, sf_dir), terms)
+    terms = search.analysis.query_terms(THREE_WORDS, "simple")
+    found = search.matches(tv.papers(spark, sf_dir), terms, "simple")
     return _ranked(found.select("arxiv_id", search.rank_positions("positions").alias("rank")))
 
 
 def search_english(spark, sf_dir):
-    return _ranked(search.search(tv.papers(spark, sf_dir), "the thins from eren", None, "english"))
+    return _ranked(search.search(tv.papers(spark, sf_dir), ENGLISH))
 
 
-def _index(spark, sf_dir):
+def _index(spark, sf_dir, analyzer="simple"):
     path = scratch_path(spark, "postings")
-    search.write_postings(search.build_postings(tv.papers(spark, sf_dir)), path, TERM_BUCKETS)
+    rows = search.build_postings(tv.papers(spark, sf_dir), analyzer)
+    search.write_postings(rows, path, TERM_BUCKETS)
     return search.read_postings(spark, path)
 
 
 def search_index(spark, sf_dir):
-    found = search.search_index(_index(spark, sf_dir), THREE_WORDS, buckets=TERM_BUCKETS)
+    found = search.search_index(
+        _index(spark, sf_dir), THREE_WORDS, analyzer="simple", buckets=TERM_BUCKETS
+    )
     return _ranked(search.with_papers(found, tv.papers(spark, sf_dir)), "title")
 
 
+def search_index_english(spark, sf_dir):
+    """The endpoint's whole rows, from an index of stems."""
+    found = search.search_index(_index(spark, sf_dir, "english"), ENGLISH, buckets=TERM_BUCKETS)
+    rows = search.with_papers(found, tv.papers(spark, sf_dir))
+    times = {"published", "updated", "fetched_at"}
+    shown = [_time(c) if c in times else c for c in SEARCH_COLS]
+    return rows.select(*shown, F.round(F.col("rank").cast("double"), 6).alias("rank"))
+
+
 def search_batch(spark, sf_dir):
-    """Every benchmark text as a query over all papers."""
-    queries = tv.table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    """Every benchmark text, and the first word of each, as queries over all papers."""
+    items = tv.table(spark, sf_dir, "benchmark")
+    first = F.get(tokens(F.col("text")), 0)
+    queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).union(
+        items.select(-1 - F.col("item_id"), first)
+    )
+    found = search.search_batch(
+        _index(spark, sf_dir), queries, analyzer="simple", buckets=TERM_BUCKETS
     )
-    return _ranked(search.search_batch(_index(spark, sf_dir), queries, buckets=TERM_BUCKETS), "query_id")
+    return _ranked(found, "query_id", "place")
 
 
 # --- vectors -----------------------------------------------------------------------------------
@@ -662,7 +681,7 @@ _QUERIES = [
     fold_batch, upsert_papers, upsert_papers_strict, upsert_papers_stored, insert_ignore_refs,
     insert_refs_stored, update_embeddings, mark_full_text, kv_upsert,
     token_counts, postings, search_one_word, search_two_words, search_matches, search_english,
-    search_index, search_batch,
+    search_index, search_index_english, search_batch,
     similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_ivf,
     similar_ivf_cells, build_similar, build_similar_blocks, similar_precomputed,
     similar_filled, similar_lookup, embed_pending, embed_batches,

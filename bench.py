@@ -75,7 +75,7 @@ def main() -> None:
     stored = {}
 
     def build_postings():
-        search.write_postings(search.build_postings(papers), postings_path, TERM_BUCKETS)
+        search.write_postings(search.build_postings(papers, "simple"), postings_path, TERM_BUCKETS)
 
     def postings():
         return search.read_postings(spark, postings_path)
@@ -110,14 +110,14 @@ def main() -> None:
         "degrees": lambda: graph.degrees(refs),
         "cited_by": lambda: graph.cited_by(refs, papers, PAPER),
         "missing_refs": lambda: graph.missing_references(papers, refs),
-        "search_simple": lambda: search.search(papers, "thin than"),
+        "search_simple": lambda: search.search(papers, "thin than", analyzer="simple"),
         "search_english": lambda: search.search(papers, "thins eren", None, "english"),
         "build_postings": build_postings,
         "search_index": lambda: search.search_index(
-            postings(), "thin than", buckets=TERM_BUCKETS
+            postings(), "thin than", analyzer="simple", buckets=TERM_BUCKETS
         ),
         "search_batch": lambda: search.search_batch(
-            postings(), questions, buckets=TERM_BUCKETS
+            postings(), questions, analyzer="simple", buckets=TERM_BUCKETS
         ),
         "similar_by_id": similar_scan,
         "build_ivf": build_index,

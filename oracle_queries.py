@@ -99,57 +99,90 @@ def _upsert(strict: bool) -> str:
     FROM old o FULL OUTER JOIN folded n ON o.arxiv_id = n.arxiv_id"""
 
 
-# Terms with saturated, distinct positions, at most 255 per paper and term.
+# All positions of each term.
 TERMS = f"""tokens AS (
   SELECT arxiv_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (
     SELECT arxiv_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')),
       '{WORD}') AS t FROM papers)),
-terms AS (
-  SELECT arxiv_id, term, pos FROM (
-    SELECT DISTINCT arxiv_id, term, least(pos, 16383) AS pos FROM tokens WHERE FILTER)
-  QUALIFY row_number() OVER (PARTITION BY arxiv_id, term ORDER BY pos) <= 255)"""
+terms AS (SELECT arxiv_id, term, pos FROM tokens WHERE FILTER)"""
 
 PAIR_LOG = """ln(1 - 0.1 * sqrt(CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30
   ELSE 1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)) END))"""
 
 
-def _search(words: list[str]) -> str:
-    """Common table `ranked` (arxiv_id, rank) of the papers with all words."""
-    listed = ", ".join(f"'{w}'" for w in words)
-    terms = TERMS.replace("FILTER", f"term IN ({listed})")
+PAIRED = f"""CAST(1 - exp(sum({PAIR_LOG})) AS FLOAT)"""
+ONE_TERM = "CAST(sum(0.1 / (n * n)) / 1.64493406685 AS FLOAT)"
+
+
+def _ranked(terms: str, n_words: int) -> str:
+    """Common table `ranked` (arxiv_id, rank) of the papers with all of the terms of `terms`."""
     hits = f"""hits AS (SELECT * FROM terms WHERE arxiv_id IN (
-      SELECT arxiv_id FROM terms GROUP BY 1 HAVING count(DISTINCT term) = {len(words)}))"""
-    if len(words) == 1:
-        ranked = """ranked AS (SELECT arxiv_id, CAST(sum(0.1 / (n * n)) / 1.64493406685 AS FLOAT)
+      SELECT arxiv_id FROM terms GROUP BY 1 HAVING count(DISTINCT term) = {n_words}))"""
+    if n_words == 1:
+        ranked = f"""ranked AS (SELECT arxiv_id, {ONE_TERM}
           AS rank FROM (SELECT arxiv_id, row_number() OVER (PARTITION BY arxiv_id ORDER BY pos) AS n
           FROM hits) GROUP BY 1)"""
     else:
-        ranked = f"""ranked AS (SELECT a.arxiv_id, CAST(1 - exp(sum({PAIR_LOG})) AS FLOAT) AS rank
+        ranked = f"""ranked AS (SELECT a.arxiv_id, {PAIRED} AS rank
           FROM hits a JOIN hits b ON a.arxiv_id = b.arxiv_id AND a.term < b.term AND a.pos <> b.pos
           GROUP BY 1)"""
     return f"WITH {PAPERS}, {terms}, {hits}, {ranked}"
 
 
+def _search(words: list[str]) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return _ranked(TERMS.replace("FILTER", f"term IN ({listed})"), len(words))
+
+
+# The words of the test texts, at any scale, whose stems are searched for.
+STEMS = {
+    "eren": """eren erenated erenates erenating erenator ereneable ereneant ereneation erened
+      erenedly erener erenered erenering erenerly erenes erening ereningly erenly erenlyed
+      erenlying""".split(),
+    "thin": "thin thinly thinlyed thinlying".split(),
+}
+
+
+def _search_english() -> str:
+    """The same by stems; stop words of the query match nothing but keep their places."""
+    listed = ", ".join(f"'{word}'" for words in STEMS.values() for word in words)
+    cases = " ".join(
+        f"WHEN term IN ({', '.join(repr(w) for w in words)}) THEN '{stem}'"
+        for stem, words in STEMS.items()
+    )
+    terms = TERMS.replace("FILTER", f"term IN ({listed})")
+    terms = terms.replace("SELECT arxiv_id, term, pos", f"SELECT arxiv_id, CASE {cases} END AS term, pos")
+    return _ranked(terms, len(STEMS))
+
+
 RANK = "round(CAST(rank AS DOUBLE), 6) AS rank"
 TOP_20 = "ORDER BY ranked.rank DESC, arxiv_id LIMIT 20"
 
-SEARCH_BATCH = f"""WITH {PAPERS}, asked AS (
-  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term
-  FROM benchmark), sizes AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
+SEARCH_BATCH = f"""WITH {PAPERS}, queries AS (
+  SELECT item_id AS query_id, text FROM benchmark
+  UNION ALL SELECT -1 - item_id, regexp_extract(lower(text), '{WORD}') FROM benchmark),
+asked AS (
+  SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term
+  FROM queries), sizes AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
 {TERMS.replace('FILTER', 'term IN (SELECT term FROM asked)')},
 found AS (
-  SELECT query_id, arxiv_id FROM (SELECT DISTINCT arxiv_id, term FROM terms) t
+  SELECT query_id, arxiv_id, n FROM (SELECT DISTINCT arxiv_id, term FROM terms) t
   JOIN asked USING (term) JOIN sizes USING (query_id)
   GROUP BY query_id, arxiv_id, n HAVING count(*) = n),
 hits AS (
   SELECT query_id, arxiv_id, term, pos FROM found JOIN asked USING (query_id)
-  JOIN terms USING (arxiv_id, term)),
+  JOIN terms USING (arxiv_id, term) WHERE n > 1),
 ranked AS (
-  SELECT a.query_id, a.arxiv_id, CAST(1 - exp(sum({PAIR_LOG})) AS FLOAT) AS rank
+  SELECT a.query_id, a.arxiv_id, {PAIRED} AS rank
   FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.arxiv_id = b.arxiv_id
-    AND a.term < b.term AND a.pos <> b.pos GROUP BY 1, 2)
-SELECT query_id, arxiv_id, {RANK} FROM ranked
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ranked.rank DESC, arxiv_id) <= 20"""
+    AND a.term < b.term AND a.pos <> b.pos GROUP BY 1, 2
+  UNION ALL SELECT query_id, arxiv_id, {ONE_TERM} FROM (
+    SELECT query_id, arxiv_id, row_number() OVER (PARTITION BY query_id, arxiv_id ORDER BY pos) AS n
+    FROM found f JOIN asked USING (query_id) JOIN terms USING (arxiv_id, term) WHERE f.n = 1)
+  GROUP BY 1, 2)
+SELECT query_id, arxiv_id, {RANK},
+  row_number() OVER (PARTITION BY query_id ORDER BY ranked.rank DESC, arxiv_id) AS place
+FROM ranked QUALIFY place <= 20"""
 
 NEAREST = f"""WITH {VECTORS}, one AS (SELECT * FROM vectors WHERE arxiv_id = '{PAPER}')
 SELECT v.arxiv_id, round({COSINE.format(a='v.embedding', b='one.embedding')}, 6) AS similarity
@@ -330,6 +363,12 @@ ORACLES = {
     "search_matches": f"{_search(['thin', 'than', 'from'])} SELECT arxiv_id, {RANK} FROM ranked",
     "search_index": f"""{_search(['thin', 'than', 'from'])}
       SELECT title, arxiv_id, {RANK} FROM ranked JOIN papers USING (arxiv_id) {TOP_20}""",
+    "search_english": f"{_search_english()} SELECT arxiv_id, {RANK} FROM ranked {TOP_20}",
+    "search_index_english": f"""{_search_english()}
+      SELECT arxiv_id, title, abstract, authors, categories, {_time('published')},
+        {_time('updated')}, CAST(NULL AS VARCHAR) AS doi, CAST(NULL AS VARCHAR) AS journal_ref,
+        has_full_text, CAST(NULL AS VARCHAR) AS fetched_at, {RANK}
+      FROM ranked JOIN papers USING (arxiv_id) {TOP_20}""",
     "search_batch": SEARCH_BATCH,
     "similar_by_id": NEAREST,
     "similar_ivf": NEAREST,

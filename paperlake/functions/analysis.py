@@ -16,10 +16,6 @@ from paperlake.functions.stemming import english_term
 TOKEN_CHARACTER = r"[\p{L}\p{N}]"
 TOKEN = f"{TOKEN_CHARACTER}+"
 
-# Limits on stored positions in the reference ranking.
-LAST_POSITION = 16383
-MAX_POSITIONS = 255
-
 ANALYZERS = ("simple", "english")
 
 
@@ -35,7 +31,7 @@ def term_of(analyzer: str):
     return english_term if analyzer == "english" else (lambda token: token)
 
 
-def query_terms(query: str, analyzer: str = "simple") -> list[str]:
+def query_terms(query: str, analyzer: str = "english") -> list[str]:
     """Distinct index terms of one query string; all of them must match."""
     words = re.findall(r"[^\W_]+", query.lower())
     found = (term_of(analyzer)(word) for word in words)
@@ -66,14 +62,13 @@ def _offsets(lists: pa.Array) -> pa.Array:
 def group_positions(lists: pa.Array, to_term) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Group the tokens of a batch of documents by (document, term).
 
-    Gives the document's row in the batch, the term, and its ascending distinct positions. Dropped
-    tokens still count as positions. Positions saturate at `LAST_POSITION` and the first
-    `MAX_POSITIONS` of a term are kept, as in the ranking to match.
+    Gives the document's row in the batch, the term, and all its ascending positions. Dropped
+    tokens still count as positions.
     """
     offsets = _offsets(lists).to_numpy()
     lengths = np.diff(offsets)
     docs = np.repeat(np.arange(len(lengths)), lengths)
-    places = np.minimum(np.arange(offsets[-1]) - offsets[docs] + 1, LAST_POSITION)
+    places = np.arange(offsets[-1]) - offsets[docs] + 1
 
     encoded = lists.flatten().dictionary_encode()
     codes = {}
@@ -90,18 +85,10 @@ def group_positions(lists: pa.Array, to_term) -> tuple[np.ndarray, pa.Array, pa.
 
     order = np.lexsort((places, terms, docs))
     docs, places, terms = docs[order], places[order], terms[order]
-    same_term = (docs[1:] == docs[:-1]) & (terms[1:] == terms[:-1])
-    repeated = np.concatenate(([False], same_term & (places[1:] == places[:-1])))[: len(docs)]
-    docs, places, terms = docs[~repeated], places[~repeated], terms[~repeated]
-
     starts = np.flatnonzero(
         np.concatenate(([True], (docs[1:] != docs[:-1]) | (terms[1:] != terms[:-1])))[: len(docs)]
     )
-    sizes = np.diff(np.concatenate((starts, [len(docs)])))
-    kept = np.arange(len(docs)) - np.repeat(starts, sizes) < MAX_POSITIONS
-    bounds = np.concatenate(([0], np.cumsum(np.minimum(sizes, MAX_POSITIONS))))
-    positions = pa.ListArray.from_arrays(
-        pa.array(bounds, pa.int32()), pa.array(places[kept], pa.int32())
-    )
+    bounds = np.concatenate((starts, [len(docs)]))
+    positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(places, pa.int32()))
     names = pa.array(list(codes), pa.string())
     return docs[starts], names.take(pa.array(terms[starts], pa.int64())), positions

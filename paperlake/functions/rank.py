@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperlake.functions.analysis import MAX_POSITIONS
-
 # Fixed values of the ranking formula.
 WEIGHT = 0.1
 SERIES_LIMIT = 1.64493406685
@@ -33,9 +31,9 @@ def pair_log(distance: int) -> float:
     return math.log1p(-WEIGHT * math.sqrt(closeness(distance)))
 
 
-def single_scores() -> np.ndarray:
-    """Rank of one term by its number of occurrences, from none to the most kept."""
-    counts = np.arange(1, MAX_POSITIONS + 1)
+def single_scores(most: int) -> np.ndarray:
+    """Rank of one term by its number of occurrences, from none to `most`."""
+    counts = np.arange(1.0, most + 1)
     return np.concatenate(([0.0], WEIGHT * np.cumsum(1.0 / counts**2) / SERIES_LIMIT))
 
 
@@ -76,7 +74,8 @@ def rank_batch(positions: pa.Array) -> np.ndarray:
     ranks = -np.expm1(total)
     single = n_terms == 1
     first = (np.cumsum(n_terms) - n_terms)[single]
-    ranks[single] = single_scores()[counts[first]]
+    if len(first):
+        ranks[single] = single_scores(int(counts[first].max()))[counts[first]]
     return ranks
 
 
@@ -95,8 +94,13 @@ def rank_positions(positions) -> Column:
 
 def rank_single(positions) -> Column:
     """The same for documents matched by one term, without leaving the JVM."""
-    table = F.expr("array(" + ",".join(f"{score!r}D" for score in single_scores().tolist()) + ")")
-    return F.element_at(table, F.size(F.get(positions, 0)) + 1).cast("float")
+    count = F.size(F.get(positions, 0))
+    series = F.aggregate(
+        F.when(count > 0, F.sequence(F.lit(1), count)),
+        F.lit(0.0),
+        lambda total, n: total + 1.0 / (n.cast("double") * n),
+    )
+    return (F.coalesce(series, F.lit(0.0)) * WEIGHT / SERIES_LIMIT).cast("float")
 
 
 def rank(positions, n_terms: int) -> Column:

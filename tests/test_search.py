@@ -109,13 +109,25 @@ def test_positions_advance_over_stop_words():
     assert positions.to_pylist() == [[2, 4], [1]]
 
 
-def test_positions_saturate_and_are_limited():
-    lists = pa.array([["a"] * 300 + ["b"] * 17000 + ["c", "c"]])
+def test_all_positions_are_kept():
+    lists = pa.array([["a"] * 300 + ["b"] * 20000 + ["c", "c"]])
     _, terms, positions = analysis.group_positions(lists, analysis.term_of("simple"))
     found = dict(zip(terms.to_pylist(), positions.to_pylist(), strict=True))
-    assert found["a"] == list(range(1, 256))
-    assert len(found["b"]) == 255
-    assert found["c"] == [16383]
+    assert found["a"] == list(range(1, 301))
+    assert found["b"] == list(range(301, 20301))
+    assert found["c"] == [20301, 20302]
+
+
+@pytest.mark.parametrize("analyzer", analysis.ANALYZERS)
+def test_long_texts_rank_by_all_positions(spark, analyzer):
+    texts = [("x", "cat " * 300 + "filler " * 20000 + "dog fish"), ("y", "cat " * 299 + "dog")]
+    papers = make_papers(spark, texts)
+    one = search.search(papers, "cat", analyzer=analyzer).collect()
+    assert [r["arxiv_id"] for r in one] == ["p000", "p001"]
+    assert one[0]["rank"] == pytest.approx(brute_rank([list(range(300))]), rel=1e-6)
+    two = search.search(papers, "dog fish", analyzer=analyzer).collect()
+    assert [r["arxiv_id"] for r in two] == ["p000"]
+    assert two[0]["rank"] == pytest.approx(brute_rank([[20302], [20303]]), rel=1e-5)
 
 
 def test_empty_batch():
@@ -135,7 +147,7 @@ TEXTS = [
 
 
 def test_search_simple(spark):
-    found = search.search(make_papers(spark, TEXTS), "Deep, NETWORKS!").collect()
+    found = search.search(make_papers(spark, TEXTS), "Deep, NETWORKS!", analyzer="simple").collect()
     assert [row.arxiv_id for row in found] == ["p003", "p000"]
     for row in found:
         title, abstract = TEXTS[int(row.arxiv_id[1:])]
@@ -155,7 +167,7 @@ def test_search_english(spark):
 
 def test_whole_words_only(spark):
     texts = [("cat", ""), ("concat", "cats"), ("a cat-flap", ""), ("caté", "2cat"), ("CAT", "")]
-    found = search.search(make_papers(spark, texts), "cat").collect()
+    found = search.search(make_papers(spark, texts), "cat", analyzer="simple").collect()
     assert [row.arxiv_id for row in found] == ["p000", "p002", "p004"]
 
 
@@ -191,6 +203,27 @@ def test_index_reads_only_its_partitions(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,vision)]" in plan
 
 
+def test_batch_reads_the_index_twice(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    search.write_postings(search.build_postings(make_papers(spark, TEXTS)), path, 4)
+    queries = spark.createDataFrame([(1, "deep networks"), (2, "vision")], "query_id int, query string")
+    reads = []
+    cut = search.cut
+
+    def counted(rows, label):
+        reads.append(rows._jdf.queryExecution().executedPlan().toString().count(f"{path}]"))
+        return cut(rows, label)
+
+    search.cut = counted
+    try:
+        found = search.search_batch(search.read_postings(spark, path), queries, buckets=4)
+    finally:
+        search.cut = cut
+    reads.append(found._jdf.queryExecution().executedPlan().toString().count(f"{path}]"))
+    assert found.count() == 5
+    assert sum(reads) == 2
+
+
 @pytest.mark.parametrize("analyzer", analysis.ANALYZERS)
 def test_batch_agrees_with_single_queries(spark, analyzer):
     # One term is in every paper and every query.
