@@ -238,196 +238,6 @@ def search_batch(
         .groupBy("terms_key", "arxiv_id")
         .agg(F.collect_list("positions").alias("positions"))
     )
-    ranked = matched.select(*columns, rank(F.col("positions"), len(terms)).alias("rank"))
-    return ranked.orderBy(*best_first()).limit(params.positive(limit, params.SEARCH_LIMIT))
-
-
-def matches(papers: DataFrame, terms: list[str], analyzer: str = "english") -> DataFrame:
-    """Papers containing every term, with a list of positions per term. No term: no paper."""
-    if not terms:
-        return papers.where(F.lit(False)).withColumn(
-            "positions", F.lit(None).cast("array<array<int>>")
-        )
-    text = searchable_text()
-    lowered = F.lower(text)
-    # Cheap tests before cutting the text into tokens: substrings first, then whole words.
-    for term in terms:
-        start = term if analyzer == "simple" else common_start(term)
-        papers = papers.where(F.contains(lowered, F.lit(start)))
-    if analyzer == "simple":
-        for term in terms:
-            papers = papers.where(lowered.rlike(_whole_word(term)))
-        positions = _positions_of(analysis.tokens(text), terms)
-    else:
-        positions = _arrow_positions(terms, analyzer)(analysis.tokens(text))
-    # A list of one or none: filter and result share one computation of the positions, where a
-    # filter on the column would be pushed below it and repeat it.
-    complete = F.filter(
-        F.array(positions), lambda p: F.forall(p, lambda places: F.size(places) > 0)
-    )
-    return papers.select("*", F.explode(complete).alias("positions"))
-
-
-def _whole_word(term: str) -> str:
-    """Pattern for the term as a token of its own; starts with the term, for a fast search."""
-    return f"{term}(?<!{analysis.TOKEN_CHARACTER}{term})(?!{analysis.TOKEN_CHARACTER})"
-
-
-def _bound(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once per row.
-
-    Inside a higher-order function an outer expression would be computed for every element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _positions_of(tokens: Column, terms: list[str]) -> Column:
-    places = F.transform(
-        tokens,
-        lambda token, i: F.struct(token.alias("token"), (i + 1).alias("place")),
-    )
-    hits = F.filter(places, lambda p: p["token"].isin(terms))
-
-    def of(hits, term):
-        return F.transform(F.filter(hits, lambda p: p["token"] == term), lambda p: p["place"])
-
-    return _bound(hits, lambda found: F.array(*[of(found, term) for term in terms]))
-
-
-def _arrow_positions(terms: list[str], analyzer: str):
-    to_term = analysis.term_of(analyzer)
-    wanted = {term: i for i, term in enumerate(terms)}
-
-    @F.arrow_udf("array<array<int>>")
-    def positions(lists: pa.Array) -> pa.Array:
-        def keep(token):
-            term = to_term(token)
-            return term if term in wanted else None
-
-        docs, names, places = analysis.group_positions(lists, keep)
-        # One list per document and wanted term, most of them empty: the found ones in order.
-        slots = docs * len(wanted) + np.array([wanted[name] for name in names.to_pylist()], np.int64)
-        order = np.argsort(slots)
-        sizes = np.zeros(len(lists) * len(wanted), np.int64)
-        sizes[slots] = places.value_lengths().to_numpy(zero_copy_only=False)
-        inner = pa.ListArray.from_arrays(
-            pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()),
-            places.take(pa.array(order)).flatten(),
-        )
-        outer = np.arange(len(lists) + 1) * len(wanted)
-        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
-
-    return positions
-
-
-def build_postings(papers: DataFrame, analyzer: str = "english") -> DataFrame:
-    """Inverted index rows (term, arxiv_id, positions) of title and abstract. No shuffle."""
-    to_term = analysis.term_of(analyzer)
-    names = POSTINGS.fieldNames()
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, terms, positions = analysis.group_positions(batch.column("tokens"), to_term)
-            ids = batch.column("arxiv_id").take(pa.array(docs, pa.int64()))
-            yield pa.RecordBatch.from_arrays([terms, ids, positions], names=names)
-
-    tokenised = papers.select("arxiv_id", analysis.tokens(searchable_text()).alias("tokens"))
-    return tokenised.mapInArrow(group, POSTINGS)
-
-
-def term_bucket(term, buckets: int = TERM_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Write the index partitioned by term bucket.
-
-    Rows are spread by (bucket, share of the ids): a term found in a third of all papers fills
-    several tasks and files instead of one. Small shares are merged again by the rebalance.
-    """
-    share = F.pmod(F.xxhash64("arxiv_id"), F.lit(16))
-    placed = postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-    placed = placed.withColumn("share", share).hint("rebalance", "term_bucket", "share")
-    placed = placed.drop("share").sortWithinPartitions("term_bucket", "term")
-    placed.write.partitionBy("term_bucket").mode("overwrite").parquet(path)
-
-
-def read_postings(spark, path: str) -> DataFrame:
-    schema = T.StructType([*POSTINGS.fields, T.StructField("term_bucket", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path)
-
-
-def search_index(
-    postings: DataFrame, query: str, limit=None, analyzer: str = "english",
-    buckets: int = TERM_BUCKETS,
-) -> DataFrame:
-    """Top (arxiv_id, rank) for one query from a stored index.
-
-    Reads only the partitions of the query's terms; one shuffle of their rows by paper.
-    """
-    _check_query(query)
-    terms = analysis.query_terms(query, analyzer)
-    found = postings.where(F.col("term").isin(terms))
-    if "term_bucket" in postings.columns:
-        wanted = [term_bucket(F.lit(term), buckets) for term in terms]
-        found = found.where(F.col("term_bucket").isin(wanted) if wanted else F.lit(False))
-    per_paper = found.groupBy("arxiv_id").agg(F.collect_list("positions").alias("positions"))
-    ranked = per_paper.where(F.size("positions") == max(len(terms), 1)).select(
-        "arxiv_id", rank(F.col("positions"), len(terms)).alias("rank")
-    )
-    return ranked.orderBy(*best_first()).limit(params.positive(limit, params.SEARCH_LIMIT))
-
-
-def with_papers(ranked: DataFrame, papers: DataFrame) -> DataFrame:
-    """Attach the search columns to (arxiv_id, rank) rows."""
-    return ranked.join(papers.select(*SEARCH_COLS), "arxiv_id").select(*SEARCH_COLS, "rank")
-
-
-def search_batch(
-    postings: DataFrame, queries: DataFrame, limit=None, analyzer: str = "english",
-    buckets: int = TERM_BUCKETS,
-) -> DataFrame:
-    """Top papers of every row of `queries` (query_id, query): (query_id, arxiv_id, rank, place).
-
-    Queries with the same terms are answered once. Candidates come from each term set's rarest
-    term only, so a term shared by all queries and most papers never pairs them up; the other
-    terms are then checked on (paper, term) keys. Positions are read for complete matches only.
-    """
-    limit = params.positive(limit, params.SEARCH_LIMIT)
-    found = analysis.distinct_terms(analysis.tokens("query"), analyzer)
-    asked = queries.select("query_id", F.array_sort(found).alias("terms")).select(
-        "query_id", "terms", F.sha2(F.array_join("terms", " "), 256).alias("terms_key")
-    )
-    # Dropping repeated sets by their short key combines them per task before the shuffle.
-    sets = asked.groupBy("terms_key").agg(F.first("terms").alias("terms"))
-    wanted = sets.select(
-        "terms_key", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
-    )
-    # Only the wanted terms' rows go on; on a stored index this prunes partitions at run time.
-    names = wanted.select("term").distinct()
-    keys = ["term"]
-    if "term_bucket" in postings.columns:
-        names = names.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-        keys = ["term_bucket", "term"]
-    relevant = postings.join(names, keys, "left_semi")
-
-    frequency = relevant.groupBy("term").agg(F.count("*").alias("df"))
-    # An inner join is enough: a term without papers leaves its set short of terms below.
-    rarest = (
-        wanted.join(frequency, "term")
-        .groupBy("terms_key", "n_terms")
-        .agg(F.min(F.struct("df", "term")).alias("rarest"), F.count("*").alias("known"))
-        .where(F.col("known") == F.col("n_terms"))
-        .select("terms_key", F.col("rarest.term").alias("term"))
-    )
-    candidates = relevant.select("term", "arxiv_id").join(rarest, "term").drop("term")
-    needed = candidates.join(wanted, "terms_key")
-    hits = needed.join(relevant.select("term", "arxiv_id", "positions"), ["arxiv_id", "term"])
-    matched = (
-        hits.groupBy("terms_key", "arxiv_id", "n_terms")
-        .agg(F.collect_list("positions").alias("positions"))
-        .where(F.size("positions") == F.col("n_terms"))
-    )
     ranked = matched.select(
         "terms_key", "arxiv_id", rank_positions(F.col("positions")).alias("rank")
     )

@@ -226,7 +226,7 @@ def test_batch_reads_the_index_twice(spark, tmp_path):
         search.cut = cut
     read(found)
     assert found.count() == 5
-    assert sum(reads) == 2
+    assert reads == [1, 0, 1]
 
 
 @pytest.mark.parametrize("analyzer", analysis.ANALYZERS)
