@@ -28,6 +28,12 @@ from .components import components
 BLOCK_FEATURES = 200_000
 """Features of one block of a verified cluster; every set counts as `LEAST_FEATURES` at least."""
 LEAST_FEATURES = 200
+_SEED = np.uint64(0x5851F42D4C957F2D)
+
+
+ROUNDS = 6
+RARE = 0.1
+"""The share of sets that may have more empty subsets than tolerated, in each round."""
 
 
 @lru_cache(maxsize=None)
@@ -36,30 +42,25 @@ def scheme(low: int, distance: int) -> tuple[int, int, int, int]:
 
     Of `n1` first-level partitions, more than `spare` differ in at most `k2` features when the
     sets differ in at most `distance`; there some `n2 - k2` second-level partitions are equal. The
-    scheme with the fewest signatures is taken under which a set of `low` features has more than
-    `spare` partitions with an empty subset in about one case of a million only.
+    scheme with the fewest signatures is taken under which a set of `low` features seldom has more
+    than `spare` partitions with an empty subset.
     """
-    if distance == 0:
-        return 1, 1, 1, 0
     best = None
-    for k2 in range(min(distance, 5) + 1):
+    for k2 in range(min(distance, 6) + 1):
         need = -(-(distance + 1) // (k2 + 1))
-        for size in range(1, 5):
+        for size in range(1, 6 if k2 else 2):
             n2 = k2 + size
-            if k2 == 0 and size > 1:
-                break
             subsets = math.comb(n2, k2)
-            for spare in range(0, max(40, need // 8)):
+            for spare in range(max(40, need // 8)):
                 n1 = need + spare
                 if best is not None and n1 * subsets >= best[0]:
                     break
                 mean = n1 * min(1.0, subsets * (1 - size / (n1 * n2)) ** low)
-                if _tail(mean, spare) <= 1e-6:
+                if _tail(mean, spare) <= RARE:
                     best = (n1 * subsets, n1, n2, size, spare)
                     break
     if best is None:
-        need = distance + 1
-        return need, 1, 1, need
+        return distance + 1, 1, 1, 0
     return best[1:]
 
 
@@ -98,10 +99,10 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in found]
 
 
-def _band_signatures(sets, band, low, distance):
+def _band_signatures(sets, band, low, distance, turn=0):
     n1, n2, size, spare = scheme(low, distance)
     counts = np.array([len(s) for s in sets])
-    features = hashing.mix(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D))
+    features = hashing.mix(np.concatenate(sets) ^ hashing.mix(np.array([turn], np.uint64) + _SEED))
     cells = n1 * n2
     cell = (features >> np.uint64(33)) % np.uint64(cells)
     place = np.repeat(np.arange(len(sets)) * cells, counts) + cell.astype(np.int64)
@@ -113,10 +114,21 @@ def _band_signatures(sets, band, low, distance):
     total = sums[:, :, subsets].sum(axis=3, dtype=np.uint64)
     empty = filled[:, :, subsets].sum(axis=3) == 0
     tag = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(1, n1, -1)
-    keys = hashing.mix(total + hashing.mix(tag + (np.uint64(band + 1) << np.uint64(40))))
-    # A pair that shares only empty subsets has more than `spare` partitions with one in both sets.
-    kept = ~empty | (empty.any(axis=2).sum(axis=1) > spare)[:, None, None]
-    return [keys[i][kept[i]] for i in range(len(sets))]
+    tag = tag + (np.uint64(band + 1) << np.uint64(40)) + (np.uint64(turn) << np.uint64(60))
+    keys = hashing.mix(total + hashing.mix(tag))
+    # A pair that shares only empty subsets has more than `spare` partitions with one in both
+    # sets. Such sets meet again under other partitions, and at last by their empty subsets.
+    special = empty.any(axis=2).sum(axis=1) > spare
+    kept = ~empty
+    if turn == ROUNDS - 1:
+        kept |= special[:, None, None]
+    found = [keys[i][kept[i]] for i in range(len(sets))]
+    again = np.flatnonzero(special).tolist()
+    if again and turn < ROUNDS - 1:
+        more = _band_signatures([sets[i] for i in again], band, low, distance, turn + 1)
+        for i, extra in zip(again, more, strict=True):
+            found[i] = np.concatenate([found[i], extra])
+    return found
 
 
 def _slices(batch, size=512):
