@@ -537,14 +537,21 @@ def similar_by_text(spark, sf_dir):
 
 
 def similar_ivf(spark, sf_dir):
-    """Index search, exact finish; below the minimum size there is no index and a scan answers."""
+    """Index search with as many cells as the table asks for, finished exactly."""
     vectors = tv.embeddings(spark, sf_dir)
     index = ivf.build(vectors, scratch_path(spark, "index"))
-    if index is None:
-        return similar_by_id(spark, sf_dir)
     return _similarity(ivf.search_by_id(index, vectors, PAPER, exact=True))
 
 
+def similar_ivf_probed(spark, sf_dir):
+    """The probing form: how many of the ten nearest papers it finds."""
+    vectors = tv.embeddings(spark, sf_dir)
+    index = ivf.build(vectors, scratch_path(spark, "index"))
+    found = ivf.search_by_id(index, vectors, PAPER).select("arxiv_id")
+    exact = knn.similar_by_id(vectors, PAPER)
+    return exact.join(found, "arxiv_id", "left_semi").agg(F.count("*").alias("found_of_ten"))
+
+
 def similar_ivf_cells(spark, sf_dir):
     """Index search over 20 cells, finished exactly, at any table size."""
     vectors = tv.embeddings(spark, sf_dir)
@@ -573,18 +580,27 @@ def similar_precomputed(spark, sf_dir):
     return _similarity(similar.by_id(papers, vectors, PAPER, similar=table))
 
 
+def _stored_for_labels(spark, sf_dir):
+    """The neighbour table of the labelled papers only."""
+    everyone = cut(neighbours.build(tv.embeddings(spark, sf_dir)), "similar")
+    labelled = tv.table(spark, sf_dir, "labels").select(tv.paper_id("doc_id").alias("arxiv_id"))
+    return catalog.known_ids(everyone, labelled)
+
+
 def similar_filled(spark, sf_dir):
-    """Neighbours of all papers: stored ones for the labelled papers, built for the others."""
+    """Neighbours of all papers: stored ones for the labelled papers, scanned for the others."""
     papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
-    everyone = cut(neighbours.build(vectors))
-    labelled = tv.table(spark, sf_dir, "labels").select(tv.paper_id("doc_id").alias("arxiv_id"))
-    stored = catalog.known_ids(everyone, labelled)
+    stored = _stored_for_labels(spark, sf_dir)
+    return _neighbour_rows(similar.many(stored, papers, vectors, papers))
 
-    def build(rest):
-        return neighbours.build(vectors).join(rest, "arxiv_id", "left_semi")
 
-    ids_ = papers.select("arxiv_id")
-    return _neighbour_rows(similar.stored_or_scanned(stored, papers, ids_, build))
+def similar_many(spark, sf_dir):
+    """Three neighbours of every fifth paper, when every third paper has left the archive."""
+    papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
+    number = F.substring_index("arxiv_id", ".", -1).cast("int")
+    stored = _stored_for_labels(spark, sf_dir)
+    left, asked = papers.where(number % 3 != 0), papers.where(number % 5 == 0)
+    return _neighbour_rows(similar.many(stored, left, vectors, asked, limit=3))
 
 
 def similar_lookup(spark, sf_dir):
@@ -683,8 +699,8 @@ _QUERIES = [
     token_counts, postings, search_one_word, search_two_words, search_matches, search_english,
     search_index, search_index_english, search_batch,
     similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_ivf,
-    similar_ivf_cells, build_similar, build_similar_blocks, similar_precomputed,
-    similar_filled, similar_lookup, embed_pending, embed_batches,
+    similar_ivf_cells, similar_ivf_probed, build_similar, build_similar_blocks, similar_precomputed,
+    similar_filled, similar_many, similar_lookup, embed_pending, embed_batches,
     answer_lines, answer_recent, full_text_store, sync_run,
 ]
 

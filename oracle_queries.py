@@ -197,6 +197,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY s DESC, s
   FROM pairs)
 SELECT arxiv_id, similar_id, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 10"""
 
+SIMILAR_MANY = f"""WITH {VECTORS}, pairs AS (
+  SELECT a.arxiv_id, b.arxiv_id AS similar_id,
+    CAST(split_part(b.arxiv_id, '.', 2) AS INT) % 3 <> 0 AS there,
+    round({COSINE.format(a='a.embedding', b='b.embedding')}, 12) AS s
+  FROM vectors a JOIN vectors b ON a.arxiv_id <> b.arxiv_id
+  WHERE CAST(split_part(a.arxiv_id, '.', 2) AS INT) % 5 = 0),
+stored AS (SELECT * FROM pairs WHERE arxiv_id IN (SELECT {_pid('doc_id')} FROM labels)
+  QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY s DESC, similar_id) <= 10),
+known AS (SELECT * FROM stored WHERE there),
+filled AS (SELECT * FROM known UNION ALL SELECT * FROM pairs
+  WHERE there AND arxiv_id NOT IN (SELECT arxiv_id FROM known))
+SELECT arxiv_id, similar_id, round(s, 6) AS similarity,
+  row_number() OVER (PARTITION BY arxiv_id ORDER BY s DESC, similar_id) AS rank
+FROM filled QUALIFY rank <= 3"""
+
 DETAIL = f"""WITH {PAPERS}, {VECTORS}, {REFS}, {DEGREES}
 SELECT p.arxiv_id, title, authors, categories, {_time('published')},
   coalesce(ref_count, 0) AS ref_count, coalesce(cited_by_count, 0) AS cited_by_count,
@@ -378,6 +393,7 @@ ORACLES = {
     "cosine_columns": NEAREST.replace("WHERE v.arxiv_id <> one.arxiv_id", "").split("ORDER BY")[0],
     "build_similar": NEIGHBOURS,
     "similar_filled": NEIGHBOURS,
+    "similar_many": SIMILAR_MANY,
     "similar_lookup": NEAREST,
     "build_similar_blocks": NEIGHBOURS,
     "embed_pending": f"""SELECT arxiv_id, 64 AS dim,

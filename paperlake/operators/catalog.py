@@ -85,14 +85,14 @@ def unknown_ids(candidates: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def _queue(pending: DataFrame, columns: list[str], limit) -> DataFrame:
-    """Newest first; `limit=None` keeps the default size, `limit="all"` the whole queue unsorted."""
+    """Newest first; `limit=None` keeps the default size, `limit="all"` the whole queue."""
+    ordered = pending.select(*columns).orderBy(*newest_first())
     if limit == "all":
-        return pending.select(*columns)
-    limit = params.positive(limit, params.QUEUE_LIMIT)
-    return pending.select(*columns).orderBy(*newest_first()).limit(limit)
+        return ordered
+    return ordered.limit(params.positive(limit, params.QUEUE_LIMIT))
 
 
-def pending_embedding(papers: DataFrame, embeddings: DataFrame, limit=None) -> DataFrame:
+def pending_embedding(papers: DataFrame, embeddings: DataFrame, limit="all") -> DataFrame:
     """Papers with an abstract and no vector."""
     without = papers.where(F.col("abstract") != "").join(
         embeddings.select("arxiv_id"), "arxiv_id", "left_anti"
@@ -100,7 +100,7 @@ def pending_embedding(papers: DataFrame, embeddings: DataFrame, limit=None) -> D
     return _queue(without, EMBED_QUEUE_COLS, limit)
 
 
-def pending_full_text(papers: DataFrame, limit=None) -> DataFrame:
+def pending_full_text(papers: DataFrame, limit="all") -> DataFrame:
     """Papers marked as having no full text (an unknown mark is not pending)."""
     return _queue(papers.where(~F.col("has_full_text")), TEXT_QUEUE_COLS, limit)
 

@@ -1,5 +1,6 @@
 """Approximate index: vectors grouped by nearest centroid and stored one partition per cell."""
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,44 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake import params
-from paperlake.functions.vectors import dot
 from paperlake.operators import knn
 from paperlake.schemas import EMBEDDINGS
 from paperlake.session import child_names, cut, path_exists
 
-# The rule for when to build the index and how many cells it gets.
-MIN_VECTORS = 1000
-FEW_VECTORS = 10000
-MAX_LISTS = 100
-
-TRAIN_PER_LIST = 256
-SPLIT_ROWS = 100_000
-MAX_CENTROID_BYTES = 64 * 1024 * 1024
 
 # Slack for comparing angles computed in floating point.
 ANGLE_SLACK = 1e-6
 
 
-def n_lists(n_vectors: int):
-    """Number of cells, or None while there are too few vectors for an index."""
-    if n_vectors < MIN_VECTORS:
-        return None
-    return max(n_vectors // 10, 1) if n_vectors < FEW_VECTORS else MAX_LISTS
+def n_lists(n_vectors: int) -> int:
+    """Number of cells: the square root of the vectors, so that cells and their vectors grow
+    alike; a probe of a cell and the comparison with all centroids cost the same."""
+    return max(round(math.sqrt(n_vectors)), 2)
 
 
-def train(vectors: DataFrame, n_vectors: int, lists: int, seed: int = 7) -> np.ndarray:
-    """Unit centroids by cosine k-means over at most `TRAIN_PER_LIST` vectors per cell.
+def train(vectors: DataFrame, lists: int, seed: int = 7) -> np.ndarray:
+    """Unit centroids by cosine k-means over all vectors.
 
-    Sampling only places the centroids; every vector is assigned to a cell afterwards.
+    The centroids, of the order of a square root of the vectors, travel with every task.
     """
-    sample = vectors.select("embedding")
-    first = sample.first()
-    # The centroids travel with every task.
-    lists = min(lists, max(MAX_CENTROID_BYTES // (8 * len(first.embedding)), 1))
-    wanted = lists * TRAIN_PER_LIST
-    if n_vectors > wanted:
-        sample = sample.sample(wanted / n_vectors, seed)
-    features = sample.select(array_to_vector("embedding").alias("features"))
+    features = vectors.select(array_to_vector("embedding").alias("features"))
     kmeans = KMeans(
         k=lists, distanceMeasure="cosine", seed=seed, maxIter=10, initMode="random"
     )
@@ -57,8 +41,7 @@ def train(vectors: DataFrame, n_vectors: int, lists: int, seed: int = 7) -> np.n
 
 def nonzero(embeddings: DataFrame) -> DataFrame:
     """Vectors with a direction; zero vectors cannot be indexed by cosine."""
-    vector = F.col("embedding")
-    return embeddings.where(vector.isNotNull() & (dot(vector, vector) > 0))
+    return embeddings.where(F.exists("embedding", lambda x: x != 0))
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -105,19 +88,18 @@ class Index:
 
 
 def build(embeddings: DataFrame, path: str, lists=None, seed: int = 7):
-    """Write the index under `path` and open it; None while there are too few vectors.
+    """Write the index under `path` and open it; None if there is no vector to index.
 
     An index that is there already is opened as it is.
     """
     spark = embeddings.sparkSession
     if _batches(spark, path):
         return open_index(spark, path)
-    n_vectors = embeddings.count()
-    lists = lists or n_lists(n_vectors)
-    if lists is None:
-        return None
     vectors = nonzero(embeddings.select("arxiv_id", "embedding"))
-    centroids = train(vectors, n_vectors, lists, seed)
+    n_vectors = vectors.count()
+    if not n_vectors:
+        return None
+    centroids = train(vectors, lists or n_lists(n_vectors), seed)
     rows = [(c, centroids[c].tolist()) for c in range(len(centroids))]
     table = spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1)
     table.write.mode("overwrite").parquet(f"{path}/centroids")
@@ -133,20 +115,12 @@ def add(index: Index, embeddings: DataFrame, batch: str) -> Index:
 
 
 def _write_cells(vectors: DataFrame, centroids: np.ndarray, path: str, batch: str) -> None:
-    assigned = assign(vectors, centroids)
-    # One row per cell: bounded by the number of centroids.
-    summary = cut(
-        assigned.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
-    )
-    by_cell = {row.cell: row.rows for row in summary.collect()}
-    # One task per cell, and several for a crowded cell.
-    pieces = [-(-by_cell.get(c, 1) // SPLIT_ROWS) for c in range(len(centroids))]
-    piece = F.pmod(F.xxhash64("arxiv_id"), F.element_at(F.lit(pieces), F.col("cell") + 1))
-    placed = assigned.withColumn("piece", piece).repartition(sum(pieces), "cell", "piece")
-    placed.select("arxiv_id", "embedding", "cell").write.partitionBy("cell").mode(
-        "overwrite"
-    ).parquet(f"{path}/cells/batch={batch}")
-    # The radii come last: they make the batch visible.
+    assigned = cut(assign(vectors, centroids), "assigned")
+    # Small cells share a task, crowded ones are split by the rebalance.
+    placed = assigned.select("arxiv_id", "embedding", "cell").hint("rebalance", "cell")
+    placed.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/cells/batch={batch}")
+    # One row per cell, written last: the radii make the batch visible.
+    summary = assigned.groupBy("cell").agg(F.max("angle").alias("radius"))
     summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/radius/{batch}")
 
 

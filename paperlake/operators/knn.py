@@ -7,6 +7,7 @@ eight cores; without the scaling to unit length done here).
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from paperlake import params
 from paperlake.schemas import LIST_COLS
 
-# Queries travel with each task: their number is limited, larger sets go to `neighbours.build`.
-MAX_QUERY_BYTES = 64 * 1024 * 1024
+# Queries travel with each task: larger sets are searched in blocks of this size.
+QUERY_BYTES = 64 * 1024 * 1024
 
 # Similarities are compared after rounding, so that summation order cannot decide a tie.
 DIGITS = 12
@@ -56,10 +57,17 @@ def best_first() -> list[Column]:
 
 def scan(embeddings: DataFrame, queries: np.ndarray, k: int, exclude=None) -> DataFrame:
     """Top `k` (query, arxiv_id, similarity) per row of `queries`; `exclude` is one id per query."""
-    if queries.nbytes > MAX_QUERY_BYTES:
-        raise ValueError("too many query vectors for one scan; use neighbours.build")
+    exclude = exclude or [None] * len(queries)
+    most = max(QUERY_BYTES // (8 * queries.shape[1]), 1)
+    if len(queries) > most:
+        blocks = [
+            scan(embeddings, queries[i : i + most], k, exclude[i : i + most]).withColumn(
+                "query", F.col("query") + i
+            )
+            for i in range(0, len(queries), most)
+        ]
+        return reduce(DataFrame.unionByName, blocks)
     units = unit_rows(queries)
-    exclude = exclude or [None] * len(units)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_ids = [np.empty(0, dtype=object) for _ in units]

@@ -1,18 +1,15 @@
 """Rows of a batch that are, or are not, in a table.
 
-For a batch small enough to broadcast, the table is first reduced to the batch's keys, which only
-scans it: in a plain semi or anti join the table, being the right side, would have to be shuffled.
+The table is first reduced to the batch's keys. Where adaptive execution finds the batch small
+enough to broadcast, that only scans the table, which as the right side of a plain semi or anti
+join would have to be shuffled; otherwise the reduction and the join share one partitioning.
 """
 
 from pyspark.sql import DataFrame
 
-from paperlake.session import fits_broadcast
-
 
 def _select(batch: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
-    found = table.select(*keys)
-    if fits_broadcast(batch):
-        found = found.join(batch.select(*keys), keys, "left_semi")
+    found = table.select(*keys).join(batch.select(*keys), keys, "left_semi")
     return batch.join(found, keys, how)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from paperlake.operators import membership
 from paperlake.operators.catalog import timestamp
 from paperlake.schemas import PAPERS
-from paperlake.session import fits_broadcast
 
 REPLACED = ["title", "abstract"]
 KEPT_TEXT = ["authors", "categories", "doi", "journal_ref", "full_text_path"]
@@ -42,8 +41,8 @@ def fold_batch(batch: DataFrame, order: str = "seq", strict: bool = False) -> Da
 def merge_papers(current: DataFrame, folded: DataFrame, fetched_at, strict: bool = False):
     """The paper table after upserting a folded batch.
 
-    `fetched_at` is the batch's own time, so that repeating a batch changes nothing. A batch small
-    enough to broadcast leaves the stored side unshuffled; otherwise both sides are joined by id.
+    `fetched_at` is the batch's own time, so that repeating a batch changes nothing. The folded
+    batch and the stored side are each read once, and joined by id.
     """
     old = current.select(
         "arxiv_id",
@@ -55,11 +54,7 @@ def merge_papers(current: DataFrame, folded: DataFrame, fetched_at, strict: bool
         F.lit(True).alias("given"),
         *[F.col(c).alias(f"new_{c}") for c in [*REPLACED, *KEPT, "has_full_text"]],
     )
-    if fits_broadcast(folded):
-        inserted = membership.unknown(new, current, "arxiv_id")
-        joined = old.join(new, "arxiv_id", "left").unionByName(inserted, allowMissingColumns=True)
-    else:
-        joined = old.join(new, "arxiv_id", "full_outer")
+    joined = old.join(new, "arxiv_id", "full_outer")
     return joined.select(*_merged_columns(fetched_at, strict))
 
 
@@ -101,9 +96,9 @@ def new_edges(edges: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def fold_embeddings(batch: DataFrame, papers: DataFrame, order: str = "seq") -> DataFrame:
-    """Last vector per id, unknown ids dropped."""
-    folded = batch.groupBy("arxiv_id").agg(F.max_by("embedding", order).alias("embedding"))
-    return membership.known(folded, papers, "arxiv_id")
+    """Last vector per id; unknown ids are dropped before their vectors are folded."""
+    wanted = membership.known(batch, papers, "arxiv_id")
+    return wanted.groupBy("arxiv_id").agg(F.max_by("embedding", order).alias("embedding"))
 
 
 def replace_rows(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:

@@ -22,12 +22,9 @@ from paperlake.schemas import SIMILAR
 from paperlake.session import cut
 
 MAX_BLOCK = 4096
-MAX_CELLS = 16384
 
-# Groups of equal vectors holding more than a share of 1/MAX_HEAVY of the rows: fewer than
-# MAX_HEAVY groups can.
-MAX_HEAVY = 10_000
-MIN_HEAVY = 20
+# Rows compared with all centroids at a time.
+ROUTED_ROWS = 512
 
 _HITS = "rep string, arxiv_id string, similarity double"
 _HIT_SCHEMA = pa.schema(
@@ -125,13 +122,16 @@ def _across_blocks(queries: DataFrame, placed: DataFrame, k: int) -> DataFrame:
 
 def _routes(bounded: DataFrame, cells: _Cells, nprobe) -> DataFrame:
     """Send each vector to the blocks it has to be compared with, its own block excepted."""
-    schema = "rep string, embedding array<float>, cell int, block int"
+    schema = "rep string, cell int, block int"
     centroids, radius, blocks = cells.centroids, cells.radius, cells.blocks
 
-    def route(batches):
+    def slices(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            for start in range(0, batch.num_rows, ROUTED_ROWS):
+                yield batch.slice(start, ROUTED_ROWS)
+
+    def route(batches):
+        for batch in slices(batches):
             rows = knn.unit_rows(knn.matrix(batch.column("embedding")))
             angles = np.arccos(np.clip(rows @ centroids.T, -1, 1))
             visit = np.broadcast_to(radius >= 0, angles.shape).copy()
@@ -153,19 +153,14 @@ def _routes(bounded: DataFrame, cells: _Cells, nprobe) -> DataFrame:
             own_block = batch.column("block").to_numpy(zero_copy_only=False)[who]
             other = (cell != own_cell) | (block != own_block)
             who, cell, block = who[other], cell[other], block[other]
-            # Hand on bounded batches: a vector is repeated once per block it visits.
-            for start in range(0, len(who), 8192):
-                part = slice(start, start + 8192)
-                picked = pa.array(who[part], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("rep").take(picked),
-                        batch.column("embedding").take(picked),
-                        pa.array(cell[part], pa.int32()),
-                        pa.array(block[part], pa.int32()),
-                    ],
-                    names=["rep", "embedding", "cell", "block"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("rep").take(pa.array(who, pa.int64())),
+                    pa.array(cell, pa.int32()),
+                    pa.array(block, pa.int32()),
+                ],
+                names=["rep", "cell", "block"],
+            )
 
     return bounded.mapInArrow(route, schema)
 
@@ -178,14 +173,9 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 def _nearest_vectors(vectors: DataFrame, k: int, max_block: int, nprobe, seed: int) -> DataFrame:
     """Top `k` other vectors of every distinct vector: (rep, arxiv_id, similarity)."""
     n_vectors = vectors.count()
-    if n_vectors <= max_block:
-        one_block = vectors.select(
-            "rep", "embedding", F.lit(0).alias("cell"), F.lit(0).alias("block")
-        )
-        return _within_blocks(one_block, k)
-
-    lists = min(-(-2 * n_vectors // max_block), MAX_CELLS)
-    centroids = ivf.train(vectors, n_vectors, lists, seed)
+    if not n_vectors:
+        return vectors.select("rep", F.col("rep").alias("arxiv_id"), F.lit(0.0).alias("similarity"))
+    centroids = ivf.train(vectors, max(-(-2 * n_vectors // max_block), 2), seed)
     assigned = cut(ivf.assign(vectors.select("rep", "embedding"), centroids), "assigned")
     summary = assigned.groupBy("cell").agg(
         F.count("*").alias("rows"), F.max("angle").alias("radius")
@@ -212,16 +202,21 @@ def _nearest_vectors(vectors: DataFrame, k: int, max_block: int, nprobe, seed: i
     bounded = placed.join(reach, "rep", "left").select(
         "rep", "embedding", "cell", "block", reached
     )
-    routes = _routes(bounded, cells, nprobe)
+    # Ids are routed; the vectors follow once the visits are counted.
+    routes = cut(_routes(bounded, cells, nprobe), "routes")
 
     # Visits per block decide into how many parts its queries are cut.
     visits = cut(routes.groupBy("cell", "block").agg(F.count("*").alias("visits")), "visits")
     parts = visits.select(
         "cell", "block", F.ceil(F.col("visits") / max_block).cast("int").alias("parts")
     )
-    queries = routes.join(parts, ["cell", "block"]).withColumn(
+    visiting = routes.join(parts, ["cell", "block"]).withColumn(
         "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     )
+    vector = assigned.select(F.col("rep").alias("own"), F.col("embedding").alias("vector"))
+    queries = visiting.join(vector, F.col("rep") == F.col("own")).select(
+        "rep", F.col("vector").alias("embedding"), "cell", "block", "part"
+    )
     copies = placed.join(parts, ["cell", "block"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
@@ -259,7 +254,8 @@ def build(
     hit = F.struct((-F.col("similarity")).alias("distance"), F.col("arxiv_id"))
     ranked = F.sort_array(F.collect_list(hit))
     lists = _top(candidates, k + 1).groupBy("rep").agg(ranked.alias("ids")).join(names, "rep")
-    rows = _with_lists(members, lists.select("vector_key", "ids"), vectors).select(
+    # Adaptive execution splits the members of a large group of copies.
+    rows = members.join(lists.select("vector_key", "ids"), "vector_key").select(
         "arxiv_id",
         F.posexplode(
             F.slice(F.filter("ids", lambda x: x["arxiv_id"] != F.col("arxiv_id")), 1, k)
@@ -271,21 +267,3 @@ def build(
         (-F.col("hit.distance")).alias("similarity"),
         (F.col("place") + 1).cast("int").alias("rank"),
     ).to(SIMILAR)
-
-
-def _with_lists(members: DataFrame, lists: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Attach the id lists to all members of each vector's group.
-
-    The members of large groups are not shuffled: there are at most `MAX_HEAVY` such groups, so
-    their lists are broadcast.
-    """
-    n_rows = vectors.agg(F.sum("copies")).first()[0] or 0
-    heavy = vectors.where(
-        F.col("copies") > max(n_rows / MAX_HEAVY, MIN_HEAVY)
-    ).select("vector_key")
-    if heavy.isEmpty():
-        return members.join(lists, "vector_key")
-    heavy = F.broadcast(heavy)
-    large = members.join(F.broadcast(lists.join(heavy, "vector_key", "left_semi")), "vector_key")
-    small = members.join(heavy, "vector_key", "left_anti").join(lists, "vector_key")
-    return large.unionByName(small)

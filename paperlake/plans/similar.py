@@ -1,6 +1,7 @@
 """Similar papers: stored neighbours first, then the index, then a scan."""
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake import params
@@ -26,8 +27,9 @@ def by_id(
     """
     if similar is not None:
         found = stored(similar, papers, arxiv_id, limit)
-        if not found.isEmpty():
-            return knn.with_papers(found, papers)
+        rows = found.collect()
+        if rows:
+            return knn.with_papers(papers.sparkSession.createDataFrame(rows, found.schema), papers)
     if index is not None:
         hits = ivf.search_by_id(index, embeddings, arxiv_id, limit)
     else:
@@ -59,15 +61,31 @@ def lookup(papers: DataFrame, embeddings: DataFrame, text_or_id: str, **options)
     return by_text(papers, embeddings, text_or_id, **options)
 
 
-def stored_or_scanned(similar: DataFrame, papers: DataFrame, ids: DataFrame, build, limit=None):
-    """Neighbours for many ids: stored ones, and `build(ids)` for the ids that have none.
+def many(similar: DataFrame, papers: DataFrame, embeddings: DataFrame, ids: DataFrame, limit=None):
+    """Neighbours of many papers: (arxiv_id, similar_id, similarity, rank).
 
-    `build` maps (arxiv_id) rows to neighbour rows, for instance by `neighbours.build`.
+    Stored neighbours that left the archive are dropped first, the limit counts what is left. Ids
+    without any are compared with all vectors, and with them only; their vectors, as queries of a
+    batch, come to the driver.
     """
-    known = similar.join(
+    limit = params.positive(limit, params.SIMILAR_LIMIT)
+    asked = ids.select("arxiv_id").distinct()
+    mine = similar.join(asked, "arxiv_id", "left_semi")
+    known = mine.join(
         papers.select(F.col("arxiv_id").alias("similar_id")), "similar_id", "left_semi"
-    )
-    mine = known.join(ids.select("arxiv_id"), "arxiv_id", "left_semi")
-    mine = mine.where(F.col("rank") <= params.positive(limit, params.SIMILAR_LIMIT))
-    rest = ids.select("arxiv_id").join(known.select("arxiv_id"), "arxiv_id", "left_anti")
-    return mine.unionByName(build(rest))
+    ).select("arxiv_id", "similar_id", "similarity")
+    rest = asked.join(known.select("arxiv_id"), "arxiv_id", "left_anti")
+    queries = embeddings.join(rest, "arxiv_id", "left_semi").select("arxiv_id", "embedding").collect()
+    if queries:
+        names = [row["arxiv_id"] for row in queries]
+        vectors = np.array([row["embedding"] for row in queries], np.float64)
+        there = embeddings.join(papers.select("arxiv_id"), "arxiv_id", "left_semi")
+        hits = knn.scan(there, vectors, limit, names)
+        own = F.element_at(F.array(*map(F.lit, names)), F.col("query") + 1)
+        known = known.unionByName(
+            hits.where("similarity IS NOT NULL").select(
+                own.alias("arxiv_id"), F.col("arxiv_id").alias("similar_id"), "similarity"
+            )
+        )
+    best = Window.partitionBy("arxiv_id").orderBy(F.desc("similarity"), "similar_id")
+    return known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

@@ -48,6 +48,9 @@ def sync_full_text(
         .select("arxiv_id", "text", category.alias("category"))
     )
     texts = cut(texts, "texts")
+    # Edges come before the marks: a paper leaves the queue only once its edges are stored, and
+    # inserting them again after an interrupted run changes nothing.
+    edges = archive.insert_refs(harvest.document_edges(documents))
     fetched = texts.count()
     if fetched:
         # Texts an interrupted run stored without marking the paper are not stored twice.
@@ -59,7 +62,6 @@ def sync_full_text(
         )
         path = full_text_path(archive.fulltext_path, F.col("category"), F.col("arxiv_id"))
         archive.mark_full_text(texts.withColumn("full_text_path", path))
-    edges = archive.insert_refs(harvest.document_edges(documents))
     return {"fetched": fetched, "failed": failed, "edges": edges}
 
 

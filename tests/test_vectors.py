@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from paperlake.operators import embed, ivf, knn, neighbours
 from paperlake.plans import similar
 from paperlake.schemas import EMBEDDINGS, PAPERS
+from paperlake.session import cut
 
 
 def frame(spark, vectors, parts=4):
@@ -68,10 +69,7 @@ def test_scan_many_queries(spark):
 
 
 def test_index_size_rule():
-    assert ivf.n_lists(999) is None
-    assert ivf.n_lists(1000) == 100
-    assert ivf.n_lists(9999) == 999
-    assert ivf.n_lists(10000) == 100
+    assert [ivf.n_lists(n) for n in (1, 100, 10_000, 1_000_000)] == [2, 10, 100, 1000]
 
 
 def test_index_search(spark, tmp_path):
@@ -90,7 +88,9 @@ def test_index_search(spark, tmp_path):
     plan = ivf.search(index, vectors[11], nprobe=2)._jdf.queryExecution().executedPlan()
     filters = plan.toString().split("PartitionFilters: [")[1].split("]")[0]
     assert "cell#" in filters and " IN (" in filters
-    assert ivf.build(frame(spark, enumerate(vectors[:900])), str(tmp_path / "none")) is None
+    assert ivf.build(frame(spark, enumerate(vectors[5:6])), str(tmp_path / "none")) is None
+    few = ivf.build(frame(spark, enumerate(vectors[:30])), str(tmp_path / "few"))
+    assert few.cells().count() == 29
 
 
 def test_index_is_kept_and_extended(spark, tmp_path):
@@ -159,14 +159,39 @@ def test_stored_neighbours_then_fallback(spark):
     expected = [i for i, _ in brute(vectors, 4)["p00040"] if i < "p00050"]
     assert [r.arxiv_id for r in found] == expected
 
-    everyone = papers.select("arxiv_id")
-    filled = similar.stored_or_scanned(
-        stored, papers, everyone,
-        lambda rest: neighbours.build(data, 4).join(rest, "arxiv_id", "left_semi"), 4,
+
+
+def test_neighbours_of_many_papers(spark):
+    vectors = random_vectors(60)
+    data, papers = frame(spark, enumerate(vectors)), papers_for(spark, 50)
+    stored = cut(neighbours.build(data.where("arxiv_id < 'p00030'"), 6))
+    # The first two stored neighbours of one paper leave the archive: the next ones move up.
+    gone = [i for i, _ in table(stored)["p00003"][:2]]
+    left = papers.where(~F.col("arxiv_id").isin(gone))
+    asked = papers.where("arxiv_id IN ('p00003', 'p00040', 'p00045')").unionByName(
+        papers_for(spark, 1).withColumn("arxiv_id", F.lit("no vector"))
     )
-    got = table(filled)
-    assert got["p00003"] == table(stored)["p00003"]
-    assert got["p00040"] == brute(vectors, 4)["p00040"]
+    got = table(similar.many(stored, left, data, asked, limit=3))
+    assert set(got) == {"p00003", "p00040", "p00045"}
+    assert [i for i, _ in got["p00003"]] == [i for i, _ in table(stored)["p00003"][2:5]]
+    known = {f"p{n:05d}" for n in range(50)} - set(gone)
+    for name in ("p00040", "p00045"):
+        assert [i for i, _ in got[name]] == [
+            i for i, _ in brute(vectors, 59)[name] if i in known
+        ][:3]
+    # Ids that are stored start no scan.
+    plan = similar.many(stored, papers, data, papers.where("arxiv_id = 'p00003'"))
+    assert "MapInArrow" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_queries_are_scanned_in_blocks(spark, monkeypatch):
+    vectors = random_vectors(40)
+    data = frame(spark, enumerate(vectors))
+    queries = vectors[:7].astype(float)
+    own = [f"p{n:05d}" for n in range(7)]
+    expected = sorted(knn.scan(data, queries, 3, own).collect())
+    monkeypatch.setattr(knn, "QUERY_BYTES", 2 * queries[0].nbytes)
+    assert sorted(knn.scan(data, queries, 3, own).collect()) == expected
 
 
 def test_lookup_dispatch(spark):
