@@ -8,7 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from paperlake import testviews as tv  # noqa: E402
@@ -251,7 +251,7 @@ def paper_details(spark, sf_dir):
 
 def pending_embedding(spark, sf_dir):
     papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
-    rows = catalog.pending_embedding(papers, vectors)
+    rows = catalog.pending_embedding(papers, vectors, 500)
     return rows.select("arxiv_id", "title", "categories", _time("published"))
 
 
@@ -261,8 +261,17 @@ def pending_embedding_all(spark, sf_dir):
     return rows.select("arxiv_id", "title", "categories", _time("published"))
 
 
+def pending_newest(spark, sf_dir):
+    """The newest of the queue, with their places, under a limit that binds."""
+    queue = catalog.pending_full_text(tv.papers(spark, sf_dir), limit=25)
+    order = Window.orderBy(F.desc_nulls_last("published"), "arxiv_id")
+    return queue.select(
+        F.row_number().over(order).alias("place"), "arxiv_id", _time("published")
+    )
+
+
 def pending_full_text(spark, sf_dir):
-    rows = catalog.pending_full_text(tv.papers(spark, sf_dir))
+    rows = catalog.pending_full_text(tv.papers(spark, sf_dir), 500)
     return rows.select("arxiv_id", "title", "categories", _time("published"))
 
 
@@ -536,6 +545,19 @@ def similar_by_text(spark, sf_dir):
     return _similarity(found)
 
 
+def _letters(texts):
+    return [[t.count("e"), t.count("n"), len(t)] for t in texts]
+
+
+def similar_by_letters(spark, sf_dir):
+    """Vectors by a given embedder (letter counts), looked up with a free text."""
+    papers = tv.papers(spark, sf_dir)
+    vectors = embed.embed_papers(papers, _letters, 3)
+    return _similarity(
+        similar.lookup(papers, vectors, "thin things", embedder=_letters, dim=3, limit=10)
+    )
+
+
 def similar_ivf(spark, sf_dir):
     """Index search with as many cells as the table asks for, finished exactly."""
     vectors = tv.embeddings(spark, sf_dir)
@@ -624,10 +646,7 @@ def embed_pending(spark, sf_dir):
 def embed_batches(spark, sf_dir):
     """A given embedder called in batches: here, letter counts of all papers."""
 
-    def letters(texts):
-        return [[t.count("e"), t.count("n"), len(t)] for t in texts]
-
-    rows = embed.embed_papers(tv.papers(spark, sf_dir), letters, 3)
+    rows = embed.embed_papers(tv.papers(spark, sf_dir), _letters, 3)
     parts = [F.element_at("embedding", i).cast("long").alias(f"v{i}") for i in (1, 2, 3)]
     return rows.select("arxiv_id", *parts, "failed")
 
@@ -635,11 +654,25 @@ def embed_batches(spark, sf_dir):
 # --- answers and runs --------------------------------------------------------------------------
 
 
+def _read_answer(lines):
+    shape = "arxiv_id string, title string, published string, source string, count long"
+    return lines.select("part", F.from_json("value", shape).alias("r")).select("part", "r.*")
+
+
+def answer_cited_by(spark, sf_dir):
+    """Header and lines of the papers citing one paper, read back."""
+    return _read_answer(answers.cited_by(tv.refs(spark, sf_dir), tv.papers(spark, sf_dir), PAPER))
+
+
 def answer_lines(spark, sf_dir):
-    """JSON lines of the papers citing one paper, read back."""
-    lines = answers.cited_by(tv.refs(spark, sf_dir), tv.papers(spark, sf_dir), PAPER)
-    read = F.from_json("value", "arxiv_id string, title string, published string")
-    return lines.select(read.alias("r")).select("r.*")
+    """The lines alone."""
+    rows = answer_cited_by(spark, sf_dir).where("part = 'cited_by'")
+    return rows.select("arxiv_id", "title", "published")
+
+
+def answer_refs(spark, sf_dir):
+    """Header and lines of the papers one paper cites, read back."""
+    return _read_answer(answers.references(tv.refs(spark, sf_dir), tv.papers(spark, sf_dir), PAPER))
 
 
 def answer_recent(spark, sf_dir):
@@ -690,7 +723,7 @@ _QUERIES = [
     harvest_papers, harvest_pages, harvest_stream, harvest_changed, category_marks,
     document_edges, document_texts, open_access_urls, document_files, enrich_batches,
     recent_week, recent_year, recent_by_category, recent_exact_category, get_paper, paper_detail, paper_details,
-    pending_embedding, pending_embedding_all, pending_full_text, known_ids, unknown_ids,
+    pending_embedding, pending_embedding_all, pending_newest, pending_full_text, known_ids, unknown_ids,
     archive_stats, category_names, progress,
     refs_of, cited_by, ref_ids, cited_by_ids, degrees, degree_of, missing_refs,
     missing_ref_count,
@@ -698,10 +731,10 @@ _QUERIES = [
     insert_refs_stored, update_embeddings, mark_full_text, kv_upsert,
     token_counts, postings, search_one_word, search_two_words, search_matches, search_english,
     search_index, search_index_english, search_batch,
-    similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_ivf,
+    similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_by_letters, similar_ivf,
     similar_ivf_cells, similar_ivf_probed, build_similar, build_similar_blocks, similar_precomputed,
     similar_filled, similar_many, similar_lookup, embed_pending, embed_batches,
-    answer_lines, answer_recent, full_text_store, sync_run,
+    answer_lines, answer_cited_by, answer_refs, answer_recent, full_text_store, sync_run,
 ]
 
 

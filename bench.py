@@ -106,7 +106,7 @@ def main() -> None:
         "insert_refs": lambda: merge.new_edges(refs, refs),
         "archive_stats": lambda: stats.archive_stats(papers, vectors, refs, state, tv.AS_OF),
         "recent": lambda: catalog.recent(papers, tv.AS_OF, days=365),
-        "pending_embedding": lambda: catalog.pending_embedding(papers, vectors),
+        "pending_embedding": lambda: catalog.pending_embedding(papers, vectors, 500),
         "degrees": lambda: graph.degrees(refs),
         "cited_by": lambda: graph.cited_by(refs, papers, PAPER),
         "missing_refs": lambda: graph.missing_references(papers, refs),

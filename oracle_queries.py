@@ -301,6 +301,9 @@ ORACLES = {
     "pending_full_text": f"""WITH {PAPERS} SELECT arxiv_id, title, categories, {_time('published')}
       FROM papers WHERE has_full_text = FALSE
       ORDER BY papers.published DESC NULLS LAST, arxiv_id LIMIT 500""",
+    "pending_newest": f"""WITH {PAPERS} SELECT
+        row_number() OVER (ORDER BY papers.published DESC NULLS LAST, arxiv_id) AS place, arxiv_id,
+        {_time('published')} FROM papers WHERE has_full_text = FALSE QUALIFY place <= 25""",
     "known_ids": f"""SELECT {_pid('p_partkey')} AS arxiv_id FROM part
       WHERE p_partkey IN (SELECT doc_id FROM documents)""",
     "unknown_ids": f"""SELECT {_pid('o_orderkey')} AS arxiv_id FROM orders
@@ -394,6 +397,13 @@ ORACLES = {
     "build_similar": NEIGHBOURS,
     "similar_filled": NEIGHBOURS,
     "similar_many": SIMILAR_MANY,
+    "similar_by_letters": f"""WITH {PAPERS}, texts AS (
+        SELECT arxiv_id, title || chr(10) || chr(10) || abstract AS t FROM papers),
+      counted AS (SELECT arxiv_id, [length(t) - length(replace(t, 'e', '')),
+        length(t) - length(replace(t, 'n', '')), length(t)]::DOUBLE[] AS v FROM texts)
+      SELECT arxiv_id, round(s, 6) AS similarity FROM (
+        SELECT arxiv_id, round(list_cosine_similarity(v, [0, 2, 11]::DOUBLE[]), 12) AS s FROM counted)
+      ORDER BY s DESC, arxiv_id LIMIT 10""",
     "similar_lookup": NEAREST,
     "build_similar_blocks": NEIGHBOURS,
     "embed_pending": f"""SELECT arxiv_id, 64 AS dim,
@@ -407,6 +417,18 @@ ORACLES = {
     "answer_lines": f"""WITH {PAPERS}, {REFS} SELECT arxiv_id, title,
         strftime(published, '%Y-%m-%dT%H:%M:%SZ') AS published
       FROM refs JOIN papers ON arxiv_id = from_id WHERE to_id = '{PAPER}'""",
+    "answer_cited_by": f"""WITH {PAPERS}, {REFS}, found AS (SELECT papers.* FROM refs
+        JOIN papers ON arxiv_id = from_id WHERE to_id = '{PAPER}')
+      SELECT 'cited_by' AS part, arxiv_id, title,
+        strftime(published, '%Y-%m-%dT%H:%M:%SZ') AS published,
+        CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS count FROM found
+      UNION ALL SELECT 'header', NULL, NULL, NULL, '{PAPER}', count(*) FROM found""",
+    "answer_refs": f"""WITH {PAPERS}, {REFS}, found AS (SELECT papers.* FROM refs
+        JOIN papers ON arxiv_id = to_id WHERE from_id = '{PAPER}')
+      SELECT 'refs' AS part, arxiv_id, title,
+        strftime(published, '%Y-%m-%dT%H:%M:%SZ') AS published,
+        CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS count FROM found
+      UNION ALL SELECT 'header', NULL, NULL, NULL, '{PAPER}', count(*) FROM found""",
     "answer_recent": f"""WITH {PAPERS}, top AS (SELECT arxiv_id, published FROM papers
         WHERE published >= {AS_OF} - INTERVAL 365 DAY
         ORDER BY published DESC, arxiv_id LIMIT 50)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from paperlake import params
 from paperlake.operators import catalog, graph, search, stats
 from paperlake.plans import similar
-from paperlake.sources.outputs import envelope, json_rows
+from paperlake.sources.outputs import envelope, headed_lines, json_rows
 
 
 def paper(papers, embeddings, refs, fulltext, arxiv_id: str) -> DataFrame:
@@ -32,13 +32,13 @@ def recent(papers, as_of, category: str = "", days=None, limit=None) -> DataFram
 
 
 def references(refs, papers, arxiv_id: str) -> DataFrame:
-    """JSON lines, as the answer has no limit."""
-    return json_rows(graph.references(refs, papers, arxiv_id))
+    """A header line and JSON lines, as the answer has no limit."""
+    return headed_lines(graph.references(refs, papers, arxiv_id), "refs", source=arxiv_id)
 
 
 def cited_by(refs, papers, arxiv_id: str) -> DataFrame:
-    """JSON lines, as the answer has no limit."""
-    return json_rows(graph.cited_by(refs, papers, arxiv_id))
+    """A header line and JSON lines, as the answer has no limit."""
+    return headed_lines(graph.cited_by(refs, papers, arxiv_id), "cited_by", source=arxiv_id)
 
 
 def archive_stats(papers, embeddings, refs, sync_state, as_of) -> DataFrame:

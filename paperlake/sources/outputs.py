@@ -46,6 +46,15 @@ def write_json(rows: DataFrame, path: str) -> None:
     json_rows(rows).write.mode("overwrite").text(path)
 
 
+def headed_lines(rows: DataFrame, label: str, **header) -> DataFrame:
+    """An answer without a limit, (part, value): a `header` line with the count, and the rows."""
+    fields = [F.lit(v).alias(k) for k, v in header.items()]
+    head = rows.agg(F.count("*").alias("count")).select(
+        F.lit("header").alias("part"), F.to_json(F.struct(*fields, "count")).alias("value")
+    )
+    return head.unionByName(json_rows(rows).select(F.lit(label).alias("part"), "value"))
+
+
 def envelope(rows: DataFrame, label: str = "papers", **header) -> DataFrame:
     """One JSON answer: the header fields, the row count, then the rows in order.
 

@@ -19,18 +19,18 @@ def record(number, title="Title", status="", own_id=True, sets=("cs:cs:AI",), da
     listed = "".join(f"<setSpec>{s}</setSpec>" for s in sets)
     mark = f' status="{status}"' if status else ""
     metadata = f"""<metadata><arXiv xmlns="http://arxiv.org/OAI/arXiv/">{own}
-      <created>2024-01-15</created><updated>2024-01-16T10:30:00Z</updated>
-      <authors><author><keyname>Doe</keyname><forenames>John</forenames></author>
-      <author><keyname>Smith</keyname><forenames>Jane</forenames></author></authors>
+      <created>2023-11-04</created><updated>2023-11-09T06:05:00Z</updated>
+      <authors><author><keyname>Okafor</keyname><forenames>Ada</forenames></author>
+      <author><keyname>Lindqvist</keyname><forenames>Per</forenames></author></authors>
       <title>  {title}
         here </title><categories>cs.AI cs.CL</categories>
-      <abstract> An abstract &amp; more. </abstract><doi>10.1234/test</doi>
+      <abstract> An abstract &amp; more. </abstract><doi>10.5555/own.7</doi>
       <journal-ref>J. 1</journal-ref></arXiv></metadata>"""
     return f"""<record><header{mark}><identifier>oai:arXiv.org:2301.{number:05d}v2</identifier>
       <datestamp>{day}</datestamp>{listed}</header>{"" if status else metadata}</record>"""
 
 
-def page(*records, token="", cursor="0", size="100"):
+def page(*records, token="", cursor="0", size="73"):
     return f"""<?xml version="1.0" encoding="UTF-8"?>
 <OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords>{"".join(records)}
 <resumptionToken cursor="{cursor}" completeListSize="{size}">{token}</resumptionToken>
@@ -59,7 +59,7 @@ def test_records_to_papers(spark, landing):
     records = [
         record(1), record(2, status="deleted"), record(3, own_id=False), nameless,
     ]
-    (landing / "1.xml").write_text(page(*records, token="token123"))
+    (landing / "1.xml").write_text(page(*records, token="page-two"))
     (landing / "2.xml").write_text(error_page("noRecordsMatch"))
     papers = harvest.records_to_papers(inputs.harvest_records(spark, str(landing)))
     got = {r.arxiv_id: r for r in papers.collect()}
@@ -68,11 +68,11 @@ def test_records_to_papers(spark, landing):
         "arxiv_id": "2301.00001",
         "title": "Title here",
         "abstract": "An abstract & more.",
-        "authors": "John Doe, Jane Smith",
+        "authors": "Ada Okafor, Per Lindqvist",
         "categories": "cs.AI cs.CL",
-        "published": datetime.datetime(2024, 1, 15),
-        "updated": datetime.datetime(2024, 1, 16, 10, 30),
-        "doi": "10.1234/test",
+        "published": datetime.datetime(2023, 11, 4),
+        "updated": datetime.datetime(2023, 11, 9, 6, 5),
+        "doi": "10.5555/own.7",
         "journal_ref": "J. 1",
         "has_full_text": False,
         "full_text_path": "",
@@ -80,12 +80,12 @@ def test_records_to_papers(spark, landing):
 
 
 def test_page_envelope(spark, landing):
-    (landing / "1.xml").write_text(page(record(1), token=" token123 "))
+    (landing / "1.xml").write_text(page(record(1), token=" page-two "))
     (landing / "2.xml").write_text(page(record(2), cursor="50"))
     (landing / "3.xml").write_text(error_page("noRecordsMatch"))
     rows = inputs.page_tokens(spark, str(landing)).orderBy("page").collect()
     assert [(r.token, r.complete_size, r.cursor) for r in rows] == [
-        ("token123", "100", "0"), ("", "100", "50"),
+        ("page-two", "73", "0"), ("", "73", "50"),
     ]
     assert inputs.harvest_errors(spark, str(landing)).count() == 0
     (landing / "4.xml").write_text(error_page("badArgument"))
@@ -114,7 +114,7 @@ def test_category_selection(spark, landing):
     marks = {r.category: r for r in harvest.newest_datestamp(rows, ["cs.AI", "cs.LG"]).collect()}
     assert (marks["cs.AI"].records, marks["cs.AI"].datestamp) == (2, "2024-01-30")
     assert marks["cs.LG"].datestamp == "2024-01-10"
-    changed = harvest.changed_since(rows, {"cs.AI": "2024-01-15", "cs.CV": ""})
+    changed = harvest.changed_since(rows, {"cs.AI": "2023-11-04", "cs.CV": ""})
     assert sorted(r.header.datestamp for r in changed.collect()) == ["2024-01-20", "2024-01-30"]
 
 
@@ -322,8 +322,10 @@ def test_answers(spark):
     assert [p["arxiv_id"] for p in text["papers"]] == ["b", "a"]
     (late,) = parsed(answers.recent(papers, NOW, "cs.AI"))
     assert (late["category"], late["days"], late["count"]) == ("cs.AI", 7, 1)
-    assert [p["arxiv_id"] for p in parsed(answers.references(refs, papers, "a"))] == ["b"]
-    assert [p["arxiv_id"] for p in parsed(answers.cited_by(refs, papers, "b"))] == ["a"]
+    head, line = parsed(answers.references(refs, papers, "a"))
+    assert head == {"source": "a", "count": 1} and line["arxiv_id"] == "b"
+    head, line = parsed(answers.cited_by(refs, papers, "b"))
+    assert head == {"source": "b", "count": 1} and line["arxiv_id"] == "a"
     state = spark.createDataFrame([], schemas.SYNC_STATE)
     (numbers,) = parsed(answers.archive_stats(papers, vectors, refs, state, NOW))
     assert (numbers["total_papers"], numbers["total_refs"]) == (2, 1)
