@@ -61,14 +61,16 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_file(spark: SparkSession, path: str, content: bytes) -> None:
-    """Write a small file; it appears under its name only when complete."""
+    """Write a small file; it appears under its name only when complete, and never replaces one."""
     files, partial = _file_system(spark, f"{path}.{uuid.uuid4().hex}.partial")
     stream = files.create(partial)
     stream.write(content)
     stream.close()
     _, target = _file_system(spark, path)
-    if not files.rename(partial, target):
-        raise OSError(f"cannot write {path}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    context.rename(partial, target, options)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -1,12 +1,13 @@
 """The archive's tables: bucketed Parquet folders with one small commit record per change.
 
 A change rewrites only the buckets it touches, into a new folder, and becomes visible when its
-commit record appears: one file listing the visible folders, put in place by a rename. A job that
-dies halfway leaves nothing visible, and a batch that is repeated under the same name is skipped.
-One writer at a time.
+commit record appears: one file per version with each bucket's folder and the names of the batches
+so far, put in place by a rename that fails if the version is there. A job that dies halfway leaves
+nothing visible, and a batch that is repeated under the same name is skipped.
 """
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,50 +39,46 @@ class Table:
         self.cluster, self.derived = cluster or key, derived or {}
         self.schema = T.StructType([*schema.fields, *(field for field, _ in self.derived.values())])
 
-    def _commits(self) -> list[str]:
-        """Names of the commits, oldest first: a version, then the batch's name."""
+    def _versions(self) -> list[int]:
         names = child_names(self.spark, f"{self.path}/commits")
-        return sorted(n.removesuffix(".json") for n in names if n.endswith(".json"))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
     def exists(self) -> bool:
-        return bool(self._commits())
+        return bool(self._versions())
 
     def create(self) -> None:
         """Create the table if it is absent."""
         if not self.exists():
-            self._commit(0, "", {})
+            self._commit(0, {}, [])
 
-    def has_batch(self, batch: str) -> bool:
-        return bool(batch) and any(name[13:] == batch for name in self._commits())
+    def _last(self) -> tuple[int, dict[int, str], list[str]]:
+        """Version, visible folder of each bucket, and the names of the committed batches."""
+        versions = self._versions()
+        if not versions:
+            raise ValueError(f"no such table: {self.path}")
+        path = f"{self.path}/commits/{versions[-1]:012d}.json"
+        last = json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+        return versions[-1], {int(b): f for b, f in last["folders"].items()}, last["batches"]
 
     def version(self) -> int:
-        commits = self._commits()
-        if not commits:
-            raise ValueError(f"no such table: {self.path}")
-        return int(commits[-1][:12])
+        return self._last()[0]
 
-    def _folders(self) -> tuple[int, dict]:
-        """Version and visible folders per bucket: at most a few entries per bucket."""
-        version, last = self.version(), self._commits()[-1]
-        text = self.spark.read.text(f"{self.path}/commits/{last}.json", wholetext=True).first()[0]
-        return version, {int(b): versions for b, versions in json.loads(text).items()}
+    def has_batch(self, batch: str) -> bool:
+        return bool(batch) and batch in self._last()[2]
 
-    def _commit(self, version: int, batch: str, folders: dict) -> None:
-        path = f"{self.path}/commits/{version:012d}-{batch}.json"
-        write_file(self.spark, path, json.dumps(folders).encode())
+    def _commit(self, version: int, folders: dict[int, str], batches: list[str]) -> None:
+        """Fails if another writer has committed this version."""
+        content = json.dumps({"folders": folders, "batches": batches})
+        write_file(self.spark, f"{self.path}/commits/{version:012d}.json", content.encode())
 
     def read(self, buckets=None) -> DataFrame:
         """The table, or only some of its buckets."""
-        _, folders = self._folders()
+        _, folders, _ = self._last()
         wanted = folders if buckets is None else {b: folders[b] for b in buckets if b in folders}
-        paths = [
-            f"{self.path}/data/version={v}/bucket={b}"
-            for b, versions in wanted.items()
-            for v in versions
-        ]
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in wanted.items()]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
-        stored = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
+        stored = self.spark.read.schema(self.schema)
         return stored.parquet(*paths).select(*self.schema.fieldNames())
 
     def lookup(self, value: str) -> DataFrame:
@@ -96,45 +93,23 @@ class Table:
         found = rows.select(bucket_of(self.key, self.buckets).alias("bucket")).distinct()
         return [row.bucket for row in found.collect()]
 
-    def write(self, rows: DataFrame, batch: str = "", append: bool = False) -> int:
-        """Commit `rows` as the new content of their buckets, or in addition to it.
-
-        Gives the number of rows written.
-        """
-        version, folders = self._folders()
-        written = self._write_data(rows, version + 1)
-        for bucket in written:
-            folders[bucket] = [*(folders.get(bucket, []) if append else []), version + 1]
-        return self._finish(version + 1, batch, folders, written)
-
-    def replace_all(self, rows: DataFrame, batch: str = "") -> int:
-        """Commit `rows` as the whole table."""
-        version = self.version() + 1
-        written = self._write_data(rows, version)
-        return self._finish(version, batch, {bucket: [version] for bucket in written}, written)
-
-    def compact(self) -> None:
-        """Rewrite the table so that each bucket has one folder again."""
-        self.replace_all(self.read())
-
-    def _write_data(self, rows: DataFrame, version: int) -> list[int]:
-        """Write a version's folders and give their buckets."""
+    def write(self, rows: DataFrame, batch: str = "", whole: bool = False) -> None:
+        """Commit `rows` as the new content of their buckets, or of the whole table."""
+        version, folders, batches = self._last()
         # The rebalance splits a crowded bucket over several tasks and merges small ones.
         placed = rows.withColumn("bucket", bucket_of(self.key, self.buckets))
         for name, (_, expression) in self.derived.items():
             placed = placed.withColumn(name, F.expr(expression))
         placed = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.cluster)
-        path = f"{self.path}/data/version={version}"
-        placed.write.partitionBy("bucket").mode("overwrite").parquet(path)
-        names = child_names(self.spark, path)
-        return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
-
-    def _finish(self, version: int, batch: str, folders: dict, written: list[int]) -> int:
-        self._commit(version, batch, folders)
-        if not written:
-            return 0
-        stored = self.spark.read.schema(self.schema)
-        return stored.parquet(f"{self.path}/data/version={version}").count()
+        # A folder of its own: two writers never write to the same place.
+        folder = uuid.uuid4().hex
+        placed.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        names = child_names(self.spark, f"{self.path}/data/{folder}")
+        written = [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
+        kept = {} if whole else folders
+        self._commit(
+            version + 1, kept | dict.fromkeys(written, folder), [*batches, *([batch] if batch else [])]
+        )
 
 
 class Archive:
@@ -205,8 +180,13 @@ class Archive:
         # Each copy is compared with its own content: a repeated call completes either one.
         if table.has_batch(name):
             return 0
-        fresh = merge.new_edges(edges, table.read(table.touched(edges)))
-        return table.write(fresh, name, append=True)
+        buckets = table.touched(edges)
+        fresh = cut(merge.new_edges(edges, table.read(buckets)))
+        added = fresh.count()
+        if added:
+            buckets = table.touched(fresh)
+            table.write(table.read(buckets).unionByName(fresh), name)
+        return added
 
     def update_embeddings(self, batch: DataFrame, name: str = "") -> int:
         """Set vectors (arxiv_id, embedding, seq); unknown ids are ignored.
@@ -245,4 +225,4 @@ class Archive:
 
     def save_similar(self, rows: DataFrame) -> None:
         self.similar.create()
-        self.similar.replace_all(rows)
+        self.similar.write(rows, whole=True)

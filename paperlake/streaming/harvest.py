@@ -7,6 +7,7 @@ pages it has not committed.
 from datetime import UTC, datetime
 
 from paperlake.operators import harvest
+from paperlake.session import cut
 from paperlake.sources import inputs
 from paperlake.sources.store import Archive
 
@@ -34,27 +35,31 @@ def upsert_pages(
 ) -> dict:
     """Upsert all pages not processed yet. Gives the number of papers submitted per category.
 
-    With `categories`, only records listed in their sets are taken, and the newest datestamp of
-    each becomes its mark in the sync state.
+    With `categories`, only records listed in their sets are taken, each from the category's mark
+    in the sync state on, and the newest datestamp of each becomes its new mark.
     """
     spark = archive.spark
     check_errors(spark, landing, f"{checkpoint}/errors")
     counts = {"papers": 0}
 
     def upsert(batch, batch_id):
-        records = inputs.with_order(batch)
+        # Parsed once: the papers and the marks are both taken from the written records.
+        records = cut(inputs.with_order(batch), "records")
+        marks = {c: archive.get_state(mark_key(c)) for c in categories or []}
         if categories:
-            records = harvest.in_categories(records, categories)
+            records = harvest.changed_since(records, marks)
         papers = harvest.records_to_papers(records, "seq")
         # The stream's own id: a new checkpoint must not be taken for a repeated batch.
         stream = spark.read.schema("id string").json(f"{checkpoint}/records/metadata").first()
         name = f"{stream.id}-{batch_id}"
         time = fetched_at or datetime.now(UTC).replace(tzinfo=None)
         counts["papers"] += archive.upsert_papers(papers, time, name, strict)
+        newest = {}
         for row in harvest.newest_datestamp(records, categories or []).collect():
             counts[row.category] = counts.get(row.category, 0) + row.records
-            mark = max(row.datestamp or "", archive.get_state(mark_key(row.category)))
-            archive.set_state(**{mark_key(row.category): mark})
+            newest[mark_key(row.category)] = max(row.datestamp or "", marks[row.category])
+        if newest:
+            archive.set_state(**newest)
 
     stream = inputs.harvest_record_stream(spark, landing)
     query = stream.writeStream.foreachBatch(upsert)

@@ -114,7 +114,7 @@ def test_category_selection(spark, landing):
     marks = {r.category: r for r in harvest.newest_datestamp(rows, ["cs.AI", "cs.LG"]).collect()}
     assert (marks["cs.AI"].records, marks["cs.AI"].datestamp) == (2, "2024-01-30")
     assert marks["cs.LG"].datestamp == "2024-01-10"
-    changed = harvest.changed_since(rows, {"cs.AI": "2023-11-04", "cs.CV": ""})
+    changed = harvest.changed_since(rows, {"cs.AI": "2024-01-12", "cs.CV": ""})
     assert sorted(r.header.datestamp for r in changed.collect()) == ["2024-01-20", "2024-01-30"]
 
 
@@ -336,3 +336,33 @@ def test_write_json(spark, tmp_path):
     outputs.write_json(papers, str(tmp_path / "out"))
     rows = spark.read.json(str(tmp_path / "out"))
     assert rows.count() == 2
+
+
+def test_a_break_between_edges_and_marks_loses_nothing(archive, landing, tmp_path, monkeypatch):
+    (landing / "1.xml").write_text(page(*[record(n) for n in (1, 2, 3)]))
+    sync.run(archive, "metadata", landing=str(landing), checkpoint=str(tmp_path / "p"), now=NOW)
+    documents = land_documents(tmp_path)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(archive, "mark_full_text", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            sync.run(archive, "fulltext", documents=documents, now=NOW)
+    assert archive.papers.read().where("has_full_text").count() == 0
+    sync.run(archive, "fulltext", documents=documents, now=NOW)
+    assert archive.papers.read().where("has_full_text").count() == 2
+    assert archive.refs.read().count() == archive.refs_by_target.read().count() == 4
+
+
+def test_marks_bound_the_next_harvest(archive, landing, tmp_path):
+    (landing / "1.xml").write_text(page(record(1, "First"), record(2, "Old", day="2024-01-10")))
+    options = {"landing": str(landing), "checkpoint": str(tmp_path / "p"), "categories": ["cs.AI"]}
+    sync.run(archive, "metadata", now=NOW, **options)
+    assert archive.get_state("oai_last_cs.AI") == "2024-01-20"
+    (landing / "2.xml").write_text(page(record(1, "Late", day="2024-01-19"), record(3, day="2024-01-21")))
+    sync.run(archive, "metadata", now=NOW, **options)
+    got = {r.arxiv_id: r.title for r in archive.papers.read().collect()}
+    assert len(got) == 3 and got["2301.00001"].startswith("First")
+    assert archive.get_state("oai_last_cs.AI") == "2024-01-21"

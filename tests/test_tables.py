@@ -145,7 +145,7 @@ def archive(spark, tmp_path):
 
 
 def test_create_is_idempotent(archive):
-    archive.papers.replace_all(papers(archive.spark, paper("a")))
+    archive.papers.write(papers(archive.spark, paper("a")), whole=True)
     archive.create()
     assert archive.papers.read().count() == 1
     assert archive.refs.read().count() == 0
@@ -168,26 +168,39 @@ def test_upsert_batches(archive, spark):
 
 def test_only_touched_buckets_are_rewritten(archive, spark):
     archive.upsert_papers(batch(spark, *[row(f"p{n}", n) for n in range(40)]), NOW)
-    _, before = archive.papers._folders()
+    _, before, _ = archive.papers._last()
     archive.upsert_papers(batch(spark, row("p3")), NOW)
-    _, after = archive.papers._folders()
+    _, after, _ = archive.papers._last()
     assert sum(before[b] != after[b] for b in before) == 1
     assert archive.papers.read().count() == 40
 
 
-def test_unfinished_commit_is_invisible(archive, spark, tmp_path):
+def test_unfinished_change_is_invisible(archive, spark, monkeypatch):
     archive.upsert_papers(batch(spark, row("a", 0, "one")), NOW)
     version = archive.papers.version()
-    # A job that died: its data and an unfinished commit record are left behind.
-    archive.papers._write_data(archive.papers.read(), version + 1)
-    folder = tmp_path / "archive" / "papers" / "commits"
-    (folder / f"{version + 1:012d}-dead.json.0.partial").write_text("{")
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(archive.papers, "_commit", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            archive.upsert_papers(batch(spark, row("a", 0, "two")), NOW, "dead")
     assert archive.papers.version() == version
     assert not archive.papers.has_batch("dead")
+    assert by_id(archive.papers.read())["a"].title == "one"
     archive.upsert_papers(batch(spark, row("a", 0, "two")), NOW, "dead")
     assert by_id(archive.papers.read())["a"].title == "two"
 
 
+def test_a_version_is_committed_once(archive, spark):
+    archive.upsert_papers(batch(spark, row("a", 0, "one")), NOW)
+    version, folders, batches = archive.papers._last()
+    with pytest.raises(Exception, match="already exists"):
+        archive.papers._commit(version, {}, [])
+    assert archive.papers._last() == (version, folders, batches)
+
+
 def test_insert_refs(archive, spark):
     edges = refs(spark, ("a", "b"), ("a", "b"), ("a", "c"), ("x", "x"))
     assert archive.insert_refs(edges, "first") == 3
@@ -195,8 +208,6 @@ def test_insert_refs(archive, spark):
     assert archive.insert_refs(refs(spark, ("a", "c"), ("d", "b"))) == 1
     assert archive.refs.read().count() == archive.refs_by_target.read().count() == 4
     assert archive.refs_by_target.lookup("b").count() == 2
-    archive.refs.compact()
-    assert archive.refs.read().count() == 4
 
 
 def test_interrupted_insert_is_completed(archive, spark):
@@ -274,7 +285,7 @@ def test_recent(spark):
 
 def test_recent_skips_older_days(archive, spark):
     rows = [paper(f"p{n:02d}", published=day(1 + n % 28)) for n in range(60)]
-    archive.papers.replace_all(papers(spark, *rows))
+    archive.papers.write(papers(spark, *rows), whole=True)
     stored = archive.papers.read()
     found = catalog.recent(stored, NOW, days=5)
     assert found.collect() == catalog.recent(papers(spark, *rows), NOW, days=5).collect()
