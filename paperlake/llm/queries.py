@@ -11,6 +11,7 @@ from . import (
     jaccard,
     language,
     licenses,
+    oracles,
     packing,
     quality,
     repeats,
@@ -103,4 +104,7 @@ QUERIES = {
     ]
 }
 
-ORACLES = {}
+ORACLES = {
+    "op1_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
+    "op10_substring_dedup": oracles.REPEATS,
+}
