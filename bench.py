@@ -84,15 +84,22 @@ def main() -> None:
         stored["index"] = ivf.build(vectors, scratch_path(spark, "index"))
 
     def build_similar():
-        stored["similar"] = cut(neighbours.build(vectors), "similar")
+        archive.save_similar(neighbours.build(vectors))
+
+    archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
+    archive.papers.write(papers, whole=True)
+    halves = F.pmod(F.xxhash64("from_id", "to_id"), F.lit(2)) == 0
 
     def upsert_stored():
-        archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
         archive.upsert_papers(turns, tv.AS_OF)
 
+    def insert_refs():
+        # Half of the edges are stored: each run starts from them and writes the others.
+        for table in (archive.refs, archive.refs_by_target):
+            table.write(refs.where(halves), whole=True)
+        archive.insert_refs(refs)
+
     def index_search():
-        if stored["index"] is None:
-            return similar_scan()
         return ivf.search_by_id(stored["index"], vectors, PAPER)
 
     def similar_scan():
@@ -103,7 +110,7 @@ def main() -> None:
         "harvest_papers": lambda: harvest.records_to_papers(records),
         "upsert_papers": lambda: merge.merge_papers(papers, folded, tv.AS_OF),
         "upsert_stored": upsert_stored,
-        "insert_refs": lambda: merge.new_edges(refs, refs),
+        "insert_refs": insert_refs,
         "archive_stats": lambda: stats.archive_stats(papers, vectors, refs, state, tv.AS_OF),
         "recent": lambda: catalog.recent(papers, tv.AS_OF, days=365),
         "pending_embedding": lambda: catalog.pending_embedding(papers, vectors, 500),
@@ -124,7 +131,7 @@ def main() -> None:
         "similar_ivf": index_search,
         "build_similar": build_similar,
         "similar_precomputed": lambda: similar.by_id(
-            papers, vectors, PAPER, similar=stored["similar"]
+            papers, vectors, PAPER, similar=archive.similar.lookup(PAPER)
         ),
     }
     seconds = {}
