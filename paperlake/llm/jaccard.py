@@ -5,6 +5,10 @@ band (or of neighbouring bands) is bounded. The feature domain is cut into first
 second-level partitions, and a set gets one signature per first-level partition and subset of its
 second-level partitions, so that similar sets share at least one. Candidates are verified exactly.
 
+Features that many texts share (a line found everywhere) would join unlike sets whose partitions
+hold little else. They are left out of the first signatures, which stays exact, as leaving out
+features never adds to a distance; sets with too little left get signatures of all features.
+
 Defined cases: a null or empty text (or one of white space) has an empty set and no links; a text
 of fewer words than the shingle size is one feature; rows that repeat a `doc_id` are one node of
 the link graph; rows without `doc_id` get a null component; further columns are ignored; an empty
@@ -31,6 +35,13 @@ LEAST_FEATURES = 200
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
+COMMON = 1 / 2000
+"""Features in more than this share of the texts are common. There are at most as many as an
+average text has features, divided by this share, whatever the number of texts."""
+MOST_COPIES = 1_000_000
+"""Ids of copies that are sent to all tasks (8 MB)."""
+COUNTED = 2_000_000
+"""Features that a task counts at a time to find common ones."""
 ROUNDS = 6
 RARE = 0.1
 """The share of sets that may have more empty subsets than tolerated, in each round."""
@@ -80,11 +91,21 @@ def bands(longest: int, percent: int) -> np.ndarray:
     return np.array(lows)
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """The signatures of each set, in its own band and in the next one."""
+def signatures(sets: list[np.ndarray], percent: int, common=None) -> list[np.ndarray]:
+    """The signatures of each set, in its own band and in the next one.
+
+    `common` has the sorted common features; it must be the same for all sets.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.any():
         return [np.zeros(0, np.uint64)] * len(sets)
+    rare = sets
+    if common is not None and len(common):
+        flat = np.concatenate(sets)
+        near = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        owner = np.repeat(np.arange(len(sets)), sizes)[common[near] != flat]
+        flat = flat[common[near] != flat]
+        rare = np.split(flat, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
     lows = bands(int(sizes.max()) * 2, percent)
     own = np.searchsorted(lows, sizes, "right") - 1
     found = [[] for _ in sets]
@@ -93,14 +114,18 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
         high = int(lows[band]) * 100 // percent
         distance = 2 * high * (100 - percent) // (100 + percent)
         low = int(lows[max(band - 1, 0)])
-        values = _band_signatures([sets[i] for i in members], band, low, distance)
-        for i, signature in zip(members.tolist(), values, strict=True):
+        some = [(rare[i], sets[i]) for i in members]
+        for i, signature in zip(
+            members.tolist(), _band_signatures(some, band, low, distance), strict=True
+        ):
             found[i].append(signature)
     return [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in found]
 
 
-def _band_signatures(sets, band, low, distance, turn=0):
+def _band_signatures(pairs, band, low, distance, turn=0):
+    """Signatures of (rare features, all features) pairs; the first turn takes the rare ones."""
     n1, n2, size, spare = scheme(low, distance)
+    sets = [pair[min(turn, 1)] for pair in pairs]
     counts = np.array([len(s) for s in sets])
     features = hashing.mix(np.concatenate(sets) ^ hashing.mix(np.array([turn], np.uint64) + _SEED))
     cells = n1 * n2
@@ -125,7 +150,7 @@ def _band_signatures(sets, band, low, distance, turn=0):
     found = [keys[i][kept[i]] for i in range(len(sets))]
     again = np.flatnonzero(special).tolist()
     if again and turn < ROUNDS - 1:
-        more = _band_signatures([sets[i] for i in again], band, low, distance, turn + 1)
+        more = _band_signatures([pairs[i] for i in again], band, low, distance, turn + 1)
         for i, extra in zip(again, more, strict=True):
             found[i] = np.concatenate([found[i], extra])
     return found
@@ -137,7 +162,23 @@ def _slices(batch, size=512):
 
 
 def _prints(shingle):
+    """Rows (doc_id, n_shingles, high, low) per text; and, with -1 for n_shingles, features that
+    recur within some texts of a task, with their number."""
+
+    def rows(ids, sizes, high, low):
+        columns = [ids, pa.array(sizes, pa.int64()), hashing.as_long(high), hashing.as_long(low)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "high", "low"])
+
+    def recurring(sets):
+        features, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= max(3, COMMON * len(sets))
+        number = int(often.sum())
+        return rows(
+            pa.nulls(number, pa.int64()), [-1] * number, features[often], counts[often].astype(np.uint64)
+        )
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in _slices(batch):
                 sets = hashing.shingle_sets(part.column(1), shingle)
@@ -146,26 +187,39 @@ def _prints(shingle):
                     for s in sets
                 ]
                 high, low = (np.array([m[i] for m in marks], np.uint64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        hashing.as_long(high),
-                        hashing.as_long(low),
-                    ],
-                    names=["doc_id", "n_shingles", "high", "low"],
-                )
+                yield rows(part.column(0), [len(s) for s in sets], high, low)
+                held += sets
+                size += sum(map(len, sets))
+                if size > COUNTED:
+                    yield recurring(held)
+                    held, size = [], 0
+        if size:
+            yield recurring(held)
 
     return run
 
 
-def _signed(shingle, percent):
+def _common(marks: DataFrame) -> np.ndarray:
+    """The sorted common features, by the tasks' counts over all texts."""
+    texts = marks.where("n_shingles >= 0").count()
+    found = (
+        marks.where("n_shingles < 0")
+        .groupBy("high")
+        .agg(F.sum("low").alias("count"))
+        .where(F.col("count") > max(COMMON * texts, 10))
+        .select("high")
+        .toArrow()
+    )
+    return np.sort(found["high"].to_numpy().view(np.uint64))
+
+
+def _signed(shingle, percent, common):
     def run(batches):
         for batch in batches:
             for part in _slices(batch):
                 sets = hashing.shingle_sets(part.column(1), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), hashing.long_lists(signatures(sets, percent))],
+                    [part.column(0), hashing.long_lists(signatures(sets, percent, common))],
                     names=["doc_id", "signatures"],
                 )
 
@@ -259,12 +313,11 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     so no bucket and no group of copies is expanded into pairs of rows.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = cut(
-        texts.mapInArrow(
-            _prints(shingle), "doc_id long, n_shingles long, high long, low long"
-        ),
+    counted = cut(
+        texts.mapInArrow(_prints(shingle), "doc_id long, n_shingles long, high long, low long"),
         "marks",
     )
+    marks = counted.where("n_shingles >= 0")
     usable = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(
         usable.groupBy("n_shingles", "high", "low").agg(
@@ -273,8 +326,10 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
         "classes",
     )
     members = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    signed = texts.mapInArrow(_signed(shingle, percent), "doc_id long, signatures array<long>")
-    buckets = signed.join(members, "doc_id", "left_semi").select(
+    signed = texts.mapInArrow(
+        _signed(shingle, percent, _common(counted)), "doc_id long, signatures array<long>"
+    )
+    buckets = _without_copies(signed, usable, members).select(
         "doc_id", F.explode("signatures").alias("signature")
     )
     ordered = Window.partitionBy("signature").orderBy("doc_id")
@@ -311,40 +366,57 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     return linked.select(columns).unionByName(alone)
 
 
+def _without_copies(signed, usable, members):
+    """The rows of the classes' smallest documents: few other ids go to all tasks, so that the
+    signatures are not shuffled for this; with more of them both sides are."""
+    others = cut(usable.select("doc_id").distinct().join(members, "doc_id", "left_anti"), "copies")
+    if others.count() <= MOST_COPIES:
+        return signed.where("doc_id IS NOT NULL").join(F.broadcast(others), "doc_id", "left_anti")
+    return signed.join(members, "doc_id", "left_semi")
+
+
 def _verify(texts, classes, clusters, shingle, percent):
-    place = Window.partitionBy("cluster").orderBy("n_shingles", "class_id")
-    weight = F.greatest("n_shingles", F.lit(LEAST_FEATURES))
-    member = (
-        classes.join(clusters, classes["class_id"] == clusters["node"])
-        .select(F.col("component").alias("cluster"), "class_id", "n_shingles", "copies")
-        .withColumn("before", F.sum(weight).over(place.rowsBetween(Window.unboundedPreceding, -1)))
-        .select(
-            "cluster",
-            "class_id",
-            "n_shingles",
-            "copies",
-            F.floor(F.coalesce("before", F.lit(0)) / BLOCK_FEATURES).alias("block"),
-        )
+    # Sets that can be linked are in the same band of sizes or in neighbouring ones.
+    width = math.log(100 / percent) * (1 + 1e-9)
+    member = classes.join(clusters, classes["class_id"] == clusters["node"]).select(
+        F.col("component").alias("cluster"),
+        F.floor(F.log("n_shingles") / width).alias("band"),
+        "class_id",
+        "copies",
+        F.greatest("n_shingles", F.lit(LEAST_FEATURES)).alias("weight"),
     )
-    sizes = member.groupBy("cluster", "block").agg(
-        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
+    bands = member.groupBy("cluster", "band").agg(
+        F.ceil(F.sum("weight") / BLOCK_FEATURES).alias("blocks")
     )
-    other = sizes.select(
-        F.col("cluster").alias("cluster2"),
-        F.col("block").alias("second"),
-        F.col("least").alias("least2"),
+
+    def block(band, number):
+        return (F.col(band) * (1 << 40) + number).cast("long")
+
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = bands.select("cluster", "band", numbers.alias("number")).select(
+        "cluster",
+        block("band", F.col("number")).alias("first"),
+        F.explode(F.array("band", F.col("band") + 1)).alias("band2"),
     )
-    # Blocks are in order of size: two of them can hold a link if the sizes where they meet allow.
-    pairs = sizes.join(
-        other,
+    right = bands.select(F.col("cluster").alias("cluster2"), "band", numbers.alias("number")).select(
+        "cluster2", F.col("band").alias("other"), block("band", F.col("number")).alias("second")
+    )
+    pairs = left.join(
+        right,
         (F.col("cluster") == F.col("cluster2"))
-        & (F.col("block") <= F.col("second"))
-        & (F.col("most") * 100 >= F.col("least2") * percent),
-    ).select("cluster", F.col("block").alias("first"), "second")
+        & (F.col("band2") == F.col("other"))
+        & (F.col("first") <= F.col("second")),
+    ).select("cluster", "first", "second")
     sided = pairs.select("*", F.col("first").alias("block")).union(
         pairs.where("first < second").select("*", F.col("second").alias("block"))
     )
-    work = member.join(sided, ["cluster", "block"]).select(
+    placed = member.join(bands, ["cluster", "band"]).select(
+        "cluster",
+        "class_id",
+        "copies",
+        block("band", F.pmod(F.xxhash64("class_id"), F.col("blocks"))).alias("block"),
+    )
+    work = placed.join(sided, ["cluster", "block"]).select(
         F.col("class_id").alias("doc_id"), "cluster", "first", "second", "block", "copies"
     )
     rows = (

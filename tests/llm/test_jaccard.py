@@ -59,6 +59,23 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert result(jaccard.links(frame(spark, rows), 3, 90)) == brute(rows, 3, 90)
 
 
+def test_common_features_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_COPIES", 0)
+    monkeypatch.setattr(jaccard, "COUNTED", 500)
+    rng = random.Random(8)
+    line = sentence(rng, 14)
+    rows = [(i, f"{sentence(rng, rng.randrange(2, 40))} {line}") for i in range(60)]
+    rows += [(100 + i, f"{line} {line}") for i in range(5)] + [(200, line)]
+    rows += [(300 + i, edited(rng, rows[1][1], 1)) for i in range(5)]
+    common = jaccard._common(
+        frame(spark, rows).select("doc_id", "text").coalesce(1).mapInArrow(
+            jaccard._prints(5), "doc_id long, n_shingles long, high long, low long"
+        )
+    )
+    assert len(common) == 10
+    assert result(jaccard.links(frame(spark, rows))) == brute(rows, 5, 80)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None), (4, " ")]
     got = sorted(
