@@ -27,7 +27,7 @@ BITS = 17
 """Each order's counts have 2 ** BITS cells, whatever the number of URLs."""
 SMOOTHING = 4.0
 MISBLOCKED = 0.01
-"""The share of accepted URLs, among those left out, that the threshold would block."""
+"""The largest share of accepted URLs, among those left out, that the threshold may block."""
 HELD_OUT = 5
 """One judged URL of so many, by hash, calibrates the threshold and is not counted."""
 
@@ -167,13 +167,32 @@ def fit(judged: DataFrame) -> Model | None:
                 [batch.column(1), pa.array(_scores(tables, batch.column(0)))], names=["side", "score"]
             )
 
-    threshold = (
-        classed.where(apart & (F.col("side") == 1))
+    stats = {
+        row["side"]: row
+        for row in classed.where(apart)
         .mapInArrow(scored, "side long, score double")
-        .agg(F.percentile_approx("score", MISBLOCKED, 10_000).alias("threshold"))
-        .first()["threshold"]
-    )
-    return Model(tables, threshold if threshold is not None else 0.0)
+        .groupBy("side")
+        .agg(
+            F.avg("score").alias("mean"),
+            F.stddev_pop("score").alias("deviation"),
+            F.percentile_approx("score", MISBLOCKED, 10_000).alias("lowest"),
+        )
+        .collect()
+    }
+    return Model(tables, _threshold(stats))
+
+
+def _threshold(stats) -> float:
+    """As many deviations from the one class as from the other, but no more than misblocks few
+    accepted URLs; 0 if a class was not left out."""
+    if len(stats) < 2:
+        return 0.0
+    low, high = stats[0], stats[1]
+    spread = low["deviation"] + high["deviation"]
+    middle = (low["mean"] + high["mean"]) / 2
+    if spread > 0:
+        middle = (low["mean"] * high["deviation"] + high["mean"] * low["deviation"]) / spread
+    return min(middle, high["lowest"])
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
