@@ -354,27 +354,22 @@ def fold_batch(spark, sf_dir):
                        "has_full_text")
 
 
-def _labelled(spark, sf_dir):
-    labelled = tv.table(spark, sf_dir, "labels").select(tv.paper_id("doc_id").alias("arxiv_id"))
-    return catalog.known_ids(tv.papers(spark, sf_dir), labelled)
-
-
 def upsert_papers(spark, sf_dir):
-    """Conversation turns merged into the labelled papers: old, new and untouched rows."""
+    """Conversation turns merged into all papers: changed, new and untouched rows."""
     folded = merge.fold_batch(tv.upserts(spark, sf_dir))
-    return _merged(merge.merge_papers(_labelled(spark, sf_dir), folded, tv.AS_OF))
+    return _merged(merge.merge_papers(tv.papers(spark, sf_dir), folded, tv.AS_OF))
 
 
 def upsert_papers_strict(spark, sf_dir):
     """As before, with empty texts overwriting stored ones."""
     folded = merge.fold_batch(tv.upserts(spark, sf_dir), strict=True)
-    return _merged(merge.merge_papers(_labelled(spark, sf_dir), folded, tv.AS_OF, strict=True))
+    return _merged(merge.merge_papers(tv.papers(spark, sf_dir), folded, tv.AS_OF, strict=True))
 
 
 def upsert_papers_stored(spark, sf_dir):
     """The same upsert through the stored, bucketed table."""
     archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
-    archive.papers.replace_all(_labelled(spark, sf_dir))
+    archive.papers.write(tv.papers(spark, sf_dir), whole=True)
     archive.upsert_papers(tv.upserts(spark, sf_dir), tv.AS_OF, "turns")
     return _merged(archive.papers.read())
 

@@ -63,7 +63,8 @@ FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id
 LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(l.toxic, 0) <> 1"""
 
 UPSERTS = f"""batch AS (
-  SELECT {_pid('conv_id')} AS arxiv_id, role AS title, text AS abstract,
+  SELECT {_pid('(conv_id + CASE WHEN conv_id % 2 = 1 THEN 500000 ELSE 0 END)')} AS arxiv_id,
+    role AS title, text AS abstract,
     CASE WHEN role = 'user' THEN 'user' ELSE '' END AS authors,
     CASE WHEN role = 'user' THEN NULL ELSE 'cs.DL' END AS categories,
     CASE WHEN role = 'user' THEN '10.1/' || turn ELSE '' END AS doi,
@@ -86,8 +87,7 @@ def _folded(strict: bool) -> str:
 
 def _upsert(strict: bool) -> str:
     return f"""WITH {PAPERS}, {_folded(strict)}, old AS (
-      SELECT p.*, CAST(NULL AS VARCHAR) AS doi FROM papers p
-      WHERE arxiv_id IN (SELECT {_pid('doc_id')} FROM labels))
+      SELECT p.*, CAST(NULL AS VARCHAR) AS doi FROM papers p)
     SELECT coalesce(n.arxiv_id, o.arxiv_id) AS arxiv_id,
       CASE WHEN n.arxiv_id IS NOT NULL THEN n.title ELSE o.title END AS title,
       CASE WHEN n.arxiv_id IS NOT NULL THEN n.abstract ELSE o.abstract END AS abstract,

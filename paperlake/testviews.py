@@ -83,12 +83,17 @@ def fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as a batch: a conversation's turns hit the same paper in order."""
+    """Conversation turns as a batch: a conversation's turns hit the same paper in order.
+
+    Every other conversation is numbered past the documents, so it adds a paper.
+    """
     turns = table(spark, sf_dir, "conversations")
     user = F.col("role") == "user"
     empty = F.lit("")
+    number = F.col("conv_id") + F.when(F.col("conv_id") % 2 == 1, 500_000).otherwise(0)
+    turns = turns.withColumn("number", number)
     return turns.select(
-        paper_id("conv_id").alias("arxiv_id"),
+        paper_id("number").alias("arxiv_id"),
         F.col("role").alias("title"),
         F.col("text").alias("abstract"),
         F.when(user, F.lit("user")).otherwise(empty).alias("authors"),
