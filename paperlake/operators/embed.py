@@ -31,31 +31,38 @@ def checked(vectors, n_texts: int, dim: int) -> list[list[float]]:
     return rows
 
 
+def _message(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
 def embed(
     rows: DataFrame, embedder: Embedder, dim: int = params.EMBED_DIM,
     batch_size: int = params.EMBED_BATCH,
 ) -> DataFrame:
     """Call `embedder` on (arxiv_id, text) rows, `batch_size` texts at a time.
 
-    Gives (arxiv_id, embedding, failed). A failing call marks its own rows only and leaves their
-    vector NULL.
+    Gives (arxiv_id, embedding, failed, problem). A failing call marks its own rows only, leaves
+    their vector NULL and its message as their problem.
     """
-    schema = T.StructType([*EMBEDDINGS.fields, T.StructField("failed", T.BooleanType())])
+    marks = [T.StructField("failed", T.BooleanType()), T.StructField("problem", T.StringType())]
+    schema = T.StructType([*EMBEDDINGS.fields, *marks])
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
                 texts = part.column("text").to_pylist()
+                problem = None
                 try:
                     vectors = checked(embedder(texts), len(texts), dim)
-                except Exception:
-                    vectors = [None] * len(texts)
+                except Exception as error:
+                    vectors, problem = [None] * len(texts), _message(error)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("arxiv_id"),
                         pa.array(vectors, pa.list_(pa.float32())),
                         pa.array([v is None for v in vectors]),
+                        pa.array([problem] * len(vectors), pa.string()),
                     ],
                     names=schema.fieldNames(),
                 )
@@ -76,6 +83,7 @@ def embed_hashed(rows: DataFrame, dim: int = params.EMBED_DIM) -> DataFrame:
         "arxiv_id",
         vector_to_array("scaled", "float32").alias("embedding"),
         F.lit(False).alias("failed"),
+        F.lit(None).cast("string").alias("problem"),
     )
 
 
@@ -101,26 +109,29 @@ def enrich(
     """Call `fetch` with prefixed ids, `batch_size` at a time, and parse the documents it gives.
 
     `fetch` returns one JSON text (or None) per document found. Gives the parsed documents with
-    the number of ids of failed calls in `failed` on rows without a document.
+    the number of ids of failed calls in `failed`, and the call's message in `problem`, on rows
+    without a document.
     """
-    schema = "document string, failed int"
+    schema = "document string, failed int, problem string"
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 wanted = batch.column("id").slice(start, batch_size).to_pylist()
+                problem = None
                 try:
                     found, failed = list(fetch(wanted)), 0
-                except Exception:
-                    found, failed = [None], len(wanted)
+                except Exception as error:
+                    found, failed, problem = [None], len(wanted), _message(error)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(found, pa.string()),
                         pa.array([failed] * len(found), pa.int32()),
+                        pa.array([problem] * len(found), pa.string()),
                     ],
-                    names=["document", "failed"],
+                    names=["document", "failed", "problem"],
                 )
 
     answers = ids.select(request_id(F.col("arxiv_id")).alias("id")).mapInArrow(call, schema)
     parsed = F.from_json("document", S2_PAPER).alias("paper")
-    return answers.select(parsed, "failed").select("paper.*", "failed")
+    return answers.select(parsed, "failed", "problem").select("paper.*", "failed", "problem")

@@ -1,5 +1,6 @@
 """Argument rules shared by the operators."""
 
+# The defaults of arguments.
 SEARCH_LIMIT = 20
 SIMILAR_LIMIT = 10
 RECENT_DAYS = 7

@@ -14,6 +14,7 @@ from paperlake.sources import inputs, outputs
 from paperlake.sources.store import Archive
 from paperlake.streaming.harvest import upsert_pages
 
+# The names of the steps, in order.
 STEPS = ("metadata", "fulltext", "embed", "refs")
 HASHED = "hashed"
 

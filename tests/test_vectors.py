@@ -220,6 +220,7 @@ def test_embed_batches(spark):
     failed = [i for i, r in done.items() if r.failed]
     assert len(failed) == 50
     assert all(done[i].embedding is None for i in failed)
+    assert {r.problem for r in done.values() if r.failed} == {"RuntimeError: no service"}
 
 
 @pytest.mark.parametrize("answer", [[[1.0]], [[1.0], None], [[1.0], [1.0, 2.0]]])
