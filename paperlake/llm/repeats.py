@@ -38,7 +38,7 @@ WINDOW = 50
 PHRASE = 10
 LETTER_BITS = 12
 """Bits of a phrase's letter in the automata; hits are verified by the 64-bit window hash."""
-SHARD_WINDOWS = 100_000
+SHARD_WINDOWS = 10_000
 """Passages a shard's automaton holds on average."""
 HOT = 5_000
 """Occurrences of an anchor that one task reads; more are spread over several tasks."""
@@ -192,24 +192,33 @@ def _located(window, phrase):
         compiled = False
         for batch in batches:
             out = [], [], [], []
-            for row in batch.to_pylist():
-                if row["shard"] != shard:
-                    shard, compiled = row["shard"], False
+            shards, kinds, passages, spellings, ids, texts, firsts = (
+                batch.column(i).to_pylist() for i in range(7)
+            )
+            windows, letters = batch.column(7), batch.column(8)
+            flat = windows.flatten().to_numpy()
+            bounds = np.cumsum([0, *windows.value_lengths().fill_null(0).to_pylist()]).tolist()
+            for i, (own, kind) in enumerate(zip(shards, kinds, strict=True)):
+                if own != shard:
+                    shard, compiled = own, False
                     automaton = ahocorasick.Automaton(
                         ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE
                     )
-                if row["kind"] == 0:
-                    letters = _letters(row["spelling"], steps)
-                    known = automaton.get(letters, ())
-                    automaton.add_word(letters, (*known, (row["passage"], row["doc_id"])))
+                if kind == 0:
+                    spelt = _letters(spellings[i], steps)
+                    known = automaton.get(spelt, ())
+                    automaton.add_word(spelt, (*known, (passages[i], ids[i])))
                     continue
                 if not len(automaton):
                     continue
                 if not compiled:
                     automaton.make_automaton()
                     compiled = True
-                for begin, end in _hits(automaton, row, phrase, steps):
-                    values = row["doc_id"], row["text_id"], begin, end + window
+                own_windows = flat[bounds[i] : bounds[i + 1]]
+                spelt = np.frombuffer(letters[i].as_py(), "<u2").tolist()
+                places = _hits(automaton, spelt, own_windows, ids[i], phrase, steps)
+                for begin, end in _consecutive(places):
+                    values = ids[i], texts[i], firsts[i] + begin, firsts[i] + end + window
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -220,20 +229,18 @@ def _located(window, phrase):
     return run
 
 
-def _hits(automaton, row, phrase, steps):
-    """Runs of window starts (first, last) whose passage belongs to a smaller document."""
+def _hits(automaton, letters, windows, doc_id, phrase, steps):
+    """The windows, by number, whose passage belongs to a smaller document."""
     found = []
-    letters = tuple(np.frombuffer(row["letters"], "<u2").tolist())
-    windows, first, doc_id = row["windows"], row["first"], row["doc_id"]
     for phase in range(min(phrase, len(windows))):
         # Every `phrase`-th letter: a window is `steps` of them in a row.
-        for last, owners in automaton.iter(letters[phase::phrase]):
+        for last, owners in automaton.iter(tuple(letters[phase::phrase])):
             at = phase + (last - steps + 1) * phrase
             if at < len(windows):
                 for passage, owner in owners:
-                    if passage == windows[at] and owner < doc_id:
-                        found.append(first + at)
-    return _consecutive(sorted(found))
+                    if owner < doc_id and passage == windows[at]:
+                        found.append(at)
+    return sorted(found)
 
 
 def _consecutive(places):
