@@ -23,9 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.session import cut
+
 from . import urls
 
 PAGES = 8
+MOST_PATHS = 500_000
+"""Style nodes of low importance that are sent to all tasks (some 20 MB)."""
 LOW = 0.2
 """Style nodes below this importance are removed."""
 PRESENTATION = 0.3
@@ -273,16 +277,20 @@ def _extracted(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url and text.
 
-    The pages are read twice: for their hosts' trees, and for their texts.
+    The pages are read twice: for their hosts' trees, and for their texts. The branches of low
+    importance go to all tasks if they are few, else they are joined by host.
     """
     host, _ = urls.host_and_path()
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    low = (
+    marked = cut(
         importance(rows)
         .where((F.col("pages") >= PAGES) & (F.col("importance") < LOW))
-        .groupBy("host")
-        .agg(F.collect_set("path").alias("low"))
+        .select("host", "path"),
+        "unimportant",
     )
+    low = marked.groupBy("host").agg(F.collect_set("path").alias("low"))
+    if marked.count() <= MOST_PATHS:
+        low = F.broadcast(low)
     shape = pages.select("page_id", "url").schema.add("text", "string")
     return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(
         _extracted, shape
