@@ -1,13 +1,17 @@
 """Language identification by nearest centroids.
 
 A text is the TF-IDF vector of its hashed byte n-grams (lower-cased; runs of ASCII non-letters
-count as one blank), at length one. Each language has several centroids, found by spherical
-k-means over a bounded sample of labelled rows; a text gets the language of the nearest centroid
-by cosine, and is rejected if it lies farther from it than the sample's rows do, with a margin.
+count as one blank), at length one; document frequencies are counted over all labelled rows. Each
+language has several centroids, found by spherical k-means over a bounded sample of labelled rows;
+a text gets the language of the nearest centroid by cosine. Similarity grows with the number of
+different n-grams, so each language has one cut-off per size: a share of a low quantile of the
+similarities of sampled texts, whole and cut short, to centroids of the sample's other half. A few
+odd rows move neither quantiles nor centroids.
 
 Defined cases: a null text or one without letters is `und` with score 0 and rejected; with no
-labelled row at all every text is `und`; rows without language are not learned from; repeated rows
-are predicted alike; equal similarities go to the language first in alphabetical order.
+labelled row at all every text is `und`; rows without language are not learned from; a size with
+too few labelled texts has the cut-off of the next smaller one, or none; repeated rows are
+predicted alike; equal similarities go to the language first in alphabetical order.
 """
 
 from dataclasses import dataclass
@@ -25,8 +29,14 @@ DIMENSIONS = 4096
 SAMPLE = 2000
 """Labelled rows per language that a model is fitted on, as expected from a hash of the row."""
 CENTROIDS = 4
-MARGIN = 0.25
-"""A text is rejected below this share of the least similarity within the language's sample."""
+QUANTILE = 0.05
+MARGIN = 0.6
+"""A text is rejected below this share of its language's and size's quantile of similarities."""
+PIECES = (8, 16, 32, 64, 128, 256)
+"""Characters that sampled texts are cut to besides, for the cut-offs of short texts."""
+LEAST = 20
+"""Left-out texts of one size that make a quantile."""
+SIZES = DIMENSIONS.bit_length()
 UNKNOWN = "und"
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -81,6 +91,11 @@ def _slice_counts(data, offsets, first, last):
     return counts.reshape(-1, DIMENSIONS)
 
 
+def _sizes(counts):
+    """The binary logarithm of each row's number of different n-grams, rounded down."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(np.int64)
+
+
 def _vectors(counts, weights):
     vectors = np.log1p(counts.astype(np.float32)) * weights
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
@@ -94,67 +109,102 @@ def _lettered(column):
 def _sample(labelled: DataFrame, sample: int) -> DataFrame:
     """About `sample` rows of each language, chosen by a hash of the text and its id."""
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    share = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
     return (
         labelled.join(F.broadcast(sizes), "lang")
         .where(share < sample / F.col("size"))
-        .select("lang", "text")
+        .select("lang", "text", F.xxhash64("text").alias("key"))
     )
 
 
+def _weights(rows: DataFrame) -> np.ndarray:
+    """The inverse document frequency of each dimension over all rows.
+
+    Each task hands on one number per dimension, and one comes to the driver.
+    """
+
+    def present(batches):
+        total = np.zeros(DIMENSIONS + 1, np.int64)
+        for batch in batches:
+            for first, last, counts in _counts(batch.column(0)):
+                total[:-1] += (counts > 0).sum(axis=0)
+                total[-1] += last - first
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    frequency = np.zeros(DIMENSIONS + 1)
+    counted = rows.select("text").mapInArrow(present, "cell long, n long").groupBy("cell")
+    for row in counted.agg(F.sum("n").alias("n")).collect():
+        frequency[row["cell"]] = row["n"]
+    return (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 0.1).astype(np.float32)
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Fit a model on rows (doc_id, text, lang); rows without text or language are left out.
 
     The sample is bounded per language, so is what comes to the driver: document frequencies
-    (one number per dimension) and the centroids.
+    (one number per dimension), the centroids and cut-offs.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
 
     def sparse(batches):
         for batch in batches:
-            for first, last, counts in _counts(batch.column(1)):
-                cells = [np.flatnonzero(row) for row in counts]
-                ends = np.cumsum([0] + [len(c) for c in cells])
-                flat = np.concatenate([row[c] for row, c in zip(counts, cells, strict=True)])
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-                    for values in (np.concatenate(cells), flat)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), *lists],
-                    names=["lang", "cells", "counts"],
+            texts = batch.column(1).cast(pa.large_string())
+            yield from described(batch, texts, True)
+            for length in PIECES:
+                longer = pc.greater(pc.utf8_length(texts), length)
+                yield from described(
+                    batch.filter(longer),
+                    pc.utf8_slice_codeunits(texts.filter(longer), 0, length),
+                    False,
                 )
 
-    shape = "lang string, cells array<int>, counts array<int>"
-    vectors = _sample(rows, sample).mapInArrow(sparse, shape)
-    present = vectors.select(F.explode("cells").alias("cell")).union(
-        vectors.select(F.lit(-1).alias("cell"))
-    )
-    frequency = np.zeros(DIMENSIONS)
-    size = 0
-    for row in present.groupBy("cell").count().collect():
-        if row["cell"] < 0:
-            size = row["count"]
-        else:
-            frequency[row["cell"]] = row["count"]
-    weights = (np.log((1 + size) / (1 + frequency)) + 0.1).astype(np.float32)
+    def described(batch, texts, whole):
+        for first, last, counts in _counts(texts):
+            cells = [np.flatnonzero(row) for row in counts]
+            ends = np.cumsum([0] + [len(c) for c in cells])
+            flat = np.concatenate([row[c] for row, c in zip(counts, cells, strict=True)])
+            lists = [
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                for values in (np.concatenate(cells), flat)
+            ]
+            part = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array([whole] * (last - first)), *lists],
+                names=["lang", "key", "whole", "cells", "counts"],
+            )
+
+    weights = _weights(rows)
 
     def cluster(key, frame):
         import pandas as pd
 
-        counts = np.zeros((len(frame), DIMENSIONS), np.float32)
-        for i, (cells, values) in enumerate(zip(frame["cells"], frame["counts"], strict=True)):
-            counts[i, cells] = values
-        points = _vectors(counts, weights)
-        points = points[np.lexsort(points[:, :8].T)]
-        centres, floor = _spherical_means(points, centroids)
+        frame = frame.sort_values("key", kind="stable")
+        whole = frame[frame["whole"]]
+        points = _dense(whole, weights)[0]
+        half = whole["key"].to_numpy() & 1
+        similar, sizes = [], []
+        for side in (0, 1):
+            left_out = frame[(frame["key"] & 1) != side]
+            if not (half == side).any():
+                continue
+            centres = _spherical_means(points[half == side], centroids)
+            for begin in range(0, len(left_out), 512):
+                vectors, size = _dense(left_out.iloc[begin : begin + 512], weights)
+                similar.append((vectors @ centres.T).max(axis=1))
+                sizes.append(size)
+        floors = _floors(np.concatenate([[], *similar]), np.concatenate([[], *sizes]))
+        centres = _spherical_means(points, centroids)
         return pd.DataFrame(
-            {"lang": key[0], "centroid": [c.tolist() for c in centres], "floor": float(floor)}
+            {"lang": key[0], "centroid": [c.tolist() for c in centres], "floors": [floors] * len(centres)}
         )
 
+    shape = "lang string, key long, whole boolean, cells array<int>, counts array<int>"
     fitted = (
-        vectors.groupBy("lang")
-        .applyInPandas(cluster, "lang string, centroid array<float>, floor double")
+        _sample(rows, sample)
+        .mapInArrow(sparse, shape)
+        .groupBy("lang")
+        .applyInPandas(cluster, "lang string, centroid array<float>, floors array<double>")
         .orderBy("lang", "centroid")
         .collect()
     )
@@ -162,25 +212,44 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         [row["lang"] for row in fitted],
         weights,
         np.array([row["centroid"] for row in fitted], np.float32).reshape(-1, DIMENSIONS),
-        np.array([row["floor"] for row in fitted]) * MARGIN,
+        np.array([row["floors"] for row in fitted]).reshape(-1, SIZES),
     )
 
 
+def _dense(frame, weights):
+    """The vectors and sizes of sparse rows."""
+    counts = np.zeros((len(frame), DIMENSIONS), np.float32)
+    for i, (cells, values) in enumerate(zip(frame["cells"], frame["counts"], strict=True)):
+        counts[i, cells] = values
+    return _vectors(counts, weights), _sizes(counts)
+
+
+def _floors(similar, sizes):
+    """The cut-off of each size."""
+    floors = [0.0] * SIZES
+    for size in range(SIZES):
+        own = similar[sizes == size]
+        if len(own) >= LEAST:
+            floors[size] = float(np.quantile(own, QUANTILE)) * MARGIN
+        elif size:
+            floors[size] = floors[size - 1]
+    return floors
+
+
 def _spherical_means(points, count, rounds=15):
-    """Centroids of unit length, and the least similarity of a point with its nearest one."""
-    centre = points.sum(axis=0)
-    centres = [centre / max(np.linalg.norm(centre), 1e-12)]
-    while len(centres) < min(count, len(points)):
-        nearest = (points @ np.array(centres).T).max(axis=1)
-        centres.append(points[int(nearest.argmin())])
-    centres = np.array(centres, np.float32)
+    """Centroids of unit length, started from equal groups by similarity to the mean; those with
+    under a hundredth of the points are left out."""
+    order = np.argsort(points @ points.sum(axis=0), kind="stable")
+    groups = [points[at].sum(axis=0) for at in np.array_split(order, min(count, len(points)))]
+    centres = np.array([c / max(np.linalg.norm(c), 1e-12) for c in groups], np.float32)
     for _ in range(rounds):
         owner = (points @ centres.T).argmax(axis=1)
         for i in range(len(centres)):
             total = points[owner == i].sum(axis=0)
             if np.linalg.norm(total) > 0:
                 centres[i] = total / np.linalg.norm(total)
-    return centres, (points @ centres.T).max(axis=1).min()
+    members = np.bincount((points @ centres.T).argmax(axis=1), minlength=len(centres))
+    return centres[members * 100 >= len(points)]
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -199,18 +268,18 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             column = batch.column(at)
             best = np.full(len(column), len(names) - 1)
             score = np.zeros(len(column))
+            floor = np.full(len(column), 2.0)
             if len(model.languages):
                 for first, last, counts in _counts(column):
                     similar = _vectors(counts, model.weights) @ model.centroids.T
                     best[first:last] = similar.argmax(axis=1)
                     score[first:last] = similar.max(axis=1)
-                floors = np.append(model.floors, 2.0)
+                    floor[first:last] = model.floors[best[first:last], _sizes(counts)]
                 lettered = _lettered(column).to_numpy(zero_copy_only=False)
                 best[~lettered] = len(names) - 1
                 score[~lettered] = 0
-                rejected = score < floors[best]
-            else:
-                rejected = np.ones(len(column), bool)
+                floor[~lettered] = 2.0
+            rejected = score < floor
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(kept)],

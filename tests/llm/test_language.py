@@ -48,6 +48,46 @@ def test_foreign_text_is_rejected(spark):
     assert got == {1: True, 2: False}
 
 
+def odd_rows(count=9):
+    """Labelled rows that are no text of their language, and one-word rows."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(count):
+        junk = "".join(rng.choices("QWXZJKVqwxzjkv0123456789+/=", k=40 + 60 * i))
+        rows += [(2000 + i, junk, sorted(SYLLABLES)[i % 3])]
+        rows += [(3000 + i, SYLLABLES["xa"][i], "xa")]
+    return rows
+
+
+def test_odd_labelled_rows_do_not_switch_rejection_off(spark):
+    model = language.fit(frame(spark, texts(600) + odd_rows(), COLUMNS))
+    rng = random.Random(5)
+    foreign = [
+        "Wczoraj wieczorem poszliśmy do kina, a potem długo rozmawialiśmy o filmie.",
+        "Вчера вечером мы пошли в кино и долго говорили о фильме.",
+        "昨天晚上我们去看电影，然后谈了很久。我们都很喜欢这部电影。",
+        "for (int i = 0; i < n; ++i) { sum += a[i] * b[i]; } return sum;",
+        "".join(rng.choices("QWXZJKVqwxzjkv0123456789+/=", k=300)),
+    ]
+    rows = [(i, text, None) for i, text in enumerate(foreign)]
+    own = [(1000 + i, text, lang) for i, text, lang in texts(300, seed=7)]
+    table = frame(spark, rows + own, COLUMNS)
+    got = {r.doc_id: r.rejected for r in language.identify(table, model, ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(foreign))] == [True] * len(foreign)
+    assert sum(got[i] for i, _, _ in own) <= 0.01 * len(own)
+
+
+def test_weights_count_all_labelled_rows(spark):
+    rows = [(i, "zq", "xa") for i in range(300)] + [(1000 + i, "ba", "xb") for i in range(20)]
+    few = language.fit(frame(spark, rows, COLUMNS), sample=20)
+    assert (few.weights == language.fit(frame(spark, rows, COLUMNS), sample=1000).weights).all()
+
+
+def test_rows_of_one_id_are_sampled_apart(spark):
+    table = frame(spark, [(None, text, "xa") for _, text, _ in texts(600)], COLUMNS)
+    assert 100 < language._sample(table, 200).count() < 300
+
+
 def test_sample_is_bounded_and_columns_pass(spark):
     table = frame(spark, texts(600), COLUMNS)
     assert language._sample(table, 50).count() < 250
