@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 The words of the licence templates are weighed by their inverse document frequency over all
-documents. A text looks up its highest-weighted licence words in the index of the templates'
-words and positions; places that agree on the text's position relative to the template are
-intersected, and a template is reported if its mandatory key phrase stands in the text and enough
-of the looked-up words agree. Base phrases are found besides, wherever their words stand in a row.
+documents. For each template whose mandatory key phrase stands in it, a text looks up its
+highest-weighted words of that template in the index of the templates' words and positions; places
+that agree on the text's position relative to the template are intersected, and the template is
+reported if enough of the looked-up words agree. Weights only rank words: no word is too common to
+be looked up. Base phrases are found besides, wherever their words stand in a row.
 
 Words are runs of letters and digits, A-Z lower-cased; any character beyond ASCII counts as a
 letter. Defined cases: null and empty texts have no words and no labels; rows that repeat a
@@ -20,9 +21,7 @@ from pyspark.sql import functions as F
 from paperlake.session import cut
 
 LOOKED_UP = 6
-"""Rarest licence words of a text that are looked up."""
-COMMON = 0.05
-"""Template words in more than this share of the documents are not indexed."""
+"""Rarest words of a template that a text with its key phrase looks up."""
 AGREEING = 2
 """Looked-up words that must agree on a place."""
 
@@ -66,6 +65,7 @@ TEMPLATES = [
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VOCABULARY = sorted({word for _, _, text in TEMPLATES for word in text.split()})
 
@@ -126,56 +126,61 @@ def _based(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.when(F.size("words") > 0, labelled))
 
 
-def _candidates(documents: DataFrame, indexed: list[str]) -> DataFrame:
-    """Texts with a base phrase's words or enough indexed words: their words, base places, the
-    rarest indexed words and the templates whose key phrase they hold."""
-    first = F.col("text").rlike(r"(?i)license|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by")
-    wanted = _texts(documents).withColumn("hinted", first)
-    keyed = wanted.withColumn("words", _words(F.col("text"))).withColumn(
-        "rare", F.slice(F.array_intersect(_array(indexed), "words"), 1, LOOKED_UP)
-    )
-    chosen = keyed.where(F.col("hinted") | (F.size("rare") >= AGREEING))
+def _phrases_hint() -> str:
+    """A pattern that every text with a base or key phrase matches."""
+    phrases = sorted({*BASE, *(key for _, key, _ in TEMPLATES)})
+    return "(?i)" + "|".join(_BETWEEN.join(phrase.split()) for phrase in phrases)
+
+
+def _candidates(documents: DataFrame, rare: list[str]) -> DataFrame:
+    """Texts that may hold a base or key phrase: their words, base places, and the templates whose
+    key phrase they hold, each with its first words in the order `rare` that the text holds."""
+    chosen = _texts(documents).where(F.col("text").rlike(_phrases_hint()))
+    rank = {word: i for i, word in enumerate(rare)}
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    keys = F.array(
-        *(
-            F.when(F.col("spaced").contains(f" {key} "), F.lit(i))
-            for i, (_, key, _) in enumerate(TEMPLATES)
+
+    def verified(i, key, text):
+        own = _array(sorted(set(text.split()), key=rank.get))
+        return F.when(
+            F.col("spaced").contains(f" {key} "),
+            F.struct(
+                F.lit(i).alias("template"),
+                F.slice(F.array_intersect(own, "words"), 1, LOOKED_UP).alias("rare"),
+            ),
         )
-    )
+
+    keys = F.array(*(verified(i, key, text) for i, (_, key, text) in enumerate(TEMPLATES)))
     return (
-        _based(chosen)
+        _based(chosen.withColumn("words", _words(F.col("text"))))
         .withColumn("spaced", spaced)
         .withColumn("verified", F.array_compact(keys))
-        .select("doc_id", "row_text", "words", "base", "rare", "verified")
+        .select("doc_id", "row_text", "words", "base", "verified")
     )
 
 
-def _postings(spark, indexed: list[str]) -> DataFrame:
+def _postings(spark) -> DataFrame:
     """(word, template, at): a small table of fixed size."""
-    known = set(indexed)
     rows = [
         (word, i, at)
         for i, (_, _, text) in enumerate(TEMPLATES)
         for at, word in enumerate(text.split())
-        if word in known
     ]
     return spark.createDataFrame(rows, "word string, template int, at int")
 
 
-def _matched(candidates: DataFrame, indexed: list[str]) -> DataFrame:
+def _matched(candidates: DataFrame) -> DataFrame:
     """(doc_id, row_text, template, share): templates on which enough looked-up words agree."""
     places = F.filter(
         F.transform("words", lambda word, i: F.struct(word.alias("word"), i.alias("place"))),
-        lambda x: F.array_contains("rare", x["word"]),
+        lambda x: F.array_contains("v.rare", x["word"]),
     )
-    looked = candidates.where(F.size("verified") > 0).select(
-        "doc_id", "row_text", "verified", F.size("rare").alias("n_rare"), F.explode(places).alias("w")
+    looked = candidates.select("doc_id", "row_text", "words", F.explode("verified").alias("v")).select(
+        "doc_id", "row_text", "v.template", F.size("v.rare").alias("n_rare"), F.explode(places).alias("w")
     )
-    postings = F.broadcast(_postings(candidates.sparkSession, indexed))
+    postings = F.broadcast(_postings(candidates.sparkSession))
     return (
-        looked.select("doc_id", "row_text", "verified", "n_rare", "w.word", "w.place")
-        .join(postings, "word")
-        .where(F.array_contains("verified", F.col("template")))
+        looked.select("doc_id", "row_text", "template", "n_rare", "w.word", "w.place")
+        .join(postings, ["word", "template"])
         .groupBy("doc_id", "row_text", "template", (F.col("place") - F.col("at")).alias("shift"))
         .agg(F.countDistinct("word").alias("agreeing"), F.max("n_rare").alias("n_rare"))
         .where((F.col("agreeing") >= AGREEING) | (F.col("agreeing") == F.col("n_rare")))
@@ -192,9 +197,8 @@ def scan(documents: DataFrame) -> DataFrame:
     """
     weighed = weights(documents)
     rare = sorted(weighed, key=lambda word: (-weighed[word], word))
-    indexed = [word for word in rare if weighed[word] >= -math.log(COMMON)]
-    candidates = cut(_candidates(documents, indexed), "licenses")
-    found = _matched(candidates, indexed).groupBy("doc_id", "row_text").agg(
+    candidates = cut(_candidates(documents, rare), "licenses")
+    found = _matched(candidates).groupBy("doc_id", "row_text").agg(
         F.collect_set(
             F.element_at(_array([name for name, _, _ in TEMPLATES]), F.col("template") + 1)
         ).alias("own"),

@@ -49,6 +49,28 @@ def test_templates_are_found_by_place_and_key(spark):
     assert got[3002].labels == ""
 
 
+def test_notices_of_many_documents_are_found(spark):
+    notices = {name: text for name, _, text in licenses.TEMPLATES}
+    rows = [(i, f"w{i} w{i + 1} " * 5) for i in range(60)]
+    rows += [(100 + i, f"w{i} {notices['cc-by-nc']}. w{i}") for i in range(30)]
+    rows += [(200 + i, f"w{i} {notices['bsd']}. w{i}") for i in range(30)]
+    rows += [(300, f"{notices['isc']}. w1 {notices['bsd']}"), (301, notices["unlicense"])]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {got[100 + i].labels for i in range(30)} == {"cc-by,cc-by-nc"}
+    assert {got[200 + i].labels for i in range(30)} == {"bsd"}
+    assert {got[200 + i].score for i in range(30)} == {1.0}
+    assert got[300].labels == "bsd,isc" and got[301].labels == "unlicense"
+    assert not any(got[i].labels for i in range(60))
+
+
+def test_each_template_has_its_own_lookups(spark):
+    texts = [text for _, _, text in licenses.TEMPLATES]
+    rows = [(1, "\n\n".join(texts))] + [(2 + i, f"w{i}") for i in range(40)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    own = {name for name, _, _ in licenses.TEMPLATES}
+    assert own <= set(got[1].labels.split(","))
+
+
 def test_weights_count_all_documents(spark):
     rows = [(i, "the license" if i % 2 else "the charge") for i in range(10)] + [(11, None)]
     weights = licenses.weights(frame(spark, rows))
