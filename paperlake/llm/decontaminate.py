@@ -5,9 +5,13 @@ number) are typed placeholders, other words are lower-cased, outer punctuation i
 of `WINDOW` template tokens of documents and benchmark items are joined by hash. A document leaks
 an item when enough windows agree on one alignment and the slots are consistent: each number, name
 or unit of the item stands for one value of the document, and no two of them for the same one.
+Windows of the lower-cased words themselves are joined besides, and enough of them on one alignment
+are a leak whatever the slots. An item with fewer than enough windows of `LITERALS` plain words,
+short or full of slots, is compared by the template of the whole item: all its windows must agree.
 
 Defined cases: null and empty texts have no windows; items shorter than a window cannot be told
-from chance and are not searched; windows with fewer than `LITERALS` plain words are not compared;
+from chance and are not searched; items with fewer than `LITERALS` plain words are found by their
+own words only; an item's first word, if capitalised, may be a name of the document;
 rows that repeat a `doc_id` count as one document; rows without `doc_id` are reported with a null
 id, and `clean` keeps them; repeated windows of one text count once per alignment; further columns
 are ignored by `leaks`; empty tables give no rows.
@@ -41,6 +45,8 @@ _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LOWER = np.array([b >= 128 or 0x61 <= b <= 0x7A for b in range(256)])
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
+_RAW = np.uint64(0x4444)
+_PLAIN, _SLOTTED, _WORDS = range(3)
 
 
 def _unit_hashes():
@@ -52,7 +58,8 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def templates(column):
-    """(template tokens, their values, whether they are slots, row offsets) of a text column."""
+    """(template tokens, their values, whether they are slots, whether they are capitalised words,
+    row offsets) of a text column."""
     data, offsets = hashing.text_bytes(column)
     lowered, low_offsets = hashing.text_bytes(
         pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
@@ -81,7 +88,7 @@ def templates(column):
     unit = after & np.isin(values, _UNIT_HASHES) & ~number
     tokens = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, values)))
     rows = np.concatenate([[0], np.cumsum(kept)])[rows]
-    return tokens, values, number | name | unit, rows
+    return tokens, values, number | name | unit, capital, rows
 
 
 def _stripped(data, starts, ends):
@@ -96,50 +103,91 @@ def _stripped(data, starts, ends):
     return np.where(empty, starts, first), np.where(empty, starts, last)
 
 
-def _windows(keys=None):
-    """Rows (id, text): the windows, with `keys` only those among them."""
+def _windows(keys=None, items=False):
+    """Rows (id, text): the windows, with `keys` only those among them.
+
+    A window's kind tells templates with enough plain words, other templates and the words
+    themselves. Items have templates of the second kind only if they lack those of the first.
+    """
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                tokens, values, slots, rows = templates(part.column(1))
-                plain = np.concatenate([[0], np.cumsum(~slots)])
-                window = hashing.shingles(tokens, WINDOW)
-                count = len(window)
-                row = np.repeat(np.arange(part.num_rows), np.diff(rows))[:count]
-                there = np.arange(count) + WINDOW <= rows[1:][row]
-                there &= plain[WINDOW:][:count] - plain[:count] >= LITERALS
-                if keys is not None:
-                    near = np.minimum(np.searchsorted(keys, window), max(len(keys) - 1, 0))
-                    there &= keys[near] == window if len(keys) else False
-                at = np.flatnonzero(there)
-                lists = [values[i : i + WINDOW][slots[i : i + WINDOW]] for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(row[at])),
-                        pa.array(at - rows[row[at]], pa.int64()),
-                        pa.array((np.diff(rows) - WINDOW + 1)[row[at]], pa.int64()),
-                        hashing.as_long(window[at]),
-                        hashing.long_lists(lists),
-                    ],
-                    names=["id", "place", "windows", "hash", "slots"],
-                )
+                yield of_part(batch.slice(begin, 256))
+
+    def of_part(part):
+        tokens, values, slots, capital, rows = templates(part.column(1))
+        plain = np.concatenate([[0], np.cumsum(~slots)])
+        window = hashing.shingles(tokens, WINDOW)
+        count = len(window)
+        row = np.repeat(np.arange(part.num_rows), np.diff(rows))[:count]
+        there = np.arange(count) + WINDOW <= rows[1:][row]
+        enough = there & (plain[WINDOW:][:count] - plain[:count] >= LITERALS)
+        comparable = np.bincount(row[enough], minlength=part.num_rows)
+        total = np.maximum(np.diff(rows) - WINDOW + 1, 0)
+        template = there
+        if items:
+            heavy = comparable < np.minimum(total, ENOUGH)
+            heavy &= plain[rows[1:]] - plain[rows[:-1]] >= LITERALS
+            template = enough | (there & heavy[row])
+        at = np.flatnonzero(template)
+        found = [(at, window[at], np.where(enough[at], _PLAIN, _SLOTTED), slots)]
+        if items:
+            # The first word is at no sentence's start where the document has words before it.
+            starts = rows[:-1][(total > 0)]
+            starts = starts[template[starts] & capital[starts] & ~slots[starts]]
+            named, named_slots = tokens.copy(), slots.copy()
+            named[starts], named_slots[starts] = _NAME, True
+            again = hashing.shingles(named, WINDOW)
+            found.append((starts, again[starts], np.where(enough[starts], _PLAIN, _SLOTTED), named_slots))
+        at = np.flatnonzero(there)
+        words = hashing.mix(hashing.shingles(values, WINDOW) + _RAW)
+        found.append((at, words[at], np.full(len(at), _WORDS), None))
+        if keys is not None:
+            found = [_among(keys, *group) for group in found]
+        lists = [
+            values[i : i + WINDOW][slot[i : i + WINDOW]] if slot is not None else values[:0]
+            for at, _, _, slot in found
+            for i in at.tolist()
+        ]
+        at, window, kind = (np.concatenate([group[i] for group in found]) for i in range(3))
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(0).take(pa.array(row[at])),
+                pa.array(at - rows[row[at]], pa.int64()),
+                pa.array(total[row[at]], pa.int64()),
+                pa.array(comparable[row[at]], pa.int64()),
+                pa.array(kind, pa.int32()),
+                hashing.as_long(window),
+                hashing.long_lists(lists),
+            ],
+            names=["id", "place", "windows", "comparable", "kind", "hash", "slots"],
+        )
 
     return run
 
 
-_SHAPE = "id long, place long, windows long, hash long, slots array<long>"
+def _among(keys, at, window, kind, slots):
+    near = np.minimum(np.searchsorted(keys, window), max(len(keys) - 1, 0))
+    there = keys[near] == window if len(keys) else np.zeros(len(window), bool)
+    return at[there], window[there], kind[there], slots
+
+
+_SHAPE = (
+    "id long, place long, windows long, comparable long, kind int, hash long, slots array<long>"
+)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leak: doc_id, item_id, n_windows (compared on the best alignment), share (of
-    the item's windows), n_slots.
+    the item's windows), n_slots (none if only the words agree).
 
     The documents are read once. If the benchmark has at most `MOST_KEYS` distinct windows they go
     to all tasks and sift the documents' windows before the join; the result is the same without.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows(), _SHAPE)
+    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(
+        _windows(items=True), _SHAPE
+    )
     keys = [row["hash"] for row in items.select("hash").distinct().limit(MOST_KEYS + 1).collect()]
     sifted = np.unique(np.array(keys, np.int64).view(np.uint64)) if len(keys) <= MOST_KEYS else None
     texts = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
@@ -153,8 +201,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             (F.col("d.place") - F.col("i.place")).alias("shift"),
         )
         .agg(
-            F.countDistinct("i.place").alias("n_windows"),
+            *(
+                F.collect_set(F.when(F.col("i.kind") == kind, F.col("i.place"))).alias(name)
+                for kind, name in ((_PLAIN, "plain"), (_SLOTTED, "slotted"), (_WORDS, "words"))
+            ),
             F.max("i.windows").alias("windows"),
+            F.max("i.comparable").alias("comparable"),
             F.collect_set(
                 F.when(
                     F.size("d.slots") > 0, F.arrays_zip(F.col("i.slots").alias("item"), F.col("d.slots").alias("doc"))
@@ -167,14 +219,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     consistent = (number == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))) & (
         number == F.size(F.array_distinct(F.transform("slots", lambda s: s["doc"])))
     )
-    enough = F.col("n_windows") >= F.least(F.lit(ENOUGH), F.col("windows"))
+    enough = F.least(F.lit(ENOUGH), F.col("windows"))
+    templated = F.array_union("plain", "slotted")
+    alike = consistent & F.when(
+        F.col("comparable") >= enough, F.size("plain") >= enough
+    ).otherwise(F.size(templated) == F.col("windows"))
+    compared = F.when(F.col("alike"), F.size(F.array_union(templated, "words"))).otherwise(F.size("words"))
     return (
-        aligned.where(enough & consistent)
+        aligned.withColumn("alike", alike)
+        .where(F.col("alike") | (F.size("words") >= enough))
+        .withColumn("n_windows", compared.cast("long"))
         .groupBy("doc_id", "item_id")
         .agg(
             F.max("n_windows").alias("n_windows"),
             F.max(F.col("n_windows") / F.col("windows")).alias("share"),
-            F.max(number).cast("long").alias("n_slots"),
+            F.max(F.when(F.col("alike"), number).otherwise(0)).cast("long").alias("n_slots"),
         )
     )
 

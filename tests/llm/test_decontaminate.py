@@ -73,6 +73,37 @@ def test_reparameterised_questions_need_consistent_slots(spark):
     assert got[(1, 7)].n_slots >= 3
 
 
+SLOTTED = "Ann Lee ran 5 km in 20 minutes on Monday"
+NUMBERS = "The 1 2 3 4 5 6 7 8 of 9 10 11 12 13 14 15 16 in 17 18 19 20"
+OPENING = "Under old bridges grey herons wait for small fish"
+
+
+def test_short_and_slot_heavy_items_are_found(spark):
+    rows = [
+        (1, f"some words before. {SLOTTED}. and after"),
+        (2, f"some words before {SLOTTED} and after"),
+        (3, "before. Ann Cox ran 7 km in 31 minutes on Friday"),
+        (4, "before. Ann Cox ran 7 km in 31 minutes by Friday"),
+        (5, f"so it is that {OPENING} all day"),
+        (6, f"before {NUMBERS} after"),
+        (7, " ".join(str(i) for i in range(60))),
+        (8, "before. Ann Cox ran 7 km in 7 minutes on Friday"),
+        (9, "so it is that Under old bridges grey herons wait for small birds"),
+    ]
+    got = found(spark, rows, [(1, SLOTTED), (2, OPENING), (3, NUMBERS)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 2), (6, 3)}
+    assert got[(3, 1)].n_slots > 0 and got[(1, 1)].share == 1
+
+
+def test_verbatim_windows_count_whatever_other_slots_say(spark):
+    copied = QUESTION.replace("5 of the", "6 of the") + " and 6 more"
+    assert set(found(spark, [(1, "It says. " + QUESTION + " or " + copied)], [(7, QUESTION)]))
+    long = "every copied word of this plain old text is here and then some others follow it "
+    item = long + "so 5 go home while 5 stay here"
+    rows = [(1, long + "so 8 go home while 9 stay here")]
+    assert set(found(spark, rows, [(7, item)])) == {(1, 7)}
+
+
 def test_without_sifting_the_result_is_the_same(spark, monkeypatch):
     rows = [(1, QUESTION), (2, sentence(random.Random(1), 50))] + documents()
     first = set(found(spark, rows, [(7, QUESTION)]))
