@@ -217,11 +217,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
 
 def _dense(frame, weights):
-    """The vectors and sizes of sparse rows."""
-    counts = np.zeros((len(frame), DIMENSIONS), np.float32)
-    for i, (cells, values) in enumerate(zip(frame["cells"], frame["counts"], strict=True)):
-        counts[i, cells] = values
-    return _vectors(counts, weights), _sizes(counts)
+    """The vectors and sizes of sparse rows; only slices of them have counts besides."""
+    vectors = np.empty((len(frame), DIMENSIONS), np.float32)
+    sizes = np.empty(len(frame), np.int64)
+    for begin in range(0, len(frame), 128):
+        part = frame.iloc[begin : begin + 128]
+        counts = np.zeros((len(part), DIMENSIONS), np.float32)
+        for i, (cells, values) in enumerate(zip(part["cells"], part["counts"], strict=True)):
+            counts[i, cells] = values
+        vectors[begin : begin + 128] = _vectors(counts, weights)
+        sizes[begin : begin + 128] = _sizes(counts)
+    return vectors, sizes
 
 
 def _floors(similar, sizes):
@@ -245,7 +251,7 @@ def _spherical_means(points, count, rounds=15):
     for _ in range(rounds):
         owner = (points @ centres.T).argmax(axis=1)
         for i in range(len(centres)):
-            total = points[owner == i].sum(axis=0)
+            total = (owner == i).astype(np.float32) @ points
             if np.linalg.norm(total) > 0:
                 centres[i] = total / np.linalg.norm(total)
     members = np.bincount((points @ centres.T).argmax(axis=1), minlength=len(centres))
