@@ -47,3 +47,10 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (r)"""
+
+EQUAL_TEXTS = f"""WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id,
+  count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER same = 1 AS kept,
+  sha256(t) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY t ORDER BY doc_id NULLS LAST)"""

@@ -14,6 +14,7 @@ from . import (
     oracles,
     packing,
     quality,
+    recipes,
     repeats,
     secret_scan,
     urls,
@@ -88,6 +89,11 @@ def op10_substring_dedup(spark, sf_dir):
     return report.withColumnRenamed("digest", "kept_sha256")
 
 
+def op11_exact_dedup(spark, sf_dir):
+    """Every document's group of equal texts, and whether it stays."""
+    return recipes.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in [
@@ -101,10 +107,12 @@ QUERIES = {
         op8_language_id,
         op9_secret_scans,
         op10_substring_dedup,
+        op11_exact_dedup,
     ]
 }
 
 ORACLES = {
     "op1_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
     "op10_substring_dedup": oracles.REPEATS,
+    "op11_exact_dedup": oracles.EQUAL_TEXTS,
 }
