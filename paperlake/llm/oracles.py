@@ -54,3 +54,47 @@ SELECT doc_id, first_value(doc_id) OVER same AS keep_id,
   count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER same = 1 AS kept,
   sha256(t) AS text_sha256
 FROM texts WINDOW same AS (PARTITION BY t ORDER BY doc_id NULLS LAST)"""
+
+FILTER_INTERACTIONS = f"""WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    {_words("coalesce(text, '')")} AS w FROM documents),
+flags AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+  FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+      'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+      'D': regexp_matches(t, '[#$%&*|]'),
+      'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)}} AS f
+  FROM texts LEFT JOIN flags USING (doc_id)),
+orders(o) AS (
+  SELECT '' UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)
+  WHERE NOT contains(o, x)),
+steps AS (
+  SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5),
+named AS (
+  SELECT *, substr(filter_order, step::INT, 1) AS x, substr(filter_order, 1, step::INT - 1) AS b
+  FROM steps),
+cells AS (
+  SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x:
+    CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END)
+    AS failed, count(*) AS n
+  FROM docs GROUP BY ALL),
+marked AS (
+  SELECT part, filter_order, step, x, n, good, toxic, list_contains(failed, x) AS fails,
+    len(list_filter(failed, lambda y: contains(b, y))) > 0 AS before, len(failed) = 1 AS one
+  FROM cells, named),
+counted AS (
+  SELECT part, filter_order, step, x,
+    coalesce(sum(n) FILTER (NOT fails AND NOT before), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT before), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND before), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND one), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (fails AND NOT before AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (fails AND NOT before AND toxic), 0)::BIGINT AS toxic_lost
+  FROM marked GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost,
+  toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM counted"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperlake.testviews import table
 
 from . import (
+    audit,
     decontaminate,
     extraction,
     jaccard,
@@ -94,6 +95,13 @@ def op11_exact_dedup(spark, sf_dir):
     return recipes.groups(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interactions(spark, sf_dir):
+    """What five filters remove from every source's documents, in every order."""
+    return audit.interactions(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in [
@@ -108,6 +116,7 @@ QUERIES = {
         op9_secret_scans,
         op10_substring_dedup,
         op11_exact_dedup,
+        op12_filter_interactions,
     ]
 }
 
@@ -115,4 +124,5 @@ ORACLES = {
     "op1_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
     "op10_substring_dedup": oracles.REPEATS,
     "op11_exact_dedup": oracles.EQUAL_TEXTS,
+    "op12_filter_interactions": oracles.FILTER_INTERACTIONS,
 }
