@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperlake.testviews import table
 
 from . import (
+    alignment,
     audit,
     decontaminate,
     extraction,
@@ -102,6 +103,12 @@ def op12_filter_interactions(spark, sf_dir):
     )
 
 
+def op13_tokenizer_alignment(spark, sf_dir):
+    """Every document's tokens of two tokenizers, aligned and linked."""
+    paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     query.__name__: query
     for query in [
@@ -117,6 +124,7 @@ QUERIES = {
         op10_substring_dedup,
         op11_exact_dedup,
         op12_filter_interactions,
+        op13_tokenizer_alignment,
     ]
 }
 

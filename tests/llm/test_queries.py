@@ -32,6 +32,9 @@ COLUMNS = {
     "op8_language_id": "doc_id held_out lang_pred score",
     "op9_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op11_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op12_filter_interactions": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
@@ -49,6 +52,8 @@ def test_columns_and_rows(spark, name):
         assert rows > 0
     elif name in ("op5_url_filters", "op7_html_extraction"):
         assert rows == spark.read.parquet(f"{SF_DIR}/pages.parquet").count()
+    elif name == "op12_filter_interactions":
+        assert rows == 600 * documents(spark).select("source").distinct().count()
     elif name != "op6_packing":
         assert rows == documents(spark).count()
 
@@ -108,7 +113,7 @@ def test_secret_hash_of_a_document_without_any(spark):
 
 def test_oracles(spark):
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "labels"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         found = entry.queries()[name](spark, SF_DIR)
