@@ -24,6 +24,7 @@ columns are ignored; an empty table gives no rows. A text of any length is one r
 import hashlib
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ from paperlake.session import cut
 from . import hashing
 from .packing import _Pool as Pool
 
-BLOCK = 16 << 20
-CACHE = 400_000
-"""Words whose ids a worker keeps, per tokenizer."""
-KEPT_WORD = 100
-"""Longer words are encoded each time."""
+BLOCK = 4 << 20
+KEPT = 4 << 20
+"""Characters of the words whose ids a worker remembers, per tokenizer."""
+MARKS = b" ,|;"
+"""What stands before a token's id: nothing at the start of a text, else one of the others."""
 
 _CUT = re.compile("(?= [!-~À-ÖØ-öø-ÿ])")
 _SPACES = re.compile(" +[^ ]*")
@@ -57,50 +58,46 @@ class Words:
     def __init__(self, split, encode, pieces):
         self.split, self.encode, self.pieces = split, encode, pieces
         self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.known, self.wrong = Pool(), set()
+        self._forget()
 
-    def _learn(self, words: list[str], pool: Pool) -> set[int]:
-        """Adds the words to `pool`; the places of those that are not given back."""
+    def _forget(self) -> None:
+        self.known, self.wrong, self.length = Pool(), set(), 0
+
+    def _learn(self, words: list[str]) -> None:
         lists = self.encode(words)
-        first = pool.count
-        wrong = {
+        first, piece = self.known.count, self.pieces.__getitem__
+        self.wrong.update(
             first + i
             for i, (word, ids) in enumerate(zip(words, lists, strict=True))
-            if b"".join([self.pieces[x] for x in ids]) != word.encode()
-        }
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32)
-        pool.add(words, flat, np.array([len(ids) for ids in lists], np.int64))
-        return wrong
+            if b"".join(map(piece, ids)) != word.encode()
+        )
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        self.known.add(words, flat, sizes)
+        self.length += sum(map(len, words))
 
     def tokens(self, texts: list[str]):
         """All ids of the texts, the texts' offsets among them, and whether each text is given
         back."""
-        if self.known.count > CACHE:
-            self.known, self.wrong = Pool(), set()
+        if self.length > KEPT:
+            self._forget()
         split = [self.split(text) for text in texts]
-        words = [word for own in split for word in own]
-        new = {w for w in words if len(w) <= KEPT_WORD and w not in self.known.place}
-        if new:
-            self.wrong |= self._learn(sorted(new), self.known)
-        long = sorted({w for w in words if len(w) > KEPT_WORD})
-        pool, wrong = self.known, self.wrong
-        if long:
-            # For these texts only: long words do not come back often enough to be kept.
-            pool, before = Pool(), self.known
-            some = sorted({w for w in words if len(w) <= KEPT_WORD})
-            places = np.array([before.place[w] for w in some], np.int64)
-            ids, sizes = before.gather(places)
-            pool.add(some, ids, sizes)
-            wrong = {i for i, p in enumerate(places.tolist()) if p in self.wrong}
-            wrong |= self._learn(long, pool)
-        places = np.fromiter((pool.place[w] for w in words), np.int64, len(words))
-        ids, sizes = pool.gather(places)
+        words = list(chain.from_iterable(split))
+        find = self.known.place.get
+        places = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            places[missing] = np.fromiter(map(find, new), np.int64, len(new))
+        ids, sizes = self.known.gather(places)
         rows = np.cumsum([0, *map(len, split)])
         offsets = np.concatenate([[0], np.cumsum(sizes)])[rows]
-        bad = np.isin(places, np.fromiter(wrong, np.int64, len(wrong)))
-        right = np.add.reduceat(np.append(bad, False), rows[:-1]) == 0 if len(texts) else bad
-        right |= rows[1:] == rows[:-1]
-        return ids.astype(np.int64), offsets, right
+        if not self.wrong:
+            return ids.astype(np.int64), offsets, np.ones(len(texts), bool)
+        bad = np.isin(places, np.fromiter(self.wrong, np.int64, len(self.wrong)))
+        before = np.concatenate([[0], np.cumsum(bad)])[rows]
+        return ids.astype(np.int64), offsets, np.diff(before) == 0
 
 
 def _byte_values() -> dict[str, int]:
@@ -217,15 +214,28 @@ class Aligned:
         mark = np.zeros(len(ids), np.int64)
         mark[1:] = np.where(group[1:] != group[:-1], 3, np.where(second[1:] != second[:-1], 2, 1))
         mark[(ends - tokens)[tokens > 0]] = 0
-        marks = ("", ",", "|", ";")
-        written = [marks[m] + str(i) for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
+        written, length = _written(mark, ids)
+        bounds = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], ends])].tolist()
         digests = [
-            hashlib.sha256("".join(written[end - n : end]).encode()).hexdigest() if n else ""
-            for n, end in zip(tokens.tolist(), ends.tolist(), strict=True)
+            hashlib.sha256(written[i:j]).hexdigest() if j > i else ""
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True)
         ]
         return n_groups, digests
 
 
+def _written(mark: np.ndarray, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The marks and decimal ids one after the other, and the length of each; no mark for 0."""
+    digits = len(str(int(ids.max(initial=0))))
+    power = 10 ** np.arange(digits - 1, -1, -1)
+    text = np.empty((len(ids), digits + 1), np.uint8)
+    text[:, 0] = np.frombuffer(MARKS, np.uint8)[mark]
+    text[:, 1:] = ids[:, None] // power % 10 + ord("0")
+    used = np.ones_like(text, bool)
+    used[:, 0] = mark > 0
+    used[:, 1:-1] = ids[:, None] >= power[:-1]
+    return memoryview(text[used]), used.sum(axis=1)
+
+
 _COLUMNS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, pairs array<long>, docs array<int>"
 _FIELDS = pa.schema(
     [

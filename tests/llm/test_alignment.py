@@ -94,7 +94,7 @@ def test_no_rows_and_no_tokens(spark):
 
 
 def test_words_give_the_tokenizers_own_ids(monkeypatch):
-    monkeypatch.setattr(alignment, "CACHE", 50)
+    monkeypatch.setattr(alignment, "KEPT", 300)
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
     texts = [text for _, text in given() if text and "▁" not in text]
