@@ -1,261 +1,349 @@
-"""The neighbour table: the `k` nearest papers of every paper.
+"""The nearest papers of many papers: the neighbour table of all, or lists of the asked ones.
 
 Equal vectors are folded first, so that a group of copies is compared once, however large. The
-distinct vectors are grouped into cells and each cell is cut into blocks of bounded size; a task
-compares two blocks and hands on `k` rows per query, never the pairs.
-
-Exact by default: the nearest vectors within a vector's own block bound the angle worth looking
-at, and a cell is visited unless the triangle inequality rules it out. `nprobe` visits only that
-many nearest cells instead, which is approximate and linear in the data.
+distinct vectors lie in two-level cells (`cells`); crowded cells are cut into blocks of bounded
+size, and the blocks of one coarse cell are joined into groups that one task can hold. A query is
+sent to a group once, with the cells to be searched there; a task hands on `k` rows per query,
+never the pairs.
+
+`nprobe` searches the nearest cells only: approximate, and linear in the data. Without it lists are
+exact: the nearest cell's vectors bound the angle worth looking at, and further cells are searched
+unless the triangle inequality rules them out, the coarse ones first. In high dimensions that rules
+out little; `nprobe` is the choice for large tables. Vectors that fit into one block are compared
+without cells.
+
+Nothing but the coarse centroids and counts by coarse cell (both in the order of the square root of
+the cells) comes to the driver.
 """
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake import params
-from paperlake.operators import ivf, knn
+from paperlake.operators import cells, ivf, knn
 from paperlake.schemas import SIMILAR
 from paperlake.session import cut
 
 MAX_BLOCK = 4096
 
-# Rows compared with all centroids at a time.
-ROUTED_ROWS = 512
+# Queries compared with one block at a time.
+QUERY_ROWS = 1024
 
 _HITS = "rep string, arxiv_id string, similarity double"
 _HIT_SCHEMA = pa.schema(
     [("rep", pa.string()), ("arxiv_id", pa.string()), ("similarity", pa.float64())]
 )
+_GROUP = ["coarse", "group", "part"]
 
 
-@dataclass
-class _Cells:
-    centroids: np.ndarray
-    radius: np.ndarray
-    blocks: np.ndarray
-
-
-def _groups(embeddings: DataFrame) -> DataFrame:
+def _keyed(embeddings: DataFrame) -> DataFrame:
     """Rows with the key of their vector: 128 bits of two differently seeded hashes."""
     key = F.struct(
         F.xxhash64("embedding").alias("first"), F.xxhash64(F.lit(1), "embedding").alias("second")
     )
-    return embeddings.select("arxiv_id", "embedding", key.alias("vector_key"))
+    return ivf.nonzero(embeddings).select("arxiv_id", "embedding", key.alias("vector_key"))
 
 
-def _distinct_vectors(grouped: DataFrame) -> DataFrame:
+def _distinct_vectors(keyed: DataFrame) -> DataFrame:
     """One row per distinct vector, named after the smallest id that has it."""
-    return grouped.groupBy("vector_key").agg(
-        F.min("arxiv_id").alias("rep"),
-        F.first("embedding").alias("embedding"),
-        F.count("*").alias("copies"),
+    return keyed.groupBy("vector_key").agg(
+        F.min("arxiv_id").alias("rep"), F.first("embedding").alias("embedding")
     )
 
 
-def _hit_table(query_ids: np.ndarray, ids: np.ndarray, similarities: np.ndarray, k: int):
-    """Top `k` per row of a block's similarity matrix, whose columns are in id order.
+def _best(query, ids, scores, k: int):
+    """The `k` best hits of each query, best first, ties by id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    kept = place < k
+    return query[kept], ids[kept], scores[kept]
 
-    Excluded pairs are marked by minus infinity.
-    """
-    if not similarities.size:
-        return pa.table([[], [], []], schema=_HIT_SCHEMA)
-    width = similarities.shape[1]
+
+def _block_hits(queries: np.ndarray, rows: np.ndarray, k: int):
+    """(query, row, score) of a block's `k` best rows per query; rows are in id order."""
+    scores = np.round(queries @ rows.T, knn.DIGITS)
     lowest = -np.inf
-    if width > k:
-        lowest = np.partition(similarities, width - k, axis=1)[:, width - k, None]
-    rows, columns = np.nonzero((similarities >= lowest) & (similarities > -np.inf))
-    scores = similarities[rows, columns]
-    # Rows keep their order and ties their column order, so places count up within each row.
-    order = np.lexsort((columns, -scores, rows))
-    rows, columns, scores = rows[order], columns[order], scores[order]
-    starts = np.searchsorted(rows, np.arange(len(query_ids)))
-    kept = np.arange(len(rows)) - starts[rows] < k
-    return pa.table(
-        [
-            pa.array(query_ids[rows[kept]], pa.string()),
-            pa.array(ids[columns[kept]], pa.string()),
-            pa.array(scores[kept], pa.float64()),
-        ],
-        schema=_HIT_SCHEMA,
-    )
+    if scores.shape[1] > k:
+        lowest = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    query, row = np.nonzero(scores >= lowest)
+    return _best(query, row, scores[query, row], k)
 
 
-def _block(table: pa.Table):
-    """Ids in order, and their unit vectors."""
-    table = table.combine_chunks().sort_by("rep")
-    vectors = table.column("embedding").combine_chunks()
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.chunk(0)
-    ids = np.array(table.column("rep").to_pylist(), dtype=object)
-    return ids, knn.unit_rows(knn.matrix(vectors))
+def _compared(k: int, max_block: int):
+    """Compares the queries of a group (rep, embedding, fines) with its vectors, cell by cell."""
 
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _HIT_SCHEMA.empty_table()
+        order = np.lexsort((np.array(right["other"].to_pylist()), right["fine"].to_numpy()))
+        right = right.take(pa.array(order)).combine_chunks()
+        queries = knn.unit_rows(knn.matrix(left["embedding"].combine_chunks()))
+        rows = knn.matrix(right["vector"].combine_chunks())
+        fine = right["fine"].to_numpy()
+        lists = left["fines"].combine_chunks()
+        visited = lists.flatten().to_numpy(zero_copy_only=False)
+        visitor = np.repeat(np.arange(left.num_rows), lists.value_lengths().to_numpy())
+        found = []
+        for cell in np.unique(fine).tolist():
+            first, last = np.searchsorted(fine, [cell, cell + 1])
+            asking = visitor[visited == cell]
+            for start in range(first, last, max_block):
+                some = knn.unit_rows(rows[start : min(start + max_block, last)])
+                for at in range(0, len(asking), QUERY_ROWS):
+                    who = asking[at : at + QUERY_ROWS]
+                    query, row, score = _block_hits(queries[who], some, k)
+                    found.append((who[query], row + start, score))
+        if not found:
+            return _HIT_SCHEMA.empty_table()
+        query, row, score = map(np.concatenate, zip(*found, strict=True))
+        # Rows of different cells are not in id order: their ids decide ties.
+        ids = np.array(right["other"].to_pylist(), object)[row]
+        query, ids, score = _best(query, ids.astype(str), score, k)
+        return pa.table(
+            [left["rep"].take(pa.array(query)), pa.array(ids.tolist(), pa.string()), pa.array(score)],
+            schema=_HIT_SCHEMA,
+        )
 
-def _within_blocks(placed: DataFrame, k: int) -> DataFrame:
-    """Nearest vectors inside each block."""
+    return compare
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, rows = _block(table)
-        similarities = np.round(rows @ rows.T, knn.DIGITS)
-        np.fill_diagonal(similarities, -np.inf)
-        return _hit_table(ids, ids, similarities, k)
 
-    return placed.groupBy("cell", "block").applyInArrow(compare, _HITS)
+def _top(hits: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(*knn.best_first()))
+    return hits.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _across_blocks(queries: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """Nearest vectors of routed queries; both sides share (cell, block, part)."""
+def _grouped(found: cells.Cells, max_block: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors with their group, and the cells with the groups their blocks are in."""
+    blocks = found.fine.withColumn("blocks", F.ceil(F.col("rows") / max_block).cast("int"))
+    each = blocks.select(
+        "coarse", "fine", (F.col("rows") / F.col("blocks")).alias("size"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+    )
+    # One row per block of a coarse cell: its share of all blocks is about a square root.
+    before = Window.partitionBy("coarse").orderBy("fine", "block")
+    most = max(cells.rows_per_task(found.dim), max_block)
+    each = each.withColumn(
+        "group", F.floor((F.sum("size").over(before) - F.col("size")) / most).cast("int")
+    )
+    groups = each.groupBy("coarse", "fine").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("block", "group"))), lambda x: x["group"]
+        ).alias("groups")
+    )
+    targets = cut(found.fine.join(groups, ["coarse", "fine"]), "targets")
+    rows = found.rows.join(targets.select("coarse", "fine", "groups"), ["coarse", "fine"])
+    number = cells.share("rep", F.size("groups"))
+    rows = rows.withColumn("group", F.element_at("groups", number + 1)).drop("groups", "angle")
+    return rows, targets
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def _to_coarse(queries: DataFrame, found: cells.Cells, nprobe) -> DataFrame:
+    """(rep, coarse): the coarse cells in which a query's fine cells are looked for."""
+    centroids, radius = found.centroids, found.radius
+
+    def route(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, QUERY_ROWS):
+                some = batch.slice(start, QUERY_ROWS)
+                rows = knn.unit_rows(knn.matrix(some.column("embedding")))
+                angles = np.arccos(np.clip(rows @ centroids.T, -1, 1))
+                angles[:, radius < 0] = np.inf
+                if nprobe is None:
+                    reach = some.column("reach").to_numpy(zero_copy_only=False)
+                    visit = angles - radius <= reach[:, None] + cells.ANGLE_SLACK
+                else:
+                    ranked = np.argsort(angles, axis=1, kind="stable")
+                    visit = np.zeros(angles.shape, bool)
+                    near = ranked[:, : int(np.ceil(nprobe**0.5)) + 2]
+                    np.put_along_axis(visit, near, True, axis=1)
+                    visit &= np.isfinite(angles)
+                who, cell = np.nonzero(visit)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("rep").take(pa.array(who)), pa.array(cell.astype(np.int32))],
+                    names=["rep", "coarse"],
+                )
+
+    return queries.mapInArrow(route, "rep string, coarse int")
+
+
+def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe) -> DataFrame:
+    """(rep, coarse, group, fines): the cells to be searched for each query.
+
+    With `nprobe` the nearest ones; else those within `reach`, but for the cell `seen`.
+    """
+    to_coarse = cut(_to_coarse(queries, found, nprobe), "to-coarse")
+    visits = np.zeros(len(found.centroids))
+    for row in to_coarse.groupBy("coarse").count().collect():
+        visits[row.coarse] = row["count"]
+    parts = np.maximum(np.ceil(visits / cells.rows_per_task(found.dim)), 1)
+    number = cells.by_cell(parts).cast("int")
+    left = to_coarse.join(queries, "rep").withColumn("part", cells.share("rep", number))
+    right = targets.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
+    schema = pa.schema(
+        [("rep", pa.string()), ("coarse", pa.int32()), ("fine", pa.int32()), ("angle", pa.float64())]
+    )
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table([[], [], []], schema=_HIT_SCHEMA)
-        query_ids, query_rows = _block(left)
-        ids, rows = _block(right)
-        return _hit_table(query_ids, ids, np.round(query_rows @ rows.T, knn.DIGITS), k)
+            return schema.empty_table()
+        angles, right = cells._fine_angles(left, right)
+        fine = right["fine"].to_numpy()
+        if nprobe is None:
+            reach = left["reach"].to_numpy()[:, None] + cells.ANGLE_SLACK
+            visit = angles - right["radius"].to_numpy() <= reach
+            same = left["seen_coarse"].to_numpy() == left["coarse"].to_numpy()
+            visit &= ~(same[:, None] & (left["seen_fine"].to_numpy()[:, None] == fine))
+        else:
+            ranked = np.argsort(angles, axis=1, kind="stable")[:, :nprobe]
+            visit = np.zeros(angles.shape, bool)
+            np.put_along_axis(visit, ranked, True, axis=1)
+        who, cell = np.nonzero(visit)
+        return pa.table(
+            [
+                left["rep"].take(pa.array(who)), left["coarse"].take(pa.array(who)),
+                pa.array(fine[cell].astype(np.int32)), pa.array(angles[who, cell]),
+            ],
+            schema=schema,
+        )
+
+    right = right.withColumnsRenamed({"coarse": "their_coarse", "part": "their_part"})
+    chosen = left.groupBy("coarse", "part").cogroup(
+        right.groupBy("their_coarse", "their_part")
+    ).applyInArrow(
+        near, "rep string, coarse int, fine int, angle double"
+    )
+    if nprobe is not None:
+        place = F.row_number().over(
+            Window.partitionBy("rep").orderBy("angle", "coarse", "fine")
+        )
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= nprobe).drop("place")
+    groups = targets.select("coarse", "fine", F.explode(F.array_distinct("groups")).alias("group"))
+    return chosen.join(groups, ["coarse", "fine"]).groupBy("rep", "coarse", "group").agg(
+        F.collect_list("fine").alias("fines")
+    )
 
-    keys = ["cell", "block", "part"]
-    return queries.groupBy(keys).cogroup(placed.groupBy(keys)).applyInArrow(compare, _HITS)
 
+def _searched(routes: DataFrame, queries: DataFrame, rows: DataFrame, dim: int, k: int, max_block):
+    """Hits of the routed queries. Queries of a crowded group are cut into parts."""
+    routes = cut(routes, "routes")
+    most = cells.rows_per_task(dim)
+    visits = routes.groupBy("coarse", "group").agg(F.count("*").alias("visits"))
+    parts = cut(
+        visits.select("coarse", "group", F.ceil(F.col("visits") / most).cast("int").alias("parts")),
+        "parts",
+    )
+    left = routes.join(parts, ["coarse", "group"]).join(queries.select("rep", "embedding"), "rep")
+    left = left.withColumn("part", cells.share("rep", F.col("parts")))
+    right = rows.join(parts, ["coarse", "group"]).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    )
+    return _hits(left, right, k, max_block)
 
-def _routes(bounded: DataFrame, cells: _Cells, nprobe) -> DataFrame:
-    """Send each vector to the blocks it has to be compared with, its own block excepted."""
-    schema = "rep string, cell int, block int"
-    centroids, radius, blocks = cells.centroids, cells.radius, cells.blocks
 
-    def slices(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROUTED_ROWS):
-                yield batch.slice(start, ROUTED_ROWS)
+def _hits(left: DataFrame, right: DataFrame, k: int, max_block: int) -> DataFrame:
+    """The queries' hits, group by group. The sides may come from one table: names differ."""
+    left = left.select("rep", "embedding", "fines", *_GROUP)
+    theirs = [F.col(c).alias(f"their_{c}") for c in _GROUP]
+    right = right.select(
+        F.col("rep").alias("other"), F.col("embedding").alias("vector"), "fine", *theirs
+    )
+    both = left.groupBy(_GROUP).cogroup(right.groupBy(*(f"their_{c}" for c in _GROUP)))
+    return both.applyInArrow(_compared(k, max_block), _HITS)
 
-    def route(batches):
-        for batch in slices(batches):
-            rows = knn.unit_rows(knn.matrix(batch.column("embedding")))
-            angles = np.arccos(np.clip(rows @ centroids.T, -1, 1))
-            visit = np.broadcast_to(radius >= 0, angles.shape).copy()
-            if nprobe is None:
-                reach = batch.column("reach").to_numpy(zero_copy_only=False)
-                visit &= angles - radius[None, :] <= reach[:, None] + ivf.ANGLE_SLACK
-            else:
-                # The own cell is always the nearest one.
-                ranked = np.argsort(np.where(visit, angles, np.inf), axis=1, kind="stable")
-                near = np.zeros_like(visit)
-                np.put_along_axis(near, ranked[:, :nprobe], True, axis=1)
-                visit &= near
-            who, cell = np.nonzero(visit)
-            repeat = blocks[cell]
-            who, cell = np.repeat(who, repeat), np.repeat(cell, repeat)
-            ends = np.cumsum(repeat)
-            block = np.arange(len(who)) - np.repeat(ends - repeat, repeat)
-            own_cell = batch.column("cell").to_numpy(zero_copy_only=False)[who]
-            own_block = batch.column("block").to_numpy(zero_copy_only=False)[who]
-            other = (cell != own_cell) | (block != own_block)
-            who, cell, block = who[other], cell[other], block[other]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("rep").take(pa.array(who, pa.int64())),
-                    pa.array(cell, pa.int32()),
-                    pa.array(block, pa.int32()),
-                ],
-                names=["rep", "cell", "block"],
-            )
-
-    return bounded.mapInArrow(route, schema)
 
+def _in_one_block(queries: DataFrame, vectors: DataFrame, k: int, max_block: int) -> DataFrame:
+    """All vectors are one block, which goes to each part of the queries."""
+    dim = vectors.select(F.size("embedding")).first()[0]
+    parts = -(-queries.count() // cells.rows_per_task(dim))
+    one = {"fine": F.lit(0), "coarse": F.lit(0), "group": F.lit(0)}
+    left = queries.withColumns(
+        {"fines": F.array(F.lit(0)), **one, "part": cells.share("rep", F.lit(max(parts, 1)))}
+    )
+    number = F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1)))
+    return _hits(left, vectors.withColumns(one).withColumn("part", number), k, max_block)
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(*knn.best_first()))
-    return hits.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, max_block: int = MAX_BLOCK, nprobe=None,
+    seed: int = 7,
+) -> DataFrame:
+    """Top `k` vectors of every query (rep, arxiv_id, similarity), the query's own among them.
 
-def _nearest_vectors(vectors: DataFrame, k: int, max_block: int, nprobe, seed: int) -> DataFrame:
-    """Top `k` other vectors of every distinct vector: (rep, arxiv_id, similarity)."""
-    n_vectors = vectors.count()
-    if not n_vectors:
+    `queries` and `vectors` are tables (rep, embedding) without zero vectors.
+    """
+    count = vectors.count()
+    if not count:
         return vectors.select("rep", F.col("rep").alias("arxiv_id"), F.lit(0.0).alias("similarity"))
-    centroids = ivf.train(vectors, max(-(-2 * n_vectors // max_block), 2), seed)
-    assigned = cut(ivf.assign(vectors.select("rep", "embedding"), centroids), "assigned")
-    summary = assigned.groupBy("cell").agg(
-        F.count("*").alias("rows"), F.max("angle").alias("radius")
-    )
-    radius = np.full(len(centroids), -1.0)
-    blocks = np.ones(len(centroids), dtype=np.int64)
-    for row in summary.collect():
-        radius[row.cell] = row.radius
-        blocks[row.cell] = -(-row.rows // max_block)
-    cells = _Cells(centroids, radius, blocks)
-
-    block = F.pmod(
-        F.xxhash64("rep"), F.element_at(F.lit(blocks.tolist()), F.col("cell") + 1)
-    ).cast("int")
-    placed = assigned.withColumn("block", block)
-    own = cut(_within_blocks(placed, k), "own-block")
+    if count <= max_block:
+        return _in_one_block(queries, vectors, k, max_block)
+    found = cells.build(vectors, count, -(-2 * count // max_block), seed)
+    rows, targets = _grouped(found, max_block)
+
+    def searched(routes, asked):
+        return _searched(routes, asked, rows, found.dim, k, max_block)
+
+    if nprobe is not None:
+        return _top(searched(_routes(queries, found, targets, nprobe), queries), k)
+    first = cut(_routes(queries, found, targets, 1), "first")
+    hits = cut(searched(first, queries), "own-cell")
+    hits = cut(_top(hits, k), "own-cell")
     # The k-th similarity bounds the angle; with fewer neighbours there is no bound yet.
-    reach = own.groupBy("rep").agg(
+    reach = hits.groupBy("rep").agg(
         F.when(F.count("*") == k, F.acos(F.greatest(F.min("similarity"), F.lit(-1.0)))).alias(
             "reach"
         )
     )
-    reached = F.coalesce(F.nanvl("reach", F.lit(0.0)), F.lit(np.pi)).alias("reach")
-    bounded = placed.join(reach, "rep", "left").select(
-        "rep", "embedding", "cell", "block", reached
-    )
-    # Ids are routed; the vectors follow once the visits are counted.
-    routes = cut(_routes(bounded, cells, nprobe), "routes")
-
-    # Visits per block decide into how many parts its queries are cut.
-    visits = cut(routes.groupBy("cell", "block").agg(F.count("*").alias("visits")), "visits")
-    parts = visits.select(
-        "cell", "block", F.ceil(F.col("visits") / max_block).cast("int").alias("parts")
+    # A cell of several groups has a route to each, all with this one cell.
+    seen = first.groupBy("rep").agg(
+        F.first("coarse").alias("seen_coarse"), F.first(F.get("fines", F.lit(0))).alias("seen_fine")
     )
-    visiting = routes.join(parts, ["cell", "block"]).withColumn(
-        "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    bounded = queries.join(seen, "rep").join(reach, "rep", "left")
+    bounded = bounded.withColumn(
+        "reach", F.coalesce(F.nanvl("reach", F.lit(0.0)), F.lit(np.pi))
     )
-    vector = assigned.select(F.col("rep").alias("own"), F.col("embedding").alias("vector"))
-    queries = visiting.join(vector, F.col("rep") == F.col("own")).select(
-        "rep", F.col("vector").alias("embedding"), "cell", "block", "part"
-    )
-    copies = placed.join(parts, ["cell", "block"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
-    columns = ["rep", "embedding", "cell", "block", "part"]
-    other = _across_blocks(queries.select(columns), copies.select(columns), k)
-    return _top(own.unionByName(other), k)
+    more = searched(_routes(bounded, found, targets, None), bounded)
+    return _top(hits.unionByName(more), k)
 
 
-def build(
-    embeddings: DataFrame, limit=None, max_block: int = MAX_BLOCK, nprobe=None, seed: int = 7
+def lists(
+    queries: DataFrame, embeddings: DataFrame, limit=None, max_block: int = MAX_BLOCK,
+    nprobe=None, seed: int = 7,
 ) -> DataFrame:
-    """The neighbour table (arxiv_id, similar_id, similarity, rank) of every paper.
+    """The nearest papers of `embeddings` for each paper of `queries`, itself excluded:
+    (arxiv_id, similar_id, similarity, rank). Both are tables (arxiv_id, embedding).
 
-    Zero vectors have no direction and get no neighbours.
+    Zero vectors have no direction: they get no neighbours and are nobody's.
     """
     k = params.positive(limit, params.SIMILAR_LIMIT)
-    grouped = _groups(ivf.nonzero(embeddings))
-    vectors = cut(_distinct_vectors(grouped), "vectors")
-    members = grouped.select("vector_key", "arxiv_id")
+    members, asking = _keyed(embeddings), _keyed(queries)
+    vectors = cut(_distinct_vectors(members), "vectors")
+    same = queries is embeddings
+    asked = vectors if same else cut(_distinct_vectors(asking), "queries")
 
     # The first k+1 ids of a vector are enough for every list it can appear in.
     by_id = Window.partitionBy("vector_key").orderBy("arxiv_id")
-    first_ids = members.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
-    names = vectors.select("vector_key", "rep")
-    first_ids = cut(first_ids.join(names, "vector_key").select("rep", "arxiv_id"), "first-ids")
-
-    near = _nearest_vectors(vectors, k, max_block, nprobe, seed)
-    listed = near.select("rep", F.col("arxiv_id").alias("other"), "similarity").join(
-        first_ids.select(F.col("rep").alias("other"), "arxiv_id"), "other"
+    first_ids = members.select("vector_key", "arxiv_id").withColumn(
+        "n", F.row_number().over(by_id)
     )
-    own = first_ids.select("rep", "arxiv_id", F.lit(1.0).alias("similarity"))
-    candidates = own.unionByName(listed.select("rep", "arxiv_id", "similarity"))
+    names = vectors.select("vector_key", F.col("rep").alias("other"))
+    first_ids = first_ids.where(F.col("n") <= k + 1).join(names, "vector_key")
 
+    pair = ["rep", "embedding"]
+    near = nearest(asked.select(pair), vectors.select(pair), k + 1, max_block, nprobe, seed)
+    candidates = near.select("rep", F.col("arxiv_id").alias("other"), "similarity").join(
+        first_ids.select("other", "arxiv_id"), "other"
+    )
     # One list of k+1 ids serves all copies: each drops itself from it.
     hit = F.struct((-F.col("similarity")).alias("distance"), F.col("arxiv_id"))
-    ranked = F.sort_array(F.collect_list(hit))
-    lists = _top(candidates, k + 1).groupBy("rep").agg(ranked.alias("ids")).join(names, "rep")
+    ranked = _top(candidates.drop("other"), k + 1).groupBy("rep").agg(
+        F.sort_array(F.collect_list(hit)).alias("ids")
+    )
+    ranked = ranked.join(asked.select("vector_key", "rep"), "rep")
     # Adaptive execution splits the members of a large group of copies.
-    rows = members.join(lists.select("vector_key", "ids"), "vector_key").select(
+    rows = asking.select("vector_key", "arxiv_id").join(ranked.drop("rep"), "vector_key").select(
         "arxiv_id",
         F.posexplode(
             F.slice(F.filter("ids", lambda x: x["arxiv_id"] != F.col("arxiv_id")), 1, k)
@@ -267,3 +355,10 @@ def build(
         (-F.col("hit.distance")).alias("similarity"),
         (F.col("place") + 1).cast("int").alias("rank"),
     ).to(SIMILAR)
+
+
+def build(
+    embeddings: DataFrame, limit=None, max_block: int = MAX_BLOCK, nprobe=None, seed: int = 7
+) -> DataFrame:
+    """The neighbour table (arxiv_id, similar_id, similarity, rank) of every paper."""
+    return lists(embeddings, embeddings, limit, max_block, nprobe, seed)

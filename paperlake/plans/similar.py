@@ -1,12 +1,12 @@
 """Similar papers: stored neighbours first, then the index, then a scan."""
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake import params
 from paperlake.functions.ids import looks_like_id
-from paperlake.operators import embed, ivf, knn
+from paperlake.operators import embed, ivf, knn, neighbours
+from paperlake.session import cut
 
 
 def stored(similar: DataFrame, papers: DataFrame, arxiv_id: str, limit=None) -> DataFrame:
@@ -65,8 +65,7 @@ def many(similar: DataFrame, papers: DataFrame, embeddings: DataFrame, ids: Data
     """Neighbours of many papers: (arxiv_id, similar_id, similarity, rank).
 
     Stored neighbours that left the archive are dropped first, the limit counts what is left. Ids
-    without any are compared with all vectors, and with them only; their vectors, as queries of a
-    batch, come to the driver.
+    without any are compared, in blocks, with the vectors of the archive's papers.
     """
     limit = params.positive(limit, params.SIMILAR_LIMIT)
     asked = ids.select("arxiv_id").distinct()
@@ -75,17 +74,10 @@ def many(similar: DataFrame, papers: DataFrame, embeddings: DataFrame, ids: Data
         papers.select(F.col("arxiv_id").alias("similar_id")), "similar_id", "left_semi"
     ).select("arxiv_id", "similar_id", "similarity")
     rest = asked.join(known.select("arxiv_id"), "arxiv_id", "left_anti")
-    queries = embeddings.join(rest, "arxiv_id", "left_semi").select("arxiv_id", "embedding").collect()
-    if queries:
-        names = [row["arxiv_id"] for row in queries]
-        vectors = np.array([row["embedding"] for row in queries], np.float64)
+    queries = cut(embeddings.join(rest, "arxiv_id", "left_semi"), "queries")
+    if not queries.isEmpty():
         there = embeddings.join(papers.select("arxiv_id"), "arxiv_id", "left_semi")
-        hits = knn.scan(there, vectors, limit, names)
-        own = F.element_at(F.array(*map(F.lit, names)), F.col("query") + 1)
-        known = known.unionByName(
-            hits.where("similarity IS NOT NULL").select(
-                own.alias("arxiv_id"), F.col("arxiv_id").alias("similar_id"), "similarity"
-            )
-        )
+        found = neighbours.lists(queries, there, limit)
+        known = known.unionByName(found.select("arxiv_id", "similar_id", "similarity"))
     best = Window.partitionBy("arxiv_id").orderBy(F.desc("similarity"), "similar_id")
     return known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

@@ -181,7 +181,7 @@ def test_neighbours_of_many_papers(spark):
         ][:3]
     # Ids that are stored start no scan.
     plan = similar.many(stored, papers, data, papers.where("arxiv_id = 'p00003'"))
-    assert "MapInArrow" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_many_queries_are_scanned_in_blocks(spark, monkeypatch):
