@@ -56,6 +56,15 @@ def by_cell(values) -> Column:
     return F.element_at(F.lit([float(v) for v in values]), F.col("coarse") + 1)
 
 
+def _allotted(cells: int, sizes: np.ndarray) -> np.ndarray:
+    """The number of fine cells of each coarse one, in proportion, at least one."""
+    wanted = cells * sizes / sizes.sum()
+    fines = np.maximum(np.floor(wanted), 1)
+    more = max(int(cells - fines.sum()), 0)
+    fines[np.argsort(np.floor(wanted) - wanted, kind="stable")[:more]] += 1
+    return np.where(sizes > 0, fines, 1)
+
+
 def _sampled(fraction) -> Column:
     number = F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1 << 30))
     return number < fraction * float(1 << 30)
@@ -121,7 +130,7 @@ def build(vectors: DataFrame, count: int, cells: int, seed: int = 7) -> Cells:
     for row in summary.collect():
         sizes[row.coarse], radius[row.coarse] = row.rows, row.radius
 
-    fines = np.maximum(np.round(cells * sizes / count), 1)
+    fines = _allotted(cells, sizes)
     chosen = rows.where(_sampled(by_cell(np.minimum(SAMPLE * fines / np.maximum(sizes, 1), 1))))
     # The coarse centroid joins the sample, so that no cell is left without a row.
     own = vectors.sparkSession.createDataFrame(
@@ -174,7 +183,9 @@ def build(vectors: DataFrame, count: int, cells: int, seed: int = 7) -> Cells:
     summary = rows.groupBy("coarse", "fine").agg(
         F.count("*").alias("rows"), F.max("angle").alias("radius")
     )
-    return Cells(rows, cut(fine.join(summary, ["coarse", "fine"]), "fine"), centroids, radius, dim)
+    # A cell that got no vector has no radius.
+    fine = cut(fine.join(summary, ["coarse", "fine"], "left").fillna(0, "rows"), "fine")
+    return Cells(rows, fine, centroids, radius, dim)
 
 
 def _no_rows(schema: pa.Schema) -> pa.Table:

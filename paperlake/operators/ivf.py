@@ -4,41 +4,23 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake import params
-from paperlake.operators import knn
+from paperlake.operators import cells, knn
+from paperlake.operators.cells import ANGLE_SLACK
 from paperlake.schemas import EMBEDDINGS
 from paperlake.session import child_names, cut, path_exists
 
 
-# Slack for comparing angles computed in floating point.
-ANGLE_SLACK = 1e-6
-
-
 def n_lists(n_vectors: int) -> int:
     """Number of cells: the square root of the vectors, so that cells and their vectors grow
     alike; a probe of a cell and the comparison with all centroids cost the same."""
     return max(round(math.sqrt(n_vectors)), 2)
 
 
-def train(vectors: DataFrame, lists: int, seed: int = 7) -> np.ndarray:
-    """Unit centroids by cosine k-means over all vectors.
-
-    The centroids, of the order of a square root of the vectors, travel with every task.
-    """
-    features = vectors.select(array_to_vector("embedding").alias("features"))
-    kmeans = KMeans(
-        k=lists, distanceMeasure="cosine", seed=seed, maxIter=10, initMode="random"
-    )
-    centres = np.array(kmeans.fit(features).clusterCenters())
-    return knn.unit_rows(centres)
-
-
 def nonzero(embeddings: DataFrame) -> DataFrame:
     """Vectors with a direction; zero vectors cannot be indexed by cosine."""
     return embeddings.where(F.exists("embedding", lambda x: x != 0))
@@ -90,7 +72,8 @@ class Index:
 def build(embeddings: DataFrame, path: str, lists=None, seed: int = 7):
     """Write the index under `path` and open it; None if there is no vector to index.
 
-    An index that is there already is opened as it is.
+    Its cells are two-level ones: trained on samples, and a vector is compared with the centroids
+    of one coarse cell only. An index that is there already is opened as it is.
     """
     spark = embeddings.sparkSession
     if _batches(spark, path):
@@ -99,23 +82,26 @@ def build(embeddings: DataFrame, path: str, lists=None, seed: int = 7):
     n_vectors = vectors.count()
     if not n_vectors:
         return None
-    centroids = train(vectors, lists or n_lists(n_vectors), seed)
-    rows = [(c, centroids[c].tolist()) for c in range(len(centroids))]
-    table = spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1)
-    table.write.mode("overwrite").parquet(f"{path}/centroids")
-    _write_cells(vectors, centroids, path, "base")
+    named = vectors.withColumnRenamed("arxiv_id", "rep")
+    found = cells.build(named, n_vectors, lists or n_lists(n_vectors), seed)
+    order = Window.orderBy("coarse", "fine")
+    table = found.fine.withColumn("cell", F.row_number().over(order) - 1)
+    table = cut(table.select("cell", "coarse", "fine", "centroid").coalesce(1), "centroids")
+    table.select("cell", "centroid").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    rows = found.rows.join(table.select("cell", "coarse", "fine"), ["coarse", "fine"])
+    rows = rows.withColumnRenamed("rep", "arxiv_id")
+    _write_cells(rows.select("arxiv_id", "embedding", "cell", "angle"), path, "base")
     return open_index(spark, path)
 
 
 def add(index: Index, embeddings: DataFrame, batch: str) -> Index:
     """Add new papers' vectors to their cells. A repeated batch overwrites itself."""
     vectors = nonzero(embeddings.select("arxiv_id", "embedding"))
-    _write_cells(vectors, index.centroids, index.path, batch)
+    _write_cells(cut(assign(vectors, index.centroids), "assigned"), index.path, batch)
     return open_index(index.spark, index.path)
 
 
-def _write_cells(vectors: DataFrame, centroids: np.ndarray, path: str, batch: str) -> None:
-    assigned = cut(assign(vectors, centroids), "assigned")
+def _write_cells(assigned: DataFrame, path: str, batch: str) -> None:
     # Small cells share a task, crowded ones are split by the rebalance.
     placed = assigned.select("arxiv_id", "embedding", "cell").hint("rebalance", "cell")
     placed.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/cells/batch={batch}")

@@ -117,7 +117,8 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 
 def _grouped(found: cells.Cells, max_block: int) -> tuple[DataFrame, DataFrame]:
     """The vectors with their group, and the cells with the groups their blocks are in."""
-    blocks = found.fine.withColumn("blocks", F.ceil(F.col("rows") / max_block).cast("int"))
+    filled = found.fine.where("rows > 0")
+    blocks = filled.withColumn("blocks", F.ceil(F.col("rows") / max_block).cast("int"))
     each = blocks.select(
         "coarse", "fine", (F.col("rows") / F.col("blocks")).alias("size"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
@@ -133,7 +134,7 @@ def _grouped(found: cells.Cells, max_block: int) -> tuple[DataFrame, DataFrame]:
             F.array_sort(F.collect_list(F.struct("block", "group"))), lambda x: x["group"]
         ).alias("groups")
     )
-    targets = cut(found.fine.join(groups, ["coarse", "fine"]), "targets")
+    targets = cut(filled.join(groups, ["coarse", "fine"]), "targets")
     rows = found.rows.join(targets.select("coarse", "fine", "groups"), ["coarse", "fine"])
     number = cells.share("rep", F.size("groups"))
     rows = rows.withColumn("group", F.element_at("groups", number + 1)).drop("groups", "angle")
