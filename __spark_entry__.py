@@ -611,15 +611,38 @@ def similar_filled(spark, sf_dir):
     return _neighbour_rows(similar.many(stored, papers, vectors, papers))
 
 
+def _number(name="arxiv_id"):
+    return F.substring_index(name, ".", -1).cast("int")
+
+
 def similar_many(spark, sf_dir):
-    """Three neighbours of every fifth paper, when every third paper has left the archive."""
+    """Three neighbours of the papers with a number divisible by 20, when the labelled papers are
+    left in the archive and those of the conversations have stored neighbours."""
     papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
-    number = F.substring_index("arxiv_id", ".", -1).cast("int")
-    stored = _stored_for_labels(spark, sf_dir)
-    left, asked = papers.where(number % 3 != 0), papers.where(number % 5 == 0)
+    everyone = cut(neighbours.build(vectors), "similar")
+    turns, labels = (tv.table(spark, sf_dir, name) for name in ("conversations", "labels"))
+    stored = catalog.known_ids(everyone, turns.select(tv.paper_id("conv_id").alias("arxiv_id")))
+    left = catalog.known_ids(papers, labels.select(tv.paper_id("doc_id").alias("arxiv_id")))
+    asked = papers.where(_number() % 20 == 0)
     return _neighbour_rows(similar.many(stored, left, vectors, asked, limit=3))
 
 
+def similar_recall(spark, sf_dir):
+    """Whether searching as many cells as a sample asks for finds nine tenths of the ten nearest
+    papers of all papers with a number divisible by 20, over cells of at most 32 papers."""
+    vectors = tv.embeddings(spark, sf_dir)
+    asked = cut(vectors.where(_number() % 20 == 0), "asked")
+    exact = neighbours.lists(asked, vectors)
+    probed = neighbours.lists(asked, vectors, max_block=32, recall=0.95)
+    hits = probed.select("arxiv_id", "similar_id", F.lit(1).alias("hit"))
+    found = exact.join(hits, ["arxiv_id", "similar_id"], "left")
+    return found.agg(
+        F.count_distinct("arxiv_id").alias("asked"),
+        F.count("*").alias("neighbours"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths_found"),
+    )
+
+
 def similar_lookup(spark, sf_dir):
     """An id-shaped argument finds that paper's neighbours."""
     papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
@@ -728,7 +751,7 @@ _QUERIES = [
     search_index, search_index_english, search_batch,
     similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_by_letters, similar_ivf,
     similar_ivf_cells, similar_ivf_probed, build_similar, build_similar_blocks, similar_precomputed,
-    similar_filled, similar_many, similar_lookup, embed_pending, embed_batches,
+    similar_filled, similar_many, similar_recall, similar_lookup, embed_pending, embed_batches,
     answer_lines, answer_cited_by, answer_refs, answer_recent, full_text_store, sync_run,
 ]
 

@@ -197,13 +197,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY s DESC, s
   FROM pairs)
 SELECT arxiv_id, similar_id, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 10"""
 
+ASKED = "CAST(split_part(a.arxiv_id, '.', 2) AS INT) % 20 = 0"
+
 SIMILAR_MANY = f"""WITH {VECTORS}, pairs AS (
   SELECT a.arxiv_id, b.arxiv_id AS similar_id,
-    CAST(split_part(b.arxiv_id, '.', 2) AS INT) % 3 <> 0 AS there,
+    b.arxiv_id IN (SELECT {_pid('doc_id')} FROM labels) AS there,
     round({COSINE.format(a='a.embedding', b='b.embedding')}, 12) AS s
-  FROM vectors a JOIN vectors b ON a.arxiv_id <> b.arxiv_id
-  WHERE CAST(split_part(a.arxiv_id, '.', 2) AS INT) % 5 = 0),
-stored AS (SELECT * FROM pairs WHERE arxiv_id IN (SELECT {_pid('doc_id')} FROM labels)
+  FROM vectors a JOIN vectors b ON a.arxiv_id <> b.arxiv_id WHERE {ASKED}),
+stored AS (SELECT * FROM pairs WHERE arxiv_id IN (SELECT {_pid('conv_id')} FROM conversations)
   QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY s DESC, similar_id) <= 10),
 known AS (SELECT * FROM stored WHERE there),
 filled AS (SELECT * FROM known UNION ALL SELECT * FROM pairs
@@ -212,6 +213,13 @@ SELECT arxiv_id, similar_id, round(s, 6) AS similarity,
   row_number() OVER (PARTITION BY arxiv_id ORDER BY s DESC, similar_id) AS rank
 FROM filled QUALIFY rank <= 3"""
 
+SIMILAR_RECALL = f"""WITH {VECTORS}, pairs AS (
+  SELECT a.arxiv_id, b.arxiv_id AS similar_id FROM vectors a JOIN vectors b
+  ON a.arxiv_id <> b.arxiv_id WHERE {ASKED}
+  QUALIFY row_number() OVER (PARTITION BY a.arxiv_id ORDER BY b.arxiv_id) <= 10)
+SELECT count(DISTINCT arxiv_id) AS asked, count(*) AS neighbours, true AS nine_tenths_found
+FROM pairs"""
+
 DETAIL = f"""WITH {PAPERS}, {VECTORS}, {REFS}, {DEGREES}
 SELECT p.arxiv_id, title, authors, categories, {_time('published')},
   coalesce(ref_count, 0) AS ref_count, coalesce(cited_by_count, 0) AS cited_by_count,
@@ -397,6 +405,7 @@ ORACLES = {
     "build_similar": NEIGHBOURS,
     "similar_filled": NEIGHBOURS,
     "similar_many": SIMILAR_MANY,
+    "similar_recall": SIMILAR_RECALL,
     "similar_by_letters": f"""WITH {PAPERS}, texts AS (
         SELECT arxiv_id, title || chr(10) || chr(10) || abstract AS t FROM papers),
       counted AS (SELECT arxiv_id, [length(t) - length(replace(t, 'e', '')),

@@ -6,7 +6,10 @@ size, and the blocks of one coarse cell are joined into groups that one task can
 sent to a group once, with the cells to be searched there; a task hands on `k` rows per query,
 never the pairs.
 
-`nprobe` searches the nearest cells only: approximate, and linear in the data. Without it lists are
+`nprobe` searches so many nearest cells only: approximate, and linear in the data. `recall` finds
+the number of cells itself: a bounded sample of queries (`PROBED`) is compared with all vectors, and
+the ranks of the cells in which their neighbours lie tell how many cells hold that share of them.
+Vectors without any clusters need many cells, and then a large share of all. Without both, lists are
 exact: the nearest cell's vectors bound the angle worth looking at, and further cells are searched
 unless the triangle inequality rules them out, the coarse ones first. In high dimensions that rules
 out little; `nprobe` is the choice for large tables. Vectors that fit into one block are compared
@@ -31,6 +34,9 @@ MAX_BLOCK = 4096
 # Queries compared with one block at a time.
 QUERY_ROWS = 1024
 
+# Sampled queries that tell how many cells to search.
+PROBED = 256
+
 _HITS = "rep string, arxiv_id string, similarity double"
 _HIT_SCHEMA = pa.schema(
     [("rep", pa.string()), ("arxiv_id", pa.string()), ("similarity", pa.float64())]
@@ -158,8 +164,7 @@ def _to_coarse(queries: DataFrame, found: cells.Cells, nprobe) -> DataFrame:
                 else:
                     ranked = np.argsort(angles, axis=1, kind="stable")
                     visit = np.zeros(angles.shape, bool)
-                    near = ranked[:, : int(np.ceil(nprobe**0.5)) + 2]
-                    np.put_along_axis(visit, near, True, axis=1)
+                    np.put_along_axis(visit, ranked[:, : nprobe[0]], True, axis=1)
                     visit &= np.isfinite(angles)
                 who, cell = np.nonzero(visit)
                 yield pa.RecordBatch.from_arrays(
@@ -173,7 +178,8 @@ def _to_coarse(queries: DataFrame, found: cells.Cells, nprobe) -> DataFrame:
 def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe) -> DataFrame:
     """(rep, coarse, group, fines): the cells to be searched for each query.
 
-    With `nprobe` the nearest ones; else those within `reach`, but for the cell `seen`.
+    With `nprobe` (coarse cells, fine cells) the nearest ones; else those within `reach`, but for
+    the cell `seen`.
     """
     to_coarse = cut(_to_coarse(queries, found, nprobe), "to-coarse")
     visits = np.zeros(len(found.centroids))
@@ -198,7 +204,7 @@ def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe)
             same = left["seen_coarse"].to_numpy() == left["coarse"].to_numpy()
             visit &= ~(same[:, None] & (left["seen_fine"].to_numpy()[:, None] == fine))
         else:
-            ranked = np.argsort(angles, axis=1, kind="stable")[:, :nprobe]
+            ranked = np.argsort(angles, axis=1, kind="stable")[:, : nprobe[1]]
             visit = np.zeros(angles.shape, bool)
             np.put_along_axis(visit, ranked, True, axis=1)
         who, cell = np.nonzero(visit)
@@ -220,7 +226,7 @@ def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe)
         place = F.row_number().over(
             Window.partitionBy("rep").orderBy("angle", "coarse", "fine")
         )
-        chosen = chosen.withColumn("place", place).where(F.col("place") <= nprobe).drop("place")
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= nprobe[1]).drop("place")
     groups = targets.select("coarse", "fine", F.explode(F.array_distinct("groups")).alias("group"))
     return chosen.join(groups, ["coarse", "fine"]).groupBy("rep", "coarse", "group").agg(
         F.collect_list("fine").alias("fines")
@@ -267,9 +273,52 @@ def _in_one_block(queries: DataFrame, vectors: DataFrame, k: int, max_block: int
     return _hits(left, vectors.withColumns(one).withColumn("part", number), k, max_block)
 
 
+def probes(found: cells.Cells, k: int, recall: float) -> tuple[int, int]:
+    """How many coarse and fine cells hold the share `recall` of the `k` nearest vectors."""
+    order = F.xxhash64(F.lit("probed"), "rep")
+    sample = found.rows.select("rep", "embedding").orderBy(order, "rep").limit(PROBED).toArrow()
+    queries = knn.matrix(sample["embedding"].combine_chunks())
+    units, names = knn.unit_rows(queries), sample["rep"].to_pylist()
+    rows = found.rows.withColumnRenamed("rep", "arxiv_id")
+    hits = knn.scan(rows.select("arxiv_id", "embedding"), queries, k, names)
+    hits = hits.join(rows.select("arxiv_id", "coarse", "fine"), "arxiv_id")
+
+    def angles(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = np.arccos(np.clip(knn.matrix(batch.column("centroid")) @ units.T, -1, 1))
+            cell = np.repeat(np.arange(batch.num_rows), len(units))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.tile(np.arange(len(units), dtype=np.int32), batch.num_rows)),
+                    batch.column("coarse").take(pa.array(cell)),
+                    batch.column("fine").take(pa.array(cell)),
+                    pa.array(found.ravel()),
+                ],
+                names=["query", "coarse", "fine", "angle"],
+            )
+
+    filled = found.fine.where("rows > 0").select("coarse", "fine", "centroid")
+    ranks = filled.mapInArrow(angles, "query int, coarse int, fine int, angle double")
+    by_angle = Window.partitionBy("query").orderBy("angle", "coarse", "fine")
+    ranks = ranks.withColumn("place", F.row_number().over(by_angle)).drop("angle")
+    rows = hits.join(ranks, ["query", "coarse", "fine"]).select("query", "coarse", "place").toArrow()
+    if not rows.num_rows:
+        return len(found.centroids), 1
+    away = np.arccos(np.clip(units @ found.centroids.T, -1, 1))
+    away[:, found.radius < 0] = np.inf
+    coarse_place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1) + 1
+    coarse = coarse_place[rows["query"].to_numpy(), rows["coarse"].to_numpy()]
+    # Half of what may be missed is missed by the coarse cells.
+    first = int(np.quantile(coarse, (1 + recall) / 2, method="higher"))
+    fine = np.where(coarse <= first, rows["place"].to_numpy(), np.iinfo(np.int64).max)
+    return first, int(np.quantile(fine, recall, method="higher"))
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int, max_block: int = MAX_BLOCK, nprobe=None,
-    seed: int = 7,
+    seed: int = 7, recall=None,
 ) -> DataFrame:
     """Top `k` vectors of every query (rep, arxiv_id, similarity), the query's own among them.
 
@@ -286,9 +335,13 @@ def nearest(
     def searched(routes, asked):
         return _searched(routes, asked, rows, found.dim, k, max_block)
 
+    if recall is not None:
+        chosen = probes(found, k, recall)
+        return _top(searched(_routes(queries, found, targets, chosen), queries), k)
     if nprobe is not None:
-        return _top(searched(_routes(queries, found, targets, nprobe), queries), k)
-    first = cut(_routes(queries, found, targets, 1), "first")
+        chosen = int(np.ceil(nprobe**0.5)) + 2, nprobe
+        return _top(searched(_routes(queries, found, targets, chosen), queries), k)
+    first = cut(_routes(queries, found, targets, (1, 1)), "first")
     hits = cut(searched(first, queries), "own-cell")
     hits = cut(_top(hits, k), "own-cell")
     # The k-th similarity bounds the angle; with fewer neighbours there is no bound yet.
@@ -311,7 +364,7 @@ def nearest(
 
 def lists(
     queries: DataFrame, embeddings: DataFrame, limit=None, max_block: int = MAX_BLOCK,
-    nprobe=None, seed: int = 7,
+    nprobe=None, seed: int = 7, recall=None,
 ) -> DataFrame:
     """The nearest papers of `embeddings` for each paper of `queries`, itself excluded:
     (arxiv_id, similar_id, similarity, rank). Both are tables (arxiv_id, embedding).
@@ -333,7 +386,7 @@ def lists(
     first_ids = first_ids.where(F.col("n") <= k + 1).join(names, "vector_key")
 
     pair = ["rep", "embedding"]
-    near = nearest(asked.select(pair), vectors.select(pair), k + 1, max_block, nprobe, seed)
+    near = nearest(asked.select(pair), vectors.select(pair), k + 1, max_block, nprobe, seed, recall)
     candidates = near.select("rep", F.col("arxiv_id").alias("other"), "similarity").join(
         first_ids.select("other", "arxiv_id"), "other"
     )
@@ -359,7 +412,8 @@ def lists(
 
 
 def build(
-    embeddings: DataFrame, limit=None, max_block: int = MAX_BLOCK, nprobe=None, seed: int = 7
+    embeddings: DataFrame, limit=None, max_block: int = MAX_BLOCK, nprobe=None, seed: int = 7,
+    recall=None,
 ) -> DataFrame:
     """The neighbour table (arxiv_id, similar_id, similarity, rank) of every paper."""
-    return lists(embeddings, embeddings, limit, max_block, nprobe, seed)
+    return lists(embeddings, embeddings, limit, max_block, nprobe, seed, recall)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperlake.operators import embed, ivf, knn, neighbours
+from paperlake.operators import cells, embed, ivf, knn, neighbours
 from paperlake.plans import similar
 from paperlake.schemas import EMBEDDINGS, PAPERS
 from paperlake.session import cut
@@ -143,6 +143,34 @@ def test_neighbours_probing(spark):
     assert hits / (5 * len(truth)) > 0.8
 
 
+def test_probes_reach_the_recall_asked_for(spark):
+    centres = random_vectors(30, 16)
+    close = np.repeat(centres, 20, axis=0) + 0.1 * random_vectors(600, 16)
+    for vectors, most in ((random_vectors(600, 16), 80), (close.astype(np.float32), 12)):
+        truth = brute(vectors, 5)
+        data = frame(spark, enumerate(vectors))
+        rows = data.select(F.col("arxiv_id").alias("rep"), "embedding")
+        found = cells.build(rows, 600, 40)
+        assert found.rows.count() == 600 and found.fine.agg(F.sum("rows")).first()[0] == 600
+        coarse, fine = neighbours.probes(found, 5, 0.95)
+        assert 1 <= coarse <= len(found.centroids) and 1 <= fine <= min(most, found.fine.count())
+        got = table(neighbours.build(data, 5, max_block=30, recall=0.95))
+        hits = sum(len({i for i, _ in truth[p]} & {i for i, _ in got[p]}) for p in truth)
+        assert hits >= 0.9 * 5 * 600
+
+
+def test_training_takes_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    kmeans = cells.kmeans
+    monkeypatch.setattr(cells, "kmeans", lambda rows, k, seed: seen.append(len(rows)) or kmeans(rows, k, seed))
+    monkeypatch.setattr(cells, "SAMPLE", 4)
+    data = frame(spark, enumerate(random_vectors(2000)))
+    rows = data.select(F.col("arxiv_id").alias("rep"), "embedding")
+    found = cells.build(rows, 2000, 100)
+    assert seen == [s for s in seen if s <= 40] and len(found.centroids) == 10
+    assert found.rows.count() == 2000 and 90 <= found.fine.count() <= 100
+
+
 def papers_for(spark, n):
     rows = [(f"p{i:05d}", f"title {i}", "text", *[None] * 9) for i in range(n)]
     return spark.createDataFrame(rows, PAPERS)
