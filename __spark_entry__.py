@@ -400,11 +400,11 @@ def update_embeddings(spark, sf_dir):
 def insert_refs_stored(spark, sf_dir):
     """Part edges, then supplier edges, through the stored tables: the copy kept by target."""
     archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
-    archive.insert_refs(tv.refs(spark, sf_dir), "parts")
+    archive.insert_refs(tv.refs(spark, sf_dir))
     edges = tv.table(spark, sf_dir, "lineitem").select(
         tv.paper_id("l_orderkey").alias("from_id"), tv.paper_id("l_suppkey").alias("to_id")
     )
-    archive.insert_refs(edges, "suppliers")
+    archive.insert_refs(edges)
     return archive.refs_by_target.read()
 
 

@@ -1,6 +1,7 @@
 """The four sync steps: metadata, full text, embeddings, reference audit."""
 
 import time
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from paperlake import params
 from paperlake.functions.ids import full_text_path, primary_category
 from paperlake.operators import catalog, embed, graph, harvest
-from paperlake.session import cut
+from paperlake.session import counted_cut, cut
 from paperlake.sources import inputs, outputs
 from paperlake.sources.store import Archive
 from paperlake.streaming.harvest import upsert_pages
@@ -31,8 +32,8 @@ def sync_full_text(
     queue = cut(catalog.pending_full_text(papers, limit).select("arxiv_id", "categories"), "queue")
     failed = 0
     if fetch:
-        answers = cut(embed.enrich(queue, fetch), "answers")
-        failed = answers.agg(F.sum("failed")).first()[0] or 0
+        answers = embed.enrich(queue, fetch)
+        answers, failed = counted_cut(answers, "answers", F.coalesce(F.sum("failed"), F.lit(0)))
         documents = answers.where(F.col("externalIds.ArXiv") != "")
     elif documents is None:
         raise ValueError("the fulltext step needs documents or fetch")
@@ -48,18 +49,17 @@ def sync_full_text(
         .join(queue, "arxiv_id", "left")
         .select("arxiv_id", "text", category.alias("category"))
     )
-    texts = cut(texts, "texts")
+    texts, fetched = counted_cut(texts, "texts")
     # Edges come before the marks: a paper leaves the queue only once its edges are stored, and
     # inserting them again after an interrupted run changes nothing.
     edges = archive.insert_refs(harvest.document_edges(documents))
-    fetched = texts.count()
     if fetched:
         # Texts an interrupted run stored without marking the paper are not stored twice.
         stored = outputs.read_full_texts(archive.spark, archive.fulltext_path)
         outputs.write_full_texts(
             cut(catalog.unknown_ids(texts, stored)),
             archive.fulltext_path,
-            f"papers-{archive.papers.version()}",
+            f"papers-{uuid.uuid4().hex}",
         )
         path = full_text_path(archive.fulltext_path, F.col("category"), F.col("arxiv_id"))
         archive.mark_full_text(texts.withColumn("full_text_path", path))
@@ -74,9 +74,9 @@ def sync_embeddings(archive: Archive, embedder, limit="all", dim=params.EMBED_DI
     queue = catalog.pending_embedding(papers, vectors, limit)
     call = None if embedder == HASHED else embedder
     # Embedding is the costly step: its result is stored before anything else is done with it.
-    done = cut(embed.embed_papers(queue, call, dim), "embedded")
+    done = embed.embed_papers(queue, call, dim)
+    done, failed = counted_cut(done, "embedded", F.count_if("failed"))
     good = done.where(~F.col("failed")).select("arxiv_id", "embedding", F.lit(0).alias("seq"))
-    failed = done.where("failed").count()
     return {"embedded": archive.update_embeddings(good), "embed_failed": failed}
 
 

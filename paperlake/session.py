@@ -6,7 +6,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -42,6 +43,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted_cut(df: DataFrame, label: str = "cut", count=None) -> tuple[DataFrame, int]:
+    """`cut`, and the number of rows (or another aggregate), taken while the table is written."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if count is None else count
+    return cut(df.observe(seen, counted.alias("count")), label), seen.get["count"]
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -61,16 +69,11 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_file(spark: SparkSession, path: str, content: bytes) -> None:
-    """Write a small file; it appears under its name only when complete, and never replaces one."""
-    files, partial = _file_system(spark, f"{path}.{uuid.uuid4().hex}.partial")
-    stream = files.create(partial)
+    """Write a small new file."""
+    files, hadoop_path = _file_system(spark, path)
+    stream = files.create(hadoop_path, False)
     stream.write(content)
     stream.close()
-    _, target = _file_system(spark, path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
-    context.rename(partial, target, options)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -1,30 +1,29 @@
-"""The archive's tables: bucketed Parquet folders with one small commit record per change.
-
-A change rewrites only the buckets it touches, into a new folder, and becomes visible when its
-commit record appears: one file per version with each bucket's folder and the names of the batches
-so far, put in place by a rename that fails if the version is there. A job that dies halfway leaves
-nothing visible, and a batch that is repeated under the same name is skipped.
+"""The archive's tables: Parquet folders partitioned by the hash bucket of a key.
+
+All writes are Spark's own. New edges are appended. Other changes replace the touched buckets by
+dynamic partition overwrite: the merged rows are written to the shared folder first and noted as
+planned, then put in place, so a task or executor lost meanwhile costs a retry, and a driver lost
+while Spark moves the finished files costs nothing either: the next writer, or `create`, finds the
+plan and puts the rows in place again. Changes are functions of the stored rows and the batch, and
+repeating the last batch changes nothing. One writer at a time is expected.
 """
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake.functions.vectors import checked_vector
 from paperlake.operators import merge
 from paperlake.schemas import EMBEDDINGS, PAPERS, PUBLISHED_DAY, REFS, SIMILAR, SYNC_STATE
-from paperlake.session import child_names, cut, write_file
+from paperlake.session import counted_cut, cut, path_exists, scratch_path
 
 
-def bucket_of(key: str, buckets: int) -> Column:
+def bucket_of(key, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 class Table:
-    """One stored table, bucketed by the hash of its `key` column.
+    """One stored table, partitioned by `bucket`, the hash of its `key` column.
 
     Within a bucket rows are sorted by `cluster`, so that filters on it skip most row groups.
     `derived` columns (name to SQL expression) are computed on write and returned by `read`.
@@ -38,78 +37,88 @@ class Table:
         self.key, self.buckets = key, buckets
         self.cluster, self.derived = cluster or key, derived or {}
         self.schema = T.StructType([*schema.fields, *(field for field, _ in self.derived.values())])
-
-    def _versions(self) -> list[int]:
-        names = child_names(self.spark, f"{self.path}/commits")
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        self._stored = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return path_exists(self.spark, f"{self.path}/_SUCCESS")
 
     def create(self) -> None:
-        """Create the table if it is absent."""
+        """Create the table if it is absent; finish a change that was left unfinished."""
+        self._recover()
         if not self.exists():
-            self._commit(0, {}, [])
-
-    def _last(self) -> tuple[int, dict[int, str], list[str]]:
-        """Version, visible folder of each bucket, and the names of the committed batches."""
-        versions = self._versions()
-        if not versions:
-            raise ValueError(f"no such table: {self.path}")
-        path = f"{self.path}/commits/{versions[-1]:012d}.json"
-        last = json.loads(self.spark.read.text(path, wholetext=True).first()[0])
-        return versions[-1], {int(b): f for b, f in last["folders"].items()}, last["batches"]
-
-    def version(self) -> int:
-        return self._last()[0]
-
-    def has_batch(self, batch: str) -> bool:
-        return bool(batch) and batch in self._last()[2]
-
-    def _commit(self, version: int, folders: dict[int, str], batches: list[str]) -> None:
-        """Fails if another writer has committed this version."""
-        content = json.dumps({"folders": folders, "batches": batches})
-        write_file(self.spark, f"{self.path}/commits/{version:012d}.json", content.encode())
+            self._put(self.spark.createDataFrame([], self._stored), "append")
 
     def read(self, buckets=None) -> DataFrame:
         """The table, or only some of its buckets."""
-        _, folders, _ = self._last()
-        wanted = folders if buckets is None else {b: folders[b] for b in buckets if b in folders}
-        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in wanted.items()]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        stored = self.spark.read.schema(self.schema)
-        return stored.parquet(*paths).select(*self.schema.fieldNames())
+        rows = self.spark.read.schema(self._stored).parquet(self.path)
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        return rows.select(*self.schema.fieldNames())
 
     def lookup(self, value: str) -> DataFrame:
         """Rows of one key, read from its bucket only."""
-        bucket = self.spark.range(1).select(
-            F.pmod(F.xxhash64(F.lit(value)), F.lit(self.buckets)).cast("int")
-        )
-        return self.read([bucket.first()[0]]).where(F.col(self.key) == value)
+        rows = self.spark.read.schema(self._stored).parquet(self.path)
+        rows = rows.where(F.col("bucket") == bucket_of(F.lit(value), self.buckets))
+        return rows.where(F.col(self.key) == value).select(*self.schema.fieldNames())
 
     def touched(self, rows: DataFrame) -> list[int]:
         """Buckets with a key in `rows`: at most `buckets` numbers."""
         found = rows.select(bucket_of(self.key, self.buckets).alias("bucket")).distinct()
         return [row.bucket for row in found.collect()]
 
-    def write(self, rows: DataFrame, batch: str = "", whole: bool = False) -> None:
-        """Commit `rows` as the new content of their buckets, or of the whole table."""
-        version, folders, batches = self._last()
+    def write(self, rows: DataFrame, whole: bool = False) -> None:
+        """Replace the buckets that `rows` has rows of, or the whole table, by `rows`."""
+        self._recover()
+        staged = scratch_path(self.spark, "staged")
+        self._placed(rows).write.parquet(staged)
+        self._note(staged, whole)
+        self._replace(staged, whole)
+        self._note("", False)
+
+    def append(self, rows: DataFrame) -> int:
+        """Add rows; gives their number, counted while they are written."""
+        self._recover()
+        seen = Observation()
+        self._put(self._placed(rows).observe(seen, F.count(F.lit(1)).alias("rows")), "append")
+        return seen.get["rows"]
+
+    def compact(self) -> None:
+        """Write the table anew, without the small files that appends leave."""
+        self.write(self.read(), whole=True)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        derived = {name: F.expr(expression) for name, (_, expression) in self.derived.items()}
+        placed = rows.withColumns(derived) if derived else rows
+        placed = placed.withColumn("bucket", bucket_of(self.key, self.buckets))
+        return placed.select(*self._stored.fieldNames())
+
+    def _put(self, rows: DataFrame, mode: str, overwrite: str = "static") -> None:
         # The rebalance splits a crowded bucket over several tasks and merges small ones.
-        placed = rows.withColumn("bucket", bucket_of(self.key, self.buckets))
-        for name, (_, expression) in self.derived.items():
-            placed = placed.withColumn(name, F.expr(expression))
-        placed = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.cluster)
-        # A folder of its own: two writers never write to the same place.
-        folder = uuid.uuid4().hex
-        placed.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        names = child_names(self.spark, f"{self.path}/data/{folder}")
-        written = [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
-        kept = {} if whole else folders
-        self._commit(
-            version + 1, kept | dict.fromkeys(written, folder), [*batches, *([batch] if batch else [])]
-        )
+        rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.cluster)
+        writer = rows.write.partitionBy("bucket").mode(mode)
+        writer.option("partitionOverwriteMode", overwrite).parquet(self.path)
+
+    def _replace(self, staged: str, whole: bool) -> None:
+        rows = self.spark.read.schema(self._stored).parquet(staged)
+        self._put(rows, "overwrite", "static" if whole else "dynamic")
+
+    def _note(self, staged: str, whole: bool) -> None:
+        plan = self.spark.createDataFrame([(staged, whole)], "staged string, whole boolean")
+        plan.coalesce(1).write.mode("overwrite").parquet(f"{self.path}_planned")
+
+    def _recover(self) -> None:
+        """Put a planned change in place: once more, if it was already."""
+        if not path_exists(self.spark, f"{self.path}_planned/_SUCCESS"):
+            return
+        plan = self.spark.read.parquet(f"{self.path}_planned").first()
+        if plan and plan.staged:
+            self._replace(plan.staged, plan.whole)
+            self._note("", False)
+
+
+def _numbered(name: str) -> tuple[str, int]:
+    stream, _, number = name.rpartition("-")
+    return (stream, int(number)) if stream and number.isdigit() else (name, 0)
 
 
 class Archive:
@@ -141,72 +150,72 @@ class Archive:
             table.create()
         return self
 
+    def _applied(self, name: str) -> bool:
+        """Whether the batch is not newer than the last one of its stream.
+
+        A name is a stream's name, and the batch's number after the last hyphen, if it has one.
+        """
+        stream, number = _numbered(name)
+        last = self.get_state(f"batch_{stream}") if name else ""
+        return bool(last) and number <= int(last)
+
+    def _note_applied(self, name: str) -> None:
+        if name:
+            stream, number = _numbered(name)
+            self.set_state(**{f"batch_{stream}": str(number)})
+
     def upsert_papers(self, batch: DataFrame, fetched_at, name: str = "", strict=False) -> int:
         """Fold a batch (with `seq`) and merge it. Gives the number of rows submitted."""
-        if self.papers.has_batch(name):
+        if self._applied(name):
             return 0
-        batch = cut(batch)
-        submitted = batch.count()
+        batch, submitted = counted_cut(batch)
         if not submitted:
             return 0
         folded = merge.fold_batch(batch, strict=strict)
         buckets = self.papers.touched(batch)
         merged = merge.merge_papers(self.papers.read(buckets), folded, fetched_at, strict)
-        self.papers.write(merged, name)
+        self.papers.write(merged)
+        self._note_applied(name)
         return submitted
 
-    def mark_full_text(self, texts: DataFrame, name: str = "") -> None:
+    def mark_full_text(self, texts: DataFrame) -> None:
         """Mark papers (arxiv_id, full_text_path) as having full text."""
-        if self.papers.has_batch(name):
-            return
         texts = cut(texts.select("arxiv_id", "full_text_path"))
         buckets = self.papers.touched(texts)
         current = self.papers.read(buckets)
         # Rewrite only buckets that hold one of these papers.
         buckets = self.papers.touched(current.join(texts, "arxiv_id", "left_semi"))
         if buckets:
-            marked = merge.mark_full_text(self.papers.read(buckets), texts)
-            self.papers.write(marked, name)
+            self.papers.write(merge.mark_full_text(self.papers.read(buckets), texts))
 
-    def insert_refs(self, edges: DataFrame, name: str = "") -> int:
-        """Add edges, ignoring known ones. Gives the number of new edges."""
+    def insert_refs(self, edges: DataFrame) -> int:
+        """Add edges, ignoring known ones. Gives the number of new edges.
+
+        Only new rows are written. Each copy is compared with its own content, so a repeated call
+        completes either one, and what an interrupted call has added is not added again.
+        """
         edges = cut(edges.select(*REFS.fieldNames()))
-        added = [
-            self._insert_refs(table, edges, name) for table in (self.refs, self.refs_by_target)
-        ]
-        return added[0]
-
-    def _insert_refs(self, table: Table, edges: DataFrame, name: str) -> int:
-        # Each copy is compared with its own content: a repeated call completes either one.
-        if table.has_batch(name):
-            return 0
-        buckets = table.touched(edges)
-        fresh = cut(merge.new_edges(edges, table.read(buckets)))
-        added = fresh.count()
-        if added:
-            buckets = table.touched(fresh)
-            table.write(table.read(buckets).unionByName(fresh), name)
-        return added
-
-    def update_embeddings(self, batch: DataFrame, name: str = "") -> int:
+        return [self._insert_refs(table, edges) for table in (self.refs, self.refs_by_target)][0]
+
+    def _insert_refs(self, table: Table, edges: DataFrame) -> int:
+        return table.append(merge.new_edges(edges, table.read(table.touched(edges))))
+
+    def update_embeddings(self, batch: DataFrame) -> int:
         """Set vectors (arxiv_id, embedding, seq); unknown ids are ignored.
 
         With the archive's `dim` set, a vector of another length fails the batch.
         """
-        if self.embeddings.has_batch(name):
-            return 0
         if self.dim:
             vector = checked_vector(F.col("embedding"), self.dim)
             batch = batch.withColumn("embedding", vector)
         batch = cut(batch)
         known = self.papers.read(self.papers.touched(batch))
-        changed = cut(merge.fold_embeddings(batch, known).select(*EMBEDDINGS.fieldNames()))
-        buckets = self.embeddings.touched(changed)
-        if buckets:
-            current = self.embeddings.read(buckets)
-            rows = merge.replace_rows(current, changed, "arxiv_id")
-            self.embeddings.write(rows, name)
-        return changed.count()
+        changed = merge.fold_embeddings(batch, known).select(*EMBEDDINGS.fieldNames())
+        changed, count = counted_cut(changed)
+        if count:
+            current = self.embeddings.read(self.embeddings.touched(changed))
+            self.embeddings.write(merge.replace_rows(current, changed, "arxiv_id"))
+        return count
 
     def set_state(self, **values: str) -> None:
         """Set bookkeeping keys; the last value wins."""
