@@ -1,35 +1,45 @@
 """URL filters by a ratio of character language models.
 
-Rules judge the URLs they fit, the longest rule first. All URLs that a rule judges train two
-smoothed variable-order Markov models of characters, of accepted and of rejected URLs: n-gram
-counts of every order are hashed into tables of fixed size and summed over all of them. A URL that
-no rule fits is judged by the difference of the two log-likelihoods per character, against a
-threshold calibrated on judged URLs that were left out of the counts.
+Rules judge the URLs they fit, the longest rule first (of equally long ones, the last by name). The
+URLs that rules judge train two smoothed variable-order Markov models of characters, of accepted
+and of rejected URLs: exact counts of all n-grams up to `ORDER` and of their contexts, a Spark table
+that grows with the URLs. A URL that no rule fits is judged by the difference of the two
+log-likelihoods per character, against a threshold calibrated on judged URLs that were left out of
+the counts.
+
+URLs are counted and scored in blocks of rows: a block names each of its n-grams once, so what is
+shuffled is a block's distinct n-grams, never all n-grams of all URLs, and an n-gram of every URL is
+one row per block. The rows themselves move once, by block, so a URL that fills a third of the table
+makes no hot key.
 
 Defined cases: a null URL or one without `://` has an empty host and path, fits no rule, and is
 scored by its characters (no characters score 0); repeated URLs count as often as they occur; with
-no accepted or no rejected URL every other URL is allowed; further columns are ignored; an empty
-table gives no rows.
+no accepted or no rejected URL every other URL is allowed with score 0; further columns are ignored;
+an empty table gives no rows.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paperlake.session import cut
 
 from . import hashing
 
 ORDER = 6
-"""Characters of the longest n-gram: five of context and the next one."""
-BITS = 17
-"""Each order's counts have 2 ** BITS cells, whatever the number of URLs."""
+"""Bytes of the longest n-gram: five of context and the next one. They fit into a 64-bit key."""
 SMOOTHING = 4.0
 MISBLOCKED = 0.01
 """The largest share of accepted URLs, among those left out, that the threshold may block."""
 HELD_OUT = 5
 """One judged URL of so many, by hash, calibrates the threshold and is not counted."""
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 2 << 20
+"""A block of URLs ends when it has so many rows or bytes."""
 
 
 @dataclass(frozen=True)
@@ -77,101 +87,128 @@ def by_rule(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def _grams(column):
-    """(row, place, order, cell of the n-gram, cell of its context) arrays by order, over UTF-8
-    bytes; contexts at a URL's start are shorter."""
+    """(order, whether there is one, n-gram, context) arrays by order, at each byte of the URLs.
+
+    Keys are the bytes themselves, above them the order, and 8 more for contexts.
+    """
     data, offsets = hashing.text_bytes(column)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.arange(len(data)) - offsets[:-1][row] if len(data) else np.zeros(0, np.int64)
-    context = np.zeros(len(data), np.uint64)
-    shifted = data.astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    byte = data.astype(np.int64)
+    gram = np.zeros(len(data), np.int64)
     for order in range(1, ORDER + 1):
-        if order > 1:
-            before = np.zeros(len(data), np.uint64)
-            before[order - 1 :] = shifted[: len(data) - order + 1]
-            before[place < order - 1] = 0
-            context = context * np.uint64(0x100000001B3) + before
+        context = np.zeros(len(data), np.int64)
+        context[1:] = gram[:-1]
+        shifted = np.zeros(len(data), np.int64)
+        shifted[order - 1 :] = byte[: len(data) - order + 1]
+        gram = gram | shifted << 8 * (order - 1)
         there = place >= order - 1
-        seed = np.uint64(order << 56)
-        gram = hashing.mix(hashing.mix(context + seed) + shifted) >> np.uint64(64 - BITS)
-        cell = hashing.mix(context + seed + np.uint64(7)) >> np.uint64(64 - BITS)
-        yield row, order, there, gram.astype(np.int64), cell.astype(np.int64)
+        yield order, there, gram | order << 48, np.where(order > 1, context, 0) | (order + 8) << 48
 
 
 def _counted(batches):
-    """Rows (url, class): the n-gram and context counts of each batch, by flat cell."""
+    """Rows (url, side): each batch's n-grams and contexts, counted for rejected and accepted."""
     for batch in batches:
         side = batch.column(1).to_numpy()
-        width = 1 << BITS
-        flat = []
-        for row, order, there, gram, cell in _grams(batch.column(0)):
-            base = ((side[row] * ORDER + order - 1) * 2) * width
-            flat += [(base + gram)[there], (base + width + cell)[there]]
-        cells, counts = np.unique(np.concatenate(flat), return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cells), pa.array(counts)], names=["cell", "count"]
-        )
+        found = []
+        for wanted in (0, 1):
+            column = batch.column(0).filter(pa.array(side == wanted))
+            keys = [k[there] for _, there, *both in _grams(column) for k in both]
+            found.append(np.unique(np.concatenate(keys), return_counts=True))
+        (rejected, n_rejected), (accepted, n_accepted) = found
+        counts = pa.array(n_rejected), pa.array(n_accepted)
+        zeros = [pa.array(np.zeros(len(c), np.int64)) for c in counts]
+        for keys, columns in ((rejected, (counts[0], zeros[0])), (accepted, (zeros[1], counts[1]))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), *columns], names=["key", "rejected", "accepted"]
+            )
+
 
+def _scores(column, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The difference of the log-likelihoods per character, accepted less rejected.
 
-def _scores(tables, column):
-    """The difference of the log-likelihoods per character, accepted less rejected."""
-    size = len(column)
-    total = np.zeros(size)
-    chance = None
-    for row, order, there, gram, cell in _grams(column):
-        if chance is None:
-            chance = np.full((2, len(row)), 1 / 256)
-            rows = row
-        for side in (0, 1):
-            grams, contexts = tables[side, order - 1]
-            new = (grams[gram] + SMOOTHING * chance[side]) / (contexts[cell] + SMOOTHING)
-            chance[side] = np.where(there, new, chance[side])
-    if chance is None or not len(rows):
-        return total
-    total += np.bincount(rows, np.log(chance[1]) - np.log(chance[0]), size)
-    return total / np.maximum(np.bincount(rows, minlength=size), 1)
-
-
-@dataclass
-class Model:
-    tables: np.ndarray
-    threshold: float
-
-
-def fit(judged: DataFrame) -> Model | None:
-    """A model from rows (url, verdict); none if either verdict is missing.
-
-    Sums per cell come to the driver: at most 2 * ORDER * 2 * 2 ** BITS numbers, however many
-    URLs there are, and the threshold.
+    `keys` are sorted, with a row of two counts each; other keys were never seen.
     """
-    classed = judged.where("url IS NOT NULL").select(
-        "url", F.when(F.col("verdict") == "allow", 1).otherwise(0).cast("long").alias("side")
-    )
-    apart = F.pmod(F.xxhash64("url", F.lit("calibration")), F.lit(HELD_OUT)) == 0
-    width = 1 << BITS
-    tables = np.zeros(2 * ORDER * 2 * width, np.float32)
-    counts = (
-        classed.where(~apart)
-        .mapInArrow(_counted, "cell long, count long")
-        .groupBy("cell")
-        .agg(F.sum("count").alias("count"))
-        .toArrow()
-    )
-    tables[counts["cell"].to_numpy()] = counts["count"].to_numpy()
-    tables = tables.reshape(2, ORDER, 2, width)
-    if not tables[:, 0, 1].sum(axis=1).all():
-        return None
+    _, offsets = hashing.text_bytes(column)
+    keys = np.append(keys, np.iinfo(np.int64).max)
+    counts = np.append(counts, np.zeros((1, 2)), axis=0)
+
+    def seen(wanted):
+        at = np.searchsorted(keys, wanted)
+        return np.where((keys[at] == wanted)[:, None], counts[at], 0)
+
+    chance = np.full((int(offsets[-1]), 2), 1 / 256)
+    for _, there, gram, context in _grams(column):
+        new = (seen(gram) + SMOOTHING * chance) / (seen(context) + SMOOTHING)
+        chance = np.where(there[:, None], new, chance)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    ratio = np.log(chance[:, 1]) - np.log(chance[:, 0])
+    total = np.bincount(row, ratio, len(offsets) - 1)
+    return total / np.maximum(np.diff(offsets), 1)
 
-    def scored(batches):
-        for batch in batches:
+
+def count_grams(judged: DataFrame) -> DataFrame:
+    """The written table of exact counts (key, rejected, accepted) of rows (url, verdict)."""
+    side = F.when(F.col("verdict") == "allow", 1).otherwise(0).cast("long")
+    rows = judged.where("url IS NOT NULL").select("url", side.alias("side"))
+    counts = rows.mapInArrow(_counted, "key long, rejected long, accepted long")
+    sums = [F.sum(name).alias(name) for name in ("rejected", "accepted")]
+    return cut(counts.groupBy("key").agg(*sums), "grams")
+
+
+def _blocks(batches):
+    """The rows with their block's number, and for each block one row of its n-grams."""
+    number = (TaskContext.get().partitionId() << 32) - 1
+    for batch in batches:
+        _, offsets = hashing.text_bytes(batch.column(0))
+        first = 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
+            last = min(max(last, first + 1), first + BLOCK_ROWS)
+            some = batch.slice(first, last - first)
+            first, number = last, number + 1
+            keys = [k[there] for _, there, *both in _grams(some.column(0)) for k in both]
+            kind = pa.list_(pa.int64())
+            names = [*batch.schema.names, "block", "grams"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(_scores(tables, batch.column(0)))], names=["side", "score"]
+                [*some.columns, pa.array(np.full(len(some), number)), pa.nulls(len(some), kind)],
+                names=names,
             )
+            none = [pa.nulls(1, column.type) for column in some.columns]
+            grams = pa.array([np.unique(np.concatenate(keys))], kind)
+            yield pa.RecordBatch.from_arrays([*none, pa.array([number]), grams], names=names)
+
+
+def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """`rows` (url first, any others) with their `score`, as a written table."""
+    names = rows.columns
+    def shape(**more):
+        kinds = {f.name: f.dataType for f in rows.schema.fields} | more
+        return T.StructType([T.StructField(*x) for x in kinds.items()])
+
+    blocks = rows.mapInArrow(_blocks, shape(block=T.LongType(), grams=T.ArrayType(T.LongType())))
+    blocks = cut(blocks, "url-blocks")
+    grams = blocks.where("grams IS NOT NULL").select(
+        F.col("block").alias("of_block"), F.explode_outer("grams").alias("key")
+    )
+    known = grams.join(counts, "key")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("key")
+        counts = np.stack([right[c].to_numpy() for c in ("rejected", "accepted")], axis=1)
+        found = _scores(left["url"].combine_chunks(), right["key"].to_numpy(), counts)
+        return left.select(names).append_column("score", pa.array(found))
 
+    own = blocks.where("grams IS NULL").drop("grams")
+    both = own.groupBy("block").cogroup(known.groupBy("of_block"))
+    return cut(both.applyInArrow(score, shape(score=T.DoubleType())), "url-scores")
+
+
+def threshold(judged: DataFrame) -> float:
+    """The threshold for rows (verdict, score) that were left out of the counts."""
+    side = F.when(F.col("verdict") == "allow", 1).otherwise(0)
     stats = {
         row["side"]: row
-        for row in classed.where(apart)
-        .mapInArrow(scored, "side long, score double")
-        .groupBy("side")
+        for row in judged.groupBy(side.alias("side"))
         .agg(
             F.avg("score").alias("mean"),
             F.stddev_pop("score").alias("deviation"),
@@ -179,7 +216,7 @@ def fit(judged: DataFrame) -> Model | None:
         )
         .collect()
     }
-    return Model(tables, _threshold(stats))
+    return _threshold(stats)
 
 
 def _threshold(stats) -> float:
@@ -199,35 +236,21 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (the difference of the models,
     higher for accepted URLs).
 
-    Only the URLs are read. The model is of bounded size and goes to all tasks.
+    Only the URLs are read, once for the counts and once for the scores.
     """
     host, path = host_and_path()
-    split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    split = pages.select("url", "page_id", host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(rules)
     ruled = split.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    model = fit(ruled.where("verdict IS NOT NULL"))
-    names = ["page_id", "host", "path", "rule", "verdict"]
-
-    def run(batches):
-        for batch in batches:
-            given = batch.column(5)
-            if model is None:
-                score = np.zeros(len(given))
-                own = np.full(len(given), "allow", object)
-            else:
-                score = _scores(model.tables, batch.column(1))
-                own = np.where(score < model.threshold, "block", "allow").astype(object)
-            known = given.to_numpy(zero_copy_only=False)
-            verdicts = np.where(given.is_valid().to_numpy(zero_copy_only=False), known, own)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *batch.columns[2:5],
-                    pa.array(verdicts.tolist(), pa.string()),
-                    pa.array(score),
-                ],
-                names=[*names, "score"],
-            )
-
-    shape = ruled.select(*names).schema.add("score", "double")
-    return ruled.select("page_id", "url", "host", "path", "rule", "verdict").mapInArrow(run, shape)
+    apart = F.pmod(F.xxhash64("url", F.lit("calibration")), F.lit(HELD_OUT)) == 0
+    counts = count_grams(ruled.where(F.col("verdict").isNotNull() & ~apart))
+    # Every character has the empty context of the first order.
+    total = counts.where(F.col("key") == 9 << 48).first()
+    names = ["page_id", "host", "path", "rule"]
+    if total is None or not total["rejected"] or not total["accepted"]:
+        own = F.coalesce("verdict", F.lit("allow")).alias("verdict")
+        return ruled.select(*names, own, F.lit(0.0).alias("score"))
+    rows = scored(ruled, counts)
+    least = threshold(rows.where(F.col("verdict").isNotNull() & F.col("url").isNotNull() & apart))
+    own = F.when(F.col("score") < least, "block").otherwise("allow")
+    return rows.select(*names, F.coalesce("verdict", own).alias("verdict"), "score")

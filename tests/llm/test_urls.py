@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from fixtures import empty, frame
 
@@ -64,14 +66,56 @@ def test_model_tells_the_kinds_apart(spark):
     assert all(got[2000 + i] == "block" and got[3000 + i] == "allow" for i in range(20))
 
 
-def test_counts_cover_every_url(spark):
-    rows = [(i, f"x://a{i}.org/") for i in range(80)] + [(100 + i, f"x://b{i}.com/de/") for i in range(80)]
-    judged = spark.createDataFrame(
-        [(u, "allow" if "org" in u else "block") for _, u in rows], "url string, verdict string"
-    )
-    model = urls.fit(judged)
-    total = model.tables[:, 0, 0].sum()
-    assert 0.5 * sum(len(u) for _, u in rows) < total < sum(len(u) for _, u in rows)
+def brute_score(url, counted):
+    """Accepted less rejected, by exact counts of byte strings, character by character."""
+    data, total = url.encode(), 0.0
+    for sign, own in ((1, counted["allow"]), (-1, counted["block"])):
+        for i in range(len(data)):
+            chance = 1 / 256
+            for order in range(1, min(urls.ORDER, i + 1) + 1):
+                gram, context = data[i - order + 1 : i + 1], data[i - order + 1 : i]
+                seen = sum(own[context + bytes([c])] for c in range(256))
+                chance = (own[gram] + urls.SMOOTHING * chance) / (seen + urls.SMOOTHING)
+            total += sign * math.log(chance)
+    return total / max(len(data), 1)
+
+
+def test_counts_and_scores_are_exact(spark, monkeypatch):
+    judged = [(u, "allow" if "org" in u else "block") for u in
+              [f"x://a{i % 7}.org/é{i}" for i in range(40)] + [f"x://b{i}.com/de/" for i in range(30)]]
+    counted = {"allow": Counter(), "block": Counter()}
+    for url, verdict in judged:
+        data = url.encode()
+        for order in range(1, urls.ORDER + 1):
+            counted[verdict].update(data[i : i + order] for i in range(len(data) - order + 1))
+    table = spark.createDataFrame([*judged, (None, "allow")], "url string, verdict string")
+    counts = urls.count_grams(table.repartition(3))
+    monkeypatch.setattr(urls, "BLOCK_ROWS", 5)
+    asked = ["x://a1.org/", "x://b.com/de/é", "", None, "q", "x://a1.org/" * 30, "x://a1.org/"]
+    rows = spark.createDataFrame([(u, i) for i, u in enumerate(asked)], "url string, i int")
+    got = {r.i: r.score for r in urls.scored(rows.coalesce(1), counts).collect()}
+    assert len(got) == len(asked)
+    for i, url in enumerate(asked):
+        assert math.isclose(got[i], brute_score(url or "", counted), abs_tol=1e-9)
+
+
+def test_verdicts_hold_as_the_corpus_grows(spark):
+    # 100,000 judged URLs with slugs of their own class; those left to the model have new slugs.
+    letters = {"org": "abcdefghijklm", "de": "nopqrstuvwxyz"}
+
+    def slug(rng, kind):
+        return "".join(rng.choice(letters[kind]) for _ in range(12))
+
+    rng, rows = random.Random(4), []
+    for i in range(100_000):
+        kind = ("org", "de")[i % 2]
+        rows.append((i, f"x://s.org/{slug(rng, kind)}" if i % 2 == 0 else f"x://s.com/de/{slug(rng, kind)}"))
+    for i in range(2000):
+        rows.append((200_000 + i, f"x://s.net/{slug(rng, ('org', 'de')[i % 2])}"))
+    table = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    got = {r.page_id: r.verdict for r in urls.judge(table).where("page_id >= 200000").collect()}
+    right = sum(got[200_000 + i] == ("allow", "block")[i % 2] for i in range(2000))
+    assert right >= 0.95 * 2000
 
 
 def test_one_class_or_no_rows(spark):
