@@ -470,11 +470,15 @@ def search_english(spark, sf_dir):
     return _ranked(search.search(tv.papers(spark, sf_dir), ENGLISH))
 
 
-def _index(spark, sf_dir, analyzer="simple"):
+def _write_index(spark, sf_dir, analyzer="simple"):
     path = scratch_path(spark, "postings")
     rows = search.build_postings(tv.papers(spark, sf_dir), analyzer)
     search.write_postings(rows, path, TERM_BUCKETS)
-    return search.read_postings(spark, path)
+    return path
+
+
+def _index(spark, sf_dir, analyzer="simple"):
+    return search.read_postings(spark, _write_index(spark, sf_dir, analyzer))
 
 
 def search_index(spark, sf_dir):
@@ -500,8 +504,10 @@ def search_batch(spark, sf_dir):
     queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).union(
         items.select(-1 - F.col("item_id"), first)
     )
+    path = _write_index(spark, sf_dir)
     found = search.search_batch(
-        _index(spark, sf_dir), queries, analyzer="simple", buckets=TERM_BUCKETS
+        search.read_postings(spark, path), queries, analyzer="simple", buckets=TERM_BUCKETS,
+        terms=search.read_terms(spark, path),
     )
     return _ranked(found, "query_id", "place")
 

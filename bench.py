@@ -124,7 +124,8 @@ def main() -> None:
             postings(), "thin than", analyzer="simple", buckets=TERM_BUCKETS
         ),
         "search_batch": lambda: search.search_batch(
-            postings(), questions, analyzer="simple", buckets=TERM_BUCKETS
+            postings(), questions, analyzer="simple", buckets=TERM_BUCKETS,
+            terms=search.read_terms(spark, postings_path),
         ),
         "similar_by_id": similar_scan,
         "build_ivf": build_index,

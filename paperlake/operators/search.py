@@ -151,6 +151,21 @@ def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS)
     placed = placed.withColumn("share", share).hint("rebalance", "term_bucket", "share")
     placed = placed.drop("share").sortWithinPartitions("term_bucket", "term")
     placed.write.partitionBy("term_bucket").mode("overwrite").parquet(path)
+    # How many papers hold each term: read back, the terms' column alone, counted per task first.
+    stored = read_postings(placed.sparkSession, path)
+    counts = stored.groupBy("term_bucket", "term").agg(F.count("*").alias("df"))
+    counts = counts.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
+    counts.write.partitionBy("term_bucket").mode("overwrite").parquet(_terms_path(path))
+
+
+def _terms_path(path: str) -> str:
+    return f"{path.rstrip('/')}-terms"
+
+
+def read_terms(spark, path: str) -> DataFrame:
+    """The term statistics (term, df, term_bucket) of the index under `path`."""
+    schema = "term string, df long, term_bucket int"
+    return spark.read.schema(schema).parquet(_terms_path(path))
 
 
 def read_postings(spark, path: str) -> DataFrame:
@@ -186,57 +201,62 @@ def with_papers(ranked: DataFrame, papers: DataFrame) -> DataFrame:
 
 def search_batch(
     postings: DataFrame, queries: DataFrame, limit=None, analyzer: str = "english",
-    buckets: int = TERM_BUCKETS,
+    buckets: int = TERM_BUCKETS, terms: DataFrame | None = None,
 ) -> DataFrame:
     """Top papers of every row of `queries` (query_id, query): (query_id, arxiv_id, rank, place).
 
-    Queries with the same terms are answered once. Candidates come from each term set's rarest
-    term only, so a term shared by all queries and most papers never pairs them up; the other
-    terms are then checked on (paper, term) keys. Positions are read for complete matches only.
+    Queries with the same terms are answered once. `terms` is the index's table of document
+    frequencies (else they are counted), so each term set's rarest term is known before postings
+    are read. Candidates, with their positions, come from the rarest terms' postings only, so a
+    term shared by all queries and most papers never pairs them up; a second read takes the other
+    terms' positions by (term, paper) for these candidates.
     """
     limit = params.positive(limit, params.SEARCH_LIMIT)
     found = analysis.distinct_terms(analysis.tokens("query"), analyzer)
     asked = queries.select("query_id", F.array_sort(found).alias("terms")).select(
         "query_id", "terms", F.sha2(F.array_join("terms", " "), 256).alias("terms_key")
     )
+    stored = "term_bucket" in postings.columns
+    keys = ["term_bucket", "term"] if stored else ["term"]
+
+    def placed(rows):
+        # On a stored index this prunes partitions at run time.
+        return rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets)) if stored else rows
+
     # Dropping repeated sets by their short key combines them per task before the shuffle.
     sets = asked.groupBy("terms_key").agg(F.first("terms").alias("terms"))
-    wanted = sets.select(
-        "terms_key", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
+    wanted = placed(
+        sets.select("terms_key", "terms", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     )
-    names = wanted.select("term").distinct()
-    keys = ["term"]
-    if "term_bucket" in postings.columns:
-        names = names.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-        keys = ["term_bucket", "term"]
-    # The first read of the index takes the wanted terms' papers alone; on a stored index this
-    # prunes partitions at run time.
-    held = cut(postings.join(names, keys, "left_semi").select("term", "arxiv_id"), "held")
-    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
-    # An inner join is enough: a term without papers leaves its set short of terms below.
+    if terms is None:
+        named = postings.join(wanted.select(keys).distinct(), keys, "left_semi")
+        terms = named.groupBy(keys).agg(F.count("*").alias("df"))
+    # An inner join is enough: a set with a term that no paper has drops out.
     rarest = (
-        wanted.join(frequency, "term")
-        .groupBy("terms_key", "n_terms")
-        .agg(F.min(F.struct("df", "term")).alias("rarest"), F.count("*").alias("known"))
-        .where(F.col("known") == F.col("n_terms"))
-        .select("terms_key", F.col("rarest.term").alias("term"))
+        wanted.join(terms, keys)
+        .groupBy("terms_key")
+        .agg(
+            F.min(F.struct("df", "term")).alias("rarest"),
+            F.count("*").alias("known"),
+            F.first("n").alias("n"),
+            F.first("terms").alias("terms"),
+        )
+        .where(F.col("known") == F.col("n"))
+        .select("terms_key", "n", "terms", F.col("rarest.term").alias("term"))
     )
-    candidates = held.join(rarest, "term").drop("term")
-    needed = candidates.join(wanted, "terms_key").join(held, ["arxiv_id", "term"])
-    counted = needed.groupBy("terms_key", "arxiv_id").agg(
-        F.count("*").alias("hits"), F.first("n_terms").alias("n_terms")
+    rarest = cut(placed(rarest), "rarest")
+    first = cut(
+        postings.join(rarest.drop("terms"), keys).select("terms_key", "n", "arxiv_id", "positions"),
+        "first",
     )
-    complete = counted.where(F.col("hits") == F.col("n_terms")).select("terms_key", "arxiv_id")
-    due = cut(complete.join(wanted.drop("n_terms"), "terms_key"), "due")
-    # The second read takes positions, of papers that hold all terms of a query only.
-    places = due.select("term", "arxiv_id").distinct()
-    if "term_bucket" in postings.columns:
-        places = places.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-    found = postings.join(places, [*keys, "arxiv_id"], "left_semi")
+    others = rarest.select("terms_key", F.explode(F.array_remove("terms", F.col("term"))).alias("term"))
+    due = first.select("terms_key", "n", "arxiv_id").join(placed(others), "terms_key")
+    more = postings.join(due, [*keys, "arxiv_id"])
     matched = (
-        due.join(found.select("arxiv_id", "term", "positions"), ["arxiv_id", "term"])
-        .groupBy("terms_key", "arxiv_id")
+        first.unionByName(more.select(first.columns))
+        .groupBy("terms_key", "n", "arxiv_id")
         .agg(F.collect_list("positions").alias("positions"))
+        .where(F.size("positions") == F.col("n"))
     )
     ranked = matched.select(
         "terms_key", "arxiv_id", rank_positions(F.col("positions")).alias("rank")

@@ -208,25 +208,38 @@ def test_batch_reads_the_index_twice(spark, tmp_path):
     path = str(tmp_path / "postings")
     search.write_postings(search.build_postings(make_papers(spark, TEXTS)), path, 4)
     queries = spark.createDataFrame([(1, "deep networks"), (2, "vision")], "query_id int, query string")
-    reads = []
+    reads, labels = [], []
     cut = search.cut
 
     def read(rows):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
-        reads.append(len(re.findall(r"Relation \[[^]]*term_bucket#", plan)))
+        reads.append(len(re.findall(r"Relation \[[^]]*positions#[^]]*term_bucket#", plan)))
 
     def counted(rows, label):
         read(rows)
+        labels.append(label)
         return cut(rows, label)
 
     search.cut = counted
     try:
-        found = search.search_batch(search.read_postings(spark, path), queries, buckets=4)
+        found = search.search_batch(
+            search.read_postings(spark, path), queries, buckets=4, terms=search.read_terms(spark, path)
+        )
     finally:
         search.cut = cut
     read(found)
     assert found.count() == 5
-    assert reads == [1, 0, 1]
+    # The rarest terms are known without the postings.
+    assert dict(zip([*labels, "answer"], reads, strict=True)) == {"rarest": 0, "first": 1, "answer": 1}
+
+
+def test_stored_frequencies_are_those_of_the_index(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    postings = search.build_postings(make_papers(spark, TEXTS * 2))
+    search.write_postings(postings, path, 4)
+    counted = {r.term: r["count"] for r in postings.groupBy("term").count().collect()}
+    stored = search.read_terms(spark, path).collect()
+    assert {r.term: r.df for r in stored} == counted and len(stored) == len(counted)
 
 
 @pytest.mark.parametrize("analyzer", analysis.ANALYZERS)
