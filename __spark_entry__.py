@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from datetime import datetime
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -27,11 +28,12 @@ from paperlake.operators import (  # noqa: E402
     stats,
 )
 from paperlake.plans import answers, similar, sync  # noqa: E402
-from paperlake.schemas import SEARCH_COLS  # noqa: E402
+from paperlake.functions.vectors import vector_problem  # noqa: E402
+from paperlake.schemas import LIST_COLS, SEARCH_COLS  # noqa: E402
 from paperlake.session import cut, scratch_path, ship_package  # noqa: E402
 from paperlake.sources import inputs, outputs  # noqa: E402
 from paperlake.sources.store import Archive  # noqa: E402
-from paperlake.streaming.harvest import upsert_pages  # noqa: E402
+from paperlake.streaming.harvest import mark_key, upsert_pages  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -40,6 +42,7 @@ except ImportError:
     corpus_pipeline = llm_queries = None
 
 PAPER = "2306.00005"
+AS_OF = datetime.fromisoformat(tv.AS_OF)
 ONE_WORD = "Thin"
 TWO_WORDS = "thin, than"
 THREE_WORDS = "Than from thin!"
@@ -156,6 +159,35 @@ def harvest_stream(spark, sf_dir):
     return _harvested(archive.papers.read())
 
 
+def page_envelopes(spark, sf_dir):
+    """Resume tokens and error answers of landed pages: customers as tokens, suppliers as errors."""
+    token = F.when(F.col("c_nationkey") != 0, F.concat(F.lit(" "), "c_name")).otherwise("")
+    tokens = tv.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("_cursor"), F.col("c_nationkey").alias("_completeListSize"),
+        token.alias("_VALUE"),
+    )
+    code = F.when(F.col("s_nationkey") == 0, "noRecordsMatch").otherwise("badArgument")
+    errors = tv.table(spark, sf_dir, "supplier").select(
+        code.alias("_code"), F.concat("s_name", F.lit("\n")).alias("_VALUE")
+    )
+    paths = {}
+    for tag, rows in (("resumptionToken", tokens), ("error", errors)):
+        paths[tag] = scratch_path(spark, tag)
+        pages = rows.write.format("xml").option("rowTag", tag).option("rootTag", "ListRecords")
+        pages.save(paths[tag])
+    found = inputs.page_tokens(spark, paths["resumptionToken"]).select(
+        F.lit("token").alias("kind"), F.col("token").alias("value"),
+        F.col("complete_size").cast("string").alias("code_or_size"),
+        F.col("cursor").cast("string").alias("cursor"),
+    )
+    return found.unionByName(
+        inputs.harvest_errors(spark, paths["error"]).select(
+            F.lit("error").alias("kind"), F.col("message").alias("value"),
+            F.col("code").alias("code_or_size"), F.lit(None).cast("string").alias("cursor"),
+        )
+    )
+
+
 def harvest_changed(spark, sf_dir):
     """Records of two categories changed since their marks."""
     records = tv.harvest_records(spark, sf_dir)
@@ -229,6 +261,17 @@ def recent_exact_category(spark, sf_dir):
     return _listed(catalog.recent(found, tv.AS_OF, days=3000))
 
 
+def _whole(rows, *more):
+    """All columns of the listing endpoints."""
+    times = {"published", "updated", "fetched_at"}
+    return rows.select(*(_time(c) if c in times else c for c in LIST_COLS), *more)
+
+
+def recent_rows(spark, sf_dir):
+    """The endpoint's whole rows."""
+    return _whole(catalog.recent(tv.papers(spark, sf_dir), tv.AS_OF, days=365))
+
+
 def get_paper(spark, sf_dir):
     return _listed(catalog.get_paper(tv.papers(spark, sf_dir), PAPER))
 
@@ -519,6 +562,20 @@ def similar_by_id(spark, sf_dir):
     return _similarity(knn.similar_by_id(tv.embeddings(spark, sf_dir), PAPER))
 
 
+def similar_rows(spark, sf_dir):
+    """The endpoint's whole rows."""
+    found = similar.by_id(tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir), PAPER)
+    return _whole(found, F.round("similarity", 6).alias("similarity"))
+
+
+def vector_checks(spark, sf_dir):
+    """What the check says of vectors cut short by their label, and of missing ones."""
+    rows = tv.table(spark, sf_dir, "embeddings")
+    short = F.slice("embedding", 1, 64 - F.pmod("label", F.lit(3)))
+    vector = F.when(F.col("label") != 0, short)
+    return rows.select("vec_id", vector_problem(vector, 64).alias("problem"))
+
+
 def similar_by_vector(spark, sf_dir):
     """A stored vector as the query: its own paper comes first."""
     vectors = tv.embeddings(spark, sf_dir)
@@ -719,6 +776,45 @@ def full_text_store(spark, sf_dir):
     return rows.select("arxiv_id", F.length("full_text").alias("n_chars"))
 
 
+def state_stored(spark, sf_dir):
+    """The categories' marks, kept in the sync state and set again with their counts."""
+    archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
+    records = tv.harvest_records(spark, sf_dir)
+    marks = harvest.newest_datestamp(records, ["cs.EN", "cs.DE", "cs.FR", "cs.ES"]).collect()
+    archive.set_state(**{mark_key(m.category): "" for m in marks}, other="kept")
+    archive.set_state(**{mark_key(m.category): m.datestamp for m in marks})
+    return archive.state.read()
+
+
+def _synced(spark, sf_dir, *steps):
+    archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
+    for step in steps:
+        sync.run(
+            archive,
+            step,
+            landing=_land_pages(spark, sf_dir) if step in ("", "metadata") else None,
+            checkpoint=scratch_path(spark, "progress"),
+            documents=_documents(spark, sf_dir),
+            embedder=sync.HASHED,
+            dim=HASH_DIM,
+            now=AS_OF,
+        )
+    return archive
+
+
+def sync_texts(spark, sf_dir):
+    """Texts stored by the first two steps, with their paper's category."""
+    archive = _synced(spark, sf_dir, "metadata", "fulltext")
+    texts = outputs.read_full_texts(spark, archive.fulltext_path)
+    return texts.select("arxiv_id", "category", F.length("text").alias("n_chars"))
+
+
+def sync_record(spark, sf_dir):
+    """What a run of all steps leaves in the sync state, but for its duration."""
+    kept = F.col("key").startswith("run_") | (F.col("key") == "last_sync")
+    return _synced(spark, sf_dir, "").state.read().where(kept)
+
+
 def sync_run(spark, sf_dir):
     """All four steps from landed pages and documents; then the state of the archive."""
     archive = Archive(spark, scratch_path(spark, "archive"), buckets=8).create()
@@ -744,9 +840,9 @@ def sync_run(spark, sf_dir):
 
 _QUERIES = [
     normalize_ids, clean_text, parse_dates, classify_inputs, category_columns, listing,
-    harvest_papers, harvest_pages, harvest_stream, harvest_changed, category_marks,
+    harvest_papers, harvest_pages, page_envelopes, harvest_stream, harvest_changed, category_marks,
     document_edges, document_texts, open_access_urls, document_files, enrich_batches,
-    recent_week, recent_year, recent_by_category, recent_exact_category, get_paper, paper_detail, paper_details,
+    recent_week, recent_year, recent_rows, recent_by_category, recent_exact_category, get_paper, paper_detail, paper_details,
     pending_embedding, pending_embedding_all, pending_newest, pending_full_text, known_ids, unknown_ids,
     archive_stats, category_names, progress,
     refs_of, cited_by, ref_ids, cited_by_ids, degrees, degree_of, missing_refs,
@@ -755,10 +851,11 @@ _QUERIES = [
     insert_refs_stored, update_embeddings, mark_full_text, kv_upsert,
     token_counts, postings, search_one_word, search_two_words, search_matches, search_english,
     search_index, search_index_english, search_batch,
-    similar_by_id, similar_by_vector, cosine_columns, similar_by_text, similar_by_letters, similar_ivf,
+    similar_by_id, similar_rows, vector_checks, similar_by_vector, cosine_columns, similar_by_text, similar_by_letters, similar_ivf,
     similar_ivf_cells, similar_ivf_probed, build_similar, build_similar_blocks, similar_precomputed,
     similar_filled, similar_many, similar_recall, similar_lookup, embed_pending, embed_batches,
-    answer_lines, answer_cited_by, answer_refs, answer_recent, full_text_store, sync_run,
+    answer_lines, answer_cited_by, answer_refs, answer_recent, full_text_store, state_stored, sync_texts,
+    sync_record, sync_run,
 ]
 
 

@@ -47,6 +47,8 @@ DEGREES = """degrees AS (
     SELECT from_id AS arxiv_id, 1 AS o, 0 AS i FROM refs
     UNION ALL SELECT to_id, 0, 1 FROM refs) GROUP BY arxiv_id)"""
 
+WHOLE = f"""arxiv_id, title, abstract, authors, categories, {_time('published')},
+  {_time('updated')}, has_full_text, CAST(NULL AS VARCHAR) AS fetched_at"""
 LISTED = f"arxiv_id, title, authors, categories, {_time('published')}"
 NEWEST = "ORDER BY published DESC NULLS LAST, arxiv_id"
 COSINE = "list_cosine_similarity({a}, {b})"
@@ -301,6 +303,27 @@ ORACLES = {
     "recent_by_category": f"""WITH {PAPERS} SELECT {LISTED} FROM papers
       WHERE papers.published >= {AS_OF} - INTERVAL 365 DAY AND categories LIKE '%' || 'cs.E' || '%'
       ORDER BY papers.published DESC, arxiv_id LIMIT 50""",
+    "recent_rows": f"""WITH {PAPERS} SELECT {WHOLE} FROM papers
+      WHERE papers.published >= {AS_OF} - INTERVAL 365 DAY
+      ORDER BY papers.published DESC, arxiv_id LIMIT 50""",
+    "similar_rows": f"""WITH {PAPERS}, near AS ({NEAREST})
+      SELECT {WHOLE}, similarity FROM near JOIN papers USING (arxiv_id)""",
+    "vector_checks": """SELECT vec_id, CASE WHEN label = 0 THEN 'no vector'
+        WHEN label % 3 <> 0 THEN 'expected 64 dimensions, got ' || (64 - label % 3) END AS problem
+      FROM embeddings""",
+    "page_envelopes": """SELECT 'token' AS kind, CASE WHEN c_nationkey <> 0 THEN c_name ELSE '' END
+        AS value, CAST(c_nationkey AS VARCHAR) AS code_or_size, CAST(c_custkey AS VARCHAR) AS cursor
+      FROM customer UNION ALL SELECT 'error', s_name, 'badArgument', NULL FROM supplier
+      WHERE s_nationkey <> 0""",
+    "state_stored": """SELECT 'oai_last_cs.' || upper(lang) AS key,
+        strftime(max(o_orderdate), '%Y-%m-%d') AS value
+      FROM documents LEFT JOIN orders ON o_orderkey = doc_id GROUP BY 1
+      UNION ALL SELECT 'other', 'kept'""",
+    "sync_texts": f"""WITH papers AS ({HARVESTED}), texts AS (
+        SELECT {_pid('l_orderkey')} AS arxiv_id, max({DOCUMENT_TEXT}) AS text
+        FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1)
+      SELECT arxiv_id, categories AS category, length(text) AS n_chars
+      FROM texts JOIN papers USING (arxiv_id)""",
     "get_paper": f"WITH {PAPERS} SELECT {LISTED} FROM papers WHERE arxiv_id = '{PAPER}'",
     "paper_detail": f"{DETAIL} WHERE p.arxiv_id = '{PAPER}'",
     "paper_details": DETAIL,
@@ -464,3 +487,12 @@ ORACLES = {
           FROM lineitem""",
     ),
 }
+
+_RUN = {
+    "harvested_papers": "total", "fetched": "texts", "failed": "0", "edges": "edges",
+    "embedded": "with_embedding", "embed_failed": "0", "missing_refs": "missing_refs",
+}
+ORACLES["sync_record"] = f"WITH run AS ({ORACLES['sync_run']})" + " UNION ALL ".join(
+    f" SELECT 'run_{name}' AS key, CAST({value} AS VARCHAR) AS value FROM run"
+    for name, value in _RUN.items()
+) + " UNION ALL SELECT 'last_sync', '2001-08-02T00:00:00Z'"

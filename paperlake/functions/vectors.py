@@ -14,9 +14,13 @@ def cosine_similarity(a, b) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def vector_problem(vector, dim) -> Column:
+    """What is wrong with a vector that should have `dim` numbers; NULL if nothing is."""
+    wrong = F.format_string(f"expected {dim} dimensions, got %d", F.size(vector))
+    return F.when(vector.isNull(), "no vector").when(F.size(vector) != dim, wrong)
+
+
 def checked_vector(vector, dim) -> Column:
-    """`vector` itself, failing the job when its length is not `dim`."""
-    fits = F.size(vector) == dim
-    return F.when(fits | vector.isNull(), vector).otherwise(
-        F.raise_error(F.format_string(f"expected {dim} dimensions, got %d", F.size(vector)))
-    )
+    """`vector` itself, failing the job when its length is not `dim`; NULL stays NULL."""
+    fits = vector.isNull() | vector_problem(vector, dim).isNull()
+    return F.when(fits, vector).otherwise(F.raise_error(vector_problem(vector, dim)))
