@@ -484,7 +484,10 @@ def token_counts(spark, sf_dir):
 
 
 def postings(spark, sf_dir):
-    rows = search.build_postings(tv.papers(spark, sf_dir), "simple")
+    return _postings(search.build_postings(tv.papers(spark, sf_dir), "simple"))
+
+
+def _postings(rows):
     return rows.select(
         "term",
         "arxiv_id",
@@ -540,13 +543,17 @@ def search_index_english(spark, sf_dir):
     return rows.select(*shown, F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
-def search_batch(spark, sf_dir):
-    """Every benchmark text, and the first word of each, as queries over all papers."""
+def _questions(spark, sf_dir):
     items = tv.table(spark, sf_dir, "benchmark")
     first = F.get(tokens(F.col("text")), 0)
-    queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).union(
+    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).union(
         items.select(-1 - F.col("item_id"), first)
     )
+
+
+def search_batch(spark, sf_dir):
+    """Every benchmark text, and the first word of each, as queries over all papers."""
+    queries = _questions(spark, sf_dir)
     path = _write_index(spark, sf_dir)
     found = search.search_batch(
         search.read_postings(spark, path), queries, analyzer="simple", buckets=TERM_BUCKETS,
@@ -555,6 +562,28 @@ def search_batch(spark, sf_dir):
     return _ranked(found, "query_id", "place")
 
 
+def _changed_index(spark, sf_dir):
+    """An archive whose index was built before the conversation turns were upserted."""
+    archive = Archive(
+        spark, scratch_path(spark, "archive"), buckets=8, term_buckets=TERM_BUCKETS
+    ).create()
+    archive.papers.write(tv.papers(spark, sf_dir), whole=True)
+    archive.build_index("simple")
+    archive.upsert_papers(tv.upserts(spark, sf_dir), tv.AS_OF, "turns")
+    return archive.index()
+
+
+def postings_after_upsert(spark, sf_dir):
+    """The index as kept up to date by an upsert."""
+    return _postings(_changed_index(spark, sf_dir).postings())
+
+
+def search_after_upsert(spark, sf_dir):
+    """The benchmark's queries over the index as kept up to date by an upsert."""
+    found = _changed_index(spark, sf_dir).search_batch(_questions(spark, sf_dir))
+    return _ranked(found, "query_id", "place")
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 
@@ -850,7 +879,7 @@ _QUERIES = [
     fold_batch, upsert_papers, upsert_papers_strict, upsert_papers_stored, insert_ignore_refs,
     insert_refs_stored, update_embeddings, mark_full_text, kv_upsert,
     token_counts, postings, search_one_word, search_two_words, search_matches, search_english,
-    search_index, search_index_english, search_batch,
+    search_index, search_index_english, search_batch, postings_after_upsert, search_after_upsert,
     similar_by_id, similar_rows, vector_checks, similar_by_vector, cosine_columns, similar_by_text, similar_by_letters, similar_ivf,
     similar_ivf_cells, similar_ivf_probed, build_similar, build_similar_blocks, similar_precomputed,
     similar_filled, similar_many, similar_recall, similar_lookup, embed_pending, embed_batches,

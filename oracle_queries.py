@@ -488,6 +488,9 @@ ORACLES = {
     ),
 }
 
+for _name, _sql in (("postings", ORACLES["postings"]), ("search", SEARCH_BATCH)):
+    ORACLES[f"{_name}_after_upsert"] = _sql.replace(PAPERS, f"papers AS ({_upsert(False)})")
+
 _RUN = {
     "harvested_papers": "total", "fetched": "texts", "failed": "0", "edges": "edges",
     "embedded": "with_embedding", "embed_failed": "0", "missing_refs": "missing_refs",

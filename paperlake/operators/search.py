@@ -140,8 +140,8 @@ def term_bucket(term, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Write the index partitioned by term bucket.
+def place_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
+    """Write postings partitioned by term bucket.
 
     Rows are spread by (bucket, share of the ids): a term found in a third of all papers fills
     several tasks and files instead of one. Small shares are merged again by the rebalance.
@@ -151,8 +151,15 @@ def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS)
     placed = placed.withColumn("share", share).hint("rebalance", "term_bucket", "share")
     placed = placed.drop("share").sortWithinPartitions("term_bucket", "term")
     placed.write.partitionBy("term_bucket").mode("overwrite").parquet(path)
-    # How many papers hold each term: read back, the terms' column alone, counted per task first.
-    stored = read_postings(placed.sparkSession, path)
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
+    """Write the index, and how many papers hold each term.
+
+    The latter is read back: the terms' column alone, counted per task before the shuffle.
+    """
+    place_postings(postings, path, buckets)
+    stored = read_postings(postings.sparkSession, path)
     counts = stored.groupBy("term_bucket", "term").agg(F.count("*").alias("df"))
     counts = counts.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
     counts.write.partitionBy("term_bucket").mode("overwrite").parquet(_terms_path(path))

@@ -13,8 +13,16 @@ def paper(papers, embeddings, refs, fulltext, arxiv_id: str) -> DataFrame:
     return json_rows(catalog.paper_detail(papers, embeddings, refs, fulltext, arxiv_id))
 
 
-def search_papers(papers, query: str, limit=None, analyzer: str = "english") -> DataFrame:
-    return envelope(search.search(papers, query, limit, analyzer), query=query)
+def search_papers(
+    papers, query: str, limit=None, analyzer: str = "english", index=None
+) -> DataFrame:
+    """The best papers, from the archive's index where there is one, else by a scan."""
+    if index is None:
+        found = search.search(papers, query, limit, analyzer)
+    else:
+        found = search.with_papers(index.search(query, limit), papers)
+        found = found.orderBy(*search.best_first())
+    return envelope(found, query=query)
 
 
 def similar_papers(papers, embeddings, arxiv_id: str, limit=None, **sources) -> DataFrame:

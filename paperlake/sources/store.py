@@ -8,14 +8,18 @@ plan and puts the rows in place again. Changes are functions of the stored rows
 repeating the last batch changes nothing. One writer at a time is expected.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake.functions.vectors import checked_vector
 from paperlake.operators import merge
+from paperlake.operators.search import TERM_BUCKETS
 from paperlake.schemas import EMBEDDINGS, PAPERS, PUBLISHED_DAY, REFS, SIMILAR, SYNC_STATE
 from paperlake.session import counted_cut, cut, path_exists, scratch_path
+from paperlake.sources.index import Index
 
 
 def bucket_of(key, buckets: int) -> Column:
@@ -124,8 +128,12 @@ def _numbered(name: str) -> tuple[str, int]:
 class Archive:
     """All tables of one archive under a root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 256, dim=None):
+    def __init__(
+        self, spark: SparkSession, root: str, buckets: int = 256, dim=None,
+        term_buckets: int = TERM_BUCKETS,
+    ):
         self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
+        self.term_buckets = term_buckets
         self.papers = self._table(
             "papers", PAPERS, "arxiv_id", buckets, PUBLISHED_DAY.name,
             {PUBLISHED_DAY.name: (PUBLISHED_DAY, "CAST(published AS DATE)")},
@@ -175,9 +183,35 @@ class Archive:
         buckets = self.papers.touched(batch)
         merged = merge.merge_papers(self.papers.read(buckets), folded, fetched_at, strict)
         self.papers.write(merged)
+        index = self.index()
+        if index is not None:
+            ids = folded.select("arxiv_id")
+            index.update(self.papers.read(buckets).join(ids, "arxiv_id", "left_semi"))
         self._note_applied(name)
         return submitted
 
+    def build_index(self, analyzer: str = "english") -> Index:
+        """Build the search index of all papers; from now on upserts keep it up to date."""
+        folder = f"index-{analyzer}-{uuid.uuid4().hex}"
+        index = self._index(folder).build(self.papers.read())
+        self.set_state(index=folder)
+        return index
+
+    def index(self) -> Index | None:
+        """The search index, or None while it was never built."""
+        folder = self.get_state("index")
+        return self._index(folder) if folder else None
+
+    def compact_index(self) -> None:
+        """Bring the changes since the last build or compaction into the index's base."""
+        old = self.index()
+        folder = f"index-{old.analyzer}-{uuid.uuid4().hex}"
+        old.compact(f"{self.root}/{folder}")
+        self.set_state(index=folder)
+
+    def _index(self, folder: str) -> Index:
+        return Index(self.spark, f"{self.root}/{folder}", folder.split("-")[1], self.term_buckets)
+
     def mark_full_text(self, texts: DataFrame) -> None:
         """Mark papers (arxiv_id, full_text_path) as having full text."""
         texts = cut(texts.select("arxiv_id", "full_text_path"))

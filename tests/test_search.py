@@ -9,7 +9,9 @@ from paperlake.functions import analysis
 from paperlake.functions.rank import rank_positions
 from paperlake.functions.stemming import STOP_WORDS, common_start, english_term, stem
 from paperlake.operators import search
+from paperlake.plans import answers
 from paperlake.schemas import PAPERS
+from paperlake.sources.store import Archive
 
 
 def make_papers(spark, texts):
@@ -256,3 +258,69 @@ def test_batch_agrees_with_single_queries(spark, analyzer):
         expected = search.search(papers, query, 5, analyzer).collect()
         mine = sorted((r.place, r.arxiv_id, r["rank"]) for r in got if r.query_id == number)
         assert [m[1:] for m in mine] == [(r.arxiv_id, r["rank"]) for r in expected]
+
+
+def archive_of(spark, path, texts):
+    archive = Archive(spark, str(path), buckets=2, term_buckets=4).create()
+    archive.papers.write(make_papers(spark, texts), whole=True)
+    return archive
+
+
+def upsert(spark, archive, *rows):
+    """Rows (number, title, abstract)."""
+    values = [(f"p{n:03d}", title, text, *[None] * 9) for n, title, text in rows]
+    batch = spark.createDataFrame(values, PAPERS).withColumn("seq", F.lit(0))
+    return archive.upsert_papers(batch, "2024-01-01 00:00:00")
+
+
+def same_index(archive):
+    rebuilt = search.build_postings(archive.papers.read(), "english")
+    wanted = sorted((r.term, r.arxiv_id, tuple(r.positions)) for r in rebuilt.collect())
+    index = archive.index()
+    assert sorted((r.term, r.arxiv_id, tuple(r.positions)) for r in index.postings().collect()) == wanted
+    for query in ("deep networks", "vision", "brand new words"):
+        scanned = search.search(archive.papers.read(), query).collect()
+        found = index.search(query).collect()
+        assert [(r.arxiv_id, r["rank"]) for r in found] == [(r.arxiv_id, r["rank"]) for r in scanned]
+    held = {r.term: r.df for r in index.terms().collect()}
+    assert all(held[term] >= 1 for term, _, _ in wanted)
+
+
+def test_index_follows_upserts(spark, tmp_path):
+    archive = archive_of(spark, tmp_path / "archive", TEXTS)
+    assert archive.index() is None
+    archive.build_index()
+    same_index(archive)
+    # A changed paper, a new one, one that is changed again, one that loses all its terms.
+    upsert(spark, archive, (0, "brand new", "vision words"), (900, "deep networks", "of vision"))
+    same_index(archive)
+    before = set((tmp_path / "archive").glob("index-*/**/*.parquet"))
+    upsert(spark, archive, (0, "deep", "again"), (1, "?", ""))
+    assert before < set((tmp_path / "archive").glob("index-*/**/*.parquet"))
+    same_index(archive)
+    archive.compact_index()
+    assert archive.index()._changes() == []
+    same_index(archive)
+    exact = {r.term: r.df for r in archive.index().terms().collect()}
+    counted = archive.index().postings().groupBy("term").count().collect()
+    assert exact == {r.term: r["count"] for r in counted}
+    upsert(spark, archive, (2, "vision", "of vision"))
+    same_index(archive)
+
+
+def test_interrupted_index_change_is_not_seen(spark, tmp_path):
+    archive = archive_of(spark, tmp_path / "archive", TEXTS)
+    index = archive.build_index()
+    half = make_papers(spark, [("deep", "deep")])
+    search.place_postings(search.build_postings(half), f"{index.path}/changes/change=1", 4)
+    same_index(archive)
+    upsert(spark, archive, (1, "networks", "vision"))
+    assert index._changes() == [1]
+    same_index(archive)
+
+
+def test_answer_from_the_index(spark, tmp_path):
+    archive = archive_of(spark, tmp_path / "archive", TEXTS)
+    index, papers = archive.build_index(), archive.papers.read().select(*PAPERS.fieldNames())
+    scanned = answers.search_papers(papers, "deep networks", 3)
+    assert answers.search_papers(papers, "deep networks", 3, index=index).collect() == scanned.collect()
