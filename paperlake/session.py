@@ -60,6 +60,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop_path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, hadoop_path = _file_system(spark, path)
+    files.delete(hadoop_path, True)
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly under a folder; none when it does not exist."""
     files, hadoop_path = _file_system(spark, path)

@@ -1,10 +1,10 @@
 """The archive's tables: Parquet folders partitioned by the hash bucket of a key.
 
 All writes are Spark's own. New edges are appended. Other changes replace the touched buckets by
-dynamic partition overwrite: the merged rows are written to the shared folder first and noted as
-planned, then put in place, so a task or executor lost meanwhile costs a retry, and a driver lost
+dynamic partition overwrite: the merged rows are written next to the table first, as its planned
+rows, and then put in place, so a task or executor lost meanwhile costs a retry, and a driver lost
 while Spark moves the finished files costs nothing either: the next writer, or `create`, finds the
-plan and puts the rows in place again. Changes are functions of the stored rows and the batch, and
+planned rows and puts them in place again. Changes are functions of the stored rows and the batch, and
 repeating the last batch changes nothing. One writer at a time is expected.
 """
 
@@ -18,7 +18,7 @@ from paperlake.functions.vectors import checked_vector
 from paperlake.operators import merge
 from paperlake.operators.search import TERM_BUCKETS
 from paperlake.schemas import EMBEDDINGS, PAPERS, PUBLISHED_DAY, REFS, SIMILAR, SYNC_STATE
-from paperlake.session import counted_cut, cut, path_exists, scratch_path
+from paperlake.session import counted_cut, cut, path_exists, remove
 from paperlake.sources.index import Index
 
 
@@ -73,11 +73,10 @@ class Table:
     def write(self, rows: DataFrame, whole: bool = False) -> None:
         """Replace the buckets that `rows` has rows of, or the whole table, by `rows`."""
         self._recover()
-        staged = scratch_path(self.spark, "staged")
-        self._placed(rows).write.parquet(staged)
-        self._note(staged, whole)
-        self._replace(staged, whole)
-        self._note("", False)
+        kind = "whole" if whole else "buckets"
+        self._placed(rows).write.mode("overwrite").parquet(f"{self._planned}/{kind}")
+        self._replace(kind)
+        self._finish()
 
     def append(self, rows: DataFrame) -> int:
         """Add rows; gives their number, counted while they are written."""
@@ -102,22 +101,25 @@ class Table:
         writer = rows.write.partitionBy("bucket").mode(mode)
         writer.option("partitionOverwriteMode", overwrite).parquet(self.path)
 
-    def _replace(self, staged: str, whole: bool) -> None:
-        rows = self.spark.read.schema(self._stored).parquet(staged)
-        self._put(rows, "overwrite", "static" if whole else "dynamic")
+    @property
+    def _planned(self) -> str:
+        return f"{self.path}_planned"
+
+    def _replace(self, kind: str) -> None:
+        rows = self.spark.read.schema(self._stored).parquet(f"{self._planned}/{kind}")
+        self._put(rows, "overwrite", "static" if kind == "whole" else "dynamic")
 
-    def _note(self, staged: str, whole: bool) -> None:
-        plan = self.spark.createDataFrame([(staged, whole)], "staged string, whole boolean")
-        plan.coalesce(1).write.mode("overwrite").parquet(f"{self.path}_planned")
+    def _finish(self) -> None:
+        remove(self.spark, self._planned)
 
     def _recover(self) -> None:
-        """Put a planned change in place: once more, if it was already."""
-        if not path_exists(self.spark, f"{self.path}_planned/_SUCCESS"):
+        """Put planned rows in place: once more, if they were already."""
+        if not path_exists(self.spark, self._planned):
             return
-        plan = self.spark.read.parquet(f"{self.path}_planned").first()
-        if plan and plan.staged:
-            self._replace(plan.staged, plan.whole)
-            self._note("", False)
+        for kind in ("whole", "buckets"):
+            if path_exists(self.spark, f"{self._planned}/{kind}/_SUCCESS"):
+                self._replace(kind)
+        self._finish()
 
 
 def _numbered(name: str) -> tuple[str, int]:

@@ -197,30 +197,30 @@ def test_interrupted_change_is_finished(archive, spark, monkeypatch):
     def die(*_):
         raise RuntimeError("lost")
 
-    for name in ("_replace", "_note"):
+    def dies_in(name, title):
         with monkeypatch.context() as patch:
             patch.setattr(archive.papers, name, die)
             with pytest.raises(RuntimeError, match="lost"):
-                archive.upsert_papers(batch(spark, row("a", 0, "two")), NOW, "dead")
-        assert by_id(archive.papers.read())["a"].title == "one"
+                archive.upsert_papers(batch(spark, row("a", 0, title)), NOW, "dead")
         assert not archive._applied("dead")
-        # Planned but not in place: whoever opens the archive next finishes it.
-        archive.create()
-        planned = name == "_replace"
-        assert by_id(archive.papers.read())["a"].title == ("two" if planned else "one")
-        assert archive.papers.read().count() == 2
-        archive.upsert_papers(batch(spark, row("a", 0, "one")), NOW)
-    # The files of a bucket are gone, its new ones not there yet.
-    with monkeypatch.context() as patch:
-        patch.setattr(archive.papers, "_note", lambda staged, whole, note=archive.papers._note: (
-            note(staged, whole) if staged else die()
-        ))
-        with pytest.raises(RuntimeError, match="lost"):
-            archive.upsert_papers(batch(spark, row("a", 0, "three")), NOW, "dead")
-    for file in files(archive.papers):
+
+    # Planned but not in place: whoever opens the archive next finishes it.
+    dies_in("_replace", "two")
+    assert by_id(archive.papers.read())["a"].title == "one"
+    archive.create()
+    assert by_id(archive.papers.read())["a"].title == "two"
+    # The old files of the bucket are gone, its new ones not there yet.
+    others = files(archive.papers)
+    dies_in("_finish", "three")
+    for file in files(archive.papers) - others:
         Path(file).unlink()
     archive.create()
     assert by_id(archive.papers.read())["a"].title == "three"
+    assert archive.papers.read().count() == 2
+    # Nothing is planned any more: an append is not undone.
+    archive.papers.append(papers(spark, paper("new")))
+    archive.create()
+    assert archive.papers.read().count() == 3
 
 
 def test_batches_of_a_stream_are_applied_in_order(archive, spark):
