@@ -15,8 +15,8 @@ unless the triangle inequality rules them out, the coarse ones first. In high di
 out little; `nprobe` is the choice for large tables. Vectors that fit into one block are compared
 without cells.
 
-Nothing but the coarse centroids and counts by coarse cell (both in the order of the square root of
-the cells) comes to the driver.
+Only the training and probing samples, the coarse centroids and counts by coarse cell (all in the
+order of the square root of the cells, or bounded) come to the driver.
 """
 
 import numpy as np
