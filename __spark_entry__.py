@@ -38,7 +38,10 @@ from paperlake.streaming.harvest import mark_key, upsert_pages  # noqa: E402
 try:
     import corpus_pipeline
     from paperlake.llm import queries as llm_queries
-except ImportError:
+except ImportError as error:
+    # Only where the subpackage is not there; a missing library is an error.
+    if not (error.name or "").startswith(("corpus_pipeline", "paperlake.llm")):
+        raise
     corpus_pipeline = llm_queries = None
 
 PAPER = "2306.00005"

@@ -18,7 +18,7 @@ def archive_stats(
     papers: DataFrame, embeddings: DataFrame, refs: DataFrame, sync_state: DataFrame, as_of,
     separator: str = ",",
 ) -> DataFrame:
-    """All statistics as one row: a single pass over the papers, plus one count per other table."""
+    """All statistics as one row. Papers are read twice, for the counts and for the categories."""
     n_vectors = embeddings.agg(F.count("*")).scalar()
     n_refs = refs.agg(F.count("*")).scalar()
     n_categories = category_names(papers, separator).agg(F.count("*")).scalar()
