@@ -4,13 +4,14 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 number) are typed placeholders, other words are lower-cased, outer punctuation is dropped. Windows
 of `WINDOW` template tokens of documents and benchmark items are joined by hash. A document leaks
 an item when enough windows agree on one alignment and the slots are consistent: each number, name
-or unit of the item stands for one value of the document, and no two of them for the same one.
+or unit of the item stands for one value of the document (two may stand for the same one).
 Windows of the lower-cased words themselves are joined besides, and enough of them on one alignment
 are a leak whatever the slots. An item with fewer than enough windows of `LITERALS` plain words,
 short or full of slots, is compared by the template of the whole item: all its windows must agree.
+An item shorter than a window is one window of its own length, compared by its words.
 
-Defined cases: null and empty texts have no windows; items shorter than a window cannot be told
-from chance and are not searched; items with fewer than `LITERALS` plain words are found by their
+Defined cases: null and empty texts have no windows; items of less than `SHORTEST` words cannot be
+told from chance and are not searched; items with fewer than `LITERALS` plain words are found by their
 own words only; an item's first word, if capitalised, may be a name of the document;
 rows that repeat a `doc_id` count as one document; rows without `doc_id` are reported with a null
 id, and `clean` keeps them; repeated windows of one text count once per alignment; further columns
@@ -29,6 +30,8 @@ WINDOW = 8
 LITERALS = 4
 ENOUGH = 6
 """Windows on one alignment that make a leak (13 tokens in a row); or all of a shorter item's."""
+SHORTEST = 3
+"""Words of the shortest items that are searched."""
 MOST_KEYS = 1 << 20
 """Benchmark windows that are sent to all tasks (8 MB); more are joined by shuffling."""
 # Unit words.
@@ -103,11 +106,13 @@ def _stripped(data, starts, ends):
     return np.where(empty, starts, first), np.where(empty, starts, last)
 
 
-def _windows(keys=None, items=False):
+def _windows(keys=None, items=False, short=range(SHORTEST, WINDOW)):
     """Rows (id, text): the windows, with `keys` only those among them.
 
     A window's kind tells templates with enough plain words, other templates and the words
     themselves. Items have templates of the second kind only if they lack those of the first.
+    Kinds beyond `_WORDS` are windows of as many words more, of the lengths `short`; items have
+    one if that is their own length.
     """
 
     def run(batches):
@@ -120,7 +125,8 @@ def _windows(keys=None, items=False):
         plain = np.concatenate([[0], np.cumsum(~slots)])
         window = hashing.shingles(tokens, WINDOW)
         count = len(window)
-        row = np.repeat(np.arange(part.num_rows), np.diff(rows))[:count]
+        row_of = np.repeat(np.arange(part.num_rows), np.diff(rows))
+        row = row_of[:count]
         there = np.arange(count) + WINDOW <= rows[1:][row]
         enough = there & (plain[WINDOW:][:count] - plain[:count] >= LITERALS)
         comparable = np.bincount(row[enough], minlength=part.num_rows)
@@ -143,6 +149,14 @@ def _windows(keys=None, items=False):
         at = np.flatnonzero(there)
         words = hashing.mix(hashing.shingles(values, WINDOW) + _RAW)
         found.append((at, words[at], np.full(len(at), _WORDS), None))
+        for length in short:
+            words = hashing.mix(hashing.shingles(values, length) + _RAW + np.uint64(length))
+            owner = row_of[: len(words)]
+            inside = np.arange(len(words)) + length <= rows[1:][owner]
+            if items:
+                inside &= np.diff(rows)[owner] == length
+            at = np.flatnonzero(inside)
+            found.append((at, words[at], np.full(len(at), _WORDS + length), None))
         if keys is not None:
             found = [_among(keys, *group) for group in found]
         lists = [
@@ -151,12 +165,13 @@ def _windows(keys=None, items=False):
             for i in at.tolist()
         ]
         at, window, kind = (np.concatenate([group[i] for group in found]) for i in range(3))
+        owner = row_of[at]
         return pa.RecordBatch.from_arrays(
             [
-                part.column(0).take(pa.array(row[at])),
-                pa.array(at - rows[row[at]], pa.int64()),
-                pa.array(total[row[at]], pa.int64()),
-                pa.array(comparable[row[at]], pa.int64()),
+                part.column(0).take(pa.array(owner)),
+                pa.array(at - rows[owner], pa.int64()),
+                pa.array(np.maximum(total, 1)[owner], pa.int64()),
+                pa.array(comparable[owner], pa.int64()),
                 pa.array(kind, pa.int32()),
                 hashing.as_long(window),
                 hashing.long_lists(lists),
@@ -190,8 +205,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     keys = [row["hash"] for row in items.select("hash").distinct().limit(MOST_KEYS + 1).collect()]
     sifted = np.unique(np.array(keys, np.int64).view(np.uint64)) if len(keys) <= MOST_KEYS else None
+    kinds = items.where(F.col("kind") > _WORDS).select("kind").distinct().collect()
+    short = sorted(row["kind"] - _WORDS for row in kinds)
     texts = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _windows(sifted), _SHAPE
+        _windows(sifted, short=short), _SHAPE
     )
     found = texts.alias("d").join(items.alias("i"), F.col("d.hash") == F.col("i.hash"))
     aligned = (
@@ -202,8 +219,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         .agg(
             *(
-                F.collect_set(F.when(F.col("i.kind") == kind, F.col("i.place"))).alias(name)
-                for kind, name in ((_PLAIN, "plain"), (_SLOTTED, "slotted"), (_WORDS, "words"))
+                F.collect_set(F.when(kind, F.col("i.place"))).alias(name)
+                for kind, name in (
+                    (F.col("i.kind") == _PLAIN, "plain"),
+                    (F.col("i.kind") == _SLOTTED, "slotted"),
+                    (F.col("i.kind") >= _WORDS, "words"),
+                )
             ),
             F.max("i.windows").alias("windows"),
             F.max("i.comparable").alias("comparable"),
@@ -216,9 +237,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("slots", F.array_distinct(F.flatten("slots")))
     )
     number = F.size("slots")
-    consistent = (number == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))) & (
-        number == F.size(F.array_distinct(F.transform("slots", lambda s: s["doc"])))
-    )
+    consistent = number == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     enough = F.least(F.lit(ENOUGH), F.col("windows"))
     templated = F.array_union("plain", "slotted")
     alike = consistent & F.when(
