@@ -6,8 +6,8 @@ repeat counts are the non-negative least squares solution against the histogram,
 and what is left is packed greedily, largest length first. The plan gives each length ranges of
 ranks; a piece's rank among the pieces of its length then names its sequence and place.
 
-Only the histogram (and its shares by salt) comes to the driver; its size depends on the window
-alone. Defined cases: a null or empty text is its end token alone; pieces of repeated rows are
+Only the histogram comes to the driver, and its shares by salt, whose number grows with the square
+root of the pieces (some 25,000 numbers for ten thousand million full windows). Defined cases: a null or empty text is its end token alone; pieces of repeated rows are
 packed like any others; a null `doc_id` is kept; further columns are ignored; an empty table
 gives no rows.
 """
@@ -31,7 +31,8 @@ WINDOW = 2048
 END = 1
 GRID = 32
 """Combinations of three lengths have one that is a multiple of this."""
-SALTS = 64
+SALTED = 16
+"""A length of n pieces has sqrt(n / SALTED) salts, so groups and their number grow alike."""
 CACHE = 500_000
 """Words, and parts of words, whose token ids a worker keeps."""
 
@@ -286,7 +287,7 @@ def places(windows) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _placed(table, bases, names, ids):
+def _placed(table, first, bases, names, ids):
     order = table[:, 0] * (1 << 48) + table[:, 1] if len(table) else np.zeros(0, np.int64)
 
     def run(batches):
@@ -294,7 +295,7 @@ def _placed(table, bases, names, ids):
             length = batch.column(batch.schema.get_field_index("length")).to_numpy()
             salt = batch.column(batch.schema.get_field_index("salt")).to_numpy()
             rank = batch.column(batch.schema.get_field_index("rank")).to_numpy()
-            rank = rank - 1 + bases[length, salt]
+            rank = rank - 1 + bases[first[length] + salt]
             row = table[np.searchsorted(order, length * (1 << 48) + rank, "right") - 1]
             place = rank - row[:, 1]
             sequence = row[:, 2] + place // row[:, 3]
@@ -308,6 +309,15 @@ def _placed(table, bases, names, ids):
     return run
 
 
+def _salted(pieces: DataFrame, salts: np.ndarray) -> DataFrame:
+    """The pieces with a salt below their length's number of salts."""
+    numbers = pieces.sparkSession.createDataFrame(
+        list(enumerate(salts.tolist())), "length long, salts long"
+    )
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))
+    return pieces.join(F.broadcast(numbers), "length").withColumn("salt", salt).drop("salts")
+
+
 def pack(
     documents: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = False
 ) -> DataFrame:
@@ -315,25 +325,29 @@ def pack(
     with `with_ids` the token ids.
 
     `tokenizer` is the path of a tokenizer file that all executors can read. Texts are tokenized
-    once; the pieces are a written table. Pieces of one length, which copies share, are ranked by
-    salt and the salts' sizes are added, so no task gets all of them.
+    once; the pieces are a written table. Pieces of one length, which copies and full windows share,
+    are ranked by salt and the salts' sizes are added, so no task gets all of them.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shape = ", ".join(f"{name} long" for name in _PIECE_NAMES[:5])
     if with_ids:
         shape += ", ids array<int>"
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS))
-    pieces = cut(
-        rows.mapInArrow(_pieces(tokenizer, window, with_ids), shape).withColumn("salt", salt), "pieces"
-    )
-    sizes = np.zeros((window + 1, SALTS), np.int64)
-    for row in pieces.groupBy("length", "salt").count().collect():
-        sizes[row["length"], row["salt"]] = row["count"]
-    table = places(plan(sizes.sum(axis=1)))
-    bases = np.cumsum(sizes, axis=1) - sizes
+    pieces = cut(rows.mapInArrow(_pieces(tokenizer, window, with_ids), shape), "pieces")
+    histogram = np.zeros(window + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():
+        histogram[row["length"]] = row["count"]
+    salts = np.maximum(np.ceil(np.sqrt(histogram / SALTED)).astype(np.int64), 1)
+    salted = _salted(pieces, salts)
+    first = np.cumsum(salts) - salts
+    sizes = np.zeros(int(salts.sum()), np.int64)
+    for row in salted.groupBy("length", "salt").count().collect():
+        sizes[first[row["length"]] + row["salt"]] = row["count"]
+    bases = np.cumsum(sizes) - sizes
+    bases -= np.repeat(bases[first], salts)
+    table = places(plan(histogram))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(order).cast("long"))
+    ranked = salted.withColumn("rank", F.row_number().over(order).cast("long"))
     names = _PIECE_NAMES[: 6 if with_ids else 5]
     return ranked.mapInArrow(
-        _placed(table, bases, names, with_ids), shape + ", sequence_id long, offset long"
+        _placed(table, first, bases, names, with_ids), shape + ", sequence_id long, offset long"
     )
