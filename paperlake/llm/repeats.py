@@ -41,7 +41,8 @@ LETTER_BITS = 12
 SHARD_WINDOWS = 10_000
 """Passages a shard's automaton holds on average."""
 HOT = 5_000
-"""Occurrences of an anchor that one task reads; more are spread over several tasks."""
+"""Segments a shard reads on average, and occurrences of an anchor that one task reads; more are
+spread over several tasks. A family of copies has few passages but many segments."""
 
 
 def anchors(phrases: np.ndarray, span: int):
@@ -347,7 +348,7 @@ def _passages(segments: DataFrame) -> DataFrame:
 
 def _ranges(segments, passages, recurring, window, phrase):
     """(doc_id, text_id, begins, ends): word ranges covered by passages of smaller documents."""
-    shards = passages.count() // SHARD_WINDOWS + 1
+    shards = max(passages.count() // SHARD_WINDOWS, segments.count() // HOT) + 1
     hot = recurring.where(F.col("holders") > HOT).select(
         "anchor", F.ceil(F.col("holders") / HOT).alias("tasks")
     )
