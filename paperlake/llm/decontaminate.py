@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
+from . import hashing, lookup
 
 WINDOW = 8
 LITERALS = 4
@@ -259,5 +259,4 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that leak a benchmark item."""
-    leaking = leaks(documents, benchmark).select("doc_id").distinct()
-    return documents.join(leaking, "doc_id", "left_anti").select(*documents.columns)
+    return lookup.without(documents, leaks(documents, benchmark))

@@ -11,7 +11,7 @@ features never adds to a distance; sets with too little left get signatures of a
 
 Defined cases: a null or empty text (or one of white space) has an empty set and no links; a text
 of fewer words than the shingle size is one feature; rows that repeat a `doc_id` are one node of
-the link graph; rows without `doc_id` get a null component; further columns are ignored; an empty
+the link graph, but those without words keep their own id as component; `n_links` counts rows; rows without `doc_id` get a null component; further columns are ignored; an empty
 table gives no rows.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from paperlake.session import cut
 
-from . import hashing
+from . import hashing, lookup
 from .components import components
 
 BLOCK_FEATURES = 200_000
@@ -307,7 +307,7 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
     Documents are linked when their shingle sets have a Jaccard similarity of `percent` / 100 or
     more; `component_id` is the smallest `doc_id` reachable, `n_links` the number of other
-    documents linked directly. Equal sets are one class and take part once, by their smallest
+    rows linked directly. Equal sets are one class and take part once, by their smallest
     `doc_id`. Signatures name candidates by their bucket's smallest class; whatever the
     candidate graph connects is a cluster, and a cluster is verified in pairs of bounded blocks,
     so no bucket and no group of copies is expanded into pairs of rows.
@@ -344,7 +344,7 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     )
     clusters = cut(components(candidates), "clusters")
     found = cut(_verify(texts, classes, clusters, shingle, percent), "links")
-    labels = components(found.where("a <> b"))
+    labels = components(found.where("a <> b").select("a", "b").union(_repeated(usable, classes)))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classed = (
         classes.join(labels, classes["class_id"] == labels["node"], "left")
@@ -366,6 +366,20 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     return linked.select(columns).unionByName(alone)
 
 
+def _repeated(usable, classes):
+    """Links between the classes of each document that has rows of several sets."""
+    key = ["n_shingles", "high", "low"]
+    both = (
+        usable.groupBy("doc_id")
+        .agg(F.min(F.struct(*key)).alias("least"), F.max(F.struct(*key)).alias("most"))
+        .where("least <> most")
+        .select("doc_id")
+    )
+    nodes = usable.join(both, "doc_id").join(classes, key).select("doc_id", "class_id").distinct()
+    least = nodes.groupBy("doc_id").agg(F.min("class_id").alias("b"))
+    return nodes.join(least, "doc_id").where("class_id <> b").select(F.col("class_id").alias("a"), "b")
+
+
 def _without_copies(signed, usable, members):
     """The rows of the classes' smallest documents: few other ids go to all tasks, so that the
     signatures are not shuffled for this; with more of them both sides are."""
@@ -432,10 +446,5 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
     Rows that repeat a `doc_id` are one document: they stay or go together.
     """
-    dropped = (
-        links(documents, shingle, percent)
-        .where("doc_id <> component_id")
-        .select("doc_id")
-        .distinct()
-    )
-    return documents.join(dropped, "doc_id", "left_anti")
+    linked = links(documents, shingle, percent)
+    return lookup.without(documents, linked.where("doc_id <> component_id"))

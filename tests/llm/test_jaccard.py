@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from fixtures import documents, edited, empty, frame, sentence, words
 
-from paperlake.llm import jaccard
+from paperlake.llm import jaccard, lookup
 
 
 def shingles(text, size):
@@ -85,6 +85,22 @@ def test_odd_rows(spark):
     assert jaccard.links(empty(spark)).count() == 0
 
 
+def test_repeated_ids_are_one_node(spark):
+    a, b, c, d = (sentence(random.Random(i), 30) for i in range(4))
+    rows = [(2, a), (3, b), (5, a), (5, b), (6, c), (7, d), (7, d), (7, c), (8, d), (9, None), (9, c)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.links(frame(spark, rows)).collect()}
+    assert got == {(2, 2), (3, 2), (5, 2), (6, 6), (7, 6), (8, 6), (9, 9), (9, 6)}
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_dropped_ids_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "MOST_IDS", most)
+    table = frame(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "d")])
+    kept = lookup.without(table, spark.createDataFrame([(2,), (2,), (None,)], "doc_id long"))
+    assert kept.columns == table.columns
+    assert sorted(r.text for r in kept.collect()) == ["a", "d"]
+
+
 def test_keep_one(spark):
     rows = documents()
     kept = jaccard.keep_one(frame(spark, rows))
