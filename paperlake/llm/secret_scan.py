@@ -14,9 +14,13 @@ empty table gives no rows; equal starts are in the order of the kinds.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.session import cut
+
 SCOPE = 300
 """Characters between the starts of linked parts."""
 MASK = "<secret>"
+MOST_SPANS = 1_000_000
+"""Masks whose places are sent to all tasks (some 16 MB); with more the texts are shuffled."""
 
 # The patterns, with the least length of a match or of its second group.
 _ASSIGN = (
@@ -151,7 +155,7 @@ def _with_spans(rows: DataFrame, documents: DataFrame, scope: int) -> DataFrame:
 def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    The text is read once; only matches are shuffled.
+    The texts are read twice, for their rows and for their matches; only matches are shuffled.
     """
     rows = _with_spans(_keyed(documents).drop("text"), documents, scope)
     found = F.coalesce("spans", F.array().cast("array<struct<start:long,kind:int,end:long>>"))
@@ -170,42 +174,51 @@ def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+def _gaps(documents: DataFrame, scope: int) -> DataFrame:
+    """Per text with spans (`__id`, `__text`): the ranges between its masks (`__gaps`, the first
+    one before the first mask) and the end of the last mask (`__tail`)."""
+    earlier = (
+        Window.partitionBy("doc_id", "text_id")
+        .orderBy("start", "end")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    opening = F.col("before").isNull() | (F.col("start") > F.col("before"))
+    gap = F.struct(F.coalesce("before", F.lit(0)).alias("begin"), F.col("start").alias("end"))
+    return (
+        spans(documents, scope)
+        .withColumn("before", F.max("end").over(earlier))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"))
+        .agg(
+            F.array_sort(F.collect_list(F.when(opening, gap))).alias("__gaps"),
+            F.max("end").alias("__tail"),
+        )
+    )
+
+
 def redact(documents: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """The documents with every reported span replaced by `mask`, and `n_chars` to match.
 
-    Spans that overlap or touch are replaced together. All rows and columns stay.
+    Spans that overlap or touch are replaced together. All rows and columns stay; a null text
+    stays null. The texts stay where they are if at most `MOST_SPANS` masks are to be set, else
+    they are shuffled to meet theirs.
     """
     columns = documents.columns
-    hidden = F.aggregate(
-        "__found",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda done, x: F.struct(
-            F.greatest(done["at"], x["end"]).alias("at"),
-            F.when(
-                (x["start"] > done["at"]) | ((x["start"] == 0) & (done["at"] == 0)),
-                F.concat(
-                    done["out"],
-                    F.substring(F.col("text"), done["at"].cast("int") + 1, (x["start"] - done["at"]).cast("int")),
-                    F.lit(mask),
-                ),
-            )
-            .otherwise(done["out"])
-            .alias("out"),
-        ),
-        lambda done: F.concat(
-            done["out"], F.substring(F.col("text"), done["at"].cast("int") + 1, F.length("text"))
-        ),
-    )
-    found = _by_text(documents, scope).select(
-        F.col("found_id").alias("__id"), F.col("found_text").alias("__text"), F.col("spans").alias("__found")
-    )
+    found = cut(_gaps(documents, scope), "masks")
+    if (found.agg(F.sum(F.size("__gaps") + 1)).first()[0] or 0) <= MOST_SPANS:
+        found = F.broadcast(found)
     joined = documents.join(
         found,
         documents["doc_id"].eqNullSafe(F.col("__id"))
         & (F.xxhash64(documents["text"]) == F.col("__text")),
         "left",
     )
-    text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(hidden)
+
+    def part(begin, length):
+        return F.substring(F.col("text"), begin.cast("int") + 1, length.cast("int"))
+
+    between = F.transform("__gaps", lambda gap: part(gap["begin"], gap["end"] - gap["begin"]))
+    hidden = F.concat(F.array_join(between, mask), F.lit(mask), part(F.col("__tail"), F.length("text")))
+    text = F.when(F.col("__gaps").isNull(), F.col("text")).otherwise(hidden)
     changed = joined.withColumn("text", text).select(*columns)
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
