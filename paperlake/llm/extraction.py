@@ -4,8 +4,12 @@ The DOMs of a host's pages are merged: nodes with the same path of tags and clas
 node. Its presentation (the sequences of its children) and its content are spread over the host's
 distinct pages with some entropy; a node of low entropy in both looks alike everywhere and is of
 low importance. Each page's text is that of its outermost articles (or of its body if it has
-none) without branches that are menus, headers, footers, asides, forms, adverts, notices or
-comments by tag or class, and without branches of low importance.
+none) without branches of low importance (in an article not its headings, and no words inside a
+block but spans), and without menus, headers, footers, asides, forms, adverts and comments. These are known by tag, or by a class or id: within
+an article by words that no part of an article bears (`FOREIGN`). The other words name articles'
+own sections, too; they only tell that a generic branch without paragraphs, headings or tables is
+foreign, and of the rest the importance decides. Where an article as a whole is of low importance
+(its host's pages repeat it) importance tells nothing about its parts, and they stay.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined
 by line feeds. Defined cases: a null or empty page has an empty text; a null URL or one without
@@ -46,16 +50,20 @@ DROPPED = set(
     "nav header footer aside form script style noscript template iframe svg button select dialog "
     "head title textarea object menu".split()
 )
-DROPPED_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
-    "cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer header masthead comment comments reply replies discussion disqus share "
-    "sharing social related recommended newsletter subscribe subscription popup modal widget "
-    "search login signup pagination pager toolbar".split()
+FOREIGN = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent "
+    "gdpr sidebar navbar nav navigation breadcrumb breadcrumbs comments replies disqus newsletter "
+    "subscribe popup modal pagination pager toolbar".split()
+)
+DROPPED_WORDS = FOREIGN | set(
+    "promotion banner notice alert menu footer header masthead comment reply discussion share "
+    "sharing social related recommended subscription widget search login signup".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-GENERIC = {"div", "section", "details", "span"}
-"""Inside an article only these tags can be of low importance."""
+GENERIC = {"div", "span", "ul", "ol", "dl"}
+"""Tags that say nothing of what they hold."""
+CONTENT = HEADINGS | set("p table pre blockquote figure section article".split())
+"""Tags of an article's own parts."""
 # A start tag of the key closes an open one of these tags, not beyond the boundary.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -134,12 +142,16 @@ class Page(HTMLParser):
     def handle_data(self, data):
         self.events.append((self.stack[-1], data))
 
-    def named(self, node: int) -> bool:
-        """Whether the node's tag, class or id tells that it is not part of an article."""
+    def named(self, node: int, bare: bool, content: list[bool]) -> bool:
+        """Whether the node's tag, class or id tells that it is not part of an article; `bare`
+        if the page has none, `content` tells which nodes hold an article's own parts."""
         tag = self.tags[node]
         if tag in DROPPED:
             return True
-        return tag not in _UNNAMED and not self.words[node].isdisjoint(DROPPED_WORDS)
+        if tag in _UNNAMED:
+            return False
+        decisive = bare or (tag in GENERIC and not content[node])
+        return not self.words[node].isdisjoint(DROPPED_WORDS if decisive else FOREIGN)
 
     def kept(self, low=frozenset()) -> list[bool]:
         """Which nodes' own texts belong to the article; `low` has paths of low importance."""
@@ -155,27 +167,28 @@ class Page(HTMLParser):
         if any(root[n] and self.tags[n] == "article" for n in range(count)):
             root = [r and self.tags[n] == "article" for n, r in enumerate(root)]
         bare = not any(root)
+        content = [tag in CONTENT for tag in self.tags]
+        for node in range(count - 1, 0, -1):
+            content[self.parents[node]] |= content[node]
         inside = [bare] + [False] * (count - 1)
+        telling = [True] * count
         dropped = [False] * count
-        heading = [False] * count
         for node in range(1, count):
             parent, tag = self.parents[node], self.tags[node]
             if root[node] and not inside[parent]:
                 inside[node] = True
+                telling[node] = self.paths[node] not in low
                 continue
-            inside[node] = inside[parent]
+            inside[node], telling[node] = inside[parent], telling[parent]
             if not inside[node]:
                 continue
-            heading[node] = heading[parent] or tag in HEADINGS
             again = not bare and tag in _ROOTS
-            alike = self.paths[node] in low and (
-                tag in GENERIC or (bare and tag not in _UNNAMED)
-            )
-            dropped[node] = dropped[parent] or again or alike or self.named(node)
+            branch = bare or tag == "span" or (tag in BLOCKS and tag not in HEADINGS)
+            alike = branch and tag not in _UNNAMED and telling[node] and self.paths[node] in low
+            dropped[node] = dropped[parent] or again or alike or self.named(node, bare, content)
             if tag in HEADINGS and self.tags[parent] == "header" and not bare:
                 # The headings of an article's own header are part of it.
-                above = self.parents[parent]
-                dropped[node] = dropped[above] or self.named(node) and tag not in HEADINGS
+                dropped[node] = dropped[self.parents[parent]]
         return [i and not d for i, d in zip(inside, dropped, strict=True)]
 
     def text(self, low=frozenset()) -> str:

@@ -1,3 +1,8 @@
+import math
+import random
+from collections import Counter
+
+import pytest
 from fixtures import empty
 
 from paperlake.llm.extraction import Page, extract, importance
@@ -16,6 +21,17 @@ def test_article_of_a_page():
     assert Page(PAGE).text() == "Tit & le\nOne two three\nFour\ntail text\nFive six\nL1\nL2\nx\ny"
 
 
+def test_words_that_name_parts_of_articles_do_not_decide():
+    html = (
+        '<article><h1>T</h1><p>a</p><h2 id="related-work">Related work</h2><p>b</p>'
+        '<section id="discussion"><p>c</p></section><p class="notice">d</p>'
+        '<figure id="share-price">e</figure><div class="social"><a>x</a></div>'
+        '<div class="related"><p>f</p></div><p class="ad">no</p><section class="comments"><p>no</p></section>'
+    )
+    assert Page(html).text() == "T\na\nRelated work\nb\nc\nd\ne\nf"
+    assert Page('<div class="notice"><p>no</p></div><p>yes').text() == "yes"
+
+
 def test_odd_markup():
     assert Page("").text() == ""
     assert Page("<p>a<p>b &am &amp c &#233;&#x41;").text() == "a\nb &am & c éA"
@@ -49,6 +65,47 @@ def test_branches_alike_on_all_pages_are_removed(spark):
     assert got[53] == got[0]
 
 
+def entropy(values):
+    counts = Counter(values).values()
+    return -sum(n / len(values) * math.log(n / len(values)) for n in counts) / math.log(len(values))
+
+
+def article(i, rng):
+    """A page whose article has a license table, a notice and a list alike on all pages."""
+    paragraphs = "".join(f"<p>text {rng.randrange(10**6)}</p>" for _ in range(rng.randrange(1, 4)))
+    return (
+        f"<body><article><h1>title {i}</h1><h2>Summary</h2>{paragraphs}"
+        '<table class="licence"><tr><td>Free to read</td></tr></table>'
+        '<p class="notice">We keep records</p><ul class="rights"><li>All rights</li></ul>'
+        f'<p class="share">own {i}</p></article><footer>f</footer></body>'
+    )
+
+
+def test_importance_matches_a_tree_in_memory(spark):
+    rng = random.Random(3)
+    htmls = [article(i, rng) for i in range(15)]
+    table = spark.createDataFrame([("h", html) for html in htmls * 2], "host string, html string")
+    got = {r.path & (2**64 - 1): r.importance for r in importance(table).collect()}
+    merged = {}
+    for html in htmls:
+        for path, (style, content) in Page(html).styles().items():
+            merged.setdefault(path, []).append((style, content))
+    assert got.keys() == merged.keys()
+    for path, both in merged.items():
+        style, content = (entropy(x) for x in zip(*both, strict=True))
+        assert got[path] == pytest.approx(0.3 * style + 0.7 * content, abs=1e-9)
+
+
+def test_unimportant_branches_of_any_tag_in_an_article_go(spark):
+    rng = random.Random(4)
+    pages = [(i, f"http://a.example/{i}", article(i, rng), "", "") for i in range(15)]
+    for r in extract(spark.createDataFrame(pages, COLUMNS)).collect():
+        lines = r.text.split("\n")
+        assert lines[:2] == [f"title {r.page_id}", "Summary"]
+        assert lines[-1] == f"own {r.page_id}"
+        assert all(line.startswith("text ") for line in lines[2:-1]) and len(lines) > 3
+
+
 def test_copies_of_a_page_count_once(spark):
     table = spark.createDataFrame(
         [("h", "<article><div>copy</div><p>x</p></article>")] * 30 + [(None, None)], "host string, html string"
