@@ -3,13 +3,14 @@
 The DOMs of a host's pages are merged: nodes with the same path of tags and classes are one style
 node. Its presentation (the sequences of its children) and its content are spread over the host's
 distinct pages with some entropy; a node of low entropy in both looks alike everywhere and is of
-low importance. Each page's text is that of its outermost articles (or of its body if it has
-none) without branches of low importance (in an article not its headings, and no words inside a
-block but spans), and without menus, headers, footers, asides, forms, adverts and comments. These are known by tag, or by a class or id: within
-an article by words that no part of an article bears (`FOREIGN`). The other words name articles'
-own sections, too; they only tell that a generic branch without paragraphs, headings or tables is
-foreign, and of the rest the importance decides. Where an article as a whole is of low importance
-(its host's pages repeat it) importance tells nothing about its parts, and they stay.
+low importance. Each page's text is that of its outermost articles (or of its body if it has none)
+without branches of low importance (in an article not its headings, and no words inside a block
+but spans), and without menus, headers, footers, asides, forms, adverts and comments. These are
+known by tag, or by a class or id: within an article by words that no part of an article bears
+(`FOREIGN`). The other words name articles' own sections, too; they only tell that a generic branch
+without paragraphs, headings or tables is foreign, and of the rest the importance decides. Where
+an article as a whole is of low importance (its host's pages repeat it) importance tells nothing
+about its parts, and they stay.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined
 by line feeds. Defined cases: a null or empty page has an empty text; a null URL or one without
