@@ -20,8 +20,10 @@ from paperlake.session import cut
 SAMPLE = 64
 """Training rows for each centroid."""
 ROUNDS = 10
-TASK_BYTES = 64 << 20
+TASK_BYTES = 16 << 20
 """Bytes of vectors that one task holds at a time."""
+PLACED_ROWS = 4096
+"""Vectors compared with the fine centroids at a time."""
 
 # Slack for comparing angles computed in floating point.
 ANGLE_SLACK = 1e-6
@@ -174,7 +176,11 @@ def build(vectors: DataFrame, count: int, cells: int, seed: int = 7) -> Cells:
         )
 
     def placed_only(left, right):
-        return place(left, right) if left.num_rows else _no_rows(left.schema)
+        pieces = [
+            place(left.slice(start, PLACED_ROWS), right)
+            for start in range(0, left.num_rows, PLACED_ROWS)
+        ]
+        return pa.concat_tables(pieces) if pieces else _no_rows(left.schema)
 
     schema = "rep string, embedding array<float>, coarse int, fine int, angle double"
     copies = copies.withColumnsRenamed({"coarse": "their_coarse", "part": "their_part"})

@@ -21,6 +21,7 @@ order of the square root of the cells, or bounded) come to the driver.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,13 @@ from paperlake.session import cut
 
 MAX_BLOCK = 4096
 
-# Queries compared with one block at a time.
-QUERY_ROWS = 1024
+# Queries and rows compared at a time, and pairs of them compared exactly at a time.
+QUERY_ROWS = 512
+PIECE_ROWS = 2048
+EXACT_ROWS = 1 << 16
+
+# Rows of queries handed on at a time, with their vectors.
+SENT_ROWS = 4096
 
 # Sampled queries that tell how many cells to search.
 PROBED = 256
@@ -68,50 +74,163 @@ def _best(query, ids, scores, k: int):
     return query[kept], ids[kept], scores[kept]
 
 
-def _block_hits(queries: np.ndarray, rows: np.ndarray, k: int):
-    """(query, row, score) of a block's `k` best rows per query; rows are in id order."""
-    scores = np.round(queries @ rows.T, knn.DIGITS)
-    lowest = -np.inf
-    if scores.shape[1] > k:
-        lowest = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
-    query, row = np.nonzero(scores >= lowest)
-    return _best(query, row, scores[query, row], k)
+class _Best:
+    """The `k` best hits so far of some queries: their scores, and their rows' places in id order."""
+
+    def __init__(self, lowest: np.ndarray, k: int):
+        self.k, self.lowest = k, lowest
+        self.scores = np.full((len(lowest), k), -np.inf)
+        self.places = np.zeros((len(lowest), k), np.int64)
+
+    def add(self, query: np.ndarray, scores: np.ndarray, places: np.ndarray) -> None:
+        seen = np.unique(query)
+        old = self.scores[seen].ravel()
+        there = np.isfinite(old)
+        query = np.concatenate((np.repeat(seen, self.k)[there], query))
+        scores = np.concatenate((old[there], scores))
+        places = np.concatenate((self.places[seen].ravel()[there], places))
+        query, places, scores = _best(query, places, scores, self.k)
+        at = np.arange(len(query)) - np.searchsorted(query, query)
+        self.scores[seen] = -np.inf
+        self.scores[query, at], self.places[query, at] = scores, places
+        self.lowest[seen] = np.maximum(self.lowest[seen], self.scores[seen, -1])
+
+    def hits(self):
+        """(query, place, score), best first."""
+        query, at = np.nonzero(np.isfinite(self.scores))
+        return query, self.places[query, at], self.scores[query, at]
+
+
+class _Rows:
+    """A group's vectors, cell by cell, in pieces of at most `max_block` rows."""
+
+    def __init__(self, table: pa.Table, max_block: int):
+        table = table.sort_by([("fine", "ascending"), ("other", "ascending")])
+        self.names = table["other"].combine_chunks()
+        self.place = np.empty(table.num_rows, np.int64)
+        self.by_place = pc.sort_indices(self.names)
+        self.place[self.by_place.to_numpy()] = np.arange(table.num_rows)
+        self.units = knn.unit_rows(knn.matrix(table["vector"].combine_chunks()))
+        self.rough = self.units.astype(np.float32)
+        # Products of single precision are off by less than half of this, the rounding included.
+        self.slack = 1.2e-7 * (self.units.shape[1] + 4)
+        self.cells, starts = np.unique(table["fine"].to_numpy(), return_index=True)
+        self.starts = np.append(starts, table.num_rows)
+        # Runs of whole small cells, and pieces of large ones: (first row, last, first cell, last).
+        self.pieces = []
+        most, cell = min(max_block, PIECE_ROWS), 0
+        while cell < len(self.cells):
+            first = self.starts[cell]
+            last = np.searchsorted(self.starts, first + PIECE_ROWS, "right") - 1
+            last = min(max(last, cell + 1), len(self.cells))
+            if last == cell + 1:
+                for start in range(first, self.starts[last], most):
+                    end = min(start + most, self.starts[last])
+                    self.pieces.append((start, end, cell, last))
+            else:
+                self.pieces.append((first, self.starts[last], cell, last))
+            cell = last
+
+    def listed(self, lists: pa.Array) -> np.ndarray:
+        """Which cells the queries' lists name."""
+        visited = lists.flatten().to_numpy(zero_copy_only=False)
+        visitor = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        cell = np.minimum(np.searchsorted(self.cells, visited), len(self.cells) - 1)
+        here = self.cells[cell] == visited
+        visit = np.zeros((len(lists), len(self.cells)), bool)
+        visit[visitor[here], cell[here]] = True
+        return visit
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """A direction for each cell, and the largest angle of its vectors here with it."""
+        sums = np.add.reduceat(self.units, self.starts[:-1], axis=0)
+        flat = np.linalg.norm(sums, axis=1) == 0
+        sums[flat] = self.units[self.starts[:-1][flat]]
+        centres = knn.unit_rows(sums)
+        cosines = np.empty(len(self.units))
+        for cell, (first, last) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+            cosines[first:last] = self.units[first:last] @ centres[cell]
+        angles = np.arccos(np.clip(cosines, -1, 1))
+        return centres, np.maximum.reduceat(angles, self.starts[:-1])
+
+    def search(self, queries: np.ndarray, visit: np.ndarray, best: _Best) -> None:
+        """Puts the rows of the visited cells into `best`."""
+        sizes = np.diff(self.starts)
+        for first, last, cell, end in self.pieces:
+            some = visit[:, cell:end]
+            who = np.flatnonzero(some.any(axis=1))
+            rows = slice(first, last)
+            if end == cell + 1:
+                self._compare(queries, who, rows, None, best)
+            elif 4 * (some[who] @ sizes[cell:end]).sum() >= len(who) * (last - first):
+                shown = np.repeat(some[who], sizes[cell:end], axis=1)
+                self._compare(queries, who, rows, shown, best)
+            else:
+                for c in range(cell, end):
+                    rows = slice(self.starts[c], self.starts[c + 1])
+                    self._compare(queries, np.flatnonzero(visit[:, c]), rows, None, best)
+
+    def _compare(self, queries, who, rows: slice, shown, best: _Best) -> None:
+        """Rows that single precision does not rule out are compared exactly."""
+        if not len(who):
+            return
+        scores = queries[who].astype(np.float32) @ self.rough[rows].T
+        if shown is not None:
+            scores[~shown] = -np.inf
+        least = best.lowest[who]
+        if scores.shape[1] > best.k and np.isneginf(least).any():
+            place = scores.shape[1] - best.k
+            least = np.maximum(least, np.partition(scores, place, axis=1)[:, place])
+        query, row = np.nonzero((scores >= least[:, None] - self.slack) & (scores > -np.inf))
+        for start in range(0, len(query), EXACT_ROWS):
+            asking = who[query[start : start + EXACT_ROWS]]
+            found = rows.start + row[start : start + EXACT_ROWS]
+            exact = np.einsum("ij,ij->i", queries[asking], self.units[found])
+            best.add(asking, np.round(exact, knn.DIGITS), self.place[found])
 
 
 def _compared(k: int, max_block: int):
-    """Compares the queries of a group (rep, embedding, fines) with its vectors, cell by cell."""
+    """Compares the queries of a group with its vectors, cell by cell.
+
+    Queries (rep, embedding, fines, floor) name the cells they search; without `fines` they search
+    all that can hold a similarity not below `floor`. Each query keeps its `k` best rows while the
+    cells pass, so that a task holds one set of hits, however many cells there are.
+    """
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _HIT_SCHEMA.empty_table()
-        order = np.lexsort((np.array(right["other"].to_pylist()), right["fine"].to_numpy()))
-        right = right.take(pa.array(order)).combine_chunks()
-        queries = knn.unit_rows(knn.matrix(left["embedding"].combine_chunks()))
-        rows = knn.matrix(right["vector"].combine_chunks())
-        fine = right["fine"].to_numpy()
-        lists = left["fines"].combine_chunks()
-        visited = lists.flatten().to_numpy(zero_copy_only=False)
-        visitor = np.repeat(np.arange(left.num_rows), lists.value_lengths().to_numpy())
+        rows = _Rows(right, max_block)
+        bounds = None
         found = []
-        for cell in np.unique(fine).tolist():
-            first, last = np.searchsorted(fine, [cell, cell + 1])
-            asking = visitor[visited == cell]
-            for start in range(first, last, max_block):
-                some = knn.unit_rows(rows[start : min(start + max_block, last)])
-                for at in range(0, len(asking), QUERY_ROWS):
-                    who = asking[at : at + QUERY_ROWS]
-                    query, row, score = _block_hits(queries[who], some, k)
-                    found.append((who[query], row + start, score))
-        if not found:
-            return _HIT_SCHEMA.empty_table()
-        query, row, score = map(np.concatenate, zip(*found, strict=True))
-        # Rows of different cells are not in id order: their ids decide ties.
-        ids = np.array(right["other"].to_pylist(), object)[row]
-        query, ids, score = _best(query, ids.astype(str), score, k)
-        return pa.table(
-            [left["rep"].take(pa.array(query)), pa.array(ids.tolist(), pa.string()), pa.array(score)],
-            schema=_HIT_SCHEMA,
-        )
+        for start in range(0, left.num_rows, QUERY_ROWS):
+            some = left.slice(start, QUERY_ROWS)
+            queries = knn.unit_rows(knn.matrix(some["embedding"].combine_chunks()))
+            lists = some["fines"].combine_chunks()
+            floor = some["floor"].fill_null(-1.0).to_numpy()
+            if lists.null_count:
+                bounds = bounds or rows.bounds()
+                angles = np.arccos(np.clip(queries @ bounds[0].T, -1, 1))
+                reach = np.arccos(np.clip(floor, -1, 1)) + 2 * cells.ANGLE_SLACK
+                visit = angles - bounds[1] <= reach[:, None]
+            else:
+                visit = rows.listed(lists)
+            # A floor was rounded, and is lowered by that.
+            lowest = np.where(floor > -1, floor - 2 * 10.0**-knn.DIGITS, -np.inf)
+            best = _Best(lowest, k)
+            rows.search(queries, visit, best)
+            query, place, score = best.hits()
+            found.append(
+                pa.table(
+                    [
+                        some["rep"].take(pa.array(query)),
+                        rows.names.take(rows.by_place.take(pa.array(place))),
+                        pa.array(score),
+                    ],
+                    schema=_HIT_SCHEMA,
+                )
+            )
+        return pa.concat_tables(found)
 
     return compare
 
@@ -147,74 +266,99 @@ def _grouped(found: cells.Cells, max_block: int) -> tuple[DataFrame, DataFrame]:
     return rows, targets
 
 
-def _to_coarse(queries: DataFrame, found: cells.Cells, nprobe) -> DataFrame:
-    """(rep, coarse): the coarse cells in which a query's fine cells are looked for."""
+def _to_coarse(queries: DataFrame, found: cells.Cells, first: int) -> DataFrame:
+    """(rep, embedding, coarse): the `first` nearest coarse cells of each query."""
     centroids, radius = found.centroids, found.radius
 
-    def route(batches):
+    def visits(rows, batch):
+        angles = np.arccos(np.clip(rows @ centroids.T, -1, 1))
+        angles[:, radius < 0] = np.inf
+        ranked = np.argsort(angles, axis=1, kind="stable")
+        visit = np.zeros(angles.shape, bool)
+        np.put_along_axis(visit, ranked[:, :first], True, axis=1)
+        return visit & np.isfinite(angles)
+
+    return _sent(queries, visits, ["rep", "embedding"])
+
+
+def _within_reach(queries: DataFrame, found: cells.Cells) -> DataFrame:
+    """(rep, embedding, floor, coarse): the coarse cells that can hold a similarity not below a
+    query's `floor`."""
+    centroids, radius = found.centroids, found.radius
+
+    def visits(rows, batch):
+        floor = batch.column("floor").fill_null(-1.0).to_numpy(zero_copy_only=False)
+        reach = np.arccos(np.clip(floor, -1, 1)) + 2 * cells.ANGLE_SLACK
+        angles = np.arccos(np.clip(rows @ centroids.T, -1, 1))
+        return (angles - radius <= reach[:, None]) & (radius >= 0)
+
+    return _sent(queries, visits, ["rep", "embedding", "floor"])
+
+
+def _sent(queries: DataFrame, visits, names: list[str]) -> DataFrame:
+    """A row for each query and coarse cell that `visits` gives it."""
+
+    def send(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, QUERY_ROWS):
                 some = batch.slice(start, QUERY_ROWS)
                 rows = knn.unit_rows(knn.matrix(some.column("embedding")))
-                angles = np.arccos(np.clip(rows @ centroids.T, -1, 1))
-                angles[:, radius < 0] = np.inf
-                if nprobe is None:
-                    reach = some.column("reach").to_numpy(zero_copy_only=False)
-                    visit = angles - radius <= reach[:, None] + cells.ANGLE_SLACK
-                else:
-                    ranked = np.argsort(angles, axis=1, kind="stable")
-                    visit = np.zeros(angles.shape, bool)
-                    np.put_along_axis(visit, ranked[:, : nprobe[0]], True, axis=1)
-                    visit &= np.isfinite(angles)
-                who, cell = np.nonzero(visit)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("rep").take(pa.array(who)), pa.array(cell.astype(np.int32))],
-                    names=["rep", "coarse"],
-                )
+                who, cell = np.nonzero(visits(rows, some))
+                for at in range(0, len(who), SENT_ROWS):
+                    part = pa.array(who[at : at + SENT_ROWS])
+                    columns = [some.column(name).take(part) for name in names]
+                    coarse = pa.array(cell[at : at + SENT_ROWS].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*columns, coarse], names=[*names, "coarse"])
 
-    return queries.mapInArrow(route, "rep string, coarse int")
+    types = {"rep": "string", "embedding": "array<float>", "floor": "double"}
+    shape = ", ".join(f"{name} {types[name]}" for name in names)
+    return queries.select(names).mapInArrow(send, f"{shape}, coarse int")
 
 
-def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe) -> DataFrame:
-    """(rep, coarse, group, fines): the cells to be searched for each query.
+def _by_coarse(rows: DataFrame, found: cells.Cells, value) -> np.ndarray:
+    """An aggregate for each coarse cell, at least one."""
+    values = np.ones(len(found.centroids))
+    for row in rows.groupBy("coarse").agg(value.alias("value")).collect():
+        values[row.coarse] = max(row.value, 1)
+    return values
 
-    With `nprobe` (coarse cells, fine cells) the nearest ones; else those within `reach`, but for
-    the cell `seen`.
-    """
-    to_coarse = cut(_to_coarse(queries, found, nprobe), "to-coarse")
-    visits = np.zeros(len(found.centroids))
-    for row in to_coarse.groupBy("coarse").count().collect():
-        visits[row.coarse] = row["count"]
-    parts = np.maximum(np.ceil(visits / cells.rows_per_task(found.dim)), 1)
-    number = cells.by_cell(parts).cast("int")
-    left = to_coarse.join(queries, "rep").withColumn("part", cells.share("rep", number))
+
+def _parts(sent: DataFrame, found: cells.Cells):
+    """In how many parts the queries sent to a coarse cell are compared there."""
+    visits = _by_coarse(sent, found, F.count("*"))
+    return cells.by_cell(np.ceil(visits / cells.rows_per_task(found.dim))).cast("int")
+
+
+def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe) -> DataFrame:
+    """(rep, coarse, group, fines): the cells to be searched for each query, the nearest ones by
+    `nprobe` (coarse cells, fine cells)."""
+    sent = _to_coarse(queries, found, nprobe[0])
+    number = _parts(sent, found)
+    left = sent.withColumn("part", cells.share("rep", number))
     right = targets.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
     schema = pa.schema(
         [("rep", pa.string()), ("coarse", pa.int32()), ("fine", pa.int32()), ("angle", pa.float64())]
     )
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        angles, right = cells._fine_angles(left, right)
-        fine = right["fine"].to_numpy()
-        if nprobe is None:
-            reach = left["reach"].to_numpy()[:, None] + cells.ANGLE_SLACK
-            visit = angles - right["radius"].to_numpy() <= reach
-            same = left["seen_coarse"].to_numpy() == left["coarse"].to_numpy()
-            visit &= ~(same[:, None] & (left["seen_fine"].to_numpy()[:, None] == fine))
-        else:
+        chosen = [schema.empty_table()]
+        for start in range(0, left.num_rows if right.num_rows else 0, QUERY_ROWS):
+            some = left.slice(start, QUERY_ROWS)
+            angles, sorted_right = cells._fine_angles(some, right)
+            fine = sorted_right["fine"].to_numpy()
             ranked = np.argsort(angles, axis=1, kind="stable")[:, : nprobe[1]]
-            visit = np.zeros(angles.shape, bool)
-            np.put_along_axis(visit, ranked, True, axis=1)
-        who, cell = np.nonzero(visit)
-        return pa.table(
-            [
-                left["rep"].take(pa.array(who)), left["coarse"].take(pa.array(who)),
-                pa.array(fine[cell].astype(np.int32)), pa.array(angles[who, cell]),
-            ],
-            schema=schema,
-        )
+            who = np.repeat(np.arange(some.num_rows), ranked.shape[1])
+            cell = ranked.ravel()
+            chosen.append(
+                pa.table(
+                    [
+                        some["rep"].take(pa.array(who)), some["coarse"].take(pa.array(who)),
+                        pa.array(fine[cell].astype(np.int32)), pa.array(angles[who, cell]),
+                    ],
+                    schema=schema,
+                )
+            )
+        return pa.concat_tables(chosen)
 
     right = right.withColumnsRenamed({"coarse": "their_coarse", "part": "their_part"})
     chosen = left.groupBy("coarse", "part").cogroup(
@@ -222,17 +366,33 @@ def _routes(queries: DataFrame, found: cells.Cells, targets: DataFrame, nprobe)
     ).applyInArrow(
         near, "rep string, coarse int, fine int, angle double"
     )
-    if nprobe is not None:
-        place = F.row_number().over(
-            Window.partitionBy("rep").orderBy("angle", "coarse", "fine")
-        )
-        chosen = chosen.withColumn("place", place).where(F.col("place") <= nprobe[1]).drop("place")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("angle", "coarse", "fine"))
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= nprobe[1]).drop("place")
     groups = targets.select("coarse", "fine", F.explode(F.array_distinct("groups")).alias("group"))
     return chosen.join(groups, ["coarse", "fine"]).groupBy("rep", "coarse", "group").agg(
         F.collect_list("fine").alias("fines")
     )
 
 
+def _all_in_reach(
+    queries: DataFrame, found: cells.Cells, rows: DataFrame, targets: DataFrame, k: int, max_block
+) -> DataFrame:
+    """Hits in all cells that can hold a similarity not below the query's `floor`. Which fine cells
+    these are is seen where the group is compared."""
+    sent = _within_reach(queries, found)
+    number = _parts(sent, found)
+    last = targets.select("coarse", F.explode("groups").alias("group"))
+    groups = cells.by_cell(_by_coarse(last, found, F.max("group") + 1)).cast("int")
+    left = sent.withColumn("part", cells.share("rep", number)).withColumns(
+        {
+            "fines": F.lit(None).cast("array<int>"),
+            "group": F.explode(F.sequence(F.lit(0), groups - 1)),
+        }
+    )
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
+    return _hits(left, right, k, max_block)
+
+
 def _searched(routes: DataFrame, queries: DataFrame, rows: DataFrame, dim: int, k: int, max_block):
     """Hits of the routed queries. Queries of a crowded group are cut into parts."""
     routes = cut(routes, "routes")
@@ -252,7 +412,8 @@ def _searched(routes: DataFrame, queries: DataFrame, rows: DataFrame, dim: int,
 
 def _hits(left: DataFrame, right: DataFrame, k: int, max_block: int) -> DataFrame:
     """The queries' hits, group by group. The sides may come from one table: names differ."""
-    left = left.select("rep", "embedding", "fines", *_GROUP)
+    floor = F.col("floor") if "floor" in left.columns else F.lit(None).cast("double")
+    left = left.select("rep", "embedding", "fines", floor.alias("floor"), *_GROUP)
     theirs = [F.col(c).alias(f"their_{c}") for c in _GROUP]
     right = right.select(
         F.col("rep").alias("other"), F.col("embedding").alias("vector"), "fine", *theirs
@@ -341,25 +502,14 @@ def nearest(
     if nprobe is not None:
         chosen = int(np.ceil(nprobe**0.5)) + 2, nprobe
         return _top(searched(_routes(queries, found, targets, chosen), queries), k)
-    first = cut(_routes(queries, found, targets, (1, 1)), "first")
-    hits = cut(searched(first, queries), "own-cell")
-    hits = cut(_top(hits, k), "own-cell")
-    # The k-th similarity bounds the angle; with fewer neighbours there is no bound yet.
-    reach = hits.groupBy("rep").agg(
-        F.when(F.count("*") == k, F.acos(F.greatest(F.min("similarity"), F.lit(-1.0)))).alias(
-            "reach"
-        )
-    )
-    # A cell of several groups has a route to each, all with this one cell.
-    seen = first.groupBy("rep").agg(
-        F.first("coarse").alias("seen_coarse"), F.first(F.get("fines", F.lit(0))).alias("seen_fine")
-    )
-    bounded = queries.join(seen, "rep").join(reach, "rep", "left")
-    bounded = bounded.withColumn(
-        "reach", F.coalesce(F.nanvl("reach", F.lit(0.0)), F.lit(np.pi))
+    first = _routes(queries, found, targets, (1, 1))
+    hits = _top(searched(first, queries), k)
+    # The k-th similarity is a floor; with fewer neighbours there is none yet.
+    floor = hits.groupBy("rep").agg(
+        F.when(F.count("*") == k, F.greatest(F.min("similarity"), F.lit(-1.0))).alias("floor")
     )
-    more = searched(_routes(bounded, found, targets, None), bounded)
-    return _top(hits.unionByName(more), k)
+    bounded = cut(queries.join(floor, "rep", "left"), "bounded")
+    return _top(_all_in_reach(bounded, found, rows, targets, k, max_block), k)
 
 
 def lists(

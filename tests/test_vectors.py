@@ -264,3 +264,50 @@ def test_hashed_embedding(spark):
     assert found["a"].shape == (32,)
     assert np.linalg.norm(found["a"]) == pytest.approx(1.0)
     assert not found["b"].any()
+
+
+def test_a_task_holds_one_set_of_hits_however_many_blocks():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    k, queries, rows = 11, random_vectors(3000, 8, 1), random_vectors(4096, 8, 2)
+    n = np.arange(len(rows))
+    right = pa.table(
+        {
+            "other": pa.array([f"r{i:05d}" for i in n]), "fine": pa.array(n // 64, pa.int32()),
+            "vector": pa.array(rows.tolist(), pa.list_(pa.float32())),
+        }
+    )
+    left = pa.table(
+        {
+            "rep": pa.array([f"q{i:05d}" for i in range(len(queries))]),
+            "embedding": pa.array(queries.tolist(), pa.list_(pa.float32())),
+            "fines": pa.array([list(range(64))] * len(queries), pa.list_(pa.int32())),
+            "floor": pa.nulls(len(queries), pa.float64()),
+        }
+    )
+    compare = neighbours._compared(k, 16)
+    tracemalloc.start()
+    found = compare(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == k * len(queries) and peak < 60e6
+    unit = [v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None] for v in (queries, rows)]
+    truth = np.round(unit[0] @ unit[1].T, 12)
+    got = found.to_pydict()
+    hits = {}
+    for rep, other in zip(got["rep"], got["arxiv_id"], strict=True):
+        hits.setdefault(int(rep[1:]), set()).add(int(other[1:]))
+    best = np.argsort(-truth, axis=1, kind="stable")[:, :k]
+    assert all(hits[q] == set(best[q].tolist()) for q in hits)
+
+
+def test_neighbours_of_close_cells_and_scaled_copies_are_exact(spark):
+    # Clusters that single precision cannot tell apart, and equal directions of other lengths.
+    centres = random_vectors(12, 6, 6)
+    close = np.repeat(centres, 20, axis=0) + 1e-4 * random_vectors(240, 6, 7)
+    scaled = (random_vectors(40, 6, 8)[:, None] * np.array([1, 2, 4])[:, None]).reshape(-1, 6)
+    vectors = np.concatenate((close, scaled)).astype(np.float32)
+    got = neighbours.build(frame(spark, enumerate(vectors)), 6, max_block=24)
+    assert table(got) == brute(vectors, 6)
