@@ -18,6 +18,9 @@ from paperlake.session import cut
 
 TERM_BUCKETS = 256
 
+# Tokens that a task groups at a time.
+SLICE_TOKENS = 1 << 18
+
 
 def best_first(key: str = "rank") -> list[Column]:
     """Order by score, ties by id, so that results are deterministic."""
@@ -128,14 +131,27 @@ def build_postings(papers: DataFrame, analyzer: str = "english") -> DataFrame:
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, terms, positions = analysis.group_positions(batch.column("tokens"), to_term)
-            ids = batch.column("arxiv_id").take(pa.array(docs, pa.int64()))
-            yield pa.RecordBatch.from_arrays([terms, ids, positions], names=names)
+            for some in _by_tokens(batch):
+                docs, terms, positions = analysis.group_positions(some.column("tokens"), to_term)
+                ids = some.column("arxiv_id").take(pa.array(docs, pa.int64()))
+                yield pa.RecordBatch.from_arrays([terms, ids, positions], names=names)
 
     tokenised = papers.select("arxiv_id", analysis.tokens(searchable_text()).alias("tokens"))
     return tokenised.mapInArrow(group, POSTINGS)
 
 
+def _by_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of some `SLICE_TOKENS` tokens, one row at least."""
+    lengths = batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first] - lengths[first]
+        last = max(int(np.searchsorted(ends, before + SLICE_TOKENS, "right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def term_bucket(term, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

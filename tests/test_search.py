@@ -324,3 +324,22 @@ def test_answer_from_the_index(spark, tmp_path):
     index, papers = archive.build_index(), archive.papers.read().select(*PAPERS.fieldNames())
     scanned = answers.search_papers(papers, "deep networks", 3)
     assert answers.search_papers(papers, "deep networks", 3, index=index).collect() == scanned.collect()
+
+
+def test_postings_are_grouped_in_slices_of_bounded_tokens():
+    lists = [["a"] * n for n in (0, 3, search.SLICE_TOKENS, 5, search.SLICE_TOKENS + 7, 0, 2)]
+    lists += [None] + [["x", "y"] * (search.SLICE_TOKENS // 8)] * 9
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([str(i) for i in range(len(lists))]), pa.array(lists, pa.list_(pa.string()))],
+        names=["arxiv_id", "tokens"],
+    )
+    slices = list(search._by_tokens(batch.slice(1)))
+    assert [i for s in slices for i in s.column("arxiv_id").to_pylist()] == [
+        str(i) for i in range(1, len(lists))
+    ]
+    sizes = [len(s.column("tokens").flatten()) for s in slices]
+    assert all(
+        size <= search.SLICE_TOKENS or s.num_rows == 1
+        for size, s in zip(sizes, slices, strict=True)
+    )
+    assert sum(sizes) == sum(len(x or []) for x in lists[1:])
