@@ -711,15 +711,14 @@ def _number(name="arxiv_id"):
 
 
 def similar_many(spark, sf_dir):
-    """Three neighbours of the papers with a number divisible by 20, when the labelled papers are
-    left in the archive and those of the conversations have stored neighbours."""
+    """Three neighbours of all papers, when the labelled papers are left in the archive and those of
+    the conversations have stored neighbours."""
     papers, vectors = tv.papers(spark, sf_dir), tv.embeddings(spark, sf_dir)
     everyone = cut(neighbours.build(vectors), "similar")
     turns, labels = (tv.table(spark, sf_dir, name) for name in ("conversations", "labels"))
     stored = catalog.known_ids(everyone, turns.select(tv.paper_id("conv_id").alias("arxiv_id")))
     left = catalog.known_ids(papers, labels.select(tv.paper_id("doc_id").alias("arxiv_id")))
-    asked = papers.where(_number() % 20 == 0)
-    return _neighbour_rows(similar.many(stored, left, vectors, asked, limit=3))
+    return _neighbour_rows(similar.many(stored, left, vectors, papers, limit=3))
 
 
 def similar_recall(spark, sf_dir):

@@ -34,3 +34,25 @@ def test_oracles_are_registered():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_similar_many_asks_for_every_paper(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    n = 43
+    tables = {
+        "documents": (
+            [(i, f"text {i}", "en", "web", 6) for i in range(n)],
+            "doc_id long, text string, lang string, source string, n_chars long",
+        ),
+        "orders": ([(0, None)], "o_orderkey long, o_orderdate timestamp_ntz"),
+        "labels": ([(i, 1, 0) for i in range(0, n, 2)], "doc_id long, quality int, toxic int"),
+        "embeddings": (
+            [(i, [float(i + 1), 1.0]) for i in range(n)], "vec_id long, embedding array<float>",
+        ),
+        "conversations": ([(i,) for i in range(0, n, 3)], "conv_id long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = entry.similar_many(spark, str(tmp_path)).groupBy("arxiv_id").count().collect()
+    assert len(found) == n and all(1 <= r["count"] <= 3 for r in found)
