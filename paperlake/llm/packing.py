@@ -54,11 +54,17 @@ class _Pool:
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the places in a row, and each place's number of ids."""
-        sizes = np.array(self.sizes, np.int64)[places]
-        starts = np.array(self.starts, np.int64)[places]
+        if not len(places):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # Views: copies of whole pools would be made for each slice of texts.
+        sizes = np.frombuffer(self.sizes, np.int64)[places]
+        starts = np.frombuffer(self.starts, np.int64)[places]
         total = int(sizes.sum())
-        at = np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return np.array(self.ids, np.uint32)[at] if total else np.zeros(0, np.uint32), sizes
+        if not total:
+            return np.zeros(0, np.uint32), sizes
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(total)
+        return np.frombuffer(self.ids, np.uint32)[at], sizes
 
 
 class WordTokenizer:

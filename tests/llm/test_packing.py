@@ -96,3 +96,20 @@ def test_solution_is_near_the_histogram():
 
 def test_empty_table(spark):
     assert packing.pack(empty(spark), PATH).count() == 0
+
+
+def test_looking_up_a_few_words_copies_no_whole_pool():
+    import tracemalloc
+
+    pool = packing._Pool()
+    pool.add(range(300_000), np.arange(600_000), np.full(300_000, 2))
+    tracemalloc.start()
+    ids, sizes = pool.gather(np.array([299_999, 0, 7]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == [599_998, 599_999, 0, 1, 14, 15] and sizes.tolist() == [2, 2, 2]
+    assert peak < 100_000
+    assert [len(x) for x in packing._Pool().gather(np.zeros(0, np.int64))] == [0, 0]
+    # A pool grows again after a look-up.
+    pool.add(["more"], np.array([5]), np.array([1]))
+    assert pool.gather(np.array([300_000]))[0].tolist() == [5]
