@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 from paperlake.session import cut
 
 from . import hashing
+from .held import held
 from .packing import _Pool as Pool
 
 BLOCK = 4 << 20
+SLICE_BYTES = 1 << 18
+"""Bytes of texts that are aligned together."""
 KEPT = 4 << 20
 """Characters of the words whose ids a worker remembers, per tokenizer."""
 MARKS = b" ,|;"
@@ -190,12 +193,15 @@ class Aligned:
         self.order, self.group = coalesce(*spans)
         self.link_a, self.link_b = overlaps(*spans)
         self.width = len(b.pieces)
+        small = len(a.pieces) * self.width <= 1 << 32
+        self.pair_type = np.uint32 if small else np.int64
         self.count = len(texts)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Each link's pair of ids as one number, and its text."""
         text = np.repeat(np.arange(self.count), self.n_a)[self.link_a]
-        return self.ids_a[self.link_a] * self.width + self.ids_b[self.link_b], text
+        pairs = self.ids_a[self.link_a] * self.width + self.ids_b[self.link_b]
+        return pairs.astype(self.pair_type), text
 
     def groups(self) -> tuple[np.ndarray, list[str]]:
         """Each text's number of groups, and the SHA-256 of its groups; empty without tokens."""
@@ -264,8 +270,9 @@ class _Block:
         self.links.append(pairs)
         once = np.lexsort((pairs, text))
         new = np.ones(len(once), bool)
-        new[1:] = (np.diff(pairs[once]) != 0) | (np.diff(text[once]) != 0)
-        self.pairs.append(np.sort(pairs[once][new]))
+        ordered, text = pairs[once], text[once]
+        new[1:] = (ordered[1:] != ordered[:-1]) | (text[1:] != text[:-1])
+        self.pairs.append(np.sort(ordered[new]))
         self.size += size
 
     def batches(self):
@@ -288,26 +295,20 @@ class _Block:
                 schema=_FIELDS,
             )
         row = {c: [None] for c in _FIELDS.names}
-        row |= {"block": [self.number], "pairs": [pairs], "docs": [docs.astype(np.int32)]}
+        row |= {"block": [self.number], "pairs": [pairs.astype(np.int64)], "docs": [docs.astype(np.int32)]}
         yield pa.RecordBatch.from_pydict(row, schema=_FIELDS)
 
 
-_loaded: dict[tuple[str, str], tuple[Words, Words]] = {}
-
-
 def _linked(path_a, path_b, block_size):
     def run(batches):
-        key = path_a, path_b
-        if key not in _loaded:
-            _loaded[key] = byte_level(path_a), sentence_pieces(path_b)
-        a, b = _loaded[key]
+        a, b = held((path_a, path_b), lambda: (byte_level(path_a), sentence_pieces(path_b)))
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
         for batch in batches:
             data, offsets = hashing.text_bytes(batch.column(1))
             first = 0
             while first < batch.num_rows:
-                last = np.searchsorted(offsets, offsets[first] + hashing.SLICE_BYTES, "right") - 1
+                last = np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right") - 1
                 last = max(int(last), first + 1)
                 bounds = offsets[first : last + 1].tolist()
                 texts = [

@@ -22,9 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
+from . import hashing, held
 
 ORDERS = (1, 2, 3, 4)
+SHARE = 16
+"""Texts are counted in slices of this share of `hashing.SLICE_BYTES`, one text at least."""
+LOWERED = 1024
+"""Rows that are lower-cased together."""
 DIMENSIONS = 4096
 SAMPLE = 2000
 """Labelled rows per language that a model is fitted on, as expected from a hash of the row."""
@@ -52,14 +56,17 @@ class Model:
 
 def _counts(column):
     """Slices of rows: (first row, last row, counts of rows x dimensions)."""
-    lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    data, offsets = hashing.text_bytes(lowered)
-    first = 0
-    while first < len(offsets) - 1:
-        last = int(np.searchsorted(offsets, offsets[first] + hashing.SLICE_BYTES, "right")) - 1
-        last = min(max(last, first + 1), first + 256)
-        yield first, last, _slice_counts(data, offsets, first, last)
-        first = last
+    for begin in range(0, len(column), LOWERED):
+        some = column.slice(begin, LOWERED)
+        lowered = pc.utf8_lower(pc.fill_null(some.cast(pa.large_string()), ""))
+        data, offsets = hashing.text_bytes(lowered)
+        first = 0
+        while first < len(some):
+            end = offsets[first] + hashing.SLICE_BYTES // SHARE
+            last = int(np.searchsorted(offsets, end, "right")) - 1
+            last = min(max(last, first + 1), first + 256)
+            yield begin + first, begin + last, _slice_counts(data, offsets, first, last)
+            first = last
 
 
 def _slice_counts(data, offsets, first, last):
@@ -67,8 +74,8 @@ def _slice_counts(data, offsets, first, last):
     counts = np.zeros((last - first) * DIMENSIONS, np.int64)
     overlap = max(ORDERS) - 1
     begin, end = int(offsets[first]), int(offsets[last])
-    for start in range(begin, end, 4 * hashing.SLICE_BYTES):
-        stop = min(start + 4 * hashing.SLICE_BYTES, end)
+    for start in range(begin, end, hashing.SLICE_BYTES):
+        stop = min(start + hashing.SLICE_BYTES, end)
         piece = _BLANK[data[start : min(stop + overlap, end)]]
         if not len(piece):
             continue
@@ -124,6 +131,7 @@ def _weights(rows: DataFrame) -> np.ndarray:
     """
 
     def present(batches):
+        held.release()
         total = np.zeros(DIMENSIONS + 1, np.int64)
         for batch in batches:
             for first, last, counts in _counts(batch.column(0)):
@@ -165,8 +173,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
             ends = np.cumsum([0] + [len(c) for c in cells])
             flat = np.concatenate([row[c] for row, c in zip(counts, cells, strict=True)])
             lists = [
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-                for values in (np.concatenate(cells), flat)
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+                for values, kind in ((np.concatenate(cells), pa.int16()), (flat, pa.int32()))
             ]
             part = batch.slice(first, last - first)
             yield pa.RecordBatch.from_arrays(
@@ -176,35 +184,38 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
     weights = _weights(rows)
 
-    def cluster(key, frame):
-        import pandas as pd
-
-        frame = frame.sort_values("key", kind="stable")
-        whole = frame[frame["whole"]]
-        points = _dense(whole, weights)[0]
-        half = whole["key"].to_numpy() & 1
+    def cluster(key, table):
+        # Without an object per row: a worker's memory would keep the holes that they leave.
+        rows = _Sparse(table, weights)
+        whole = rows.order[rows.whole[rows.order]]
+        points = rows.dense(whole)[0]
+        half = rows.key[whole] & 1
         similar, sizes = [], []
         for side in (0, 1):
-            left_out = frame[(frame["key"] & 1) != side]
+            left_out = rows.order[(rows.key[rows.order] & 1) != side]
             if not (half == side).any():
                 continue
             centres = _spherical_means(points[half == side], centroids)
             for begin in range(0, len(left_out), 512):
-                vectors, size = _dense(left_out.iloc[begin : begin + 512], weights)
+                vectors, size = rows.dense(left_out[begin : begin + 512])
                 similar.append((vectors @ centres.T).max(axis=1))
                 sizes.append(size)
         floors = _floors(np.concatenate([[], *similar]), np.concatenate([[], *sizes]))
         centres = _spherical_means(points, centroids)
-        return pd.DataFrame(
-            {"lang": key[0], "centroid": [c.tolist() for c in centres], "floors": [floors] * len(centres)}
+        return pa.table(
+            {
+                "lang": pa.array([key[0].as_py()] * len(centres), pa.string()),
+                "centroid": pa.array(list(centres), pa.list_(pa.float32())),
+                "floors": pa.array([floors] * len(centres), pa.list_(pa.float64())),
+            }
         )
 
-    shape = "lang string, key long, whole boolean, cells array<int>, counts array<int>"
+    shape = "lang string, key long, whole boolean, cells array<short>, counts array<int>"
     fitted = (
         _sample(rows, sample)
         .mapInArrow(sparse, shape)
         .groupBy("lang")
-        .applyInPandas(cluster, "lang string, centroid array<float>, floors array<double>")
+        .applyInArrow(cluster, "lang string, centroid array<float>, floors array<double>")
         .orderBy("lang", "centroid")
         .collect()
     )
@@ -216,18 +227,34 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     )
 
 
-def _dense(frame, weights):
-    """The vectors and sizes of sparse rows; only slices of them have counts besides."""
-    vectors = np.empty((len(frame), DIMENSIONS), np.float32)
-    sizes = np.empty(len(frame), np.int64)
-    for begin in range(0, len(frame), 128):
-        part = frame.iloc[begin : begin + 128]
-        counts = np.zeros((len(part), DIMENSIONS), np.float32)
-        for i, (cells, values) in enumerate(zip(part["cells"], part["counts"], strict=True)):
-            counts[i, cells] = values
-        vectors[begin : begin + 128] = _vectors(counts, weights)
-        sizes[begin : begin + 128] = _sizes(counts)
-    return vectors, sizes
+class _Sparse:
+    """Sampled rows as lists of cells and counts, with their order by key."""
+
+    def __init__(self, table: pa.Table, weights: np.ndarray):
+        self.weights = weights
+        self.key = table["key"].to_numpy()
+        self.whole = table["whole"].to_numpy()
+        self.order = np.argsort(self.key, kind="stable")
+        self.lengths = pc.list_value_length(table["cells"]).to_numpy()
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.cells, self.counts = (
+            pc.list_flatten(table[name]).to_numpy() for name in ("cells", "counts")
+        )
+
+    def dense(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors and sizes of the rows `at`; only slices of them have counts besides."""
+        vectors = np.empty((len(at), DIMENSIONS), np.float32)
+        sizes = np.empty(len(at), np.int64)
+        for begin in range(0, len(at), 128):
+            part = at[begin : begin + 128]
+            lengths = self.lengths[part]
+            index = np.arange(lengths.sum())
+            index += np.repeat(self.starts[part] - (np.cumsum(lengths) - lengths), lengths)
+            counts = np.zeros((len(part), DIMENSIONS), np.float32)
+            counts[np.repeat(np.arange(len(part)), lengths), self.cells[index]] = self.counts[index]
+            vectors[begin : begin + 128] = _vectors(counts, self.weights)
+            sizes[begin : begin + 128] = _sizes(counts)
+        return vectors, sizes
 
 
 def _floors(similar, sizes):
@@ -270,6 +297,7 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
     def run(batches):
+        held.release()
         for batch in batches:
             column = batch.column(at)
             best = np.full(len(column), len(names) - 1)

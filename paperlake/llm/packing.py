@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from paperlake.session import cut
 
 from . import hashing
+from .held import held
 
 WINDOW = 2048
 END = 1
@@ -33,8 +34,10 @@ GRID = 32
 """Combinations of three lengths have one that is a multiple of this."""
 SALTED = 16
 """A length of n pieces has sqrt(n / SALTED) salts, so groups and their number grow alike."""
+SLICE_BYTES = 1 << 19
+"""Bytes of texts whose words are looked up together: memory beside the remembered words."""
 CACHE = 500_000
-"""Words, and parts of words, whose token ids a worker keeps."""
+"""Words and parts of words, together, whose token ids a worker keeps."""
 
 
 class _Pool:
@@ -88,7 +91,7 @@ class WordTokenizer:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words, self.parts = _Pool(), _Pool()
+        self.words = _Pool()
 
     def _learn(self, words: list[bytes]) -> None:
         words = list(set(words))
@@ -105,18 +108,25 @@ class WordTokenizer:
         if not words:
             return
         parts = self._SPLIT.findall(joined.decode().lower())
-        known = self.parts.place
-        new = [part for part in set(parts) if part != " " and part not in known]
+        # A part is a word as well, with the same ids, so both are kept once.
+        known = self.words.place
+        keys = {part: part.encode() for part in set(parts) if part != " "}
+        new = [part for part, key in keys.items() if key not in known]
         for first in range(0, len(new), 2000):
             some = new[first : first + 2000]
             coded = self.bare.encode(" ".join(map(self._spelt, some)), add_special_tokens=False)
             sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))
-            self.parts.add(some, np.array(coded.ids, np.uint32), sizes)
-        places = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+            self.words.add([keys[p] for p in some], np.array(coded.ids, np.uint32), sizes)
+        found = {part: known[key] for part, key in keys.items()}
+        places = np.fromiter(map(found.get, parts, repeat(-1)), np.int64, len(parts))
         blank = places < 0
-        ids, sizes = self.parts.gather(places[~blank])
+        ids, sizes = self.words.gather(places[~blank])
         owner = np.cumsum(blank)[~blank]
-        self.words.add(words, ids, np.bincount(owner, sizes, len(words)).astype(np.int64))
+        sizes = np.bincount(owner, sizes, len(words)).astype(np.int64)
+        left = np.fromiter((word not in known for word in words), bool, len(words))
+        self.words.add(
+            [word for word in words if word not in known], ids[np.repeat(left, sizes)], sizes[left]
+        )
 
     def _spelt(self, part: str) -> str:
         return part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
@@ -125,8 +135,6 @@ class WordTokenizer:
         """The ids of each text."""
         if self.words.count > CACHE:
             self.words = _Pool()
-        if self.parts.count > CACHE:
-            self.parts = _Pool()
         split = [text.split() for text in texts]
         words = list(chain.from_iterable(split))
         find = self.words.place.get
@@ -141,19 +149,14 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def _pieces(path, window, with_ids):
     def run(batches):
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        tokenizer = _tokenizers[path]
+        tokenizer = held((WordTokenizer, path), lambda: WordTokenizer(path))
         for batch in batches:
             first = 0
             data, offsets = hashing.text_bytes(batch.column(1))
             while first < batch.num_rows:
-                last = int(np.searchsorted(offsets, offsets[first] + hashing.SLICE_BYTES, "right")) - 1
+                last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
                 last = max(last, first + 1)
                 texts = [
                     data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)

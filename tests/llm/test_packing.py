@@ -113,3 +113,29 @@ def test_looking_up_a_few_words_copies_no_whole_pool():
     # A pool grows again after a look-up.
     pool.add(["more"], np.array([5]), np.array([1]))
     assert pool.gather(np.array([300_000]))[0].tolist() == [5]
+
+
+def test_texts_are_tokenized_in_small_slices(monkeypatch):
+    """Besides its words' ids a worker holds the words of some texts only."""
+    import pyarrow as pa
+
+    most = []
+    encode = packing.WordTokenizer.encode
+    monkeypatch.setattr(
+        packing.WordTokenizer, "encode",
+        lambda self, texts: most.append(sum(map(len, texts))) or encode(self, texts),
+    )
+    batch = pa.record_batch({"doc_id": list(range(40)), "text": ["some words " * 2000] * 40})
+    list(packing._pieces(PATH, 2048, False)(iter([batch])))
+    assert sum(most) == 40 * 22000 and max(most) <= packing.SLICE_BYTES < sum(most)
+
+
+def test_a_worker_keeps_one_thing():
+    from paperlake.llm.held import held, release
+
+    release()
+    first = held("a", list)
+    assert held("a", list) is first
+    held("b", dict)
+    assert held("a", list) is not first
+    release()
