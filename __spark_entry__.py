@@ -436,8 +436,7 @@ def update_embeddings(spark, sf_dir):
         F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("seq"),
     )
     vectors = tv.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    batch = lines.join(vectors, "vec_id").drop("vec_id")
-    changed = merge.fold_embeddings(batch, tv.papers(spark, sf_dir))
+    changed = merge.fold_embeddings(lines, tv.papers(spark, sf_dir), vectors=vectors)
     rows = merge.replace_rows(tv.embeddings(spark, sf_dir), changed, "arxiv_id")
     first = F.round(F.element_at("embedding", 1).cast("double"), 6)
     return rows.select("arxiv_id", F.size("embedding").alias("dim"), first.alias("first"))

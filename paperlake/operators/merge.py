@@ -89,16 +89,44 @@ def mark_full_text(papers: DataFrame, texts: DataFrame) -> DataFrame:
     ).select(*papers.columns)
 
 
-def new_edges(edges: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distinct edges not stored yet: what an insert that ignores duplicates would add."""
+def new_edges(edges: DataFrame, refs: DataFrame, place: Column | None = None) -> DataFrame:
+    """Distinct edges not stored yet: what an insert that ignores duplicates would add.
+
+    With `place`, a number that the ends decide, both tables meet by it in one shuffle, and the new
+    edges stay in the tasks of their places.
+    """
     ends = ["from_id", "to_id"]
-    return membership.unknown(edges.select(*ends).distinct(), refs, *ends)
+    if place is None:
+        return membership.unknown(edges.select(*ends).distinct(), refs, *ends)
+    # As in a join, an edge without one of its ends equals no stored one.
+    stored = refs.where("from_id IS NOT NULL AND to_id IS NOT NULL")
+    rows = edges.select(*ends, F.lit(False).alias("stored")).unionByName(
+        stored.select(*ends, F.lit(True).alias("stored"))
+    )
+    rows = rows.withColumn("place", place).repartition("place")
+    found = rows.groupBy("place", *ends).agg(F.max("stored").alias("stored"))
+    return found.where("NOT stored").select(*ends)
 
 
-def fold_embeddings(batch: DataFrame, papers: DataFrame, order: str = "seq") -> DataFrame:
-    """Last vector per id; unknown ids are dropped before their vectors are folded."""
-    wanted = membership.known(batch, papers, "arxiv_id")
-    return wanted.groupBy("arxiv_id").agg(F.max_by("embedding", order).alias("embedding"))
+def fold_embeddings(
+    batch: DataFrame, papers: DataFrame, order: str = "seq", vectors: DataFrame | None = None
+) -> DataFrame:
+    """Last vector per id; unknown ids are dropped before their vectors are folded.
+
+    A batch may name its vectors instead of holding them: `vectors` has a column of their names and
+    `embedding`. Then names are folded, and only each id's last one is looked up; names without a
+    vector do not count.
+    """
+    if vectors is None:
+        wanted = membership.known(batch, papers, "arxiv_id")
+        return wanted.groupBy("arxiv_id").agg(F.max_by("embedding", order).alias("embedding"))
+    (name,) = [c for c in vectors.columns if c != "embedding"]
+    named = batch.groupBy("arxiv_id", name).agg(F.max(order).alias(order))
+    named = named.join(vectors.select(name), name, "left_semi")
+    named = named.join(papers.select("arxiv_id"), "arxiv_id", "left_semi")
+    last = named.groupBy("arxiv_id").agg(F.max_by(name, order).alias(name))
+    found = last.join(vectors, name).select("arxiv_id", "embedding")
+    return found.dropDuplicates(["arxiv_id"])
 
 
 def replace_rows(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:

@@ -22,6 +22,12 @@ from paperlake.session import counted_cut, cut, path_exists, remove
 from paperlake.sources.index import Index
 
 
+FEW_EDGES = 200_000
+"""Edges of a batch that are sent to all tasks, so that only their equals are taken from a table."""
+SHARES = 8
+"""Shares of a bucket, at least, that new edges are dealt in."""
+
+
 def bucket_of(key, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -78,13 +84,23 @@ class Table:
         self._replace(kind)
         self._finish()
 
-    def append(self, rows: DataFrame) -> int:
-        """Add rows; gives their number, counted while they are written."""
+    def append(self, rows: DataFrame, dealt: bool = False) -> int:
+        """Add rows; gives their number, counted while they are written. Rows that are `dealt` by
+        `place` already are written where they are."""
         self._recover()
         seen = Observation()
-        self._put(self._placed(rows).observe(seen, F.count(F.lit(1)).alias("rows")), "append")
+        placed = self._placed(rows).observe(seen, F.count(F.lit(1)).alias("rows"))
+        self._put(placed, "append", dealt=dealt)
         return seen.get["rows"]
 
+    def place(self, *columns: str) -> Column:
+        """A number that names a row's bucket and its share of it, by a hash of `columns`: some
+        four places for each partition of a shuffle, so that a crowded bucket fills several."""
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        shares = max(SHARES, -(-4 * partitions // self.buckets))
+        share = F.pmod(F.xxhash64(F.lit("share"), *columns), F.lit(shares))
+        return bucket_of(self.key, self.buckets).cast("long") * shares + share
+
     def compact(self) -> None:
         """Write the table anew, without the small files that appends leave."""
         self.write(self.read(), whole=True)
@@ -95,9 +111,10 @@ class Table:
         placed = placed.withColumn("bucket", bucket_of(self.key, self.buckets))
         return placed.select(*self._stored.fieldNames())
 
-    def _put(self, rows: DataFrame, mode: str, overwrite: str = "static") -> None:
+    def _put(self, rows: DataFrame, mode: str, overwrite: str = "static", dealt=False) -> None:
         # The rebalance splits a crowded bucket over several tasks and merges small ones.
-        rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.cluster)
+        rows = rows if dealt else rows.hint("rebalance", "bucket")
+        rows = rows.sortWithinPartitions("bucket", self.cluster)
         writer = rows.write.partitionBy("bucket").mode(mode)
         writer.option("partitionOverwriteMode", overwrite).parquet(self.path)
 
@@ -230,11 +247,16 @@ class Archive:
         Only new rows are written. Each copy is compared with its own content, so a repeated call
         completes either one, and what an interrupted call has added is not added again.
         """
-        edges = cut(edges.select(*REFS.fieldNames()))
-        return [self._insert_refs(table, edges) for table in (self.refs, self.refs_by_target)][0]
-
-    def _insert_refs(self, table: Table, edges: DataFrame) -> int:
-        return table.append(merge.new_edges(edges, table.read(table.touched(edges))))
+        edges, count = counted_cut(edges.select(*REFS.fieldNames()))
+        tables = self.refs, self.refs_by_target
+        return [self._insert_refs(table, edges, count <= FEW_EDGES) for table in tables][0]
+
+    def _insert_refs(self, table: Table, edges: DataFrame, few: bool = False) -> int:
+        ends = REFS.fieldNames()
+        stored = table.read(table.touched(edges))
+        if few:
+            stored = stored.join(F.broadcast(edges.distinct()), ends, "left_semi")
+        return table.append(merge.new_edges(edges, stored, table.place(*ends)), dealt=True)
 
     def update_embeddings(self, batch: DataFrame) -> int:
         """Set vectors (arxiv_id, embedding, seq); unknown ids are ignored.

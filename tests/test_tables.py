@@ -255,6 +255,40 @@ def test_insert_writes_new_edges_only(archive, spark):
     assert len(files(archive.refs)) == 1 and archive.refs.read().count() == 21
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_edges_are_shuffled_once(archive, spark, few):
+    """Comparing with the stored edges and dealing the new ones to buckets is one shuffle."""
+    archive.insert_refs(refs(spark, *[("a", f"t{n}") for n in range(20)]))
+    edges = refs(spark, ("a", "t3"), ("a", "new"), ("a", "new"), ("b", "t3"))
+    table = archive.refs
+    new = merge.new_edges(edges, table.read(), table.place("from_id", "to_id"))
+    assert sorted(map(str, new.collect())) == sorted(
+        map(str, merge.new_edges(edges, table.read()).collect())
+    )
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+    assert "SortMergeJoin" not in plan and "rebalance" not in plan.lower()
+    assert archive._insert_refs(table, edges, few) == 2
+    assert archive._insert_refs(table, edges, few) == 0
+
+
+def test_named_vectors_are_folded_like_held_ones(spark):
+    names = spark.createDataFrame(
+        [("a", 1, 1), ("a", 2, 2), ("a", 9, 3), ("b", 2, 1), ("zz", 1, 1), ("c", None, 1)],
+        "arxiv_id string, vec_id int, seq int",
+    )
+    vectors = spark.createDataFrame(
+        [(1, [1.0]), (2, [2.0]), (2, [2.0])], "vec_id int, embedding array<float>"
+    )
+    papers = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "arxiv_id string")
+    found = merge.fold_embeddings(names, papers, vectors=vectors)
+    held = merge.fold_embeddings(names.join(vectors, "vec_id"), papers)
+    assert sorted(found.collect()) == sorted(held.collect()) == [("a", [2.0]), ("b", [2.0])]
+    # Vectors are looked up for folded names only: they are read twice, and never meet the batch.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("embedding") < plan.index("max_by")
+
+
 def test_interrupted_insert_is_completed(archive, spark):
     edges = refs(spark, ("a", "b"))
     archive._insert_refs(archive.refs, edges)
