@@ -26,9 +26,7 @@ from . import hashing, held
 
 ORDERS = (1, 2, 3, 4)
 SHARE = 16
-"""Texts are counted in slices of this share of `hashing.SLICE_BYTES`, one text at least."""
-LOWERED = 1024
-"""Rows that are lower-cased together."""
+"""A slice of texts is counted in this many parts, of one text at least, so that its places take less memory."""
 DIMENSIONS = 4096
 SAMPLE = 2000
 """Labelled rows per language that a model is fitted on, as expected from a hash of the row."""
@@ -56,17 +54,23 @@ class Model:
 
 def _counts(column):
     """Slices of rows: (first row, last row, counts of rows x dimensions)."""
-    for begin in range(0, len(column), LOWERED):
-        some = column.slice(begin, LOWERED)
-        lowered = pc.utf8_lower(pc.fill_null(some.cast(pa.large_string()), ""))
-        data, offsets = hashing.text_bytes(lowered)
-        first = 0
-        while first < len(some):
-            end = offsets[first] + hashing.SLICE_BYTES // SHARE
-            last = int(np.searchsorted(offsets, end, "right")) - 1
-            last = min(max(last, first + 1), first + 256)
-            yield begin + first, begin + last, _slice_counts(data, offsets, first, last)
-            first = last
+    lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    data, offsets = hashing.text_bytes(lowered)
+
+    def until(first, size):
+        return max(int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1, first + 1)
+
+    first = 0
+    while first < len(offsets) - 1:
+        last = min(until(first, hashing.SLICE_BYTES), first + 256)
+        counts = np.empty((last - first, DIMENSIONS), np.int64)
+        begin = first
+        while begin < last:
+            end = min(until(begin, hashing.SLICE_BYTES // SHARE), last)
+            counts[begin - first : end - first] = _slice_counts(data, offsets, begin, end)
+            begin = end
+        yield first, last, counts
+        first = last
 
 
 def _slice_counts(data, offsets, first, last):
@@ -74,8 +78,8 @@ def _slice_counts(data, offsets, first, last):
     counts = np.zeros((last - first) * DIMENSIONS, np.int64)
     overlap = max(ORDERS) - 1
     begin, end = int(offsets[first]), int(offsets[last])
-    for start in range(begin, end, hashing.SLICE_BYTES):
-        stop = min(start + hashing.SLICE_BYTES, end)
+    for start in range(begin, end, 4 * hashing.SLICE_BYTES):
+        stop = min(start + 4 * hashing.SLICE_BYTES, end)
         piece = _BLANK[data[start : min(stop + overlap, end)]]
         if not len(piece):
             continue
