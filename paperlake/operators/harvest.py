@@ -104,6 +104,24 @@ def document_edges(documents: DataFrame) -> DataFrame:
     return documents.select(F.inline(F.concat(_outgoing(), _incoming())))
 
 
+def slim(documents: DataFrame) -> DataFrame:
+    """The documents with only what their texts and edges are taken from."""
+    def linked(column):
+        ids = F.filter(
+            F.transform(column, lambda link: link["externalIds"]["ArXiv"]), lambda i: i != ""
+        )
+        struct = F.transform(ids, lambda i: F.struct(F.struct(i.alias("ArXiv")).alias("externalIds")))
+        return struct.alias(column)
+
+    return documents.select(
+        F.struct(F.col("externalIds.ArXiv").alias("ArXiv")).alias("externalIds"),
+        "abstract",
+        F.struct(F.col("tldr.text").alias("text")).alias("tldr"),
+        linked("references"),
+        linked("citations"),
+    )
+
+
 def full_texts(documents: DataFrame) -> DataFrame:
     """(arxiv_id, text) of documents that have an abstract or a short summary."""
     text = full_text_body(F.col("abstract"), F.col("tldr.text"))

@@ -38,7 +38,7 @@ def sync_full_text(
     elif documents is None:
         raise ValueError("the fulltext step needs documents or fetch")
     else:
-        ids = documents.withColumn("arxiv_id", F.col("externalIds.ArXiv"))
+        ids = harvest.slim(documents).withColumn("arxiv_id", F.col("externalIds.ArXiv"))
         documents = cut(ids.join(queue.select("arxiv_id"), "arxiv_id", "left_semi"), "documents")
 
     category = primary_category(F.col("categories"), separator)

@@ -43,19 +43,21 @@ def upsert_pages(
     counts = {"papers": 0}
 
     def upsert(batch, batch_id):
-        # Parsed once: the papers and the marks are both taken from the written records.
-        records = cut(inputs.with_order(batch), "records")
+        records = inputs.with_order(batch)
         marks = {c: archive.get_state(mark_key(c)) for c in categories or []}
         if categories:
-            records = harvest.changed_since(records, marks)
+            # Parsed once: the papers and the marks are both taken from the written records.
+            records = harvest.changed_since(cut(records, "records"), marks)
         papers = harvest.records_to_papers(records, "seq")
         # The stream's own id: a new checkpoint must not be taken for a repeated batch.
         stream = spark.read.schema("id string").json(f"{checkpoint}/records/metadata").first()
         name = f"{stream.id}-{batch_id}"
         time = fetched_at or datetime.now(UTC).replace(tzinfo=None)
         counts["papers"] += archive.upsert_papers(papers, time, name, strict)
+        if not categories:
+            return
         newest = {}
-        for row in harvest.newest_datestamp(records, categories or []).collect():
+        for row in harvest.newest_datestamp(records, categories).collect():
             counts[row.category] = counts.get(row.category, 0) + row.records
             newest[mark_key(row.category)] = max(row.datestamp or "", marks[row.category])
         if newest:

@@ -366,3 +366,34 @@ def test_marks_bound_the_next_harvest(archive, landing, tmp_path):
     got = {r.arxiv_id: r.title for r in archive.papers.read().collect()}
     assert len(got) == 3 and got["2301.00001"].startswith("First")
     assert archive.get_state("oai_last_cs.AI") == "2024-01-21"
+
+
+def test_a_harvest_without_categories_writes_its_records_once(
+    archive, landing, tmp_path, monkeypatch
+):
+    """Their papers are written by the upsert; the records would be written for the marks only."""
+    (landing / "1.xml").write_text(page(record(1), record(2), record(3, status="deleted")))
+    monkeypatch.setattr("paperlake.streaming.harvest.cut", None)
+    counts = upsert_pages(archive, str(landing), str(tmp_path / "progress"), None, NOW)
+    assert counts == {"papers": 2} and archive.papers.read().count() == 2
+
+
+def test_slim_documents_give_the_same_texts_and_edges(spark):
+    def links(*ids):
+        return [{"paperId": "p", "externalIds": {"ArXiv": i, "DOI": "d"}} for i in ids]
+
+    rows = [
+        {"externalIds": {"ArXiv": "a"}, "abstract": "x", "tldr": {"text": "y"},
+         "references": links("b", None, ""), "citations": links("c"),
+         "openAccessPdf": {"url": "u"}},
+        {"externalIds": {"ArXiv": "b"}, "tldr": {"text": "z"}},
+        {"externalIds": {"ArXiv": "c"}, "references": [], "citations": [None]},
+    ]
+    payloads = spark.createDataFrame([(json.dumps(rows),)], "value string")
+    documents = inputs.parse_documents(payloads)
+    slim = harvest.slim(documents)
+    for step in (harvest.full_texts, harvest.document_edges):
+        assert sorted(step(slim).collect()) == sorted(step(documents).collect())
+    assert harvest.document_edges(slim).count() == 2
+    shown = slim.schema.simpleString()
+    assert "openAccessPdf" not in shown and "DOI" not in shown and "paperId" not in shown
