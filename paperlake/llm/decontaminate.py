@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, lookup
+from .held import trimmed
 
 WINDOW = 8
 LITERALS = 4
@@ -208,7 +209,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = items.where(F.col("kind") > _WORDS).select("kind").distinct().collect()
     short = sorted(row["kind"] - _WORDS for row in kinds)
     texts = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _windows(sifted, short=short), _SHAPE
+        trimmed(_windows(sifted, short=short)), _SHAPE
     )
     found = texts.alias("d").join(items.alias("i"), F.col("d.hash") == F.col("i.hash"))
     aligned = (

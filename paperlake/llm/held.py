@@ -23,7 +23,23 @@ def release() -> None:
     """Drop what is kept, and give freed memory back to the system where the C library can: an
     operator that keeps nothing itself begins with that."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, also while something is kept: a worker waits for its next
+    task beside later stages' memory."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def trimmed(run):
+    """`run` over Arrow batches, with the freed memory given back after the last one."""
+
+    def trimming(batches):
+        yield from run(batches)
+        trim()
+
+    return trimming

@@ -28,6 +28,7 @@ from paperlake.session import cut
 
 from . import hashing, lookup
 from .components import components
+from .held import trimmed
 
 BLOCK_FEATURES = 200_000
 """Features of one block of a verified cluster; every set counts as `LEAST_FEATURES` at least."""
@@ -314,7 +315,9 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = cut(
-        texts.mapInArrow(_prints(shingle), "doc_id long, n_shingles long, high long, low long"),
+        texts.mapInArrow(
+            trimmed(_prints(shingle)), "doc_id long, n_shingles long, high long, low long"
+        ),
         "marks",
     )
     marks = counted.where("n_shingles >= 0")
@@ -327,7 +330,7 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     )
     members = classes.select(F.col("class_id").alias("doc_id")).distinct()
     signed = texts.mapInArrow(
-        _signed(shingle, percent, _common(counted)), "doc_id long, signatures array<long>"
+        trimmed(_signed(shingle, percent, _common(counted))), "doc_id long, signatures array<long>"
     )
     buckets = _without_copies(signed, usable, members).select(
         "doc_id", F.explode("signatures").alias("signature")
@@ -438,7 +441,7 @@ def _verify(texts, classes, clusters, shingle, percent):
         .repartition("cluster", "first", "second")
         .sortWithinPartitions("cluster", "first", "second")
     )
-    return rows.mapInArrow(_verified(shingle, percent), "a long, b long, links long")
+    return rows.mapInArrow(trimmed(_verified(shingle, percent)), "a long, b long, links long")
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

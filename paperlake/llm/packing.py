@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from paperlake.session import cut
 
 from . import hashing
-from .held import held
+from .held import held, trimmed
 
 WINDOW = 2048
 END = 1
@@ -341,7 +341,7 @@ def pack(
     shape = ", ".join(f"{name} long" for name in _PIECE_NAMES[:5])
     if with_ids:
         shape += ", ids array<int>"
-    pieces = cut(rows.mapInArrow(_pieces(tokenizer, window, with_ids), shape), "pieces")
+    pieces = cut(rows.mapInArrow(trimmed(_pieces(tokenizer, window, with_ids)), shape), "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         histogram[row["length"]] = row["count"]
@@ -358,5 +358,5 @@ def pack(
     ranked = salted.withColumn("rank", F.row_number().over(order).cast("long"))
     names = _PIECE_NAMES[: 6 if with_ids else 5]
     return ranked.mapInArrow(
-        _placed(table, first, bases, names, with_ids), shape + ", sequence_id long, offset long"
+        trimmed(_placed(table, first, bases, names, with_ids)), shape + ", sequence_id long, offset long"
     )

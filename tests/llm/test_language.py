@@ -111,3 +111,58 @@ def test_nothing_to_learn_from(spark):
     got = language.identify(frame(spark, texts(5), COLUMNS), model, ["doc_id"]).collect()
     assert {r.lang_pred for r in got} == {"und"}
     assert language.identify(empty(spark, COLUMNS), model, ["doc_id"]).count() == 0
+
+
+def test_a_batch_is_lowered_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    column = pa.array([text * 20 for _, text, _ in texts(3000)] + [None, "É" * 3000, "z"])
+    whole = list(language._counts(column))
+    assert [last for _, last, _ in whole][:-1] == [first for first, _, _ in whole][1:]
+    assert whole[-1][1] == len(column)
+    monkeypatch.setattr(language, "LOWERED_BYTES", 8 << 17)
+    monkeypatch.setattr(language.hashing, "SLICE_BYTES", 1 << 17)
+    before = pa.total_allocated_bytes()
+    cut = []
+    for first, last, counts in language._counts(column):
+        # Not the lower-cased texts of the whole batch (some 15 MB).
+        assert pa.total_allocated_bytes() - before < 4 << 20
+        cut.append((first, last, counts))
+    assert (np.concatenate([c for *_, c in cut]) == np.concatenate([c for *_, c in whole])).all()
+    monkeypatch.setattr(language, "LOWERED_BYTES", 1 << 30)
+    monkeypatch.setattr(language, "LOWERED_ROWS", 1 << 30)
+    assert [s[:2] for s in cut] == [s[:2] for s in language._counts(column)]
+
+
+def test_kept_columns_do_not_pass_through_python(spark):
+    rows = [(None, "a b", "xa"), (None, "a b", "xa"), (1, None, None), (1, "", "xb")]
+    table = frame(spark, [*texts(300), *rows], COLUMNS)
+    model = language.fit(table, sample=100, centroids=2)
+    out = language.identify(table, model, table.columns)
+    plan = out.where("NOT rejected")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    key = ["doc_id", "text", "lang"]
+    assert sorted(map(repr, out.select(key).collect())) == sorted(map(repr, table.select(key).collect()))
+
+
+def test_sampled_rows_are_read_in_chunks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.choice(language.DIMENSIONS, size, False)) for size in (3, 0, 5, 2, 7)]
+    table = pa.table(
+        {
+            "key": pa.array([5, 4, 3, 2, 1]), "whole": pa.array([True] * 5),
+            "cells": pa.array(lists, pa.list_(pa.int16())),
+            "counts": pa.array([np.arange(1, len(x) + 1) for x in lists], pa.list_(pa.int32())),
+        }
+    )
+    weights = np.ones(language.DIMENSIONS, np.float32)
+    chunked = pa.concat_tables([table.slice(0, 2), table.slice(2)])
+    vectors, sizes = language._Sparse(chunked, weights).dense(np.array([4, 1, 0, 3]))
+    for row, at in enumerate((4, 1, 0, 3)):
+        expected = np.zeros(language.DIMENSIONS)
+        expected[lists[at]] = np.log1p(np.arange(1, len(lists[at]) + 1))
+        expected /= max(np.linalg.norm(expected), 1e-12)
+        assert np.allclose(vectors[row], expected, atol=1e-6)
+    assert sizes.tolist() == [2, 0, 1, 1]
