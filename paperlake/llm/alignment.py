@@ -13,7 +13,9 @@ moved once to meet their block's counts. A pair that every document holds is one
 
 Tokenizers are asked for words only: A cuts texts before any space that a letter, digit or sign
 follows, and B has no piece with a space inside or at its end (checked when it is loaded), so what
-stands between such cuts is encoded on its own, once per worker as long as it is remembered.
+stands between such cuts is encoded on its own, once per worker as long as it is remembered. New words
+go to A joined, as it cuts them again: their bytes tell which ids are whose. Where all spaces of a text
+are such cuts, both have the same words, and it is split once.
 
 Defined cases: a text that is null or empty, or that either tokenizer does not give back byte by
 byte (B turns U+2581 into a space), has no tokens: zeros and an empty digest, and it is in no
@@ -24,6 +26,7 @@ columns are ignored; an empty table gives no rows. A text of any length is one r
 import hashlib
 import os
 import re
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -54,8 +57,8 @@ class Words:
     """Token ids of texts, word by word, with the words' ids remembered.
 
     `split` cuts a text into words that the tokenizer never joins, `encode` gives a list of words
-    their id lists, and `pieces` has each id's bytes. A word that its tokens do not give back is
-    remembered as such.
+    all their ids and each word's number of them, and `pieces` has each id's bytes. A word that its
+    tokens do not give back is remembered as such.
     """
 
     def __init__(self, split, encode, pieces):
@@ -67,24 +70,31 @@ class Words:
         self.known, self.wrong, self.length = Pool(), set(), 0
 
     def _learn(self, words: list[str]) -> None:
-        lists = self.encode(words)
-        first, piece = self.known.count, self.pieces.__getitem__
-        self.wrong.update(
-            first + i
-            for i, (word, ids) in enumerate(zip(words, lists, strict=True))
-            if b"".join(map(piece, ids)) != word.encode()
-        )
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        self.known.add(words, flat, sizes)
+        ids, sizes = self.encode(words)
+        first = self.known.count
+        self.wrong.update(first + i for i in self._not_given_back(words, ids, sizes))
+        self.known.add(words, ids, sizes)
         self.length += sum(map(len, words))
 
-    def tokens(self, texts: list[str]):
+    def _not_given_back(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> list[int]:
+        """The words that are not the bytes of their ids."""
+        given = [self.pieces[i] for i in ids.tolist()]
+        ends = np.cumsum(sizes)
+        lengths = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends]
+        if b"".join(given) == "".join(words).encode() and (lengths == byte_ends(words)).all():
+            return []
+        bounds = [0, *ends.tolist()]
+        return [
+            i for i, word in enumerate(words)
+            if b"".join(given[bounds[i] : bounds[i + 1]]) != word.encode()
+        ]
+
+    def tokens(self, texts: list[str], split: list[list[str]] | None = None):
         """All ids of the texts, the texts' offsets among them, and whether each text is given
-        back."""
+        back. `split` has the texts' words, if they are known."""
         if self.length > KEPT:
             self._forget()
-        split = [self.split(text) for text in texts]
+        split = split or [self.split(text) for text in texts]
         words = list(chain.from_iterable(split))
         find = self.known.place.get
         places = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
@@ -103,6 +113,19 @@ class Words:
         return ids.astype(np.int64), offsets, np.diff(before) == 0
 
 
+def byte_ends(words: list[str]) -> np.ndarray:
+    """Where each word ends in the bytes of all of them."""
+    plain = "".join(words).isascii()
+    lengths = map(len, words if plain else map(str.encode, words))
+    return np.cumsum(np.fromiter(lengths, np.int64, len(words)))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the lists, and each list's number of them."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
 def _byte_values() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: those that can be shown
     stand for themselves, the others follow from U+0100 on."""
@@ -124,8 +147,32 @@ def byte_level(path: str) -> Words:
         for piece in map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
     ]
 
+    lengths = np.array([len(p) for p in pieces], np.int64)
+
+    def alone(words):
+        return _flat(
+            [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        )
+
     def encode(words):
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        # What follows a word that is not a cut's, such as a text's first, could belong to it.
+        if not all(map(_CUT.match, words)):
+            cut_off = np.fromiter((bool(_CUT.match(w)) for w in words), bool, len(words))
+            odd = np.flatnonzero(~cut_off)
+            odd_ids, odd_sizes = alone([words[i] for i in odd.tolist()])
+            ids, some = encode([words[i] for i in np.flatnonzero(cut_off).tolist()])
+            sizes = np.zeros(len(words), np.int64)
+            sizes[odd], sizes[cut_off] = odd_sizes, some
+            all_ids = np.empty(int(sizes.sum()), np.uint32)
+            of_odd = np.repeat(~cut_off, sizes)
+            all_ids[of_odd], all_ids[~of_odd] = odd_ids, ids
+            return all_ids, sizes
+        ids, _ = alone(["".join(words)])
+        ends, wanted = np.cumsum(lengths[ids]), byte_ends(words)
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and last[-1] == len(ends) - 1 and (ends[last] == wanted).all():
+            return ids, np.diff(last, prepend=-1)
+        return alone(words)
 
     return Words(_CUT.split, encode, pieces)
 
@@ -146,11 +193,23 @@ def sentence_pieces(path: str) -> Words:
 
     def encode(words):
         lists = model.encode([word[1:] for word in words], num_threads=1)
-        return [ids if word != " " else [alone] for word, ids in zip(words, lists, strict=True)]
+        return _flat(
+            [ids if word != " " else [alone] for word, ids in zip(words, lists, strict=True)]
+        )
 
     return Words(_SPACES.findall, encode, pieces)
 
 
+def words_of(a: Words, b: Words, texts: list[str]):
+    """The texts' words for A and for B. Where A cuts at each space, B cuts at the same places."""
+    of_a = [a.split(text) for text in texts]
+    of_b = [
+        words if len(words) == text.count(" ") + 1 else b.split(text)
+        for words, text in zip(of_a, texts, strict=True)
+    ]
+    return of_a, of_b
+
+
 def coalesce(starts_a, ends_a, starts_b, ends_b):
     """The tokens of both sides in order of their starts, as indexes into A followed by B, and the
     number of each token's group."""
@@ -183,8 +242,9 @@ class Aligned:
 
     def __init__(self, a: Words, b: Words, texts: list[str]):
         spaced = [" " + text if text else "" for text in texts]
-        ids_a, rows_a, right_a = a.tokens(spaced)
-        ids_b, rows_b, right_b = b.tokens(spaced)
+        of_a, of_b = words_of(a, b, spaced)
+        ids_a, rows_a, right_a = a.tokens(spaced, of_a)
+        ids_b, rows_b, right_b = b.tokens(spaced, of_b)
         kept = right_a & right_b
         self.ids_a, self.n_a = _selected(ids_a, rows_a, kept)
         self.ids_b, self.n_b = _selected(ids_b, rows_b, kept)
@@ -193,8 +253,9 @@ class Aligned:
         self.order, self.group = coalesce(*spans)
         self.link_a, self.link_b = overlaps(*spans)
         self.width = len(b.pieces)
-        small = len(a.pieces) * self.width <= 1 << 32
-        self.pair_type = np.uint32 if small else np.int64
+        self.pair_span = len(a.pieces) * self.width
+        self.pair_type = np.uint32 if self.pair_span <= 1 << 32 else np.int64
+        self.ids = max(len(a.pieces), len(b.pieces))
         self.count = len(texts)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +281,8 @@ class Aligned:
         mark = np.zeros(len(ids), np.int64)
         mark[1:] = np.where(group[1:] != group[:-1], 3, np.where(second[1:] != second[:-1], 2, 1))
         mark[(ends - tokens)[tokens > 0]] = 0
-        written, length = _written(mark, ids)
-        bounds = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], ends])].tolist()
+        written, at = _written(mark, ids, self.ids)
+        bounds = at[np.concatenate([[0], ends])].tolist()
         digests = [
             hashlib.sha256(written[i:j]).hexdigest() if j > i else ""
             for i, j in zip(bounds[:-1], bounds[1:], strict=True)
@@ -229,17 +290,20 @@ class Aligned:
         return n_groups, digests
 
 
-def _written(mark: np.ndarray, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
-    """The marks and decimal ids one after the other, and the length of each; no mark for 0."""
-    digits = len(str(int(ids.max(initial=0))))
-    power = 10 ** np.arange(digits - 1, -1, -1)
-    text = np.empty((len(ids), digits + 1), np.uint8)
-    text[:, 0] = np.frombuffer(MARKS, np.uint8)[mark]
-    text[:, 1:] = ids[:, None] // power % 10 + ord("0")
-    used = np.ones_like(text, bool)
-    used[:, 0] = mark > 0
-    used[:, 1:-1] = ids[:, None] >= power[:-1]
-    return memoryview(text[used]), used.sum(axis=1)
+@lru_cache(1)
+def _decimals(count: int) -> pa.Array:
+    """Each mark followed by each number below `count`; the first mark is nothing."""
+    marks = ["", *(chr(mark) for mark in MARKS[1:])]
+    return pa.array([f"{mark}{i}".encode() for mark in marks for i in range(count)], pa.large_binary())
+
+
+def _written(mark: np.ndarray, ids: np.ndarray, count: int) -> tuple[memoryview, np.ndarray]:
+    """The marks and decimal ids, all below `count`, one after the other, and where each starts, with
+    the end; no mark for 0."""
+    taken = _decimals(count).take(pa.array(mark * count + ids))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), at
 
 
 _COLUMNS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, pairs array<long>, docs array<int>"
@@ -268,11 +332,10 @@ class _Block:
         n_groups, digests = aligned.groups()
         self.rows.append((doc_ids, aligned.n_a, aligned.n_b, n_groups, n_links, digests))
         self.links.append(pairs)
-        once = np.lexsort((pairs, text))
-        new = np.ones(len(once), bool)
-        ordered, text = pairs[once], text[once]
-        new[1:] = (ordered[1:] != ordered[:-1]) | (text[1:] != text[:-1])
-        self.pairs.append(np.sort(ordered[new]))
+        each = np.sort(text * aligned.pair_span + pairs)
+        new = np.ones(len(each), bool)
+        new[1:] = each[1:] != each[:-1]
+        self.pairs.append((each[new] % aligned.pair_span).astype(pairs.dtype))
         self.size += size
 
     def batches(self):

@@ -109,6 +109,31 @@ def test_words_give_the_tokenizers_own_ids(monkeypatch):
                 assert ids[i:j].tolist() == whole(text)
 
 
+def test_new_words_are_given_to_a_together_and_texts_split_once():
+    a, b = alignment.byte_level(A), alignment.sentence_pieces(B)
+    texts = [" plain words, here", " two  spaces", " русский текст", " end ", " x"]
+    of_a, of_b = alignment.words_of(a, b, texts)
+    assert [x is y for x, y in zip(of_a, of_b, strict=True)] == [True, False, False, False, True]
+    assert of_b[1:4] == [b.split(text) for text in texts[1:4]]
+    whole = Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
+    words = [" plain", "no space", " é\n", "", " русский", " <s>", " x" * 3, "  two", " a  "]
+    ids, sizes = a.encode(words)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    for word, i, j in zip(words, bounds[:-1], bounds[1:], strict=True):
+        assert ids[i:j].tolist() == whole.encode(word, add_special_tokens=False).ids
+    assert a._not_given_back(words, ids, sizes) == []
+    assert b._not_given_back([" a", " ▁", " c"], *b.encode([" a", " ▁", " c"])) == [1]
+
+
+def test_marks_and_ids_are_written_one_after_the_other():
+    written, at = alignment._written(np.array([0, 1, 2, 3, 0]), np.array([7, 40, 0, 999, 12]), 1000)
+    assert [bytes(written[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] == [
+        b"7", b",40", b"|0", b";999", b"12"
+    ]
+    assert alignment._written(np.array([], int), np.array([], int), 10)[1].tolist() == [0]
+
+
 def test_intervals_coalesce_where_a_start_reaches_the_largest_end():
     a, b = np.array([0, 2, 5, 6, 9]), np.array([0, 1, 5, 8, 9])
     order, group = alignment.coalesce(a[:-1], a[1:], b[:-1], b[1:])
