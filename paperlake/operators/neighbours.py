@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake import params
+from paperlake.llm.held import trim
 from paperlake.operators import cells, ivf, knn
 from paperlake.schemas import SIMILAR
 from paperlake.session import cut
@@ -35,7 +36,7 @@ MAX_BLOCK = 4096
 # Queries and rows compared at a time, and pairs of them compared exactly at a time.
 QUERY_ROWS = 512
 PIECE_ROWS = 2048
-EXACT_ROWS = 1 << 16
+EXACT_ROWS = 1 << 14
 
 # Rows of queries handed on at a time, with their vectors.
 SENT_ROWS = 4096
@@ -101,8 +102,17 @@ class _Best:
         return query, self.places[query, at], self.scores[query, at]
 
 
+def _slices(first: int, last: int) -> list[slice]:
+    """Rows from `first` to `last`, `PIECE_ROWS` at a time."""
+    return [slice(i, min(i + PIECE_ROWS, last)) for i in range(first, last, PIECE_ROWS)]
+
+
 class _Rows:
-    """A group's vectors, cell by cell, in pieces of at most `max_block` rows."""
+    """A group's vectors, cell by cell, in pieces of at most `max_block` rows.
+
+    Beside the vectors as given, their lengths and the unit vectors in single precision are kept; those
+    in double precision are made for the rows that are asked for.
+    """
 
     def __init__(self, table: pa.Table, max_block: int):
         table = table.sort_by([("fine", "ascending"), ("other", "ascending")])
@@ -110,10 +120,16 @@ class _Rows:
         self.place = np.empty(table.num_rows, np.int64)
         self.by_place = pc.sort_indices(self.names)
         self.place[self.by_place.to_numpy()] = np.arange(table.num_rows)
-        self.units = knn.unit_rows(knn.matrix(table["vector"].combine_chunks()))
-        self.rough = self.units.astype(np.float32)
+        flat = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.given = flat.reshape(table.num_rows, -1)
+        self.lengths = np.empty(table.num_rows)
+        self.rough = np.empty(self.given.shape, np.float32)
+        for rows in _slices(0, table.num_rows):
+            norms = np.linalg.norm(self.given[rows].astype(np.float64), axis=1)
+            self.lengths[rows] = np.where(norms == 0, np.nan, norms)
+            self.rough[rows] = self.units(rows)
         # Products of single precision are off by less than half of this, the rounding included.
-        self.slack = 1.2e-7 * (self.units.shape[1] + 4)
+        self.slack = 1.2e-7 * (self.given.shape[1] + 4)
         self.cells, starts = np.unique(table["fine"].to_numpy(), return_index=True)
         self.starts = np.append(starts, table.num_rows)
         # Runs of whole small cells, and pieces of large ones: (first row, last, first cell, last).
@@ -131,6 +147,10 @@ class _Rows:
                 self.pieces.append((first, self.starts[last], cell, last))
             cell = last
 
+    def units(self, rows) -> np.ndarray:
+        """The unit vectors of some rows, in double precision."""
+        return self.given[rows].astype(np.float64) / self.lengths[rows, None]
+
     def listed(self, lists: pa.Array) -> np.ndarray:
         """Which cells the queries' lists name."""
         visited = lists.flatten().to_numpy(zero_copy_only=False)
@@ -143,15 +163,16 @@ class _Rows:
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """A direction for each cell, and the largest angle of its vectors here with it."""
-        sums = np.add.reduceat(self.units, self.starts[:-1], axis=0)
-        flat = np.linalg.norm(sums, axis=1) == 0
-        sums[flat] = self.units[self.starts[:-1][flat]]
-        centres = knn.unit_rows(sums)
-        cosines = np.empty(len(self.units))
+        centres = np.empty((len(self.cells), self.given.shape[1]))
+        angles = np.empty(len(self.cells))
         for cell, (first, last) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
-            cosines[first:last] = self.units[first:last] @ centres[cell]
-        angles = np.arccos(np.clip(cosines, -1, 1))
-        return centres, np.maximum.reduceat(angles, self.starts[:-1])
+            total = sum(self.units(rows).sum(axis=0) for rows in _slices(first, last))
+            if not total.any():
+                total = self.units(slice(first, first + 1))[0]
+            centres[cell] = total / np.linalg.norm(total)
+            cosine = min((self.units(rows) @ centres[cell]).min() for rows in _slices(first, last))
+            angles[cell] = np.arccos(np.clip(cosine, -1, 1))
+        return centres, angles
 
     def search(self, queries: np.ndarray, visit: np.ndarray, best: _Best) -> None:
         """Puts the rows of the visited cells into `best`."""
@@ -185,7 +206,7 @@ class _Rows:
         for start in range(0, len(query), EXACT_ROWS):
             asking = who[query[start : start + EXACT_ROWS]]
             found = rows.start + row[start : start + EXACT_ROWS]
-            exact = np.einsum("ij,ij->i", queries[asking], self.units[found])
+            exact = np.einsum("ij,ij->i", queries[asking], self.units(found))
             best.add(asking, np.round(exact, knn.DIGITS), self.place[found])
 
 
@@ -232,7 +253,12 @@ def _compared(k: int, max_block: int):
             )
         return pa.concat_tables(found)
 
-    return compare
+    def trimmed(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = compare(left, right)
+        trim()
+        return found
+
+    return trimmed
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:

@@ -311,3 +311,38 @@ def test_neighbours_of_close_cells_and_scaled_copies_are_exact(spark):
     vectors = np.concatenate((close, scaled)).astype(np.float32)
     got = neighbours.build(frame(spark, enumerate(vectors)), 6, max_block=24)
     assert table(got) == brute(vectors, 6)
+
+
+def test_a_task_keeps_its_vectors_in_single_precision_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    k, queries, rows = 5, random_vectors(64, 64, 1), random_vectors(32768, 64, 2)
+    sizes = pa.array(np.arange(len(rows) + 1) * 64, pa.int32())
+    right = pa.table(
+        {
+            "other": pa.array([f"r{i:05d}" for i in range(len(rows))]),
+            "fine": pa.array(np.arange(len(rows)) % 7, pa.int32()),
+            "vector": pa.ListArray.from_arrays(sizes, pa.array(rows.ravel())),
+        }
+    )
+    left = pa.table(
+        {
+            "rep": pa.array([f"q{i:05d}" for i in range(len(queries))]),
+            "embedding": pa.array(queries.tolist(), pa.list_(pa.float32())),
+            "fines": pa.nulls(len(queries), pa.list_(pa.int32())),
+            "floor": pa.nulls(len(queries), pa.float64()),
+        }
+    )
+    tracemalloc.start()
+    found = neighbours._compared(k, 4096)(left, right).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.2 * rows.nbytes
+    unit = [v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None] for v in (queries, rows)]
+    best = np.argsort(-np.round(unit[0] @ unit[1].T, 12), axis=1, kind="stable")[:, :k]
+    hits = {}
+    for rep, other in zip(found["rep"], found["arxiv_id"], strict=True):
+        hits.setdefault(int(rep[1:]), set()).add(int(other[1:]))
+    assert all(hits[q] == set(best[q].tolist()) for q in range(len(queries)))
