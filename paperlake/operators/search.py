@@ -224,7 +224,7 @@ def with_papers(ranked: DataFrame, papers: DataFrame) -> DataFrame:
 
 def search_batch(
     postings: DataFrame, queries: DataFrame, limit=None, analyzer: str = "english",
-    buckets: int = TERM_BUCKETS, terms: DataFrame | None = None,
+    buckets: int = TERM_BUCKETS, terms: DataFrame | None = None, newest: DataFrame | None = None,
 ) -> DataFrame:
     """Top papers of every row of `queries` (query_id, query): (query_id, arxiv_id, rank, place).
 
@@ -233,6 +233,10 @@ def search_batch(
     are read. Candidates, with their positions, come from the rarest terms' postings only, so a
     term shared by all queries and most papers never pairs them up; a second read takes the other
     terms' positions by (term, paper) for these candidates.
+
+    With `newest` (arxiv_id, change), `postings` also has outdated rows: those of a paper count that
+    have its `change`, 0 for papers not named. Candidates are looked up there, not all postings, and
+    `terms` has to be given.
     """
     limit = params.positive(limit, params.SEARCH_LIMIT)
     found = analysis.distinct_terms(analysis.tokens("query"), analyzer)
@@ -268,13 +272,19 @@ def search_batch(
         .select("terms_key", "n", "terms", F.col("rarest.term").alias("term"))
     )
     rarest = cut(placed(rarest), "rarest")
-    first = cut(
-        postings.join(rarest.drop("terms"), keys).select("terms_key", "n", "arxiv_id", "positions"),
-        "first",
+    version = [] if newest is None else ["change"]
+    hits = postings.join(rarest.drop("terms"), keys).select(
+        "terms_key", "n", "arxiv_id", "positions", *version
     )
+    if newest is not None:
+        now = newest.select("arxiv_id", F.col("change").alias("now"))
+        hits = hits.join(now, "arxiv_id", "left").where(
+            F.col("change") == F.coalesce("now", F.lit(0))
+        ).drop("now")
+    first = cut(hits, "first")
     others = rarest.select("terms_key", F.explode(F.array_remove("terms", F.col("term"))).alias("term"))
-    due = first.select("terms_key", "n", "arxiv_id").join(placed(others), "terms_key")
-    more = postings.join(due, [*keys, "arxiv_id"])
+    due = first.select("terms_key", "n", "arxiv_id", *version).join(placed(others), "terms_key")
+    more = postings.join(due, [*keys, "arxiv_id", *version])
     matched = (
         first.unionByName(more.select(first.columns))
         .groupBy("terms_key", "n", "arxiv_id")

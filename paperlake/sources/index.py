@@ -44,22 +44,25 @@ class Index:
         ids = papers.select("arxiv_id").distinct()
         ids.write.mode("overwrite").parquet(f"{self.path}/changed/change={number}")
 
-    def _changed(self) -> tuple[DataFrame, DataFrame]:
-        """The newest change (arxiv_id, change) of each changed paper, and their postings."""
+    def _newest(self) -> DataFrame:
+        """The newest change (arxiv_id, change) of each changed paper."""
         changed = self.spark.read.schema("arxiv_id string, change int")
         changed = changed.parquet(f"{self.path}/changed").where(F.col("change").isin(self._changes()))
-        newest = changed.groupBy("arxiv_id").agg(F.max("change").alias("change"))
+        return changed.groupBy("arxiv_id").agg(F.max("change").alias("change"))
+
+    def _added(self) -> DataFrame:
+        """The postings of the changes (term, arxiv_id, positions, change, term_bucket)."""
         number = [T.StructField(n, T.IntegerType()) for n in ("change", "term_bucket")]
         rows = self.spark.read.schema(T.StructType([*POSTINGS.fields, *number]))
-        rows = rows.parquet(f"{self.path}/changes")
-        return newest, rows.join(newest, ["arxiv_id", "change"], "left_semi").drop("change")
+        return rows.parquet(f"{self.path}/changes").where(F.col("change").isin(self._changes()))
 
     def postings(self) -> DataFrame:
         """The postings of all papers as they are now."""
         base = search.read_postings(self.spark, f"{self.path}/base")
         if not self._changes():
             return base
-        newest, rows = self._changed()
+        newest = self._newest()
+        rows = self._added().join(newest, ["arxiv_id", "change"], "left_semi").drop("change")
         kept = base.join(newest.select("arxiv_id"), "arxiv_id", "left_anti")
         return kept.unionByName(rows)
 
@@ -68,7 +71,7 @@ class Index:
         base = search.read_terms(self.spark, f"{self.path}/base")
         if not self._changes():
             return base
-        added = self._changed()[1].groupBy("term_bucket", "term").agg(F.count("*").alias("df"))
+        added = self._added().groupBy("term_bucket", "term").agg(F.count("*").alias("df"))
         both = base.unionByName(added)
         return both.groupBy("term_bucket", "term").agg(F.sum("df").alias("df"))
 
@@ -86,6 +89,10 @@ class Index:
 
     def search_batch(self, queries: DataFrame, limit=None) -> DataFrame:
         """Top papers of every row of `queries`, as `operators.search.search_batch`."""
+        base, newest = search.read_postings(self.spark, f"{self.path}/base"), None
+        if self._changes():
+            newest = self._newest()
+            base = base.withColumn("change", F.lit(0)).unionByName(self._added())
         return search.search_batch(
-            self.postings(), queries, limit, self.analyzer, self.buckets, self.terms()
+            base, queries, limit, self.analyzer, self.buckets, self.terms(), newest
         )

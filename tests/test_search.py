@@ -319,6 +319,25 @@ def test_interrupted_index_change_is_not_seen(spark, tmp_path):
     same_index(archive)
 
 
+def test_batch_over_a_changed_index_looks_up_candidates_only(spark, tmp_path):
+    archive = archive_of(spark, tmp_path / "archive", TEXTS)
+    index = archive.build_index()
+    upsert(spark, archive, (0, "brand new", "vision words"), (900, "deep networks", "of vision"))
+    upsert(spark, archive, (0, "deep", "again vision"), (1, "?", ""), (901, "vision", "deep vision"))
+    half = make_papers(spark, [("deep", "deep vision")] * 4)
+    search.place_postings(search.build_postings(half), f"{index.path}/changes/change=3", 4)
+    words = ["deep vision", "vision", "vision deep", "brand new words", "networks", "absent", ""]
+    queries = spark.createDataFrame(list(enumerate(words)), "query_id int, query string")
+    found = archive.index().search_batch(queries, 50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    rebuilt = search.build_postings(archive.papers.read(), "english")
+    expected = search.search_batch(rebuilt, queries, 50)
+    assert len(found.collect()) > 8
+    columns = ["query_id", "place", "arxiv_id", "rank"]
+    assert sorted(found.select(columns).collect()) == sorted(expected.select(columns).collect())
+
+
 def test_answer_from_the_index(spark, tmp_path):
     archive = archive_of(spark, tmp_path / "archive", TEXTS)
     index, papers = archive.build_index(), archive.papers.read().select(*PAPERS.fieldNames())
