@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from paperlake.session import cut
 
-from . import hashing, lookup
+from . import hashing, lookup, sketches
 from .components import components
 from .held import trimmed
 
@@ -40,7 +40,9 @@ COMMON = 1 / 2000
 """Features in more than this share of the texts are common. There are at most as many as an
 average text has features, divided by this share, whatever the number of texts."""
 MOST_COPIES = 1_000_000
-"""Ids of copies that are sent to all tasks (8 MB)."""
+"""Ids that are sent to all tasks (8 MB), to leave out copies or to choose a cluster's texts."""
+MOST_MEMBERS = 10_000
+"""Members of a bucket that are compared by their sketches; a larger one is one group."""
 COUNTED = 2_000_000
 """Features that a task counts at a time to find common ones."""
 ROUNDS = 6
@@ -162,13 +164,17 @@ def _slices(batch, size=512):
         yield batch.slice(start, size)
 
 
-def _prints(shingle):
-    """Rows (doc_id, n_shingles, high, low) per text; and, with -1 for n_shingles, features that
-    recur within some texts of a task, with their number."""
+def _prints(shingle, sketched=False):
+    """Rows (doc_id, n_shingles, high, low, and the sketch if `sketched`) per text; and, with -1
+    for n_shingles, features that recur within some texts of a task, with their number."""
 
-    def rows(ids, sizes, high, low):
+    def rows(ids, sizes, high, low, sets=None):
         columns = [ids, pa.array(sizes, pa.int64()), hashing.as_long(high), hashing.as_long(low)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "high", "low"])
+        names = ["doc_id", "n_shingles", "high", "low"]
+        if sketched:
+            names.append("sketch")
+            columns.append(pa.nulls(len(sizes), pa.binary()) if sets is None else sketches.sketches(sets))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def recurring(sets):
         features, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -188,7 +194,7 @@ def _prints(shingle):
                     for s in sets
                 ]
                 high, low = (np.array([m[i] for m in marks], np.uint64) for i in (0, 1))
-                yield rows(part.column(0), [len(s) for s in sets], high, low)
+                yield rows(part.column(0), [len(s) for s in sets], high, low, sets)
                 held += sets
                 size += sum(map(len, sets))
                 if size > COUNTED:
@@ -309,14 +315,16 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     Documents are linked when their shingle sets have a Jaccard similarity of `percent` / 100 or
     more; `component_id` is the smallest `doc_id` reachable, `n_links` the number of other
     rows linked directly. Equal sets are one class and take part once, by their smallest
-    `doc_id`. Signatures name candidates by their bucket's smallest class; whatever the
-    candidate graph connects is a cluster, and a cluster is verified in pairs of bounded blocks,
-    so no bucket and no group of copies is expanded into pairs of rows.
+    `doc_id`. Sketches part a bucket of equal signatures where none of its pairs can be similar,
+    and a part names its smallest class; whatever the candidate graph connects is a cluster, and a
+    cluster is verified in pairs of bounded blocks, so no bucket and no group of copies is
+    expanded into pairs of rows.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = cut(
         texts.mapInArrow(
-            trimmed(_prints(shingle)), "doc_id long, n_shingles long, high long, low long"
+            trimmed(_prints(shingle, True)),
+            "doc_id long, n_shingles long, high long, low long, sketch binary",
         ),
         "marks",
     )
@@ -336,16 +344,16 @@ def links(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
         "doc_id", F.explode("signatures").alias("signature")
     )
     ordered = Window.partitionBy("signature").orderBy("doc_id")
-    candidates = (
+    shared = cut(
         buckets.withColumn(
             "leader",
             F.first("doc_id").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
         )
         .where("doc_id <> leader")
-        .select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-        .distinct()
+        .distinct(),
+        "shared",
     )
-    clusters = cut(components(candidates), "clusters")
+    clusters = cut(components(_candidates(shared, usable, percent)), "clusters")
     found = cut(_verify(texts, classes, clusters, shingle, percent), "links")
     labels = components(found.where("a <> b").select("a", "b").union(_repeated(usable, classes)))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
@@ -383,12 +391,61 @@ def _repeated(usable, classes):
     return nodes.join(least, "doc_id").where("class_id <> b").select(F.col("class_id").alias("a"), "b")
 
 
+def _candidates(shared, usable, percent):
+    """Edges (a, b) that connect all similar members of each bucket of two or more classes.
+
+    `shared` has its members (signature, doc_id, leader) but for the smallest one, the leader. Of
+    buckets with the same members one is taken. Texts that share little but a signature's few
+    features would otherwise connect unlike families, ever more of them as the texts grow.
+    """
+    buckets = shared.groupBy("signature").agg(
+        F.min("leader").alias("leader"),
+        F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"),
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+    )
+    same = ["leader", "members", "x", "y"]
+    buckets = cut(buckets.groupBy(same).agg(F.min("signature").alias("signature")), "buckets")
+    small = buckets.where(F.col("members") < MOST_MEMBERS)
+    large = buckets.where(F.col("members") >= MOST_MEMBERS).select("signature")
+    members = small.select("signature", F.col("leader").alias("doc_id")).union(
+        shared.join(small.select("signature"), "signature", "left_semi").select("signature", "doc_id")
+    )
+    # A document with rows of several sets has no sketch.
+    key = F.struct("n_shingles", "high", "low")
+    described = (
+        usable.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(
+            F.min(key).alias("least"),
+            F.max(key).alias("most"),
+            F.first("sketch").alias("sketch"),
+        )
+        .select(
+            "doc_id",
+            F.col("least.n_shingles").alias("size"),
+            F.when(F.col("least") == F.col("most"), F.col("sketch")).alias("sketch"),
+        )
+    )
+    rows = (
+        members.join(described, "doc_id")
+        .select("signature", "doc_id", "size", "sketch")
+        .repartition("signature")
+        .sortWithinPartitions("signature")
+    )
+    near = rows.mapInArrow(trimmed(sketches.bucket_edges(percent)), "a long, b long")
+    led = shared.join(large, "signature", "left_semi")
+    return near.union(led.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+
+
 def _without_copies(signed, usable, members):
-    """The rows of the classes' smallest documents: few other ids go to all tasks, so that the
-    signatures are not shuffled for this; with more of them both sides are."""
+    """The rows of the classes' smallest documents: few other ids, or else few ids of these, go to
+    all tasks, so that the signatures are not shuffled for this; with more of both they are."""
     others = cut(usable.select("doc_id").distinct().join(members, "doc_id", "left_anti"), "copies")
     if others.count() <= MOST_COPIES:
         return signed.where("doc_id IS NOT NULL").join(F.broadcast(others), "doc_id", "left_anti")
+    if members.count() <= MOST_COPIES:
+        members = F.broadcast(members)
     return signed.join(members, "doc_id", "left_semi")
 
 
@@ -436,6 +493,10 @@ def _verify(texts, classes, clusters, shingle, percent):
     work = placed.join(sided, ["cluster", "block"]).select(
         F.col("class_id").alias("doc_id"), "cluster", "first", "second", "block", "copies"
     )
+    if clusters.count() <= MOST_COPIES:
+        # Few texts are in a cluster: only these move.
+        chosen = F.broadcast(clusters.select(F.col("node").alias("doc_id")).distinct())
+        texts = texts.join(chosen, "doc_id", "left_semi")
     rows = (
         texts.join(work, "doc_id")
         .repartition("cluster", "first", "second")

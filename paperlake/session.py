@@ -4,6 +4,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -32,14 +33,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a query that ends inside go with it. Otherwise they stay until the driver
+    happens to collect its garbage, beside those of the queries that follow."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Materialise `df` as a table in the shared folder and read it back.
 
     The written table survives the loss of executors, and later jobs over it do not repeat the
-    work (or the nondeterminism) before the cut.
+    work (or the nondeterminism) before the cut. The shuffle files of the work go at once.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from fixtures import documents, edited, empty, frame, sentence, words
 
-from paperlake.llm import jaccard, lookup
+from paperlake.llm import jaccard, lookup, sketches
 
 
 def shingles(text, size):
@@ -136,3 +136,70 @@ def test_unlike_sets_share_none():
         for signature in found.tolist():
             seen[signature].add(i)
     assert max(map(len, seen.values())) == 1
+
+
+def near(rng, features, share):
+    """A copy of a set in which a share of the features is replaced."""
+    changed = features.copy()
+    count = int(len(changed) * share)
+    changed[:count] = rng.integers(0, 2**63, count, dtype=np.uint64)
+    return np.unique(changed)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_part_no_similar_sets(percent):
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in [1, 3, 20, 60, 64, 70, 130, 600, 5000]:
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets += [near(rng, base, share) for share in (0, 0, 0.03, 0.06, 0.1, 0.2, 0.5, 1)]
+        sets.append(np.unique(base[: max(1, size * 85 // 100)]))
+    sizes, found = [len(s) for s in sets], sketches.sketches(sets).to_pylist()
+    few, many = (sorted(map(sorted, f(sizes, found, percent))) for f in (sketches._few, sketches._many))
+    assert few == many
+    part = {i: number for number, own in enumerate(few) for i in own}
+    assert sorted(part) == list(range(len(sets))) and len(few) > 18
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert part[i] == part[j]
+
+
+def passages(rng, count):
+    """Texts of which each shares some words with the next one, and the last two are near copies."""
+    own = [sentence(rng, 20) for _ in range(count)]
+    rows = [(i, f"{own[i]} {own[i + 1]}") for i in range(count - 1)]
+    return [*rows, (count, rows[-1][1] + " end")]
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_shared_passages_do_not_join_clusters(spark, monkeypatch, most):
+    seen = []
+
+    def verify(texts, classes, clusters, *more):
+        seen.append(clusters.count())
+        return original(texts, classes, clusters, *more)
+
+    original = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", verify)
+    monkeypatch.setattr(jaccard, "MOST_MEMBERS", most)
+    rows = passages(random.Random(11), 60)
+    assert result(jaccard.links(frame(spark, rows))) == brute(rows, 5, 80)
+    assert seen[0] == 2 if most > 1 else seen[0] >= 2
+
+
+def test_few_ids_of_classes_are_sent_instead_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_COPIES", 3)
+    rng = random.Random(3)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    rows = [(i, (a, b)[i % 2]) for i in range(20)]
+    assert result(jaccard.links(frame(spark, rows))) == brute(rows, 5, 80)
+
+
+def test_ids_of_several_texts_are_compared_with_all(spark):
+    rng = random.Random(4)
+    a, b = sentence(rng, 30), sentence(rng, 40)
+    rows = [(2, a), (2, b), (3, a + " x"), (5, b + " y"), (7, sentence(rng, 30))]
+    found = {r.doc_id: r.component_id for r in jaccard.links(frame(spark, rows)).collect()}
+    assert found == {2: 2, 3: 2, 5: 2, 7: 7}

@@ -1,4 +1,5 @@
 import datetime
+import time
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake import schemas
 from paperlake.operators import catalog, graph, membership, merge, stats
+from paperlake.session import cut
 from paperlake.sources.store import Archive
 
 NOW = datetime.datetime(2024, 5, 1)
@@ -458,3 +460,19 @@ def test_listing(spark):
     assert (got.title, got.date) == ("x" * 77 + "...", "2024-04-02")
     assert got.categories == "c" * 27 + "..."
     assert catalog.listing(papers(spark, paper("a"))).select(F.col("date")).first()[0] == ""
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle")}
+
+    before = shuffles()
+    counted = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert {r["count"] for r in counted.collect()} == {142, 143}
