@@ -14,10 +14,13 @@ from paperlake.functions.rank import rank, rank_positions
 from paperlake.functions.stemming import common_start
 from paperlake.functions.text import searchable_text
 from paperlake.schemas import POSTINGS, SEARCH_COLS
-from paperlake.session import cut
+from paperlake.session import cut, shuffles_dropped
 
 TERM_BUCKETS = 256
 
+# Bits of the map that names the wanted keys to all tasks: 16 MB at most.
+MARKS = 1 << 26
+
 # Tokens that a task groups at a time.
 SLICE_TOKENS = 1 << 18
 
@@ -157,16 +160,16 @@ def term_bucket(term, buckets: int = TERM_BUCKETS) -> Column:
 
 
 def place_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Write postings partitioned by term bucket.
+    """Write postings partitioned by term bucket, in order of the term within a file.
 
-    Rows are spread by (bucket, share of the ids): a term found in a third of all papers fills
-    several tasks and files instead of one. Small shares are merged again by the rebalance.
+    Each task sorts and writes its own rows, a file per bucket: postings are several times as large
+    as the texts while they are shuffled, so they are not, and a term found in a third of all papers
+    fills as many files as there are tasks.
     """
-    share = F.pmod(F.xxhash64("arxiv_id"), F.lit(16))
     placed = postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-    placed = placed.withColumn("share", share).hint("rebalance", "term_bucket", "share")
-    placed = placed.drop("share").sortWithinPartitions("term_bucket", "term")
-    placed.write.partitionBy("term_bucket").mode("overwrite").parquet(path)
+    placed = placed.sortWithinPartitions("term_bucket", "term")
+    with shuffles_dropped(postings.sparkSession):
+        placed.write.partitionBy("term_bucket").mode("overwrite").parquet(path)
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
@@ -178,7 +181,8 @@ def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS)
     stored = read_postings(postings.sparkSession, path)
     counts = stored.groupBy("term_bucket", "term").agg(F.count("*").alias("df"))
     counts = counts.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
-    counts.write.partitionBy("term_bucket").mode("overwrite").parquet(_terms_path(path))
+    with shuffles_dropped(postings.sparkSession):
+        counts.write.partitionBy("term_bucket").mode("overwrite").parquet(_terms_path(path))
 
 
 def _terms_path(path: str) -> str:
@@ -222,6 +226,21 @@ def with_papers(ranked: DataFrame, papers: DataFrame) -> DataFrame:
     return ranked.join(papers.select(*SEARCH_COLS), "arxiv_id").select(*SEARCH_COLS, "rank")
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among the wanted ones: all that are, and few others.
+
+    The bits of the wanted keys' hashes go to all tasks, whatever the number of keys, so that of a
+    large table only the rows for a join are shuffled.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    word, place = F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    marks = wanted.select(word.alias("word"), one.alias("bits"))
+    marks = marks.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = rows.withColumn("word", word).join(F.broadcast(marks), "word")
+    return found.where(F.getbit("bits", place) == 1).select(*rows.columns)
+
+
 def search_batch(
     postings: DataFrame, queries: DataFrame, limit=None, analyzer: str = "english",
     buckets: int = TERM_BUCKETS, terms: DataFrame | None = None, newest: DataFrame | None = None,
@@ -232,7 +251,7 @@ def search_batch(
     frequencies (else they are counted), so each term set's rarest term is known before postings
     are read. Candidates, with their positions, come from the rarest terms' postings only, so a
     term shared by all queries and most papers never pairs them up; a second read takes the other
-    terms' positions by (term, paper) for these candidates.
+    terms' positions by (term, paper) for these candidates, and shuffles hardly any other postings.
 
     With `newest` (arxiv_id, change), `postings` also has outdated rows: those of a paper count that
     have its `change`, 0 for papers not named. Candidates are looked up there, not all postings, and
@@ -284,7 +303,7 @@ def search_batch(
     first = cut(hits, "first")
     others = rarest.select("terms_key", F.explode(F.array_remove("terms", F.col("term"))).alias("term"))
     due = first.select("terms_key", "n", "arxiv_id", *version).join(placed(others), "terms_key")
-    more = postings.join(due, [*keys, "arxiv_id", *version])
+    more = _marked(postings, due, ["term", "arxiv_id"]).join(due, [*keys, "arxiv_id", *version])
     matched = (
         first.unionByName(more.select(first.columns))
         .groupBy("terms_key", "n", "arxiv_id")

@@ -2,6 +2,7 @@ import math
 import re
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from paperlake.functions.rank import rank_positions
 from paperlake.functions.stemming import STOP_WORDS, common_start, english_term, stem
 from paperlake.operators import search
 from paperlake.plans import answers
-from paperlake.schemas import PAPERS
+from paperlake.schemas import PAPERS, POSTINGS
 from paperlake.sources.store import Archive
 
 
@@ -362,3 +363,52 @@ def test_postings_are_grouped_in_slices_of_bounded_tokens():
         for size, s in zip(sizes, slices, strict=True)
     )
     assert sum(sizes) == sum(len(x or []) for x in lists[1:])
+
+
+def test_tasks_write_their_own_postings(spark, tmp_path):
+    papers = make_papers(spark, TEXTS * 4).repartition(3)
+    postings = search.build_postings(papers)
+    path = tmp_path / "postings"
+    search.place_postings(postings, str(path), 2)
+    # A shuffle would have brought such a small bucket into one file.
+    assert max(len(list(bucket.glob("*.parquet"))) for bucket in path.glob("term_bucket=*")) == 3
+    for file in path.glob("term_bucket=*/*.parquet"):
+        names = pq.read_table(file)["term"].to_pylist()
+        assert names == sorted(names)
+    columns = POSTINGS.fieldNames()
+    stored = search.read_postings(spark, str(path)).select(columns).collect()
+    assert sorted(stored) == sorted(postings.select(columns).collect())
+
+
+def test_wanted_postings_are_marked(spark):
+    rows = spark.range(5000).select(
+        F.concat(F.lit("t"), F.col("id") % 50).alias("term"), F.col("id").cast("string").alias("arxiv_id")
+    )
+    rows = rows.unionByName(spark.createDataFrame([("t1", None), (None, "1")], "term string, arxiv_id string"))
+    wanted = rows.where("arxiv_id % 700 = 1").unionByName(rows.limit(1))
+    found = search._marked(rows, wanted, ["term", "arxiv_id"])
+    assert found.columns == rows.columns
+    got = {(r.term, r.arxiv_id) for r in found.collect()}
+    assert {(r.term, r.arxiv_id) for r in wanted.collect()} <= got and len(got) < 20
+    assert search._marked(rows, wanted.limit(0), ["term", "arxiv_id"]).count() == 0
+
+
+@pytest.mark.parametrize("marks", [64, 1 << 26])
+def test_batch_looks_marked_postings_up(spark, tmp_path, monkeypatch, marks):
+    monkeypatch.setattr(search, "MARKS", marks)
+    texts = [(f"common word{n % 7}", f"common filler word{n % 3} x{n}") for n in range(60)]
+    papers = make_papers(spark, texts)
+    path = str(tmp_path / "postings")
+    search.write_postings(search.build_postings(papers), path, 4)
+    asked = ["common word1", "common word2 x5", "filler common", "x7 x8", "common"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = search.search_batch(
+        search.read_postings(spark, path), queries, 5, buckets=4, terms=search.read_terms(spark, path)
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan.lower()
+    got = found.collect()
+    for number, query in enumerate(asked):
+        expected = search.search(papers, query, 5).collect()
+        mine = sorted((r.place, r.arxiv_id, r["rank"]) for r in got if r.query_id == number)
+        assert [m[1:] for m in mine] == [(r.arxiv_id, r["rank"]) for r in expected]
