@@ -4,9 +4,7 @@ Workers are used again by later stages. What an earlier stage kept would stay be
 memory, so asking for something else drops it.
 """
 
-import ctypes
-
-import pyarrow as pa
+from paperlake.memory import trim
 
 _held = {}
 
@@ -26,15 +24,6 @@ def release() -> None:
     trim()
 
 
-def trim() -> None:
-    """Give freed memory back to the system, also while something is kept: a worker waits for its next
-    task beside later stages' memory."""
-    pa.default_memory_pool().release_unused()
-    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if give_back:
-        give_back(0)
-
-
 def trimmed(run):
     """`run` over Arrow batches, with the freed memory given back after the last one."""
 

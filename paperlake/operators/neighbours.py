@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake import params
-from paperlake.llm.held import trim
+from paperlake.memory import trim
 from paperlake.operators import cells, ivf, knn
 from paperlake.schemas import SIMILAR
 from paperlake.session import cut
