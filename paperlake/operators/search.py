@@ -18,7 +18,7 @@ from paperlake.session import cut, shuffles_dropped
 
 TERM_BUCKETS = 256
 
-# Bits of the map that names the wanted keys to all tasks: 16 MB at most.
+# Bits of the map that names the wanted keys to all tasks, in a million rows at most.
 MARKS = 1 << 26
 
 # Tokens that a task groups at a time.
